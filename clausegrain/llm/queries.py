@@ -38,9 +38,9 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER
 b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(13, len(ws)) AS k, array_to_string(ws[i:i + 12], ' ') AS win
         FROM b, unnest(range(1, greatest(2, len(ws) - 11))) AS t(i) WHERE len(ws) > 0),
-at AS (SELECT rid, i, k, array_to_string(ws[i:i + k - 1], ' ') AS win
+places AS (SELECT rid, i, k, array_to_string(ws[i:i + k - 1], ' ') AS win
        FROM d, unnest(range(1, len(ws) + 1)) AS t(i), (SELECT DISTINCT k FROM win) AS ks WHERE i + k - 1 <= len(ws)),
-occ AS (SELECT rid, i, k, item_id FROM at JOIN win USING (win, k)),
+occ AS (SELECT rid, i, k, item_id FROM places JOIN win USING (win, k)),
 hit AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS j FROM occ) GROUP BY rid),
 found AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY rid)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
