@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrain.llm import decontam, packing, simhash
+from clausegrain.llm import decontam, packing, quality, simhash
 from clausegrain.llm.common import table
 
 
@@ -28,11 +28,41 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op8_simhash_links, op10_decontamination)}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op5_quality_rules, op8_simhash_links, op10_decontamination)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT rid, i, ws[i:i + 4] AS win FROM w, unnest(range(1, len(ws) - 3)) AS t(i)),
+again AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
+rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS j FROM again) GROUP BY rid),
+c AS (SELECT rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+             coalesce(rep.n, 0) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines FROM w LEFT JOIN rep USING (rid)),
+r AS (SELECT *, n_symbols / greatest(n_words, 1) AS symbols, n_dup_lines / greatest(n_lines, 1) AS dup_lines, word_chars / greatest(n_words, 1) AS word_length FROM c),
+long AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'word_length']) AS metric, unnest([symbols, dup_lines, word_length]) AS value FROM r WHERE n_words > 0),
+b AS (SELECT lang, source, metric, CASE WHEN value < 1e-6 THEN -1000000 ELSE CAST(ceil(ln(value) / ln(1.01 / 0.99)) AS INTEGER) END AS bucket, count(*) AS n FROM long GROUP BY ALL),
+s AS (SELECT lang, source, 0 AS level, metric, bucket, n FROM b
+      UNION ALL SELECT lang, NULL, 1, metric, bucket, sum(n) FROM b GROUP BY lang, metric, bucket
+      UNION ALL SELECT NULL, NULL, 2, metric, bucket, sum(n) FROM b GROUP BY metric, bucket),
+u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, level, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, level, metric) AS total,
+             CASE WHEN bucket = -1000000 THEN 0.0 ELSE 2 * pow(1.01 / 0.99, bucket) / (1.01 / 0.99 + 1) END AS v FROM s),
+q AS (SELECT lang, source, level, metric, max(total) AS n, min(v) FILTER (4 * upto >= total) AS q1, min(v) FILTER (2 * upto >= total) AS q2, min(v) FILTER (4 * upto >= 3 * total) AS q3 FROM u GROUP BY ALL),
+f AS (SELECT r.rid, g.metric, q.q1, q.q2, q.q3, q.level FROM r CROSS JOIN (SELECT unnest(['symbols', 'dup_lines', 'word_length']) AS metric) AS g
+      JOIN q ON q.metric = g.metric AND q.n >= CASE q.level WHEN 2 THEN 0 ELSE 100 END AND (q.level = 2 OR q.lang IS NOT DISTINCT FROM r.lang) AND (q.level > 0 OR q.source IS NOT DISTINCT FROM r.source)
+      QUALIFY row_number() OVER (PARTITION BY r.rid, g.metric ORDER BY q.level) = 1),
+l AS (SELECT rid, max(greatest(q3 + 3 * (q3 - q1), 0.1)) FILTER (metric = 'symbols') AS ms, max(greatest(q3 + 3 * (q3 - q1), 0.5)) FILTER (metric = 'dup_lines') AS md,
+             max(least(q1 - 3 * (q3 - q1), 0.5 * q2)) FILTER (metric = 'word_length') AS lo, max(greatest(q3 + 3 * (q3 - q1), 2 * q2)) FILTER (metric = 'word_length') AS hi FROM f GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND symbols <= ms AND dup_lines <= md AND word_length BETWEEN lo AND hi AS kept
+FROM r LEFT JOIN l USING (rid)""",
     "op10_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
