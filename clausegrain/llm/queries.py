@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrain.llm import decontam, packing, ppm, quality, simhash
+from clausegrain.llm import decontam, packing, pii, ppm, quality, secrets, simhash
 from clausegrain.llm.common import table
 
 
@@ -36,7 +36,15 @@ def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op5_quality_rules, op7_ppm_scores, op8_simhash_links, op10_decontamination)}
+def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.table_of(table(spark, sf_dir, "documents"))
+
+
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.table_of(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_secret_spans, op5_quality_rules, op7_ppm_scores, op8_simhash_links, op9_pii_spans, op10_decontamination)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
