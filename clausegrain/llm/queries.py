@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrain.llm import decontam, packing, pii, ppm, quality, secrets, simhash
+from clausegrain.llm import chat, decontam, packing, pii, ppm, quality, secrets, simhash
 from clausegrain.llm.common import table
 
 
@@ -36,6 +36,12 @@ def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(said))
+    return chat.digests(chat.rendered(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)))
+
+
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.table_of(table(spark, sf_dir, "documents"))
 
@@ -44,11 +50,18 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.table_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_secret_spans, op5_quality_rules, op7_ppm_scores, op8_simhash_links, op9_pii_spans, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op4_secret_spans, op5_quality_rules, op7_ppm_scores, op8_simhash_links, op9_pii_spans, op10_decontamination)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, CASE WHEN regexp_matches(text, '\\|</turn>|### (User|Assistant|System|Tool|@[^\\:\n]*): ') THEN len(regexp_replace(text, '(\\|</turn>|### )', '+\1', 'g')) ELSE len(text) END AS body FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(len(role) + 14 + body) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
     "op5_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
