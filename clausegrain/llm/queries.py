@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrain.llm import chat, decontam, packing, pii, ppm, quality, secrets, simhash
+from clausegrain.llm import chat, decontam, packing, pii, ppm, quality, secrets, simhash, urlrules
 from clausegrain.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.rendered(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.table_of(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.table_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op4_secret_spans, op5_quality_rules, op7_ppm_scores, op8_simhash_links, op9_pii_spans, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_url_rules, op4_secret_spans, op5_quality_rules, op7_ppm_scores, op8_simhash_links, op9_pii_spans, op10_decontamination)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
