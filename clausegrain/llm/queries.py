@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrain.llm import chat, decontam, packing, pii, ppm, quality, secrets, simhash, urlrules
+from clausegrain.llm import chat, decontam, packing, pii, ppm, quality, secrets, simhash, urlrules, warc
 from clausegrain.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op6_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.table_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_url_rules, op4_secret_spans, op5_quality_rules, op7_ppm_scores, op8_simhash_links, op9_pii_spans, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_url_rules, op4_secret_spans, op5_quality_rules, op6_warc_captures, op7_ppm_scores, op8_simhash_links, op9_pii_spans, op10_decontamination)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -92,6 +96,12 @@ l AS (SELECT rid, max(greatest(q3 + 3 * (q3 - q1), 0.1)) FILTER (metric = 'symbo
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND symbols <= ms AND dup_lines <= md AND word_length BETWEEN lo AND hi AS kept
 FROM r LEFT JOIN l USING (rid)""",
+    "op6_warc_captures": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || hex[5 * i + 1:5 * i + 5] AS BIGINT)) AS parts, max(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(flatten(list_transform(parts, lambda x: list_transform([32768, 1024, 32, 1], lambda d: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(x // d % 32 AS INTEGER) + 1]))), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM bits""",
     "op10_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
