@@ -171,7 +171,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
         return map_batches(docs.select("doc_id", "text"), whole, ends)
 
-    # Several blocks: each document's hit places and items meet, by a key of row and text, before they are counted.
+    return _over_blocks(docs, parts).drop("row")
+
+
+def _over_blocks(docs: DataFrame, parts: list[TestBlock]) -> DataFrame:
+    """contamination() by several blocks: each row's hit places and items meet, by a hash of its id and text, before they are counted."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
 
     def pass_over(block: TestBlock) -> DataFrame:
@@ -183,12 +187,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     met = reduce(DataFrame.unionByName, map(pass_over, parts)).groupBy("doc_id", "row", "n_words").agg(
         F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), (F.count("*") / len(parts)).cast("int").alias("copies")
-    )
-    counted = met.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), "copies")
+    )
+    counted = met.select("doc_id", "row", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), "copies")
     repeated = counted.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copy", "copies")
     return repeated.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the contaminated rows, in all their columns."""
+    parts = list(blocks(benchmark, block_words, window))
+    if not parts:
+        return docs
+    if len(parts) > 1:
+        bad = _over_blocks(docs, parts).where("contaminated").select(F.col("row").alias("_row")).distinct()
+        return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(bad, "_row", "left_anti").drop("_row")
+    block = parts[0]
+
+    def run(batch: pa.RecordBatch) -> dict:
+        clean = [not (len(hit) and 20 * len(hit) >= n) for n, hit, _ in judge(as_bytes(batch.column("text")), block)]
+        kept = batch.filter(pa.array(clean, pa.bool_()))
+        return {c: kept.column(c) for c in docs.columns}
+
+    return map_batches(docs, run, docs.schema)
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, item_start, doc_start, length: for every test suffix that isn't within a longer match of the one
     before it, its longest verbatim match in each shard of the training text, of at least so many words; places in words."""

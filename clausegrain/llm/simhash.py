@@ -47,13 +47,13 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, key (a hash of the text, null for null) and fp, the fingerprint as a signed long."""
 
     def run(batch: pa.RecordBatch) -> dict:
         made = np.array([fingerprint(x, shingle) for x in as_bytes(batch.column("text"))], dtype="<u8")
-        return {"doc_id": batch.column("doc_id"), "fp": made.view("<i8")}
+        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": made.view("<i8")}
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), run, "doc_id long, key long, fp long")
 
 
 def signed(x: int) -> int:
@@ -110,17 +110,37 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id, the smallest doc_id reachable over links."""
+def classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """doc_id, key, fp, root (its component's smallest fingerprint) and component_id of each row of docs."""
     made = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = made.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = materialize(links(distinct.select("fp"), radius), "links")
     if edges.isEmpty():
-        classes = distinct.withColumnRenamed("first", "component_id")
+        known = distinct.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
     else:
         roots = components(edges).withColumnRenamed("node", "fp")
         least = roots.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
-        named = roots.join(least, "root").select("fp", "least")
-        classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+        named = roots.join(least, "root").select("fp", "root", "least")
+        known = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
     discard(edges)
-    return made.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return made.join(known, "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id, the smallest doc_id reachable over links."""
+    return classes(docs, shingle, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The row of the smallest doc_id of each component, in all columns of docs; among rows with equal ids, that of the smallest text hash, once."""
+    known = materialize(classes(docs, shingle, radius).select("doc_id", "key", "root"), "classes")
+    least = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
+    keep = materialize(least.select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_kept")), "kept")
+    same = lambda d, k: d["doc_id"].eqNullSafe(k["_id"]) & d["_key"].eqNullSafe(k["_kept"])
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    kept = keyed.join(keep, same(keyed, keep), "left_semi")
+    repeated = materialize(known.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_kept")), "repeated")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, same(kept, repeated), "left_semi").dropDuplicates(["doc_id", "_key"])
+        kept = kept.join(repeated, same(kept, repeated), "left_anti").unionByName(once)
+    return kept.drop("_key")
