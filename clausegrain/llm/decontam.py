@@ -201,12 +201,12 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
     if len(parts) > 1:
         bad = _over_blocks(docs, parts).where("contaminated").select(F.col("row").alias("_row")).distinct()
         return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(bad, "_row", "left_anti").drop("_row")
-    block = parts[0]
+    block, names = parts[0], docs.columns
 
     def run(batch: pa.RecordBatch) -> dict:
         clean = [not (len(hit) and 20 * len(hit) >= n) for n, hit, _ in judge(as_bytes(batch.column("text")), block)]
         kept = batch.filter(pa.array(clean, pa.bool_()))
-        return {c: kept.column(c) for c in docs.columns}
+        return {c: kept.column(c) for c in names}
 
     return map_batches(docs, run, docs.schema)
 

@@ -148,6 +148,7 @@ def filtered(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, in all their columns. Limits come from one pass over the texts, decisions from a second one, so no text is shuffled for its verdict."""
     found = materialize(limits(materialize(counts(docs), "counts")), "limits")
     bounds = ("max_symbols", "max_dup_lines", "min_word_length", "max_word_length")
+    names = docs.columns
     clash = {c: f"_limit_{k}" for k, c in enumerate(bounds)}
     rows = _with_limits(docs, found.withColumnsRenamed(clash)) if {"lang", "source"} <= set(docs.columns) else docs
 
@@ -160,6 +161,6 @@ def filtered(docs: DataFrame) -> DataFrame:
             for bad in (symbols / words > limit[0], dup / lines > limit[1], chars / words < limit[2], chars / words > limit[3]):
                 out |= bad
         kept = batch.filter(pa.array(~out))
-        return {c: kept.column(c) for c in docs.columns}
+        return {c: kept.column(c) for c in names}
 
     return map_batches(rows, run, docs.schema)

@@ -77,6 +77,7 @@ def table_of(docs: DataFrame, name: str, make: Callable[[], Finder], counted: tu
 
 def masked(docs: DataFrame, name: str, make: Callable[[], Finder], mask: Callable[[str], bytes] = lambda kind: f"[{kind.upper()}]".encode()) -> DataFrame:
     """docs in all their columns, each span in text replaced by its kind's mask, and n_chars brought up to date where there is one."""
+    names = docs.columns
 
     def run(batch: pa.RecordBatch) -> dict:
         finder = kept_in_worker(name, make)
@@ -90,7 +91,7 @@ def masked(docs: DataFrame, name: str, make: Callable[[], Finder], mask: Callabl
                     parts += [text[at:a], mask(kind)]
                     at = b
             done.append(None if gone else b"".join([*parts, text[at:]]).decode())
-        out = {c: batch.column(c) for c in docs.columns} | {"text": done}
+        out = {c: batch.column(c) for c in names} | {"text": done}
         if "n_chars" in out:
             changed = [None if t is None else len(t) for t in done]
             old = batch.column("n_chars").to_pylist()
