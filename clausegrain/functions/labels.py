@@ -45,7 +45,7 @@ def parse(json: Column, policy: str = "empty") -> Column:
 def by_rules(text: Column, terms: dict[str, str] = TERMS) -> Column:
     """Categories whose terms a text holds as whole words; the fallback if none. Sorted."""
     t = F.lower(text)
-    found = F.array_compact(F.array(*[F.when(t.rlike(rf"\b({words})\b"), F.lit(c)) for c, words in terms.items()]))
+    found = F.array_compact(F.array(*[F.when(t.rlike(rf"(?U)\b({words})\b"), F.lit(c)) for c, words in terms.items()]))
     return F.array_sort(F.when(F.size(found) == 0, F.array(F.lit(FALLBACK))).otherwise(found))
 
 
@@ -114,7 +114,7 @@ def review_priority(agreement: Column, confidence: Column, quality: Column, text
 
 def signal_counts(text: Column, signals: dict[str, str]) -> list[Column]:
     """How often each category's terms occur."""
-    return [F.regexp_count(F.lower(text), F.lit(p)) for p in signals.values()]
+    return [F.regexp_count(F.lower(text), F.lit("(?U)" + p)) for p in signals.values()]
 
 
 def heuristic_score(text: Column, unseen: Column, signals: dict[str, str]) -> Column:

@@ -28,7 +28,7 @@ def run(rows: DataFrame, rules: list[Rule], key: str, most_ids: int | None = Non
 
     Offenders are gathered by check; give most_ids where a table is large, to keep that many of the smallest ids and the full count."""
     marks = F.array_compact(F.array(*(F.when(F.coalesce(r.bad, F.lit(False)), i) for i, r in enumerate(rules))))
-    found = rows.select(F.col(key).cast("string").alias("id"), F.explode(marks).alias("i"))
+    found = rows.select(F.col(key).cast("string").alias("id"), marks.alias("_marks")).select("id", F.explode("_marks").alias("i"))
     counts = found.groupBy("i").agg(F.count("*").alias("count"))
     shown = found.distinct()
     if most_ids is not None:
