@@ -152,7 +152,7 @@ def test_chat_digests(spark):
 
 
 def test_url_rules(spark):
-    urls = [None, "no", "HTTP://A.Net/x", "x://EXAMPLE.NET/en/?a#b", "a://b?c/d://e", "s://sub.example.com/de/x", "s://example.com/de", "s://org/fr/x", "s://notorg/fr/w", "s://a.org/fr/z", ""] + [f"http://bad.site/x/{k}" for k in range(40)] + [f"http://good.site/y/{k}" for k in range(40, 80)]
+    urls = [None, "no", "HTTP://A.Net/x", "x://EXAMPLE.NET/en/?a#b", "a://b?c/d://e", "s://sub.example.com/de/x", "s://example.com/de", "s://org/fr/x", "s://notorg/fr/w", "s://a.org/fr/z", ""] + [f"http://bad.site/x/{k}" for k in range(40)] + [f"http://good.place/y/{k}" for k in range(40, 80)]
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
     labels = spark.createDataFrame([(k, int(k >= 40), 0) for k in range(80)] + [(5, None, 1)], "doc_id long, quality int, toxic int")
     got = {r.page_id: r for r in urlrules.judged(pages, labels).collect()}
@@ -218,7 +218,7 @@ def test_base_spans_are_those_of_the_plain_expressions(spark, module, rules):
             spans += [(m.start(), order, f"{kind}:{m.start()}:{m.end()}") for m in found]
         plain = ",".join(x[2] for x in sorted(spans))
         assert by[i].base_sha256 == hashlib.sha256(plain.encode()).hexdigest()
-        assert not Counter(plain.split(",")) - Counter(by[i].spans.split(","))
+        assert not plain or not Counter(plain.split(",")) - Counter(by[i].spans.split(","))
     assert module.table_of(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

@@ -17,7 +17,7 @@ def folder(spark, tmp_path_factory):
     item = prose(40)
     base = prose(200)
     rows = [(k, prose(80 + k), "en", f"s{k % 3}") for k in range(60)]
-    rows += [(100, base, "en", "s0"), (101, base, "en", "s0"), (102, base.upper(), "en", "s1"), (103, f"{item} {prose(30)}", "en", "s1"), (104, "### $$$ " * 40, "en", "s2"), (105, None, "en", "s2"), (106, "again and again and more " * 30, "en", None), (107, f"{prose(50)} a.b@c.de {prose(50)}", None, "s0"), (107, f"{prose(50)} a.b@c.de {prose(50)}", None, "s0")]
+    rows += [(100, base, "en", "s0"), (101, base, "en", "s0"), (102, base.replace(" ", "\t"), "en", "s1"), (103, f"{item} {prose(30)}", "en", "s1"), (104, "### $$$ " * 40, "en", "s2"), (105, None, "en", "s2"), (106, "again and again and more " * 30, "en", None), (107, f"{prose(50)} a.b@c.de {prose(50)}", None, "s0"), (107, f"{prose(50)} a.b@c.de {prose(50)}", None, "s0")]
     spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return f"file://{d}", rows, [(1, item)]
