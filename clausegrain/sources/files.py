@@ -1,4 +1,4 @@
-"""Files as relations. Schemas are explicit; nothing is inferred from data."""
+"""Files as relations. Schemas are explicit; nothing is inferred from data. Spark's readers pass over files without a byte."""
 
 from __future__ import annotations
 
@@ -9,17 +9,21 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from clausegrain.functions.text import clean_extracted, is_blank, n_lines, n_words
 
-STEM = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
 SPAN_V1 = "array<struct<clause_id:string,text:string,start_position:int,end_position:int>>"
 SPAN_V3 = "array<struct<document_id:string,clause_id:string,text:string,start:int,end:int,segment_type:string,is_suspicious:boolean>>"
 SEGMENTED_V1 = f"document_id string, source_file string, total_characters int, num_clauses int, clauses {SPAN_V1}"
 SEGMENTED_V3 = f"document_id string, source_file string, total_characters int, num_clauses int, num_legal_clauses int, quality_status string, clauses {SPAN_V3}"
 
 
+def stem() -> Column:
+    """A path's file name without its suffix."""
+    return F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+
+
 def listing(spark: SparkSession, directory: str, suffix: str) -> DataFrame:
     """path and length of a directory's files of a suffix in any case, sorted; contents aren't read."""
     found = spark.read.format("binaryFile").load(directory).select("path", "length", "modificationTime")
@@ -32,7 +36,7 @@ def texts(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = (".tx
     wanted = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*(s.lower() for s in suffixes)))
     utf8 = F.expr("is_valid_utf8(cast(content AS string))")
     text = F.when(utf8, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    out = wanted.select(STEM.alias("document_id"), text.alias("text"), F.when(~utf8, "decoded as Latin-1").alias("warning"))
+    out = wanted.select(stem().alias("document_id"), text.alias("text"), F.when(~utf8, "decoded as Latin-1").alias("warning"))
     return out.withColumn("warning", F.when(is_blank(F.col("text")), "empty document").otherwise(F.col("warning")))
 
 
@@ -56,7 +60,7 @@ def segmented_checked(spark: SparkSession, directory: str) -> DataFrame:
     docs = spark.read.schema(SEGMENTED_V3).json(directory, multiLine=True, pathGlobFilter="*.json").withColumn("path", F.col("_metadata.file_path"))
     ids = F.transform("clauses", lambda c: c["clause_id"])
     problem = (
-        F.when(~F.col("document_id").eqNullSafe(STEM), "file name isn't the document's id").when(~F.size("clauses").eqNullSafe(F.col("num_clauses")), "num_clauses isn't the number of clauses")
+        F.when(~F.col("document_id").eqNullSafe(stem()), "file name isn't the document's id").when(~F.size("clauses").eqNullSafe(F.col("num_clauses")), "num_clauses isn't the number of clauses")
         .when(F.coalesce(F.size("clauses"), F.lit(0)) <= 0, "no clauses").when(F.size(F.array_distinct(ids)) < F.size(ids), "a clause id twice").when(F.exists(ids, lambda i: ~i.startswith(F.concat("document_id", F.lit("_clause_")))), "a clause id of another document")
     )
     checked = docs.where(F.when(problem.isNotNull(), F.raise_error(F.concat("path", F.lit(": "), problem)).cast("boolean")).otherwise(True))
@@ -251,7 +255,7 @@ def pdfs(spark: SparkSession, directory: str, pages_of: Callable[[bytes], list[s
     files = spark.read.format("binaryFile").load(directory).where(F.lower("path").endswith(".pdf")).select("path", "content")
     read_ = files.mapInPandas(run, "path string, pages array<string>, error_message string")
     some = F.filter("pages", lambda p: ~is_blank(p))
-    out = read_.select(STEM.alias("document_id"), clean_extracted(F.array_join(some, "\n\n")).alias("text"), F.size("pages").alias("page_count"), F.size(some).alias("pages_with_text"), "error_message")
+    out = read_.select(stem().alias("document_id"), clean_extracted(F.array_join(some, "\n\n")).alias("text"), F.size("pages").alias("page_count"), F.size(some).alias("pages_with_text"), "error_message")
     n = F.length("text")
     status = F.when(F.col("error_message").isNotNull(), "failed").when(n == 0, "empty").when(n < min_characters, "partial").when(F.col("pages_with_text") < F.col("page_count"), "partial").otherwise("success")
     return out.withColumns({"character_count": n, "word_count": n_words(F.col("text")), "line_count": n_lines(F.col("text")), "status": status})
