@@ -10,6 +10,12 @@ without comparing all pairs of it: two fingerprints at most two bits apart share
 both, and all fingerprints around one point (65 at most) are within two bits of each other, so each is
 linked to the smallest of them. Buckets of any size cost the same per row.
 
+Two bits apart is closer than most edited copies are: a fingerprint of 64 bits puts texts of similarity 0.8 (Jaccard, five-word
+shingles) some ten bits apart, and covering ten bits would take 2047 tables. So where near copies of that similarity must go
+(`similar_links`, used by `one_of_each`), min-wise hashes find further links: 24 bands of 4 miss a pair of similarity 0.8 three
+times in a million, 256 hashes then estimate the pair's similarity with a deviation of 0.025, and whole texts decide near the
+limit. They join the same components.
+
 Defined results: null and empty texts have fingerprint zero, linked like any other; rows with equal ids and
 texts share a component; a null id counts as no id when the smallest is sought; an empty table gives no rows.
 """
@@ -46,6 +52,82 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0])
 
 
+#: For links by similarity: bands times rows min-wise hashes choose candidates, all HASHES estimate the similarity.
+SIMILAR_SHINGLE, BANDS, ROWS, HASHES = 5, 24, 4, 256
+SIMILARITY, DEVIATION = 0.8, 0.025
+FACTORS = np.random.default_rng(12).integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
+
+
+def minima(text: bytes) -> np.ndarray | None:
+    """The min-wise hashes of a text's distinct five-word shingles (one of all words, if fewer); None without words."""
+    words = text.lower().split()
+    if not words:
+        return None
+    n = max(1, len(words) - SIMILAR_SHINGLE + 1)
+    found = np.array(list({xxh64_intdigest(b" ".join(words[k : k + SIMILAR_SHINGLE])) >> 32 for k in range(n)}), np.uint32)
+    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(found), 512):
+        np.minimum(least, (found[at : at + 512, None] * FACTORS).min(0), out=least)
+    return least
+
+
+def signatures(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """fingerprints() with bands (a key each, empty without words) and sketch (16 bits of each hash)."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        texts = as_bytes(batch.column("text"))
+        fps = np.array([fingerprint(x, shingle) for x in texts], dtype="<u8").view("<i8")
+        bands, sketches = [], []
+        for x in texts:
+            least = minima(x)
+            bands.append([] if least is None else [signed(xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k)) for k in range(BANDS)])
+            sketches.append(b"" if least is None else least.astype("<u2").tobytes())
+        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": fps, "bands": bands, "sketch": sketches}
+
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), run, "doc_id long, key long, fp long, bands array<long>, sketch binary")
+
+
+def shingles(text: bytes) -> frozenset[bytes]:
+    words = text.lower().split()
+    return frozenset(b" ".join(words[k : k + SIMILAR_SHINGLE]) for k in range(max(1, len(words) - SIMILAR_SHINGLE + 1))) if words else frozenset()
+
+
+def similar_links(docs: DataFrame, signed_docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (fp, hub) between the fingerprints of texts that are at least so similar; signed_docs: signatures() of docs.
+
+    Each text is compared with the smallest and the greatest of every band it shares, so that a large group costs as much per row as a
+    small one; exact copies are one text. Pairs whose estimate is within four deviations of the limit are compared by their whole texts."""
+    texts = materialize(signed_docs.select("key", "fp", "bands", "sketch").dropDuplicates(["key"]), "texts")
+    keyed = texts.select("key", F.explode("bands").alias("band"))
+    shared = keyed.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
+    pairs = keyed.join(shared, "band").select("key", F.explode(F.array("lo", "hi")).alias("other")).where("key <> other").distinct()
+    own = texts.select("key", F.col("fp").alias("fp"), F.col("sketch").alias("a"))
+    theirs = texts.select(F.col("key").alias("other"), F.col("fp").alias("hub"), F.col("sketch").alias("b"))
+    met = pairs.join(own, "key").join(theirs, "other").where("fp <> hub").select("key", "other", "fp", "hub", "a", "b")
+
+    def estimate(batch: pa.RecordBatch) -> dict:
+        a, b = (np.array([np.frombuffer(x, "<u2") for x in batch.column(c).to_pylist()]) for c in ("a", "b"))
+        return {c: batch.column(c) for c in ("key", "other", "fp", "hub")} | {"about": (a == b).mean(1)}
+
+    slack = 4 * DEVIATION
+    likely = materialize(map_batches(met, estimate, "key long, other long, fp long, hub long, about double").where(F.col("about") >= similarity - slack), "likely")
+    near = likely.where(F.col("about") < similarity + slack)
+    wanted = materialize(near.select("key").unionByName(near.select(F.col("other").alias("key"))).distinct(), "wanted")
+    whole = materialize(docs.select(F.xxhash64("text").alias("key"), "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "whole")
+    both = near.join(whole, "key").withColumnRenamed("text", "a").join(whole.withColumnsRenamed({"key": "other", "text": "b"}), "other").select("fp", "hub", "a", "b")
+
+    def exact(batch: pa.RecordBatch) -> dict:
+        kept = []
+        for a, b in zip(as_bytes(batch.column("a")), as_bytes(batch.column("b")), strict=True):
+            x, y = shingles(a), shingles(b)
+            kept.append(len(x & y) >= similarity * len(x | y) - 1e-9)
+        found = batch.filter(pa.array(kept, pa.bool_()))
+        return {"fp": found.column("fp"), "hub": found.column("hub")}
+
+    sure = likely.where(F.col("about") >= similarity + slack).select("fp", "hub")
+    return sure.unionByName(map_batches(both, exact, "fp long, hub long", rows=200)).distinct()
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, key (a hash of the text, null for null) and fp, the fingerprint as a signed long."""
 
@@ -110,11 +192,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, key, fp, root (its component's smallest fingerprint) and component_id of each row of docs."""
-    made = materialize(fingerprints(docs, shingle), "fingerprints")
+def classes(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+    """doc_id, key, fp, root (its component's smallest fingerprint) and component_id of each row of docs; with a similarity, its links count too."""
+    made = materialize(fingerprints(docs, shingle) if similarity is None else signatures(docs, shingle), "fingerprints")
     distinct = made.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    edges = materialize(links(distinct.select("fp"), radius), "links")
+    found = links(distinct.select("fp"), radius)
+    edges = materialize(found if similarity is None else found.unionByName(similar_links(docs, made, similarity)).distinct(), "links")
     if edges.isEmpty():
         known = distinct.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
     else:
@@ -123,7 +206,7 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
         named = roots.join(least, "root").select("fp", "root", "least")
         known = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
     discard(edges)
-    return made.join(known, "fp")
+    return made.select("doc_id", "key", "fp").join(known, "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -131,9 +214,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return classes(docs, shingle, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The row of the smallest doc_id of each component, in all columns of docs; among rows with equal ids, that of the smallest text hash, once."""
-    known = materialize(classes(docs, shingle, radius).select("doc_id", "key", "root"), "classes")
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: float | None = SIMILARITY) -> DataFrame:
+    """The row of the smallest doc_id of each component of links by fingerprint and by similarity, in all columns of docs; among rows with equal ids, that of the smallest text hash, once."""
+    known = materialize(classes(docs, shingle, radius, similarity).select("doc_id", "key", "root"), "classes")
     least = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
     keep = materialize(least.select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_kept")), "kept")
     same = lambda d, k: d["doc_id"].eqNullSafe(k["_id"]) & d["_key"].eqNullSafe(k["_kept"])
