@@ -438,13 +438,37 @@ def test_components_of_fingerprints(spark, docs, none):
             least[root[k]] = min(least.get(root[k], rows[k][0]), rows[k][0])
     want = Counter((i, f"{f:016x}", least.get(root[k])) for k, (i, f) in enumerate(rows))
     assert Counter(tuple(r) for r in simhash.near_duplicates(docs).collect()) == want
-    kept = simhash.one_of_each(docs)
+    kept = simhash.one_of_each(docs, similarity=None)
     assert kept.columns == docs.columns and kept.count() == len(set(root.values()))
     assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
     with pytest.raises(ValueError):
         simhash.links(table, 5)
 
 
+def test_one_of_each_catches_similar_texts(spark, docs):
+    """Edited copies of a similarity of 0.8 and more go, texts a little less alike stay, as brute force has it."""
+    r = random.Random(9)
+    many = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    rows = []
+    for g in range(12):
+        base = [r.choice(many) for _ in range(r.randint(60, 400))]
+        rows.append(base)
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(r.randint(1, 12)):
+                copy[r.randrange(len(copy))] = r.choice(many)
+            rows.append(copy)
+    texts = {k: " ".join(w) for k, w in enumerate(rows)}
+    sets = {k: simhash.shingles(t.encode()) for k, t in texts.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (finger(texts[a]) ^ finger(texts[b])).bit_count() <= 2
+    root = grouped(list(texts), alike)
+    table = spark.createDataFrame([(k, t, "s") for k, t in texts.items()], "doc_id long, text string, fp string")
+    kept = {r.doc_id for r in simhash.one_of_each(table.repartition(3)).collect()}
+    assert len(set(root.values())) < len(texts) - 10
+    assert kept == set(root.values())
+    assert simhash.one_of_each(docs).columns == docs.columns
+
+
 # ---------------------------------------------------------------- decontamination
 
 ITEMS = [(1, BASE[:400]), (2, None), (3, ""), (4, "!!"), (5, "one two"), (6, " ".join(LONG.split()[500:530])), (7, " ".join(LONG.split()[500:530])), (None, prose(20)), (8, "one")]
