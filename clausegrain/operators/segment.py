@@ -29,13 +29,22 @@ V1_HEADING = r"^[A-Z][A-Z\s,\-/&]{5,}$"
 SPANS = "array<struct<start:int,end:int>>"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: Catalyst would copy its expression to each place that reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def match_starts(text: Column, pattern: str, at_least: int = 0) -> Column:
-    """Where a pattern matches, as an array of offsets; matches of fewer stripped characters than at_least don't count."""
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    total = lambda items: F.aggregate(items, F.lit(0), lambda acc, x: acc + F.length(x))
-    starts = F.transform(found, lambda m, i: F.when(F.length(strip(m)) >= at_least, total(F.slice(between, 1, i + 1)) + total(F.slice(found, 1, i))))
-    return F.array_compact(starts)
+    """Where a pattern matches, as an array of offsets; matches of fewer stripped characters than at_least don't count. One pass over the matches."""
+    pairs = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["at"] + F.length(p["0"])
+        fits = p["1"].isNotNull() if not at_least else F.length(strip(p["1"])) >= at_least
+        return F.struct((start + F.coalesce(F.length(p["1"]), F.lit(0))).alias("at"), F.when(fits, F.concat(acc["starts"], F.array(start))).otherwise(acc["starts"]).alias("starts"))
+
+    return F.aggregate(pairs, none, step, lambda acc: acc["starts"])
 
 
 def v1_boundaries(text: Column) -> Column:
@@ -63,13 +72,18 @@ def v1_spans(text: Column, starts: Column, min_length: int, max_length: int) ->
         return F.when(short, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(_span(last["start"], span["end"])))).otherwise(F.concat(acc, F.array(span)))
 
     joined = F.aggregate(spans, F.array().cast(SPANS), join_short)
+    n_gaps = r"\n\n+"
 
     def break_long(span: Column) -> Column:
         own = part(text, span)
-        pieces, gaps = F.split(own, r"\n\n+", -1), F.regexp_extract_all(own, F.lit(r"\n\n+"), 0)
-        total = lambda items: F.aggregate(items, F.lit(0), lambda acc, x: acc + F.length(x))
-        placed = F.transform(pieces, lambda p, i: _span(span["start"] + total(F.slice(pieces, 1, i)) + total(F.slice(gaps, 1, i)), span["start"] + total(F.slice(pieces, 1, i + 1)) + total(F.slice(gaps, 1, i))))
-        return F.when(F.length(strip(own)) <= max_length, F.array(span)).otherwise(placed)
+        pairs = F.arrays_zip(F.split(own, n_gaps, -1), F.regexp_extract_all(own, F.lit(n_gaps), 0))
+        none = F.struct(span["start"].alias("at"), F.array().cast(SPANS).alias("spans"))
+
+        def step(acc: Column, p: Column) -> Column:
+            end = acc["at"] + F.length(p["0"])
+            return F.struct((end + F.coalesce(F.length(p["1"]), F.lit(0))).alias("at"), F.concat(acc["spans"], F.array(_span(acc["at"], end))).alias("spans"))
+
+        return F.when(F.length(strip(own)) <= max_length, F.array(span)).otherwise(F.aggregate(pairs, none, step, lambda acc: acc["spans"]))
 
     return F.filter(F.flatten(F.transform(joined, break_long)), lambda s: strip(part(text, s)) != "")
 
@@ -77,8 +91,8 @@ def v1_spans(text: Column, starts: Column, min_length: int, max_length: int) ->
 def segment_v1(docs: DataFrame, min_length: int = 30, max_length: int = 5000) -> DataFrame:
     """docs (document_id, text) to document_id, clause_id, text, start, end; blank texts give no clause."""
     texts = docs.where(~is_blank(F.col("text"))).select("document_id", F.col("text").alias("_text"))
-    cut = texts.withColumn("_starts", v1_boundaries(F.col("_text"))).withColumn("_spans", v1_spans(F.col("_text"), F.col("_starts"), min_length, max_length))
-    each = cut.select("document_id", "_text", F.posexplode("_spans").alias("_i", "_span"))
+    spans = let(v1_boundaries(F.col("_text")), lambda starts: v1_spans(F.col("_text"), starts, min_length, max_length))
+    each = texts.select("document_id", "_text", F.posexplode(spans).alias("_i", "_span"))
     return each.select("document_id", clause_id(F.col("document_id"), F.col("_i")).alias("clause_id"), strip(part(F.col("_text"), F.col("_span"))).alias("text"), F.col("_span.start").alias("start"), F.col("_span.end").alias("end"))
 
 
