@@ -8,11 +8,12 @@ from clausegrain.functions.labels import ACTIONS
 from clausegrain.functions.text import is_blank, truthy
 
 
-def resolve(clauses: DataFrame, records: DataFrame, log: DataFrame, priority: DataFrame) -> DataFrame:
+def resolve(clauses: DataFrame, records: DataFrame, log: DataFrame, priority: DataFrame, suggestions: str = "suggestions", queue: str = "queue") -> DataFrame:
     """A row for each clause (clause_id, ...) with review_status, review_action, confidence, human_actions, needs_human_review, unresolved_merge, unresolved_split.
 
     records: clause_id, review_file, human_action, human_corrected_text, reviewed, ai_suggested_action, ai_confidence, review_reason (strings). log: clause_id,
     status, suggested_action, confidence, timestamp. priority: clause_id. The order of states: conflict, removal, merge, split, review, keep, failure, none.
+    review_file names a record's table: suggestions of a model, the queue of a human, or another.
     A clause has a few records, gathered by partial aggregates; nothing is gathered as rows."""
     done = log.where("status = 'SUCCESS'").groupBy("clause_id").agg(
         F.max_by(F.struct("suggested_action", "confidence"), "timestamp").alias("said"), (F.count_distinct("suggested_action", "confidence") > 1).alias("two_answers")
@@ -20,9 +21,9 @@ def resolve(clauses: DataFrame, records: DataFrame, log: DataFrame, priority: Da
     failed = log.groupBy("clause_id").agg((F.count_if(F.col("status") == "ERROR") > 0).alias("failed"))
     human = truthy(F.col("reviewed")) & ~is_blank(F.col("human_action"))
     joined = records.join(done, "clause_id", "left")
-    ai_file = F.col("review_file").isin("llm_pseudo_labels.csv", "human_review_required.csv")
+    ai_file = F.col("review_file").isin(suggestions, queue)
     backs = ai_file & (F.col("ai_suggested_action") == F.col("said.suggested_action")) & (F.col("ai_confidence").try_cast("double") == F.col("said.confidence").try_cast("double"))
-    queued = (F.col("review_file") == "human_review_required.csv") & ~truthy(F.col("reviewed")) & ((F.coalesce("review_reason", F.lit("")) != "API_FAILURE") | F.col("said").isNull())
+    queued = (F.col("review_file") == queue) & ~truthy(F.col("reviewed")) & ((F.coalesce("review_reason", F.lit("")) != "API_FAILURE") | F.col("said").isNull())
     facts = joined.groupBy("clause_id").agg(
         F.array_sort(F.collect_set(F.when(human, F.col("human_action")))).alias("human_actions"), F.count_if(human & ~is_blank(F.col("human_corrected_text"))).alias("corrected"),
         F.count_if(F.coalesce(backs, F.lit(False))).alias("backing"), F.count_if(queued).alias("queued"),

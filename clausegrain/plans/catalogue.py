@@ -166,12 +166,12 @@ NW = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
 
 @query(f"""WITH {CLAUSES}, b AS (SELECT doc_id, count(*) AS n FROM clauses GROUP BY doc_id)
 SELECT (SELECT count(*) FROM b) AS documents, count(*) AS clauses, (SELECT min(n) FROM b) AS min_clauses, (SELECT max(n) FROM b) AS max_clauses, (SELECT avg(n) FROM b) AS avg_clauses,
-min(length(text)) AS min_chars, max(length(text)) AS max_chars, avg(length(text)) AS avg_chars, min({NW}) AS min_words, max({NW}) AS max_words, avg({NW}) AS avg_words FROM clauses""")
+CAST(min(length(text)) AS INTEGER) AS min_chars, CAST(max(length(text)) AS INTEGER) AS max_chars, avg(length(text)) AS avg_chars, CAST(min({NW}) AS INTEGER) AS min_words, CAST(max({NW}) AS INTEGER) AS max_words, avg({NW}) AS avg_words FROM clauses""")
 def corpus_stats(spark, d):
     return stats.corpus(A.clauses(spark, d), "doc_id")
 
 
-@query(f"""WITH {CLAUSES} SELECT doc_id, count(*) AS clauses, avg(length(text)) AS mean_chars, CAST(median(length(text)) AS DOUBLE) AS median_chars, min(length(text)) AS min_chars, max(length(text)) AS max_chars,
+@query(f"""WITH {CLAUSES} SELECT doc_id, count(*) AS clauses, avg(length(text)) AS mean_chars, CAST(median(length(text)) AS DOUBLE) AS median_chars, CAST(min(length(text)) AS INTEGER) AS min_chars, CAST(max(length(text)) AS INTEGER) AS max_chars,
 count(*) FILTER (length(text) < 20) AS short, CASE WHEN count(*) <= 6 THEN 'few' WHEN count(*) >= 40 THEN 'many' ELSE 'ok' END AS note FROM clauses GROUP BY doc_id""")
 def doc_audit(spark, d):
     return stats.document_audit(A.clauses(spark, d), "doc_id")
@@ -223,7 +223,7 @@ def doc_category_matrix(spark, d):
 
 
 @query(f"""WITH {CLAUSES}, {LABELLED}, {TAXONOMY}, e AS (SELECT doc_id, unnest(list_distinct(labels)) AS category FROM clause_labels), n AS (SELECT category, doc_id, count(*) AS n FROM e GROUP BY ALL),
-b AS (SELECT category, sum(n) AS clauses, count(*) AS documents, count(*) FILTER (n >= 2) AS ge_2, count(*) FILTER (n >= 3) AS ge_3 FROM n GROUP BY category)
+b AS (SELECT category, CAST(sum(n) AS BIGINT) AS clauses, count(*) AS documents, count(*) FILTER (n >= 2) AS ge_2, count(*) FILTER (n >= 3) AS ge_3 FROM n GROUP BY category)
 SELECT category, coalesce(clauses, 0) AS clauses, coalesce(documents, 0) AS documents, coalesce(ge_2, 0) AS ge_2, coalesce(ge_3, 0) AS ge_3, 100 * coalesce(documents, 0) / (SELECT count(DISTINCT doc_id) FROM clauses) AS percent_documents FROM taxonomy LEFT JOIN b USING (category)""")
 def coverage_by_category(spark, d):
     return stats.coverage(A.clause_labels(spark, d), "doc_id")
@@ -255,7 +255,7 @@ def model_success(spark, d):
     return stats.success_rate(A.votes(spark, d))
 
 
-@query(f"SELECT source, count(*) AS documents, avg({NW}) AS avg_words, min({NW}) AS min_words, max({NW}) AS max_words FROM documents GROUP BY source")
+@query(f"SELECT source, count(*) AS documents, avg({NW}) AS avg_words, CAST(min({NW}) AS INTEGER) AS min_words, CAST(max({NW}) AS INTEGER) AS max_words FROM documents GROUP BY source")
 def source_inventory(spark, d):
     return stats.inventory(table(spark, d, "documents"), "source", "text")
 
@@ -662,7 +662,7 @@ def review_tables(spark, d):
     k = (F.col("doc_id") * 7 + F.col("pos")) % 10
     text = lambda x: F.lit(x)
     records = c.select(
-        "clause_id", F.when(k < 5, "llm_pseudo_labels.csv").otherwise("review_dataset.csv").alias("review_file"), F.when(k == 6, "KEEP").when(k == 7, "SPLIT").otherwise("").alias("human_action"), F.when(k == 7, "fixed").otherwise("").alias("human_corrected_text"),
+        "clause_id", F.when(k < 5, "suggestions").otherwise("review").alias("review_file"), F.when(k == 6, "KEEP").when(k == 7, "SPLIT").otherwise("").alias("human_action"), F.when(k == 7, "fixed").otherwise("").alias("human_corrected_text"),
         F.when(k.isin(6, 7), "true").otherwise("").alias("reviewed"), F.when(k == 0, "KEEP").when(k == 1, "REMOVE_NON_LEGAL").when(k == 2, "MERGE_WITH_NEXT").when(k == 3, "REVIEW").when(k == 4, "SPLIT").otherwise("").alias("ai_suggested_action"), F.when(k < 5, "0.9").otherwise("").alias("ai_confidence"), text("").alias("review_reason"),
     )
     log = c.where(k <= 5).select("clause_id", F.when(k == 5, "ERROR").otherwise("SUCCESS").alias("status"), F.when(k == 0, "KEEP").when(k == 1, "REMOVE_NON_LEGAL").when(k == 2, "MERGE_WITH_NEXT").when(k == 3, "REVIEW").when(k == 4, "SPLIT").otherwise("").alias("suggested_action"), F.when(k < 5, "0.90").otherwise("").alias("confidence"), text("2024-01-01").alias("timestamp"))
