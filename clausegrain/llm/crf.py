@@ -19,7 +19,7 @@ NONE = ("none",)
 class Crf:
     """tags[0] is outside. describe(word) gives a word's features."""
 
-    KEPT = 300_000
+    KEPT = 100_000
 
     def __init__(self, tags: Sequence[str], describe: Callable[[bytes], tuple]):
         self.tags, self.describe = list(tags), describe

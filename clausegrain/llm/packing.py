@@ -43,7 +43,7 @@ class OddSpace(Exception):
 class Words(dict):
     """The ids of words that follow a space, as little-endian bytes; so many words are remembered, the frequent ones come early."""
 
-    KEPT = 600_000
+    KEPT = 200_000
 
     def __init__(self, encode, letters):
         super().__init__()

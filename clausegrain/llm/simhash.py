@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, shingle: int = 3) -> DataFrame:
             sketches.append(b"" if least is None else least.astype("<u2").tobytes())
         return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": fps, "bands": bands, "sketch": sketches}
 
-    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), run, "doc_id long, key long, fp long, bands array<long>, sketch binary")
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), run, "doc_id long, key long, fp long, bands array<long>, sketch binary", rows=500)
 
 
 def shingles(text: bytes) -> frozenset[bytes]:
