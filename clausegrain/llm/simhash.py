@@ -22,12 +22,14 @@ texts share a component; a null id counts as no id when the smallest is sought;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from clausegrain.llm.common import as_bytes, discard, map_batches, materialize
+from clausegrain.llm.common import arrow_limits, as_bytes, discard, map_batches, materialize
 
 SEED = 42
 BITS = 64
@@ -55,6 +57,8 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 #: For links by similarity: bands times rows min-wise hashes choose candidates, all HASHES estimate the similarity.
 SIMILAR_SHINGLE, BANDS, ROWS, HASHES = 5, 24, 4, 256
 SIMILARITY, DEVIATION = 0.8, 0.025
+#: Rows of a band that are compared in one task meet this many others at most, about.
+BAND_PART = 600
 FACTORS = np.random.default_rng(12).integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 
 
@@ -92,15 +96,10 @@ def shingles(text: bytes) -> frozenset[bytes]:
     return frozenset(b" ".join(words[k : k + SIMILAR_SHINGLE]) for k in range(max(1, len(words) - SIMILAR_SHINGLE + 1))) if words else frozenset()
 
 
-def similar_links(docs: DataFrame, signed_docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (fp, hub) between the fingerprints of texts that are at least so similar; signed_docs: signatures() of docs.
+def alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Edges (fp, hub) of those pairs (key, other) of texts that are at least so similar.
 
-    Each text is compared with the smallest and the greatest of every band it shares, so that a large group costs as much per row as a
-    small one; exact copies are one text. Pairs whose estimate is within four deviations of the limit are compared by their whole texts."""
-    texts = materialize(signed_docs.select("key", "fp", "bands", "sketch").dropDuplicates(["key"]), "texts")
-    keyed = texts.select("key", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
-    pairs = keyed.join(shared, "band").select("key", F.explode(F.array("lo", "hi")).alias("other")).where("key <> other").distinct()
+    Pairs whose estimate is within four deviations of the limit are compared by their whole texts."""
     own = texts.select("key", F.col("fp").alias("fp"), F.col("sketch").alias("a"))
     theirs = texts.select(F.col("key").alias("other"), F.col("fp").alias("hub"), F.col("sketch").alias("b"))
     met = pairs.join(own, "key").join(theirs, "other").where("fp <> hub").select("key", "other", "fp", "hub", "a", "b")
@@ -125,7 +124,96 @@ def similar_links(docs: DataFrame, signed_docs: DataFrame, similarity: float = S
         return {"fp": found.column("fp"), "hub": found.column("hub")}
 
     sure = likely.where(F.col("about") >= similarity + slack).select("fp", "hub")
-    return sure.unionByName(map_batches(both, exact, "fp long, hub long", rows=200)).distinct()
+    return materialize(sure.unionByName(map_batches(both, exact, "fp long, hub long", rows=200)).distinct(), "alike")
+
+
+def similar_links(docs: DataFrame, signed_docs: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """known (fp, hub) and more such edges: any two texts that are at least so similar and share a band are in one component of them.
+    signed_docs: signatures() of docs.
+
+    First all members of a band are compared with its pivot, the member whose bands are the fullest (an original shares more bands with
+    its copies than they do with each other). Bands that then still hold several components have all their pairs compared, within tasks."""
+    texts = materialize(signed_docs.select("key", "fp", "bands", "sketch").dropDuplicates(["key"]), "texts")
+    keyed = texts.select("key", "fp", F.explode("bands").alias("band"))
+    shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("band", "n")
+    full = materialize(keyed.join(shared, "band"), "bands")
+    weight = full.groupBy("key").agg(F.sum("n").alias("weight"))
+    pivots = full.join(weight, "key").groupBy("band").agg(F.max(F.struct("weight", "key")).getField("key").alias("other"))
+    pairs = full.join(pivots, "band").where("key <> other").select("key", "other").distinct()
+    found = materialize(known.unionByName(alike(docs, texts, pairs, similarity)).distinct(), "links")
+    roots = found.select("fp", F.col("fp").alias("root")).limit(0) if found.isEmpty() else components(found).withColumnRenamed("node", "fp")
+    rooted = materialize(full.join(roots, "fp", "left").select("band", "key", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    left = materialize(rooted.join(several, "band", "left_semi"), "left")
+    discard(full)
+    discard(rooted)
+    return found.unionByName(all_alike(docs, left, similarity)).distinct()
+
+
+def all_alike(docs: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
+    """Edges (fp, hub) that join what any of the pairs of similar texts in the bands of left (band, key, fp, n) join.
+
+    A band's rows are dealt to parts of about BAND_PART, and each two parts meet in a group; a group's pairs are counted by matrix products
+    over its shingles, and only a forest over the similar ones leaves the task."""
+
+    def hashed(batch: pa.RecordBatch) -> dict:
+        return {"key": batch.column("key"), "shingles": [np.array(sorted({xxh64_intdigest(x) for x in shingles(t)}), "<u8").tobytes() for t in as_bytes(batch.column("text"))]}
+
+    wanted = materialize(left.select("key").distinct(), "wanted")
+    whole = docs.select(F.xxhash64("text").alias("key"), "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    hashes = materialize(map_batches(whole, hashed, "key long, shingles binary", rows=500), "shingles")
+    parts = F.ceil(F.col("n") / BAND_PART)
+    own = F.pmod(F.xxhash64("key"), parts)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: (k != own) | (parts == 1))
+    dealt = left.select("band", "key", "fp", own.alias("own"), F.explode(others).alias("with"))
+    ready = dealt.select("band", "key", "fp", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two")).join(hashes, "key")
+    ready = ready.select("band", "one", "two", "fp", "shingles").repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
+    arrow_limits(docs.sparkSession, 200)
+
+    def forest(fps: list[int], sets: list[bytes]) -> list[tuple[int, int]]:
+        rows = [np.frombuffer(x, "<u8") for x in sets]
+        size = np.array([len(x) for x in rows])
+        _, at, often = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+        row, keep = np.repeat(np.arange(len(rows)), size), often[at] > 1  # a shingle of one text is in no intersection
+        column = (np.cumsum(often > 1) - 1)[at[keep]]
+        row, both = row[keep], np.zeros((len(rows), len(rows)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+            a, b = np.searchsorted(column, (start, start + 1024))
+            x = np.zeros((len(rows), min(1024, int(column[-1]) + 1 - start)), np.float32)
+            x[row[a:b], column[a:b] - start] = 1
+            both += x @ x.T
+        edges, new = [], np.ones(len(rows), bool)
+        while new.any():
+            reached = [int(new.argmax())]
+            new[reached[0]] = False
+            while reached:
+                k = reached.pop()
+                more = np.flatnonzero(new & (both[k] >= similarity * (size[k] + size - both[k]) - 1e-9)).tolist()
+                new[more] = False
+                reached += more
+                edges += [(fps[m], fps[k]) for m in more if fps[m] != fps[k]]
+        return edges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(edges: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["fp", "hub"])
+
+        group, fps, sets = None, [], []
+        for batch in batches:
+            edges = []
+            for *g, fp, x in zip(*(batch.column(c).to_pylist() for c in ("band", "one", "two", "fp", "shingles")), strict=True):
+                if g != group:
+                    edges += forest(fps, sets) if len(fps) > 1 else []
+                    group, fps, sets = g, [], []
+                fps.append(fp)
+                sets.append(x)
+            yield out(edges)
+        if len(fps) > 1:
+            yield out(forest(fps, sets))
+
+    return ready.mapInArrow(run, "fp long, hub long").distinct()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -197,7 +285,9 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: floa
     made = materialize(fingerprints(docs, shingle) if similarity is None else signatures(docs, shingle), "fingerprints")
     distinct = made.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = links(distinct.select("fp"), radius)
-    edges = materialize(found if similarity is None else found.unionByName(similar_links(docs, made, similarity)).distinct(), "links")
+    edges = materialize(found, "links")
+    if similarity is not None:
+        edges = materialize(similar_links(docs, made, edges, similarity), "links")
     if edges.isEmpty():
         known = distinct.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
     else:

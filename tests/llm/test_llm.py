@@ -469,6 +469,23 @@ def test_one_of_each_catches_similar_texts(spark, docs):
     assert simhash.one_of_each(docs).columns == docs.columns
 
 
+def test_one_original_gathers_hundreds_of_copies(spark):
+    """Each copy is similar to the original, but hardly any two copies are to each other."""
+    r = random.Random(12)
+    many = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(20_000)]
+    base = [r.choice(many) for _ in range(200)]
+    texts = {0: " ".join(base)}
+    while len(texts) < 401:
+        copy = list(base)
+        for k in r.sample(range(5, 195), 4):
+            copy[k] = r.choice(many)
+        own, first = simhash.shingles(" ".join(copy).encode()), simhash.shingles(texts[0].encode())
+        if len(own & first) >= 0.8 * len(own | first):
+            texts[len(texts)] = " ".join(copy)
+    table = spark.createDataFrame([(k + 5, t) for k, t in texts.items()], "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in simhash.one_of_each(table).collect()} == {5}
+
+
 # ---------------------------------------------------------------- decontamination
 
 ITEMS = [(1, BASE[:400]), (2, None), (3, ""), (4, "!!"), (5, "one two"), (6, " ".join(LONG.split()[500:530])), (7, " ".join(LONG.split()[500:530])), (None, prose(20)), (8, "one")]
