@@ -1,7 +1,7 @@
 """Language-model scores: prediction by partial matching over bytes, beside an add-one unigram baseline.
 
-Counts of byte contexts come from all training documents in one aggregation. They make a trie of ORDER levels on
-the driver, whose size is bounded by the alphabet (2^24 nodes at most, whatever the corpus). A symbol unseen
+Counts of byte contexts come from all training documents in one aggregation. Those of order 4 grow with the corpus, so they
+are scored in blocks of about BLOCK_GRAMS grams, one pass over the documents for each; order 2 makes one trie of 2^24 nodes at most. A symbol unseen
 in a context costs that context's escape (method C: distinct symbols against all occurrences) and is sought one level
 below, where symbols that the longer context has are excluded; below the root all symbols left are alike. As the
 pretrained trie doesn't change while scoring, the code length of each (context, symbol) is worked out once, escapes
@@ -20,6 +20,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clausegrain.llm.common import arrow_limits, as_bytes, map_batches, materialize
 
 ORDER = 2
+#: The higher order, and grams of a block: a task holds one block, whatever the corpus.
+DEEP, BLOCK_GRAMS = 4, 1 << 22
 FREQUENT, LONGEST = 1 << 18, 64
 #: Distinct words that a task gathers before it sends them on.
 GATHERED = 300_000
@@ -56,30 +59,62 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(codes), return_counts=True)
 
 
-def training_counts(docs: DataFrame) -> DataFrame:
+def deep_codes(texts: list[bytes]) -> np.ndarray:
+    """A code for each byte: its nearest byte before it in bits 32-39, the next in 24-31, to the fourth in 8-15, itself in 0-7, and above how many of the four the text lacks."""
+    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    back = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
+    out = raw + (np.maximum(DEEP - back, 0) << 40)
+    for j in range(1, DEEP + 1):
+        out[j:] += np.where(back[j:] >= j, raw[:-j], 0) << 8 * (DEEP + 1 - j)
+    return out
+
+
+def deep_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(deep_codes(texts), return_counts=True)
+
+
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order, with their summed counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def training_counts(docs: DataFrame, grams=grams) -> DataFrame:
     """word (or null), gram (or null) and n over all training texts; a gram of -1 counts the texts."""
     arrow_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(words: list, codes: list, n: list) -> Iterator[pa.RecordBatch]:
-            made = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(codes, pa.int32()), pa.array(n, pa.int64())], ["word", "gram", "n"])
+            made = pa.RecordBatch.from_arrays([words if isinstance(words, pa.Array) else pa.array(words, pa.binary()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["word", "gram", "n"])
             for at in range(0, made.num_rows, 20_000):
                 yield made.slice(at, 20_000)
 
         found: Counter = Counter()
+        held: list[tuple] = []
         for batch in batches:
             texts = [x.lower() for x in as_bytes(batch.column("text"))]
-            codes, n = grams(texts)
-            yield from out([None] * (len(codes) + 1), [*codes.tolist(), -1], [*n.tolist(), len(texts)])
+            held += [grams(texts), (np.array([-1]), np.array([len(texts)]))]
+            if sum(len(c) for c, _ in held) > 4 * GATHERED:
+                codes, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
+                held = [(codes, n)]
+                if len(codes) > 2 * GATHERED:
+                    yield from out(pa.nulls(len(codes), pa.binary()), codes, n)
+                    held = []
             for x in texts:
                 found.update(x.split())
                 if len(found) > GATHERED:
                     yield from out(list(found), [None] * len(found), list(found.values()))
                     found.clear()
+        if held:
+            codes, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
+            yield from out(pa.nulls(len(codes), pa.binary()), codes, n)
         if found:
             yield from out(list(found), [None] * len(found), list(found.values()))
 
-    made = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(run, "word binary, gram int, n long")
+    made = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(run, "word binary, gram long, n long")
     return made.groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -137,16 +172,126 @@ def _costs(levels: list[np.ndarray]) -> np.ndarray:
         return np.where(left, spent - np.log10(np.maximum(left.sum(1, keepdims=True), 1)), out)
 
 
-def scores(docs: DataFrame) -> DataFrame:
+class Block:
+    """Part of the trie of order 4: the contexts whose two nearest bytes are in a range (lo to hi), below them all of one byte and of none.
+
+    The symbols seen in a context are seen in all shorter ones, so what is excluded there depends on the context alone. Of each
+    context are kept the log10 of its denominator and escape, as the longest (own) and for one level less, come from it (after)."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, flat: np.ndarray, root: np.ndarray, lo: int = 0, hi: int = 1 << 16, first: bool = True):
+        self.lo, self.hi, self.first = lo, hi, first
+        self.left = math.log10(max(1, 256 - int((root > 0).sum())))
+        symbols = np.arange(256)
+        at1, s1 = np.nonzero(flat)
+        levels = {0: (symbols[root > 0], root[root > 0]), 1: ((at1 << 8) + s1, flat[at1, s1])}
+        plain, had = codes & (1 << 40) - 1, DEEP - (codes >> 40)
+        for j in range(2, DEEP + 1):
+            on = had >= j
+            levels[j] = _summed((plain[on] >> 8 * (DEEP + 1 - j) << 8) + (plain[on] & 255), n[on])
+        self.keys = {j: k for j, (k, _) in levels.items()}
+        self.logs = {j: np.log10(v).astype(np.float32) for j, (_, v) in levels.items()}
+        self.contexts, self.own, self.after = {}, {}, {}
+        total, distinct = {}, {}
+        for j, (key, v) in levels.items():
+            above = key >> 8
+            start = np.flatnonzero(np.concatenate(([True], above[1:] != above[:-1]))) if len(key) else np.zeros(0, np.int64)
+            add = lambda x, start=start: np.add.reduceat(x, start) if len(start) else np.zeros(0, np.int64)
+            self.contexts[j] = above[start]
+            total[j], distinct[j] = add(v), np.diff(np.append(start, len(key)))
+            self.own[j] = _parts(total[j], distinct[j])
+            if j:
+                below, m = levels[j - 1]
+                same = np.searchsorted(below, (key >> 16 << 8) + (key & 255))
+                parent = np.searchsorted(self.contexts[j - 1], self.contexts[j] >> 8)
+                self.after[j] = _parts(total[j - 1][parent] - add(m[same]), distinct[j - 1][parent] - distinct[j])
+
+    def costs(self, codes: np.ndarray) -> np.ndarray:
+        """Log10 probability of each code's symbol."""
+        plain, had = codes & (1 << 40) - 1, DEEP - (codes >> 40)
+        out, spent = np.zeros(len(codes)), np.zeros(len(codes))
+        open_, came = np.arange(len(codes)), np.full(len(codes), -1)
+        for j in range(DEEP, -1, -1):
+            on = open_[had[open_] >= j]
+            context = plain[on] >> 8 * (DEEP + 1 - j)
+            at, there = _found(self.contexts[j], context)
+            on, at, context = on[there], at[there], context[there]
+            denominator, escape = self.own[j][0][at], self.own[j][1][at]
+            up = came[on] >= 0
+            if up.any():
+                denominator[up], escape[up] = self.after[j + 1][0][came[on[up]]], self.after[j + 1][1][came[on[up]]]
+            node, seen = _found(self.keys[j], (context << 8) + (plain[on] & 255))
+            out[on[seen]] = spent[on[seen]] + self.logs[j][node[seen]] - denominator[seen]
+            spent[on[~seen]] += escape[~seen]
+            came[on[~seen]] = at[~seen]
+            gone = np.zeros(len(codes), bool)
+            gone[on[seen]] = True
+            open_ = open_[~gone[open_]]
+        out[open_] = spent[open_] - self.left
+        return out
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """Of each text, the sum over the bytes whose contexts are in the block."""
+        codes = deep_codes(texts)
+        pair = codes >> 24 & 0xFFFF
+        short = codes >> 40 > DEEP - 2  # fewer than two bytes before it: the first block's
+        mine = np.flatnonzero(np.where(short, self.first, (pair >= self.lo) & (pair < self.hi)))
+        distinct, at = np.unique(codes[mine], return_inverse=True)
+        cost = np.zeros(len(codes))
+        cost[mine] = self.costs(distinct)[at]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        end, upto = np.cumsum(size), np.concatenate(([0.0], np.cumsum(cost)))
+        return upto[end] - upto[end - size]
+
+
+def _parts(total: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log10 of a context's denominator and of its escape; a context without symbols costs nothing."""
+    denominator = np.log10(np.maximum(total + distinct, 1))
+    return denominator, np.where(distinct > 0, np.log10(np.maximum(distinct, 1)) - denominator, 0)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def blocks(counts: DataFrame, most: int) -> Iterator[Block]:
+    """The trie of order 4 of counted grams (gram, n) in blocks of about so many grams."""
+    near = counts.groupBy(F.expr("shiftright(gram, 32) & 255").alias("c"), F.expr("gram & 255").alias("s"), F.expr("gram >= shiftleft(4L, 40)").alias("none")).agg(F.sum("n").alias("n")).toArrow()  # 2^17 rows at most
+    c, s, n, none = (near.column(k).to_numpy() for k in ("c", "s", "n", "none"))
+    flat, root = np.zeros((256, 256), np.int64), np.zeros(256, np.int64)
+    np.add.at(root, s, n)
+    np.add.at(flat, (c[~none], s[~none]), n[~none])
+    deep = counts.where("gram < shiftleft(3L, 40)").withColumn("pair", F.expr("shiftright(gram, 24) & 65535"))
+    sizes = sorted((r[0], r[1]) for r in deep.groupBy("pair").count().collect())  # 2^16 rows at most
+    cuts, held = [0], 0
+    for pair, k in sizes:
+        if held and held + k > most:
+            cuts.append(pair)
+            held = 0
+        held += k
+    for lo, hi in zip(cuts, [*cuts[1:], 1 << 16], strict=True):
+        part = deep.where((F.col("pair") >= lo) & (F.col("pair") < hi)).select("gram", "n").toArrow()
+        yield Block(part.column("gram").to_numpy(), part.column("n").to_numpy(), flat, root, lo, hi, lo == 0)
+
+
+def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    counts = materialize(training_counts(docs), "counts")
+    if order not in (ORDER, DEEP):
+        raise ValueError(f"tries are of order {ORDER} or {DEEP}")
+    counts = materialize(training_counts(docs, grams if order == ORDER else deep_grams), "counts")
     vocabulary = counts.where("word is not null").select("word", "n")
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    gram = counts.where("gram is not null").select("gram", "n").toArrow()  # at most 2^24 + 2^16 + 2^8 rows
-    code, n = gram.column("gram").to_numpy().astype(np.int64), gram.column("n").to_numpy()
-    texts = int(n[code == -1].sum())
-    trie = Trie(code[code >= 0], n[code >= 0])
+    texts = counts.where("gram = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    more = iter(())
+    if order == ORDER:
+        gram = counts.where("gram >= 0").select("gram", "n").toArrow()  # at most 2^24 + 2^16 + 2^8 rows
+        trie = Trie(gram.column("gram").to_numpy(), gram.column("n").to_numpy())
+    else:
+        more = blocks(counts.where("gram >= 0").select("gram", "n"), BLOCK_GRAMS)
+        trie = next(more)
     train_tokens, distinct = total[0] + texts, total[1] + (texts > 0)
     frequent = vocabulary.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
     known = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), np.log10(frequent.column("n").to_numpy() + 1.0).tolist(), trie))
@@ -166,10 +311,25 @@ def scores(docs: DataFrame) -> DataFrame:
             out["logs"].append(float(found[~missing].sum()) + math.log10(texts + 1))
             out["rare"].append([{"word": w, "k": k} for w, k in Counter(split[i] for i in np.flatnonzero(missing).tolist()).items()])
         base = uuid.uuid4().int >> 65 & ~0xFFFFF
-        return {"row": [base + k for k in range(batch.num_rows)], "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": trie.scores(lowered), "n_bytes": [len(x) for x in lowered]} | out
+        return {"row": [base + k for k in range(batch.num_rows)], "doc_id": batch.column("doc_id"), "key": batch.column("key"), "held_out": batch.column("held_out"), "score": trie.scores(lowered), "n_bytes": [len(x) for x in lowered]} | out
+
+    schema = "row long, doc_id long, key long, held_out boolean, n_tokens long, n_known long, logs double, rare array<struct<word binary, k long>>, score double, n_bytes long"
+    keyed = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64("doc_id", "text").alias("key"))
+    found = materialize(map_batches(keyed, run, schema), "scored")
+    known.destroy()
+    passes = []
+    for block in more:
+        held = spark.sparkContext.broadcast(block)
+
+        def again(batch: pa.RecordBatch, held=held) -> dict:
+            return {"key": batch.column("key"), "more": held.value.scores([x.lower() for x in as_bytes(batch.column("text"))])}
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, rare array<struct<word binary, k long>>, score double, n_bytes long"
-    found = materialize(map_batches(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), run, schema), "scored")
+        # Equal rows have equal scores.
+        passes.append(materialize(map_batches(keyed.select("key", "text"), again, "key long, more double").dropDuplicates(["key"]), "pass"))
+        held.destroy()
+    if passes:
+        added = reduce(DataFrame.unionByName, passes).groupBy("key").agg(F.sum("more").alias("more"))
+        found = found.join(added, "key").withColumn("score", F.col("score") + F.col("more")).drop("more")
     rare = found.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k").join(vocabulary, "word")
     more = rare.groupBy("row").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_logs"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

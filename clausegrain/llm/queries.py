@@ -37,7 +37,7 @@ def op6_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.scores(table(spark, sf_dir, "documents"))
+    return ppm.scores(table(spark, sf_dir, "documents"), ppm.DEEP)
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

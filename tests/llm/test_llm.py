@@ -377,6 +377,36 @@ def test_trie_gives_probabilities():
     assert np.allclose((10.0 ** trie.costs.astype(float)).sum(1), 1, atol=1e-5)
 
 
+@pytest.mark.parametrize("grams", [1 << 22, 500])
+def test_ppm_scores_of_the_higher_order(docs, none, monkeypatch, grams):
+    """In one block and in several: the costs of the order that the query has."""
+    monkeypatch.setattr(ppm, "BLOCK_GRAMS", grams)
+    contexts = defaultdict(Counter)
+    for t in (low(t) for i, t in TEXTS if i is None or zlib.crc32(str(i).encode()) % 7 != 2):
+        b = t.encode()
+        for k in range(len(b)):
+            for o in range(min(k, 4) + 1):
+                contexts[b[k - o : k]][b[k]] += 1
+
+    def p(history, s):
+        gone, out = set(), 0.0
+        for o in range(len(history), -1, -1):
+            n = {a: v for a, v in contexts[history[len(history) - o :]].items() if a not in gone}
+            if n and s in n:
+                return out + math.log10(n[s] / (sum(n.values()) + len(n)))
+            if n:
+                out += math.log10(len(n) / (sum(n.values()) + len(n)))
+                gone |= set(n)
+        return out - math.log10(256 - len(gone))
+
+    of = lambda r: (r[0] is None, r[0] or 0)
+    got = sorted(((r.doc_id, r.score) for r in ppm.scores(docs, ppm.DEEP).collect()), key=of)
+    for (i, score), (j, t) in zip(got, sorted(TEXTS, key=of), strict=True):
+        b = low(t).encode()
+        assert i == j and math.isclose(score, sum(p(b[max(0, k - 4) : k], b[k]) for k in range(len(b))), rel_tol=1e-5, abs_tol=1e-5)
+    assert ppm.scores(none, ppm.DEEP).count() == 0
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 
