@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 SPLITS = ("train", "validation", "test")
@@ -50,6 +51,17 @@ def assign(rows: DataFrame, splits: DataFrame, document: str, default: str | Non
     return out.na.fill(default, ["split"]) if default else out.where("split is not null")
 
 
+def _in_order(rows: DataFrame, size: str, *order) -> DataFrame:
+    """rows with _rank and _before, how many rows come before each in the order and the sum of their sizes; no task sorts all of them."""
+    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    sums = ranged.groupBy("_p").agg(F.sum(size).alias("s"), F.count("*").alias("k"))
+    ahead = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    first = sums.select("_p", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("_s"), F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("_k"))  # as many rows as partitions
+    own = W.partitionBy("_p").orderBy(*order)
+    upto = F.coalesce(F.sum(size).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(F.broadcast(first), "_p").withColumns({"_rank": F.col("_k") + F.row_number().over(own) - 1, "_before": F.col("_s") + upto}).drop("_p", "_s", "_k")
+
+
 def _collected(profile: DataFrame, document: str) -> list[tuple]:
     rows = profile.select(document, "clauses", "categories").limit(MOST_DOCUMENTS + 1).collect()
     if len(rows) > MOST_DOCUMENTS:
@@ -80,22 +92,39 @@ def greedy_coverage(profile: DataFrame, document: str = "document_id") -> DataFr
 
 def greedy_target(profile: DataFrame, targets: dict[str, float], document: str = "document_id", seed: int = 42) -> DataFrame:
     """document, split: test, then validation take documents that add most missing categories (by hash among equals), up to 1.5 times their target share; the rest trains."""
-    import hashlib
-
-    docs = {d[0]: d for d in _collected(profile, document)}
-    total = sum(d[1] for d in docs.values()) or 1
-    order = lambda k: hashlib.md5(f"{k}:{seed}".encode()).hexdigest()
-    out = {}
+    # At most a category's worth of picks add something; then all that fit follow in the order of hashes, by sums over those before them.
+    key, n = F.col(document), F.col("clauses")
+    docs = profile.select(document, "clauses", "categories", F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))).alias("_h")).persist()
+    total = docs.agg(F.sum("clauses")).first()[0] or 1
+    assigned = docs.withColumn("split", F.lit(None).cast("string"))
     for split in ("test", "validation"):
-        target, has, n = targets[split] * total, set(), 0
-        while n < target:
-            fits = [d for k, d in docs.items() if k not in out and n + d[1] <= 1.5 * target]
-            if not fits:
+        target, has, held, picks, best = targets[split] * total, set(), 0, [], None
+        free = assigned.where("split is null").drop("split").persist()
+        while held < target:
+            new = F.size(F.array_except(F.array_distinct("categories"), F.array(*map(F.lit, sorted(has))).cast("array<string>")))
+            best = free.where(~key.isin(picks) & (held + n <= 1.5 * target)).orderBy(new.desc(), F.desc("_h")).select(document, "clauses", "categories", new.alias("_new")).first()
+            if best is None or not best[3]:
                 break
-            best = max(fits, key=lambda d: (len(d[2] - has), order(d[0])))
-            out[best[0]], has, n = split, has | best[2], n + best[1]
-    rows = [(k, out.get(k, "train")) for k in docs]
-    return profile.sparkSession.createDataFrame(rows, f"{document} {dict(profile.dtypes)[document]}, split string")
+            picks.append(best[0])
+            has |= set(best[2])
+            held += best[1]
+        taken = free.where(F.lit(False)).select(document)
+        if held < target and best is not None:
+            rest = free.where(~key.isin(picks))
+            small, before = rest.where(n <= 0.5 * target), F.lit(held)  # small ones fit as long as the target isn't reached
+            large = rest.where(n > 0.5 * target).orderBy(F.desc("_h")).select(document, "clauses", "_h").collect()  # 2 / share at most
+            for name, size, h in large:
+                ahead = held + (small.where(F.col("_h") > h).agg(F.sum("clauses")).first()[0] or 0)
+                if ahead >= target:
+                    break
+                if ahead + size <= 1.5 * target:
+                    picks.append(name)
+                    held += size
+                    before = before + F.when(F.col("_h") < h, size).otherwise(0)
+            taken = _in_order(small, "clauses", F.desc("_h")).where(before + F.col("_before") < target).select(document)
+        chosen = taken.withColumn("_taken", F.lit(True))
+        assigned = assigned.join(chosen, document, "left").withColumn("split", F.coalesce("split", F.when(F.col("_taken") | key.isin(picks), split))).drop("_taken").persist()
+    return assigned.select(document, F.coalesce("split", F.lit("train")).alias("split"))
 
 
 def group_folds(rows: DataFrame, document: str, folds: int = 5) -> DataFrame:

@@ -263,3 +263,37 @@ def test_baseline_classifier(spark):
     assert set(found) == {"x", "y"}
     got = learning.predict(rows, model, found, "id").where("category = 'x'").collect()
     assert all((r.y_prob > 0.5) == bool(r.id % 2) for r in got)
+
+
+def profiles(spark, n, seed, most=40):
+    import random
+
+    r = random.Random(seed)
+    names = [*sorted(splits.RARE), "a", "b", "c", "d", "e", "f", "g"]
+    rows = [(k * 7 % 1009, r.choice([1, 1, 2, 3, r.randint(1, most)]), r.sample(names, r.choice([0, 1, 1, 2, 3, 5]))) for k in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id long, clauses long, categories array<string>").repartition(3)
+
+
+@pytest.mark.parametrize(("n", "most"), [(300, 40), (25, 60), (3, 5)])
+def test_greedy_target_is_that_of_one_document_after_another(spark, n, most):
+    import hashlib
+
+    rows, table = profiles(spark, n, n, most)
+    targets, total, out = {"test": 0.2, "validation": 0.15}, sum(d[1] for d in rows), {}
+    for split in ("test", "validation"):
+        target, has, held = targets[split] * total, set(), 0
+        while held < target:
+            fits = [d for d in rows if d[0] not in out and held + d[1] <= 1.5 * target]
+            if not fits:
+                break
+            best = max(fits, key=lambda d: (len(set(d[2]) - has), hashlib.md5(f"{d[0]}:42".encode()).hexdigest()))
+            out[best[0]], has, held = split, has | set(best[2]), held + best[1]
+    assert {r.doc_id: r.split for r in splits.greedy_target(table, targets, "doc_id").collect()} == {d[0]: out.get(d[0], "train") for d in rows}
+
+
+def test_greedy_target_query_splits_every_document(spark):
+    from clausegrain.plans import adapters, catalogue
+
+    data = "/root/testdata/sf0.001"
+    got = [r.doc_id for r in catalogue.QUERIES["split_greedy_target"](spark, data).collect()]
+    assert sorted(got) == sorted(r.doc_id for r in adapters.clause_labels(spark, data).select("doc_id").distinct().collect())
