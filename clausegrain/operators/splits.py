@@ -6,8 +6,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 SPLITS = ("train", "validation", "test")
-#: Greedy splits look at one document after another, on the driver; they are for corpora of labelled contracts, and refuse more documents.
-MOST_DOCUMENTS = 200_000
 
 
 def by_ratio(documents: DataFrame, document: str, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
@@ -62,13 +60,6 @@ def _in_order(rows: DataFrame, size: str, *order) -> DataFrame:
     return ranged.join(F.broadcast(first), "_p").withColumns({"_rank": F.col("_k") + F.row_number().over(own) - 1, "_before": F.col("_s") + upto}).drop("_p", "_s", "_k")
 
 
-def _collected(profile: DataFrame, document: str) -> list[tuple]:
-    rows = profile.select(document, "clauses", "categories").limit(MOST_DOCUMENTS + 1).collect()
-    if len(rows) > MOST_DOCUMENTS:
-        raise ValueError(f"a greedy split looks at documents one by one; use by_ratio() for more than {MOST_DOCUMENTS}")
-    return [(r[0], r[1], frozenset(r[2])) for r in rows]
-
-
 # Categories that make a document rare.
 RARE = frozenset(("Liability for Damages", "Competition Rights", "Governing Law and Jurisdiction", "Intellectual Property", "Term and Termination", "NDA Type", "Non-Confidential Information"))
 
@@ -76,18 +67,48 @@ RARE = frozenset(("Liability for Damages", "Competition Rights", "Governing Law
 def greedy_coverage(profile: DataFrame, document: str = "document_id") -> DataFrame:
     """document, split from a profile (document, clauses, categories): documents with most rare categories choose first. One that
     brings new categories goes to the first split that lacks them and has room (65, 25, 25 %), another to the first below 60 and 20 %, else to test."""
-    docs = sorted(_collected(profile, document), key=lambda d: (len(RARE & d[2]), d[1], d[0]), reverse=True)
-    total = sum(d[1] for d in docs) or 1
+    # A set of categories brings something to each split once at most, and never again once it brought nothing: only its first three
+    # documents are looked at one by one. The others fill up, so the sum of the clauses before them tells their split.
+    rare = F.size(F.array_intersect("categories", F.array(*map(F.lit, sorted(RARE)))))
+    docs = _in_order(profile.select(document, "clauses", F.array_sort(F.array_distinct("categories")).alias("categories"), rare.alias("_rare")), "clauses", F.desc("_rare"), F.desc("clauses"), F.desc(document)).persist()
+    total = docs.agg(F.sum("clauses")).first()[0] or 1
+    nth = F.row_number().over(W.partitionBy("categories").orderBy("_rank"))
+    first = docs.withColumn("_nth", nth).where("_nth <= 3").select("_rank", "_before", "clauses", "categories").collect()  # three of each set of categories at most
     seen, filled = {s: set() for s in SPLITS}, dict.fromkeys(SPLITS, 0)
-    out = []
-    for name, n, categories in docs:
-        brings = (s for s, room in zip(SPLITS, (0.65, 0.25, 0.25), strict=True) if categories - seen[s] and filled[s] / total < room)
-        below = (s for s, room in zip(SPLITS, (0.60, 0.20), strict=False) if filled[s] / total < room)
-        split = next(brings, None) or next(below, "test")
-        seen[split] |= categories
-        filled[split] += n
-        out.append((name, split))
-    return profile.sparkSession.createDataFrame(out, f"{document} {dict(profile.dtypes)[document]}, split string")
+    brought, starts, at = {}, [], 0
+
+    def fill(upto: int) -> None:
+        """Fills splits with the documents from the sum at to the sum upto."""
+        nonlocal at
+        while at < upto:
+            split, room = next(((s, room) for s, room in zip(SPLITS, (0.60, 0.20), strict=False) if filled[s] / total < room), ("test", None))
+            if not starts or starts[-1][1] != split:
+                starts.append((at, split))
+            to = upto
+            if room is not None:
+                need = next(x for x in range(max(0, int(room * total) - 2), total + 3) if x / total >= room)
+                if at + need - filled[split] < upto:
+                    to = docs.where(F.col("_before") >= at + need - filled[split]).agg(F.min("_before")).first()[0]
+                    to = upto if to is None else min(to, upto)
+            filled[split] += to - at
+            at = to
+
+    for rank, before, n, categories in sorted(first, key=lambda r: r[0]):
+        fill(before)
+        categories = set(categories)
+        split = next((s for s, room in zip(SPLITS, (0.65, 0.25, 0.25), strict=True) if categories - seen[s] and filled[s] / total < room), None)
+        if split:
+            brought[rank] = split
+            seen[split] |= categories
+            filled[split] += n
+            at = before + n
+    fill(total)
+    split = F.lit("test")
+    for start, name in starts:
+        split = F.when(F.col("_before") >= start, name).otherwise(split)
+    for name in SPLITS:
+        split = F.when(F.col("_rank").isin([r for r, s in brought.items() if s == name]), name).otherwise(split)
+    return docs.select(document, split.alias("split"))
 
 
 def greedy_target(profile: DataFrame, targets: dict[str, float], document: str = "document_id", seed: int = 42) -> DataFrame:
@@ -129,16 +150,36 @@ def greedy_target(profile: DataFrame, targets: dict[str, float], document: str =
 
 def group_folds(rows: DataFrame, document: str, folds: int = 5) -> DataFrame:
     """document, fold: the largest documents first, each to the smallest fold so far."""
-    sizes = [(r[0], r[1], ()) for r in rows.groupBy(document).agg(F.count("*").alias("n")).limit(MOST_DOCUMENTS + 1).collect()]
-    if len(sizes) > MOST_DOCUMENTS:
-        raise ValueError(f"folds are dealt document by document, to at most {MOST_DOCUMENTS}")
-    load = [0] * min(folds, max(1, len(sizes)))
-    out = []
-    for name, n, _ in sorted(sizes, key=lambda d: (-d[1], d[0])):
-        k = load.index(min(load))
-        load[k] += n
-        out.append((name, k))
-    return rows.sparkSession.createDataFrame(out, f"{document} {dict(rows.dtypes)[document]}, fold int")
+    sizes = _in_order(rows.groupBy(document).agg(F.count("*").alias("n")), "n", F.desc("n"), document).persist()
+    groups = sorted(((r[0], r[1]) for r in sizes.groupBy("n").count().collect()), reverse=True)  # as many as sizes
+    load = [0] * min(folds, max(1, sum(k for _, k in groups)))
+    runs, rank = [], 0
+    for n, k in groups:
+        for start, turn in _turns(load, n, k):
+            runs.append((n, rank + start, turn))
+        rank += k
+    dealt = rows.sparkSession.createDataFrame(runs, "n long, start long, turn array<int>").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("start", "turn"))).alias("runs"))
+    run = F.element_at(F.filter("runs", lambda x: x["start"] <= F.col("_rank")), -1)
+    placed = sizes.join(dealt, "n").withColumn("_run", run)
+    return placed.select(document, F.expr("_run.turn[int((_rank - _run.start) % size(_run.turn))]").alias("fold"))
+
+
+def _turns(load: list[int], n: int, k: int) -> list[tuple[int, list[int]]]:
+    """Where runs of k documents of size n start and the folds that take turns in each, as each goes to the smallest fold; load is brought up to date."""
+    out, at = [], 0
+    while at < k:
+        order = sorted(range(len(load)), key=lambda f: (load[f], f))
+        turn = [f for f in order if (load[f], f) <= (load[order[0]] + n, order[0])]
+        cycles = (k - at) // len(turn) + 1
+        if len(turn) < len(order):  # until the next fold is the smaller one
+            last, new = turn[-1], order[len(turn)]
+            cycles = min(cycles, (load[new] - load[last] - (last > new)) // n + 1)
+        out.append((at, turn))
+        count = min(k - at, cycles * len(turn))
+        for j, f in enumerate(turn):
+            load[f] += n * (count // len(turn) + (j < count % len(turn)))
+        at += count
+    return out
 
 
 def audit(rows: DataFrame, document: str = "document_id", labels: str = "labels") -> DataFrame:

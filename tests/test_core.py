@@ -297,3 +297,38 @@ def test_greedy_target_query_splits_every_document(spark):
     data = "/root/testdata/sf0.001"
     got = [r.doc_id for r in catalogue.QUERIES["split_greedy_target"](spark, data).collect()]
     assert sorted(got) == sorted(r.doc_id for r in adapters.clause_labels(spark, data).select("doc_id").distinct().collect())
+
+
+@pytest.mark.parametrize(("n", "most"), [(300, 40), (40, 60), (3, 5)])
+def test_greedy_coverage_is_that_of_one_document_after_another(spark, n, most):
+    rows, table = profiles(spark, n, n + 1, most)
+    total, seen, filled, want = sum(d[1] for d in rows), {s: set() for s in splits.SPLITS}, dict.fromkeys(splits.SPLITS, 0), {}
+    for name, size, categories in sorted(((d[0], d[1], set(d[2])) for d in rows), key=lambda d: (len(splits.RARE & d[2]), d[1], d[0]), reverse=True):
+        brings = (s for s, room in zip(splits.SPLITS, (0.65, 0.25, 0.25), strict=True) if categories - seen[s] and filled[s] / total < room)
+        below = (s for s, room in zip(splits.SPLITS, (0.60, 0.20), strict=False) if filled[s] / total < room)
+        want[name] = next(brings, None) or next(below, "test")
+        seen[want[name]] |= categories
+        filled[want[name]] += size
+    assert {r.doc_id: r.split for r in splits.greedy_coverage(table, "doc_id").collect()} == want
+
+
+@pytest.mark.parametrize("most", [3, 90])
+def test_folds_are_those_of_one_document_after_another(spark, most):
+    import random
+
+    r = random.Random(most)
+    sizes = [(k * 7 % 1009, r.choice([1, 1, 2, r.randint(1, most)])) for k in range(200)]
+    table = spark.createDataFrame([(k,) for k, n in sizes for _ in range(n)], "doc_id long").repartition(3)
+    load, want = [0] * 5, {}
+    for k, n in sorted(sizes, key=lambda d: (-d[1], d[0])):
+        want[k] = load.index(min(load))
+        load[want[k]] += n
+    assert {x.doc_id: x.fold for x in splits.group_folds(table, "doc_id").collect()} == want
+
+
+def test_splits_refuse_no_number_of_documents(spark):
+    many = spark.range(200_001).withColumnRenamed("id", "doc_id")
+    assert splits.group_folds(many, "doc_id").count() == 200_001
+    table = many.selectExpr("doc_id", "1L AS clauses", "array('a') AS categories")
+    assert splits.greedy_coverage(table, "doc_id").count() == 200_001
+    assert splits.greedy_target(table, {"test": 0.2, "validation": 0.15}, "doc_id").count() == 200_001
