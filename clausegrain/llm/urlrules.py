@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: A token set must be in this share of the labelled URLs, and go with its verdict this often.
 SUPPORT, CONFIDENCE = 0.004, 0.5
-LONGEST_RULE = 3
 
 
 def host(url: Column) -> Column:
@@ -68,7 +67,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     """id, tokens (of a rule), verdict, confidence, support from labelled rows (tokens, verdict)."""
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    rules = model.associationRules.where((F.col("consequent")[0] == "verdict:block") & (F.size("antecedent") <= LONGEST_RULE))
+    rules = model.associationRules.where(F.col("consequent")[0] == "verdict:block")
     made = rules.select(F.array_sort("antecedent").alias("tokens"), F.lit("block").alias("verdict"), "confidence", "support").where(~F.exists("tokens", lambda x: x.startswith("verdict:")))
     # A rule goes if one token less does as well: every set of a frequent set is frequent, so shorter rules are all there.
     less = made.select("verdict", F.col("tokens").alias("whole"), F.col("confidence").alias("own"), F.explode("tokens").alias("without")).withColumn("tokens", F.expr("filter(whole, x -> x <> without)"))

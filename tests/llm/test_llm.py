@@ -181,6 +181,13 @@ def test_mined_rules_have_their_support_and_confidence(spark):
         assert all(sum(v == "block" for t, v in rows if set(s) <= set(t)) / max(1, sum(set(s) <= set(t) for t, _ in rows)) < x.confidence for s in itertools.combinations(x.tokens, len(x.tokens) - 1) if s)
 
 
+def test_mined_rules_have_any_length(spark):
+    """Three of four tokens are never surer than a half; all four are."""
+    rows = [(list("abcd"), "block")] * 8 + [([x for x in "abcd" if x != y], "allow") for y in "abcd" for _ in range(10)]
+    rules = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.5).collect()
+    assert [(r.tokens, r.confidence) for r in rules] == [(list("abcd"), 1.0)]
+
+
 # ---------------------------------------------------------------- spans
 
 
