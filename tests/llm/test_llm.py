@@ -564,6 +564,13 @@ def test_longest_matches(spark, docs):
     assert {(r.item_start, r.doc_start, r.length) for r in found} >= {(0, 500, 30), (31, 100, 50)} or {r.doc_id for r in found} <= {10, 11}
 
 
+def test_longest_matches_are_found_in_full(spark, docs):
+    items = [(6, " ".join([*LONG.split()[500:530], "zzz", *LONG.split()[100:150]]))]
+    one = docs.where("doc_id = 10").coalesce(1)
+    found = decontam.longest_matches(one, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_start, r.doc_start, r.length) for r in found} == {(10, 0, 500, 30), (10, 31, 100, 50)}
+
+
 def test_suffix_array_is_in_order():
     texts = [t.encode() for _, t in TEXTS if t]
     block = decontam.TestBlock([(i, (t or "").encode()) for i, t in ITEMS])
