@@ -16,16 +16,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset and the master is local (tests)."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="clausegrain-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="clausegrain-"))
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get().rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -44,10 +46,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def arrow_limits(spark: SparkSession, rows: int = 2000) -> None:
-    """Small Arrow batches: a Python worker holds one batch of texts, whatever the partition's size."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into slices of so many rows and about so many bytes at most, so that a task holds little beside the batch it was given."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * most // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def kept_in_worker(key: str, make: Callable):
@@ -56,22 +60,29 @@ def kept_in_worker(key: str, make: Callable):
     return held[key] if key in held else held.setdefault(key, make())
 
 
+def free(taken: list[str], name: str) -> str:
+    """name, or name with underscores before it until no column that is taken has it (in any case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 of each text, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str | T.StructType, rows: int = 2000) -> DataFrame:
-    """mapInArrow by a function from a batch to a dict of columns; empty batches are skipped."""
-    arrow_limits(df.sparkSession, rows)
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str | T.StructType, rows: int = 2000, most: int = 32 << 20) -> DataFrame:
+    """mapInArrow by a function from a batch of so many rows and about so many bytes at most to a dict of columns; empty batches are skipped."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (cols := fn(batch)) is not None:
+        for batch in sliced(batches, rows, most):
+            if (cols := fn(batch)) is not None:
                 arrays = [pa.array(cols[f.name], type=f.type) for f in out]
                 made = pa.RecordBatch.from_arrays(arrays, schema=out)
                 for at in range(0, made.num_rows, 20_000):

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from clausegrain.llm.common import arrow_limits, materialize, shared_dir
+from clausegrain.llm.common import materialize, shared_dir
 
 #: An archive is closed once it has this many compressed bytes.
 ARCHIVE_BYTES = 64 << 20
@@ -189,7 +189,6 @@ def write(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCH
     # Payloads that occur once need no look-up; the others' table is written first, so that Spark knows its size before it joins.
     several = materialize(rows.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "payloads")
     marked = rows.join(several, "digest", "left").select("page_id", "url", "payload", "first", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
-    arrow_limits(spark, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
