@@ -11,7 +11,7 @@ escaped (markers and backslashes; then every character that a marker could begin
 one another, so a conversation is never held as a whole: turns are rendered where they lie, sorted by conversation
 and turn, and parsed and digested as a stream.
 
-Defined results: null texts and roles are empty; rows of a conversation with the same turn come by role, then rendered text;
+Defined results: null texts and roles are empty; rows of a conversation with the same turn come by role, then text;
 a null conv_id is a conversation of its own, a null turn comes first; an empty table gives no rows.
 """
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clausegrain.llm.common import arrow_limits
+from clausegrain.llm.common import sliced
 
 SHOWN = {"user": "User", "assistant": "Assistant", "system": "System", "tool": "Tool"}
 NAMED = {v: k for k, v in SHOWN.items()}
@@ -99,10 +99,9 @@ def render(turns: list[tuple[str, str]]) -> str:
 def rendered(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, rendered, loss_start, loss_end: the written turns, sorted within partitions that hold whole
     conversations; a loss span, in code points of rendered, covers an assistant's text."""
-    arrow_limits(conversations.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [render_turn(r or "", t or "") for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             spans = [parse_turn(m) for m in made]
             loss = [(s[2], s[3]) if s[0] == "assistant" else (None, None) for s in spans]
@@ -113,7 +112,9 @@ def rendered(conversations: DataFrame) -> DataFrame:
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), "text")
     made = rows.mapInArrow(run, "conv_id long, turn long, role string, rendered string, loss_start int, loss_end int")
-    return made.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "rendered").select("conv_id", "turn", "rendered", "loss_start", "loss_end")
+    # Turns of one role have one header, so this compares their texts; it is worked out for turns that tie only.
+    text = F.regexp_replace(F.expr(f"left(rendered, length(rendered) - {len(END) + 1})"), r"(?s)\\(.)", "$1")
+    return made.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", text).select("conv_id", "turn", "rendered", "loss_start", "loss_end")
 
 
 class Digest:
