@@ -2,23 +2,26 @@
 
 Each task's batches of documents are shards. A shard's words become numbers of the test vocabulary; a run of such
 words is as long as no other word breaks it, and only runs long enough for a window can match at all. The suffixes
-of those runs are sorted (prefix doubling, so any length of match is in order), and every test suffix is
-binary-searched in the array: one search gives the range of places that share its window, neighbours in the
-array give the longest verbatim match. Nothing is shuffled.
+of those runs are sorted (prefix doubling, so any length of match is in order), and every test suffix that is long
+enough for a window is binary-searched in the array, which gives the range of places that share its window. From each
+such place the verbatim match is followed to its end, but only where the words before differ, so every match is
+found once, at its beginning, in its full length. Hits, items, the longest match of a document and its places all
+come from these matches. Nothing is shuffled.
 
-The test side goes to the tasks in blocks of at most BLOCK_WORDS words, one pass over the documents for each
-block, so a task's memory is bounded whatever the benchmark's size.
+The test side is read partition by partition and goes to the tasks in blocks of about BLOCK_WORDS words (offsets into one
+array of numbers), a broadcast each. The documents are read once: a task takes a batch through one block after another and
+holds one at a time, so its memory is bounded whatever the benchmark's size.
 
 Defined results: null and empty texts have no words, hits or items; an item without words has no window; rows
-with equal ids are judged one by one; an empty benchmark leaves every document clean; ties among longest
-matches go to the smallest document place.
+with equal ids are judged one by one; an empty benchmark leaves every document clean; of equally long longest
+matches the first place in the document counts, then the smallest item id as a string, then the first place in the item;
+further columns of any name stay as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,12 @@ from pyspark.sql import DataFrame, functions as F
 from clausegrain.llm.common import as_bytes, map_batches
 
 WINDOW = 13
-#: A block's arrays take some 200 bytes a word.
-BLOCK_WORDS = 1_000_000
+#: A block's arrays and vocabulary take some 200 bytes a word.
+BLOCK_WORDS = 500_000
+#: Bytes of text in a shard, whose arrays take some 20 times as much at most.
+SHARD_BYTES = 8 << 20
+#: Pairs of places that are looked at together.
+PAIRS = 1 << 20
 #: A-Z to lower case; what is neither 0-9, a-z nor beyond ASCII becomes a space.
 FOLD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -38,26 +45,36 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class TestBlock:
-    """The vocabulary, windows and suffixes of some test items."""
+    """The vocabulary of some test items, their words as numbers in one array, and the suffixes that begin a window."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         self.window = window
-        self.names = [str(i) for i, _ in items]
         self.item_ids = [i for i, _ in items]
-        split = [words_of(t) for _, t in items]
+        self.names = [str(i) for i in self.item_ids]
         self.vocabulary: dict[bytes, int] = {}
-        coded = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words] for words in split]
-        found: dict[tuple[int, ...], set[int]] = {}
-        for k, ids in enumerate(coded):
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[at : at + window]), set()).add(k)
-        self.windows = list(found)
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.shortest = int(self.lengths.min()) if self.windows else 0
-        self.low = keys([np.array([w + (0,) * (window - len(w)) for w in self.windows], np.int64).reshape(-1, window)])
-        self.high = keys([np.array([w + (-1,) * (window - len(w)) for w in self.windows], np.int64).reshape(-1, window)])
-        self.suffixes = [(k, at, ids[at:]) for k, ids in enumerate(coded) for at in range(len(ids))]
+        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
+        parts, sizes = [np.full(1, -1, np.int32)], []
+        for _, text in items:
+            words = words_of(text)
+            sizes.append(len(words))
+            parts += [np.fromiter(map(number, words), np.int32, len(words)), parts[0]]  # -1 parts items
+        self.ids = np.concatenate(parts)
+        size = np.array(sizes, np.int64)
+        self.start = 1 + np.concatenate(([0], np.cumsum(size + 1)[:-1])).astype(np.int64) if items else size
+        n = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+        self.item = np.repeat(np.arange(len(items)), n)
+        self.suffix = self.start[self.item] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.need = np.minimum(size, window)[self.item]
+        self.shortest = int(self.need.min(initial=window))
+        self.low, self.high = (self._keys(end) for end in (0, -1))
+
+    def _keys(self, end: int) -> np.ndarray:
+        """Each suffix's window, shorter ones filled up with end."""
+        rows = np.full((len(self.suffix), self.window), end, np.int64)
+        for k in range(self.window):
+            inside = self.need > k
+            rows[inside, k] = self.ids[self.suffix[inside] + k]
+        return keys([rows])
 
 
 def keys(parts: list[np.ndarray]) -> np.ndarray:
@@ -70,12 +87,19 @@ class Shard:
     """A suffix array over the runs of test words in some documents."""
 
     def __init__(self, texts: list[bytes], block: TestBlock):
+        self._make([words_of(t) for t in texts], block)
+
+    @classmethod
+    def of(cls, split: list[list[bytes]], block: TestBlock) -> Shard:
+        made = cls.__new__(cls)
+        made._make(split, block)
+        return made
+
+    def _make(self, split: list[list[bytes]], block: TestBlock) -> None:
         get = block.vocabulary.get
         ids: list[int] = []
-        self.n_words = []
-        for text in texts:
-            words = words_of(text)
-            self.n_words.append(len(words))
+        self.n_words = [len(words) for words in split]
+        for words in split:
             ids += [get(w, 0) for w in words]
             ids.append(0)  # no run crosses documents
         self.ids = np.array(ids, np.int64)
@@ -117,16 +141,55 @@ class Shard:
                 break
         return order
 
-    def ranges(self, block: TestBlock) -> tuple[np.ndarray, np.ndarray]:
-        """For each window, the places in the array that begin with it."""
-        return np.searchsorted(self.keys, block.low, "left"), np.searchsorted(self.keys, block.high, "right")
-
     def document(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, place, "right") - 1
 
+    def matches(self, block: TestBlock) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All verbatim matches of a window and more, each from its beginning to its end: number of the test suffix, place of the word it
+        begins with, and length, in parts of a bounded size."""
+        low, high = np.searchsorted(self.keys, block.low, "left"), np.searchsorted(self.keys, block.high, "right")
+        met = np.flatnonzero(high > low)
+        if not len(met):
+            return
+        # Suffixes of one range and one word before them begin matches at the same places.
+        alike = np.stack((low[met], high[met], block.ids[block.suffix[met] - 1]), 1)
+        groups, member = np.unique(alike, axis=0, return_inverse=True)
+        member = member.ravel()
+        held = np.argsort(member, kind="stable")
+        first = np.searchsorted(member[held], np.arange(len(groups) + 1))
+        size = groups[:, 1] - groups[:, 0]
+        for group, places in _cut(size, PAIRS):
+            place = self.place[self.order[groups[group, 0] + places]]
+            begins = self.ids[place - 1] != groups[group, 2]  # the word before the first place is the last separator
+            group, place = group[begins], place[begins]
+            for k, nth in _cut(first[group + 1] - first[group], PAIRS):
+                suffix = met[held[first[group[k]] + nth]]
+                yield suffix, place[k], self._length(block, suffix, place[k])
+
+    def _length(self, block: TestBlock, suffix: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """How many words from each place are those of the suffix."""
+        out = block.need[suffix].copy()
+        at, step, going = block.suffix[suffix], np.arange(16), np.arange(len(out))
+        while len(going):
+            own = block.ids[np.minimum((at + out)[going, None] + step, len(block.ids) - 1)]
+            same = own == self.ids[np.minimum((place + out)[going, None] + step, len(self.ids) - 1)]
+            more = np.where(same.all(1), len(step), same.argmin(1))
+            out[going] += more
+            going = going[more == len(step)]
+        return out
+
+
+def _cut(size: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """np.repeat(range(len(size)), size), with each one's number among its likes, in parts of at most so many."""
+    upto = np.cumsum(size)
+    for at in range(0, int(upto[-1]) if len(upto) else 0, most):
+        place = np.arange(at, min(at + most, int(upto[-1])))
+        of = np.searchsorted(upto, place, "right")
+        yield of, place - (upto - size)[of]
+
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW) -> Iterator[TestBlock]:
-    """The benchmark (item_id, text) in blocks; it is read partition by partition, never as a whole."""
+    """The benchmark (item_id, text) in blocks; it is read partition by partition, and one block is held at a time."""
     held, n = [], 0
     for row in benchmark.select("item_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).toLocalIterator():
         held.append((row[0], bytes(row[1])))
@@ -138,116 +201,107 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = W
         yield TestBlock(held, window)
 
 
-def judge(texts: list[bytes], block: TestBlock) -> list[tuple[int, np.ndarray, set[int]]]:
-    """Of each document: its words, the places of its hit words, and the numbers of the items found in it."""
-    shard = Shard(texts, block)
-    low, high = shard.ranges(block)
-    edge = np.zeros(len(shard.ids) + 1, np.int64)
-    items: list[set[int]] = [set() for _ in texts]
-    for w in np.flatnonzero(high > low).tolist():
-        place = shard.place[shard.order[low[w] : high[w]]]
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + block.lengths[w], -1)
-        for d in np.unique(shard.document(place)).tolist():
-            items[d].update(block.items[w])
-    hit = np.cumsum(edge[:-1]) > 0
-    return [(n, np.flatnonzero(hit[a : a + n]), found) for n, a, found in zip(shard.n_words, shard.first.tolist(), items, strict=False)]
+def sent(benchmark: DataFrame, block_words: int, window: int) -> list:
+    """A broadcast of each block, kept in files, not in the driver's memory."""
+    out = []
+    for block in blocks(benchmark, block_words, window):
+        out.append(benchmark.sparkSession.sparkContext.broadcast(block))
+        out[-1].__dict__.pop("_value", None)
+    return out
+
+
+class Found:
+    """What is found in a document: its words, its hit words, the items, and its longest match (-length, doc_start, item, item_start)."""
+
+    def __init__(self, n_words: int, n_hit: int, items: set[str], longest: tuple | None):
+        self.n_words, self.n_hit, self.items, self.longest = n_words, n_hit, items, longest
+
+    @property
+    def contaminated(self) -> bool:
+        return self.n_hit > 0 and 20 * self.n_hit >= self.n_words
+
+
+def judge(texts: list[bytes], held: list) -> list[Found]:
+    """What is found in each text, from its verbatim matches with the items of all blocks."""
+    split = [words_of(t) for t in texts]
+    first = np.concatenate(([0], np.cumsum(np.array([len(w) + 1 for w in split], np.int64))))
+    hit = np.zeros(int(first[-1]), bool)
+    items: list[set[str]] = [set() for _ in texts]
+    longest: list[tuple | None] = [None] * len(texts)
+    for each in held:
+        block = each.value
+        shard = Shard.of(split, block)
+        edge = np.zeros(len(hit) + 1, np.int64)
+        for suffix, place, length in shard.matches(block):
+            np.add.at(edge, place, 1)
+            np.add.at(edge, place + length, -1)
+            doc, item = shard.document(place), block.item[suffix]
+            for d, i in np.unique(np.stack((doc, item), 1), axis=0).tolist():
+                items[d].add(block.names[i])
+            top = np.full(len(texts), 0)
+            np.maximum.at(top, doc, length)
+            for k in np.flatnonzero(length == top[doc]).tolist():
+                d, i = int(doc[k]), int(item[k])
+                new = (-int(length[k]), int(place[k] - first[d]), block.names[i], int(block.suffix[suffix[k]] - block.start[i]))
+                longest[d] = new if longest[d] is None else min(longest[d], new)
+        hit |= np.cumsum(edge[:-1]) > 0
+        if len(held) > 1:
+            each.__dict__.pop("_value", None)  # a worker holds one block at a time
+    total = np.concatenate(([0], np.cumsum(hit)))
+    n_hit = total[first[1:]] - total[first[:-1]]
+    return [Found(len(w), int(n), i, best) for w, n, i, best in zip(split, n_hit.tolist(), items, longest, strict=True)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row for each document."""
-    ends = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    parts = list(blocks(benchmark, block_words, window))
-
-    def row(n_words: int, n_hit: int, names: list[str]) -> tuple:
-        return n_words, n_hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words
-
-    if len(parts) <= 1:
-        block = parts[0] if parts else TestBlock([], window)
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and of the longest match longest (its words), longest_item, item_start
+    and doc_start (places in words; null without a match): a row for each document."""
+    held = sent(benchmark, block_words, window)
 
-        def whole(batch: pa.RecordBatch) -> dict:
-            found = [row(n, len(hit), [block.names[k] for k in items]) for n, hit, items in judge(as_bytes(batch.column("text")), block)]
-            return {"doc_id": batch.column("doc_id")} | dict(zip(("n_words", "n_hit", "n_items", "items_sha256", "contaminated"), zip(*found, strict=True), strict=True))
-
-        return map_batches(docs.select("doc_id", "text"), whole, ends)
-
-    return _over_blocks(docs, parts).drop("row")
-
-
-def _over_blocks(docs: DataFrame, parts: list[TestBlock]) -> DataFrame:
-    """contamination() by several blocks: each row's hit places and items meet, by a hash of its id and text, before they are counted."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-
-    def pass_over(block: TestBlock) -> DataFrame:
-        def run(batch: pa.RecordBatch) -> dict:
-            found = judge(as_bytes(batch.column("text")), block)
-            return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "n_words": [n for n, _, _ in found], "hit": [h.tolist() for _, h, _ in found], "names": [[block.names[k] for k in sorted(i)] for _, _, i in found]}
-
-        return map_batches(keyed, run, "doc_id long, row long, n_words long, hit array<int>, names array<string>")
+    def run(batch: pa.RecordBatch) -> dict:
+        found = judge(as_bytes(batch.column("text")), held)
+        best = [f.longest or (None, None, None, None) for f in found]
+        return {
+            "doc_id": batch.column("doc_id"), "n_words": [f.n_words for f in found], "n_hit": [f.n_hit for f in found], "n_items": [len(f.items) for f in found],
+            "items_sha256": [hashlib.sha256(",".join(sorted(f.items)).encode()).hexdigest() for f in found], "contaminated": [f.contaminated for f in found],
+            "longest": [None if b[0] is None else -b[0] for b in best], "doc_start": [b[1] for b in best], "longest_item": [b[2] for b in best], "item_start": [b[3] for b in best],
+        }
 
-    met = reduce(DataFrame.unionByName, map(pass_over, parts)).groupBy("doc_id", "row", "n_words").agg(
-        F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), (F.count("*") / len(parts)).cast("int").alias("copies")
-    )
-    counted = met.select("doc_id", "row", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), "copies")
-    repeated = counted.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copy", "copies")
-    return repeated.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    ends = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_item string, item_start long, doc_start long"
+    return map_batches(docs.select("doc_id", "text"), run, ends, most=SHARD_BYTES)
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the contaminated rows, in all their columns."""
-    parts = list(blocks(benchmark, block_words, window))
-    if not parts:
-        return docs
-    if len(parts) > 1:
-        bad = _over_blocks(docs, parts).where("contaminated").select(F.col("row").alias("_row")).distinct()
-        return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(bad, "_row", "left_anti").drop("_row")
-    block, names = parts[0], docs.columns
+    held, names = sent(benchmark, block_words, window), docs.columns
 
     def run(batch: pa.RecordBatch) -> dict:
-        clean = [not (len(hit) and 20 * len(hit) >= n) for n, hit, _ in judge(as_bytes(batch.column("text")), block)]
-        kept = batch.filter(pa.array(clean, pa.bool_()))
+        kept = batch.filter(pa.array([not f.contaminated for f in judge(as_bytes(batch.column("text")), held)], pa.bool_()))
         return {c: kept.column(c) for c in names}
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, run, docs.schema, most=SHARD_BYTES)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, item_start, doc_start, length: for every test suffix that isn't within a longer match of the one
-    before it, its longest verbatim match in each shard of the training text, of at least so many words; places in words."""
-    found = None
-    for block in blocks(benchmark, block_words, least):
-        def run(batch: pa.RecordBatch, block: TestBlock = block) -> dict:
-            ids = batch.column("doc_id").to_pylist()
-            shard = Shard(as_bytes(batch.column("text")), block)
-            out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "item_start", "doc_start", "length")}
-            places, order, left, words = shard.place, shard.order, shard.left, shard.ids
-
-            def common(k: int, suffix: list[int]) -> int:
-                p = places[order[k]]
-                n = min(int(left[order[k]]), len(suffix))
-                differs = np.flatnonzero(words[p : p + n] != suffix[:n])
-                return int(differs[0]) if len(differs) else n
-
-            before = (-1, 0)
-            for item, at, suffix in block.suffixes:
-                probe = np.array([(suffix[: block.window] + [0] * block.window)[: block.window]], np.int64)
-                lo, hi = int(np.searchsorted(shard.keys, keys([probe])[0], "left")), len(order)
-                while lo < hi:  # beyond the keys' words, compare whole suffixes
-                    mid = (lo + hi) // 2
-                    n = common(mid, suffix)
-                    p, run_left = int(places[order[mid]]), int(left[order[mid]])
-                    below = n < len(suffix) and (n == run_left or words[p + n] < suffix[n])
-                    lo, hi = (mid + 1, hi) if below else (lo, mid)
-                best = max(((common(k, suffix), -k) for k in (lo - 1, lo) if 0 <= k < len(order)), default=(0, 0))
-                within = before[0] == item and best[0] < before[1]
-                before = (item, best[0])
-                if best[0] >= min(least, len(suffix) if at == 0 else least) and best[0] and not within:
-                    p = int(places[order[-best[1]]])
-                    d = int(shard.document(np.array([p]))[0])
-                    for name, x in zip(out, (ids[d], block.item_ids[item], at, p - int(shard.first[d]), best[0]), strict=True):
-                        out[name].append(x)
-            return out
-
-        part = map_batches(docs.select("doc_id", "text"), run, "doc_id long, item_id long, item_start int, doc_start int, length int")
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, item_start int, doc_start int, length int")
+    """doc_id, item_id, item_start, doc_start, length: every verbatim match of at least so many words (or of a whole shorter item) that
+    can't be made longer at either end; places in words."""
+    held = sent(benchmark, block_words, least)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        ids = batch.column("doc_id").to_pylist()
+        split = [words_of(t) for t in as_bytes(batch.column("text"))]
+        out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "item_start", "doc_start", "length")}
+        for each in held:
+            block = each.value
+            shard = Shard.of(split, block)
+            for suffix, place, length in shard.matches(block):
+                doc, item = shard.document(place), block.item[suffix]
+                out["doc_id"] += [ids[d] for d in doc.tolist()]
+                out["item_id"] += [block.item_ids[i] for i in item.tolist()]
+                out["item_start"] += (block.suffix[suffix] - block.start[item]).tolist()
+                out["doc_start"] += (place - shard.first[doc]).tolist()
+                out["length"] += length.tolist()
+            if len(held) > 1:
+                each.__dict__.pop("_value", None)
+        return out
+
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, item_id long, item_start int, doc_start int, length int", most=SHARD_BYTES)

@@ -67,8 +67,8 @@ ORACLE_SQL: dict[str, str] = {
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 e AS (SELECT *, CASE WHEN regexp_matches(text, '\\|</turn>|### (User|Assistant|System|Tool|@[^\\:\n]*): ') THEN len(regexp_replace(text, '(\\|</turn>|### )', '+\1', 'g')) ELSE len(text) END AS body FROM c)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-       CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(len(role) + 14 + body) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
     "op5_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -78,24 +78,27 @@ again AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, win) >
 rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS j FROM again) GROUP BY rid),
 c AS (SELECT rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
-             coalesce(rep.n, 0) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines FROM w LEFT JOIN rep USING (rid)),
-r AS (SELECT *, n_symbols / greatest(n_words, 1) AS symbols, n_dup_lines / greatest(n_lines, 1) AS dup_lines, word_chars / greatest(n_words, 1) AS word_length FROM c),
-long AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'word_length']) AS metric, unnest([symbols, dup_lines, word_length]) AS value FROM r WHERE n_words > 0),
-b AS (SELECT lang, source, metric, CASE WHEN value < 1e-6 THEN -1000000 ELSE CAST(ceil(ln(value) / ln(1.01 / 0.99)) AS INTEGER) END AS bucket, count(*) AS n FROM long GROUP BY ALL),
+             coalesce(rep.n, 0) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines, CAST(length(regexp_replace(text, '[^!-/:-@\x5B-\x60\x7B-\x7E]', '', 'g')) AS BIGINT) AS n_marks
+      FROM w LEFT JOIN rep USING (rid)),
+r AS (SELECT *, (n_marks + 1) / (word_chars + 20) AS marks, word_chars / greatest(n_words, 1) AS word_length, greatest(n_words, 1) / greatest(n_lines, 1) AS line_length FROM c),
+long AS (SELECT lang, source, unnest(['marks', 'word_length', 'line_length']) AS metric, unnest([marks, word_length, line_length]) AS value FROM r WHERE n_words > 0),
+b AS (SELECT lang, source, metric, CAST(ceil(ln(value) / ln(1.01 / 0.99)) AS INTEGER) AS bucket, count(*) AS n FROM long GROUP BY ALL),
 s AS (SELECT lang, source, 0 AS level, metric, bucket, n FROM b
       UNION ALL SELECT lang, NULL, 1, metric, bucket, sum(n) FROM b GROUP BY lang, metric, bucket
       UNION ALL SELECT NULL, NULL, 2, metric, bucket, sum(n) FROM b GROUP BY metric, bucket),
 u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, level, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, level, metric) AS total,
-             CASE WHEN bucket = -1000000 THEN 0.0 ELSE 2 * pow(1.01 / 0.99, bucket) / (1.01 / 0.99 + 1) END AS v FROM s),
-q AS (SELECT lang, source, level, metric, max(total) AS n, min(v) FILTER (4 * upto >= total) AS q1, min(v) FILTER (2 * upto >= total) AS q2, min(v) FILTER (4 * upto >= 3 * total) AS q3 FROM u GROUP BY ALL),
-f AS (SELECT r.rid, g.metric, q.q1, q.q2, q.q3, q.level FROM r CROSS JOIN (SELECT unnest(['symbols', 'dup_lines', 'word_length']) AS metric) AS g
-      JOIN q ON q.metric = g.metric AND q.n >= CASE q.level WHEN 2 THEN 0 ELSE 100 END AND (q.level = 2 OR q.lang IS NOT DISTINCT FROM r.lang) AND (q.level > 0 OR q.source IS NOT DISTINCT FROM r.source)
-      QUALIFY row_number() OVER (PARTITION BY r.rid, g.metric ORDER BY q.level) = 1),
-l AS (SELECT rid, max(greatest(q3 + 3 * (q3 - q1), 0.1)) FILTER (metric = 'symbols') AS ms, max(greatest(q3 + 3 * (q3 - q1), 0.5)) FILTER (metric = 'dup_lines') AS md,
-             max(least(q1 - 3 * (q3 - q1), 0.5 * q2)) FILTER (metric = 'word_length') AS lo, max(greatest(q3 + 3 * (q3 - q1), 2 * q2)) FILTER (metric = 'word_length') AS hi FROM f GROUP BY rid)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND symbols <= ms AND dup_lines <= md AND word_length BETWEEN lo AND hi AS kept
-FROM r LEFT JOIN l USING (rid)""",
+             ln(2 * pow(1.01 / 0.99, bucket) / (1.01 / 0.99 + 1)) AS v FROM s),
+q AS (SELECT lang, source, level, metric, max(total) AS n, min(v) FILTER (4 * upto >= total) AS q1, min(v) FILTER (4 * upto >= 3 * total) AS q3 FROM u GROUP BY ALL),
+q1 AS (SELECT o.lang, o.metric, (o.n * o.q1 + 100 * p.q1) / (o.n + 100) AS q1, (o.n * o.q3 + 100 * p.q3) / (o.n + 100) AS q3 FROM q AS o JOIN q AS p ON o.level = 1 AND p.level = 2 AND o.metric = p.metric),
+q0 AS (SELECT o.lang, o.source, o.metric, (o.n * o.q1 + 100 * p.q1) / (o.n + 100) AS q1, (o.n * o.q3 + 100 * p.q3) / (o.n + 100) AS q3
+       FROM q AS o JOIN q1 AS p ON o.level = 0 AND o.metric = p.metric AND o.lang IS NOT DISTINCT FROM p.lang),
+l AS (SELECT lang, source, exp(max(q3 + 3 * (q3 - q1)) FILTER (metric = 'marks')) AS high_marks, exp(max(q1 - 3 * (q3 - q1)) FILTER (metric = 'word_length')) AS low_word,
+             exp(max(q3 + 3 * (q3 - q1)) FILTER (metric = 'word_length')) AS high_word, exp(max(q1 - 3 * (q3 - q1)) FILTER (metric = 'line_length')) AS low_line FROM q0 GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_marks, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (greatest(n_marks - 2 * sqrt(n_marks), 0) + 1) / (word_chars + 20) <= high_marks
+       AND word_length * (1 + 2 / sqrt(greatest(n_words, 1))) >= low_word AND word_length * (1 - 2 / sqrt(greatest(n_words, 1))) <= high_word
+       AND line_length * (1 + 2 / sqrt(greatest(n_lines, 1))) >= low_line AS kept
+FROM r LEFT JOIN l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source""",
     "op6_warc_captures": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 bits AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || hex[5 * i + 1:5 * i + 5] AS BIGINT)) AS parts, max(page_id) OVER (PARTITION BY hex) AS first FROM p)
@@ -105,14 +108,17 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
     "op10_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
-win AS (SELECT DISTINCT item_id, least(13, len(ws)) AS k, array_to_string(ws[i:i + 12], ' ') AS win
-        FROM b, unnest(range(1, greatest(2, len(ws) - 11))) AS t(i) WHERE len(ws) > 0),
+items AS (SELECT row_number() OVER () AS bid, CAST(item_id AS VARCHAR) AS item, ws FROM b WHERE len(ws) > 0),
+win AS (SELECT bid, item, j, least(13, len(ws)) AS k, array_to_string(ws[j:j + 12], ' ') AS win FROM items, unnest(range(1, greatest(2, len(ws) - 11))) AS t(j)),
 places AS (SELECT rid, i, k, array_to_string(ws[i:i + k - 1], ' ') AS win
        FROM d, unnest(range(1, len(ws) + 1)) AS t(i), (SELECT DISTINCT k FROM win) AS ks WHERE i + k - 1 <= len(ws)),
-occ AS (SELECT rid, i, k, item_id FROM places JOIN win USING (win, k)),
-hit AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS j FROM occ) GROUP BY rid),
-found AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY rid)
+occ AS (SELECT rid, i, k, bid, item, j, i - j AS diagonal FROM places JOIN win USING (win, k)),
+hit AS (SELECT rid, count(DISTINCT w) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS w FROM occ) GROUP BY rid),
+found AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM occ) GROUP BY rid),
+parts AS (SELECT *, i - row_number() OVER (PARTITION BY rid, bid, diagonal ORDER BY i) AS part FROM occ),
+matches AS (SELECT rid, item, min(i) - 1 AS doc_start, min(j) - 1 AS item_start, CAST(max(k) + count(*) - 1 AS BIGINT) AS longest FROM parts GROUP BY rid, bid, item, diagonal, part),
+best AS (SELECT rid, longest, item AS longest_item, item_start, doc_start FROM matches QUALIFY row_number() OVER (PARTITION BY rid ORDER BY longest DESC, doc_start, item, item_start) = 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN found USING (rid)""",
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, longest, longest_item, item_start, doc_start
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN found USING (rid) LEFT JOIN best USING (rid)""",
 }

@@ -148,6 +148,15 @@ def test_chat_digests(spark):
         list(chat.parse("### User: a### User: b</turn>\n"))
 
 
+def test_chat_turns_that_tie_come_by_role_and_text(spark):
+    """As the SQL has it: null turns first, equal turns by role, then by the text as it was before it was escaped."""
+    rows = [(1, 2, "user", "a!"), (1, 2, "user", "a"), (1, None, "user", "z"), (1, 2, "assistant", "</turn>"), (1, 2, "assistant", "<a"), (1, 2, "assistant", "### User: "), (1, 2, "user", "a"), (1, 2, None, None)]
+    got = chat.digests(chat.rendered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))).first()
+    turns = [(r[2] or "", r[3] or "") for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))]
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256("".join(b for a, b in turns if a == "assistant").encode()).hexdigest()
+
+
 # ---------------------------------------------------------------- URL rules
 
 
@@ -528,22 +537,30 @@ def test_one_original_gathers_hundreds_of_copies(spark):
 ITEMS = [(1, BASE[:400]), (2, None), (3, ""), (4, "!!"), (5, "one two"), (6, " ".join(LONG.split()[500:530])), (7, " ".join(LONG.split()[500:530])), (None, prose(20)), (8, "one")]
 
 
-def contaminated(texts, items):
-    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
-    windows = defaultdict(set)
+def folded(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+
+
+def matches(text, items):
+    """Every match of a window (or whole shorter item) that can't be made longer: (-length, doc_start, item, item_start)."""
+    w, out = folded(text), set()
     for i, t in items:
-        w = find(t)
-        for k in range(max(1, len(w) - 12) if w else 0):
-            windows[tuple(w[k : k + 13])].add(str(i))
+        v = folded(t)
+        for a, b in itertools.product(range(len(w)), range(len(v))):
+            if w[a] == v[b] and (not a or not b or w[a - 1] != v[b - 1]):
+                n = next((k for k in range(min(len(w) - a, len(v) - b)) if w[a + k] != v[b + k]), min(len(w) - a, len(v) - b))
+                if n >= min(13, len(v)):
+                    out.add((-n, a, str(i), b))
+    return out
+
+
+def contaminated(texts, items):
     out = Counter()
     for i, t in texts:
-        w, hit, items_ = find(t), set(), set()
-        for k in range(len(w)):
-            for n in range(1, 14):
-                if k + n <= len(w) and tuple(w[k : k + n]) in windows:
-                    hit.update(range(k, k + n))
-                    items_ |= windows[tuple(w[k : k + n])]
-        out[i, len(w), len(hit), len(items_), hashlib.sha256(",".join(sorted(items_)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)] += 1
+        found, n = matches(t, items), len(folded(t))
+        hit, names = {k for m in found for k in range(m[1], m[1] - m[0])}, sorted({m[2] for m in found})
+        best = min(found, default=None)
+        out[i, n, len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= n, *((-best[0], best[2], best[3], best[1]) if best else (None,) * 4)] += 1
     return out
 
 
@@ -553,15 +570,31 @@ def test_contamination(spark, docs, none, block_words):
     want = contaminated(TEXTS, ITEMS)
     assert Counter(tuple(r) for r in decontam.contamination(docs, benchmark, block_words=block_words).collect()) == want
     clean = decontam.cleaned(docs, benchmark, block_words=block_words)
-    assert clean.columns == docs.columns and Counter(r.doc_id for r in clean.collect()) == Counter({k: n for k, n in Counter(x[0] for x in want.elements() if not x[-1]).items()})
+    assert clean.columns == docs.columns and Counter(r.doc_id for r in clean.collect()) == Counter({k: n for k, n in Counter(x[0] for x in want.elements() if not x[5]).items()})
     assert decontam.contamination(none, benchmark).count() == 0
     assert decontam.contamination(docs, benchmark.limit(0)).where("contaminated or n_items > 0").count() == 0
 
 
 def test_longest_matches(spark, docs):
-    items = [(6, " ".join([*LONG.split()[500:530], "zzz", *LONG.split()[100:150]]))]
-    found = [r for r in decontam.longest_matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect() if r.doc_id == 10]
-    assert {(r.item_start, r.doc_start, r.length) for r in found} >= {(0, 500, 30), (31, 100, 50)} or {r.doc_id for r in found} <= {10, 11}
+    """All of them, in every document, where items and documents repeat themselves."""
+    r = random.Random(4)
+    few = ["a", "b", "c"]
+    texts = [(k, " ".join(r.choice(few[: 1 + k % 3]) for _ in range(r.randint(0, 60)))) for k in range(40)] + [(50, LONG), (51, None)]
+    items = [(6, " ".join([*LONG.split()[500:530], "zzz", *LONG.split()[100:150]])), (7, "a " * 30), (8, "a b c a"), (9, " ".join(r.choice("ab") for _ in range(50))), (9, "a " * 14)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    for words in (10**6, 30):
+        found = decontam.longest_matches(table, spark.createDataFrame(items, "item_id long, text string"), block_words=words).collect()
+        assert {(x.doc_id, -x.length, x.doc_start, str(x.item_id), x.item_start) for x in found} == {(i, *m) for i, t in texts for m in matches(t, items)}
+
+
+def test_an_item_of_a_hundred_thousand_words(spark):
+    r = random.Random(7)
+    words = [str(r.randint(0, 50_000)) for _ in range(100_000)]
+    texts = [(1, " ".join(words)), (2, " ".join(words[70_000:70_040])), (3, "x " * 30_000), (4, " ".join(words[::-1]))]
+    items = [(1, " ".join(words)), (2, "x " * 20_000)]
+    got = {x.doc_id: x for x in decontam.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [(got[k].longest, got[k].longest_item, got[k].item_start, got[k].doc_start, got[k].contaminated) for k in (1, 2, 3)] == [(100_000, "1", 0, 0, True), (40, "1", 70_000, 0, True), (20_000, "2", 0, 0, True)]
+    assert got[4].longest is None
 
 
 def test_longest_matches_are_found_in_full(spark, docs):
