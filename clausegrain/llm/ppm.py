@@ -1,79 +1,64 @@
 """Language-model scores: prediction by partial matching over bytes, beside an add-one unigram baseline.
 
-Counts of byte contexts come from all training documents in one aggregation. Those of order 4 grow with the corpus, so they
-are scored in blocks of about BLOCK_GRAMS grams, one pass over the documents for each; order 2 makes one trie of 2^24 nodes at most. A symbol unseen
-in a context costs that context's escape (method C: distinct symbols against all occurrences) and is sought one level
-below, where symbols that the longer context has are excluded; below the root all symbols left are alike. As the
-pretrained trie doesn't change while scoring, the code length of each (context, symbol) is worked out once, escapes
-and exclusion included, and a text's score is a sum of look-ups.
+Counts of byte contexts come from all training documents in one aggregation: the trie of order 4 is a table of grams (four
+bytes of context and a symbol) that grows with the corpus, cut into blocks of about BLOCK_GRAMS grams by the context's two nearest
+bytes. A symbol unseen in a context costs that context's escape (method C: distinct symbols against all occurrences) and is
+sought one level below, where symbols that the longer context has are excluded; below the root all symbols left are alike.
+
+Texts are read once, into units of some UNIT_BYTES, kept in the shared folder. A unit's distinct grams meet the blocks they belong to, a task
+for a block and a share of the units, and their costs come back to the unit, where a document's score is the sum over
+its bytes. So work and tables grow with the corpus, a task's memory doesn't, and no pass over the texts depends on the size of the trie.
 
 Baseline counts of frequent words (FREQUENT of them, at most LONGEST bytes each: some 20 MB) travel to the tasks;
-all other words are joined with the whole vocabulary, so no word is left out.
+all other words are joined with the whole vocabulary, so no word is left out. Words of more than LONGEST bytes go by their SHA-256.
 
 Defined results: null and empty texts have just the end token and score 0; a null id trains; repeated rows are
-counted and scored as often as they come; without training text every byte costs log10(256).
+counted and scored as often as they come; without training text every byte costs log10(256); further columns of any name are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import zstandard
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from clausegrain.llm.common import as_bytes, map_batches, materialize
+from clausegrain.llm.common import as_bytes, materialize, sliced
 
-ORDER = 2
-#: The higher order, and grams of a block: a task holds one block, whatever the corpus.
-DEEP, BLOCK_GRAMS = 4, 1 << 22
+#: The longest context, and grams of a block: a task holds one block, whatever the corpus.
+ORDER, BLOCK_GRAMS = 4, 1 << 20
+#: Bytes of text in a unit, and of a block's looked-up grams in a task, about.
+UNIT_BYTES, TASK_BYTES = 4 << 20, 256 << 20
 FREQUENT, LONGEST = 1 << 18, 64
-#: Distinct words that a task gathers before it sends them on.
+#: Distinct words or grams that a task gathers before it sends them on.
 GATHERED = 300_000
+CODE = (1 << 40) - 1
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of byte contexts: every third byte with the two before it, and each text's first two bytes
-    with the shorter contexts they have. Codes: 3 bytes; 2 bytes + 2^24; 1 byte + 2^25."""
-    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.int32)
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    start = np.concatenate(([0], np.cumsum(size)[:-1]))
-    first, second = start[size > 0], start[size > 1]
-    codes = [(1 << 25) + raw[first], (1 << 24) + (raw[second] << 8) + raw[second + 1]]
-    if len(raw) > 2:
-        three = (raw[:-2] << 16) + (raw[1:-1] << 8) + raw[2:]
-        whole = np.ones(len(three), bool)
-        ends = start + size
-        for back in (2, 1):
-            cut = ends - back
-            whole[cut[(cut >= 0) & (cut < len(three))]] = False
-        codes.append(three[whole])
-    return np.unique(np.concatenate(codes), return_counts=True)
-
-
-def deep_codes(texts: list[bytes]) -> np.ndarray:
-    """A code for each byte: its nearest byte before it in bits 32-39, the next in 24-31, to the fourth in 8-15, itself in 0-7, and above how many of the four the text lacks."""
-    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    back = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
-    out = raw + (np.maximum(DEEP - back, 0) << 40)
-    for j in range(1, DEEP + 1):
-        out[j:] += np.where(back[j:] >= j, raw[:-j], 0) << 8 * (DEEP + 1 - j)
+def codes_of(text: bytes, size: np.ndarray) -> np.ndarray:
+    """A code for each byte of joined texts: the byte before it in bits 32-39, the next in 24-31, to the fourth in 8-15, itself in 0-7, and above how many of the four its text lacks."""
+    raw = np.frombuffer(text, np.uint8)
+    end = np.cumsum(size)
+    out = raw.astype(np.int64)
+    for j in range(1, ORDER + 1):
+        out[j:] |= raw[:-j].astype(np.int64) << 8 * (ORDER + 1 - j)
+    for k in range(ORDER):  # the first bytes of each text have shorter contexts
+        at = (end - size + k)[size > k]
+        out[at] = (out[at] & (CODE >> 8 * (ORDER - k) << 8 * (ORDER - k) | 255)) | (ORDER - k) << 40
     return out
 
 
-def deep_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(deep_codes(texts), return_counts=True)
-
-
 def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct codes in order, with their summed counts."""
     order = np.argsort(codes, kind="stable")
@@ -82,111 +67,95 @@ def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def training_counts(docs: DataFrame, grams=grams) -> DataFrame:
-    """word (or null), gram (or null) and n over all training texts; a gram of -1 counts the texts."""
+def key_of(word: bytes) -> bytes:
+    return word if len(word) <= LONGEST else b"\0" + hashlib.sha256(word).digest()  # no word holds white space, any may hold a null
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(words: list, codes: list, n: list) -> Iterator[pa.RecordBatch]:
-            made = pa.RecordBatch.from_arrays([words if isinstance(words, pa.Array) else pa.array(words, pa.binary()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["word", "gram", "n"])
-            for at in range(0, made.num_rows, 20_000):
-                yield made.slice(at, 20_000)
 
-        found: Counter = Counter()
-        held: list[tuple] = []
-        for batch in batches:
-            texts = [x.lower() for x in as_bytes(batch.column("text"))]
-            held += [grams(texts), (np.array([-1]), np.array([len(texts)]))]
-            if sum(len(c) for c, _ in held) > 4 * GATHERED:
-                codes, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
-                held = [(codes, n)]
-                if len(codes) > 2 * GATHERED:
-                    yield from out(pa.nulls(len(codes), pa.binary()), codes, n)
-                    held = []
-            for x in texts:
-                found.update(x.split())
-                if len(found) > GATHERED:
-                    yield from out(list(found), [None] * len(found), list(found.values()))
-                    found.clear()
-        if held:
-            codes, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
-            yield from out(pa.nulls(len(codes), pa.binary()), codes, n)
-        if found:
-            yield from out(list(found), [None] * len(found), list(found.values()))
-
-    made = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(run, "word binary, gram long, n long")
-    return made.groupBy("word", "gram").agg(F.sum("n").alias("n"))
-
-
-class Trie:
-    """Log10 probabilities of each symbol in each context: rows[context of two bytes] tells the row of costs."""
-
-    def __init__(self, codes: np.ndarray, n: np.ndarray):
-        three, two, one = codes < 1 << 24, (codes >= 1 << 24) & (codes < 1 << 25), codes >= 1 << 25
-        contexts, at = np.unique(codes[three] >> 8, return_inverse=True)
-        deep = np.zeros((len(contexts), 256))
-        deep[at, codes[three] & 255] = n[three]
-        flat = np.zeros((256, 256))
-        np.add.at(flat, (contexts & 255,), deep)
-        np.add.at(flat, ((codes[two] >> 8) & 255, codes[two] & 255), n[two])
-        root = flat.sum(0)
-        np.add.at(root, codes[one] & 255, n[one])
-        costs = [_costs([root[None]]), _costs([flat, root[None]])]
-        for at in range(0, len(contexts), 1024):
-            part = slice(at, at + 1024)
-            costs.append(_costs([deep[part], flat[contexts[part] & 255], root[None]]))
-        self.costs = np.concatenate(costs).astype(np.float32)
-        self.rows = np.tile(np.arange(1, 257, dtype=np.int32), 256)  # unseen: the row of the last byte
-        self.rows[contexts] = np.arange(257, 257 + len(contexts))
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.int32)
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        start = np.concatenate(([0], np.cumsum(size)[:-1]))
-        row = np.zeros(len(raw), np.int32)
-        if len(raw) > 2:
-            row[2:] = self.rows[(raw[:-2] << 8) + raw[1:-1]]
-        second = start[size > 1]
-        row[second + 1] = 1 + raw[second]
-        row[start[size > 0]] = 0
-        cost = self.costs.ravel()[row * 256 + raw]
-        upto = np.concatenate(([0.0], np.cumsum(cost, dtype=np.float64)))
-        return upto[start + size] - upto[start]
-
-
-def _costs(levels: list[np.ndarray]) -> np.ndarray:
-    """Log10 probability of the 256 symbols, from the counts in the longest context, the next shorter, and so on."""
-    rows = len(levels[0])
-    out = np.zeros((rows, 256))
-    spent = np.zeros((rows, 1))  # log10 of the escapes so far
-    left = np.ones((rows, 256), bool)  # symbols not yet excluded
-    with np.errstate(divide="ignore"):
-        for level in levels:
-            seen = np.where(left, np.broadcast_to(level, (rows, 256)), 0)
-            total, distinct = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-            here = seen > 0
-            all_of = np.maximum(total + distinct, 1)
-            out = np.where(here, spent + np.log10(np.maximum(seen, 1) / all_of), out)
-            left &= ~here
-            spent = spent + np.where(distinct > 0, np.log10(np.maximum(distinct, 1) / all_of), 0)
-        return np.where(left, spent - np.log10(np.maximum(left.sum(1, keepdims=True), 1)), out)
+MEASURED = "unit binary, doc_id array<long>, held array<boolean>, size array<long>, text binary, codes binary, word binary, gram long, n long"
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """Rows of three kinds: units (unit, doc_id, held, size, text, codes: the distinct codes of all texts), counted training words
+    (word, n), and counted training grams (gram, n), a gram of -1 counting the texts."""
+    names = [f.split()[0] for f in MEASURED.split(", ")]
+    kinds = dict(zip(names, (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True))
+
+    def out(**columns) -> Iterator[pa.RecordBatch]:
+        n = len(next(iter(columns.values())))
+        made = pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[c]) if c in columns else pa.nulls(n, kinds[c]) for c in names], names)
+        for at in range(0, n, 20_000):
+            yield made.slice(at, 20_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        words: Counter = Counter()
+        grams: list[tuple] = []
+        texts: list[bytes] = []
+        ids: list[int | None] = []
+        held: list[bool] = []
+
+        def unit() -> Iterator[pa.RecordBatch]:
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            text = b"".join(texts)
+            train = ~np.array(held, bool)
+            key = codes_of(text, size) << 1 | np.repeat(train, size)
+            key.sort()
+            first = np.flatnonzero(np.concatenate(([True], key[1:] >> 1 != key[:-1] >> 1))) if len(key) else np.zeros(0, np.int64)
+            codes = key[first] >> 1
+            n = np.add.reduceat(key & 1, first) if len(first) else codes
+            grams.extend([(codes[n > 0], n[n > 0]), (np.array([-1]), np.array([int(train.sum())]))])
+            yield from out(unit=[uuid.uuid4().bytes], doc_id=[ids], held=[held], size=[size], text=[pack.compress(text)], codes=[pack.compress(codes.tobytes())])
+            for x, trains in zip(texts, train, strict=True):
+                if trains:
+                    words.update(x.split())
+                if len(words) > GATHERED:
+                    yield from sent()
+            if sum(len(c) for c, _ in grams) > 4 * GATHERED:
+                grams[:] = [_summed(*map(np.concatenate, zip(*grams, strict=True)))]
+                if len(grams[0][0]) > 2 * GATHERED:
+                    yield from out(gram=grams[0][0], n=grams[0][1])
+                    grams.clear()
+            for x in (texts, ids, held):
+                x.clear()
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            yield from out(word=list(map(key_of, words)), n=list(words.values()))
+            words.clear()
+
+        for batch in sliced(batches, 500, UNIT_BYTES):
+            lowered = [x.lower() for x in as_bytes(batch.column("text"))]
+            texts += lowered
+            ids += batch.column("doc_id").to_pylist()
+            held += batch.column("held").to_pylist()
+            if sum(map(len, texts)) >= UNIT_BYTES:
+                yield from unit()
+        if texts:
+            yield from unit()
+        if words:
+            yield from sent()
+        if grams:
+            codes, n = _summed(*map(np.concatenate, zip(*grams, strict=True)))
+            yield from out(gram=codes, n=n)
+
+    return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held")).mapInArrow(run, MEASURED)
 
 
 class Block:
-    """Part of the trie of order 4: the contexts whose two nearest bytes are in a range (lo to hi), below them all of one byte and of none.
+    """Part of the trie: the contexts of a range of two nearest bytes, below them all of one byte and of none.
 
     The symbols seen in a context are seen in all shorter ones, so what is excluded there depends on the context alone. Of each
     context are kept the log10 of its denominator and escape, as the longest (own) and for one level less, come from it (after)."""
 
-    def __init__(self, codes: np.ndarray, n: np.ndarray, flat: np.ndarray, root: np.ndarray, lo: int = 0, hi: int = 1 << 16, first: bool = True):
-        self.lo, self.hi, self.first = lo, hi, first
+    def __init__(self, codes: np.ndarray, n: np.ndarray, flat: np.ndarray, root: np.ndarray, order: int = ORDER):
+        self.order = order
         self.left = math.log10(max(1, 256 - int((root > 0).sum())))
         symbols = np.arange(256)
         at1, s1 = np.nonzero(flat)
         levels = {0: (symbols[root > 0], root[root > 0]), 1: ((at1 << 8) + s1, flat[at1, s1])}
-        plain, had = codes & (1 << 40) - 1, DEEP - (codes >> 40)
-        for j in range(2, DEEP + 1):
+        plain, had = codes & CODE, ORDER - (codes >> 40)
+        for j in range(2, order + 1):
             on = had >= j
-            levels[j] = _summed((plain[on] >> 8 * (DEEP + 1 - j) << 8) + (plain[on] & 255), n[on])
+            levels[j] = _summed((plain[on] >> 8 * (ORDER + 1 - j) << 8) + (plain[on] & 255), n[on])
         self.keys = {j: k for j, (k, _) in levels.items()}
         self.logs = {j: np.log10(v).astype(np.float32) for j, (_, v) in levels.items()}
         self.contexts, self.own, self.after = {}, {}, {}
@@ -206,12 +175,12 @@ class Block:
 
     def costs(self, codes: np.ndarray) -> np.ndarray:
         """Log10 probability of each code's symbol."""
-        plain, had = codes & (1 << 40) - 1, DEEP - (codes >> 40)
+        plain, had = codes & CODE, ORDER - (codes >> 40)
         out, spent = np.zeros(len(codes)), np.zeros(len(codes))
         open_, came = np.arange(len(codes)), np.full(len(codes), -1)
-        for j in range(DEEP, -1, -1):
+        for j in range(self.order, -1, -1):
             on = open_[had[open_] >= j]
-            context = plain[on] >> 8 * (DEEP + 1 - j)
+            context = plain[on] >> 8 * (ORDER + 1 - j)
             at, there = _found(self.contexts[j], context)
             on, at, context = on[there], at[there], context[there]
             denominator, escape = self.own[j][0][at], self.own[j][1][at]
@@ -228,20 +197,6 @@ class Block:
         out[open_] = spent[open_] - self.left
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Of each text, the sum over the bytes whose contexts are in the block."""
-        codes = deep_codes(texts)
-        pair = codes >> 24 & 0xFFFF
-        short = codes >> 40 > DEEP - 2  # fewer than two bytes before it: the first block's
-        mine = np.flatnonzero(np.where(short, self.first, (pair >= self.lo) & (pair < self.hi)))
-        distinct, at = np.unique(codes[mine], return_inverse=True)
-        cost = np.zeros(len(codes))
-        cost[mine] = self.costs(distinct)[at]
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        end, upto = np.cumsum(size), np.concatenate(([0.0], np.cumsum(cost)))
-        return upto[end] - upto[end - size]
-
-
 def _parts(total: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log10 of a context's denominator and of its escape; a context without symbols costs nothing."""
     denominator = np.log10(np.maximum(total + distinct, 1))
@@ -255,84 +210,188 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
-def blocks(counts: DataFrame, most: int) -> Iterator[Block]:
-    """The trie of order 4 of counted grams (gram, n) in blocks of about so many grams."""
-    near = counts.groupBy(F.expr("shiftright(gram, 32) & 255").alias("c"), F.expr("gram & 255").alias("s"), F.expr("gram >= shiftleft(4L, 40)").alias("none")).agg(F.sum("n").alias("n")).toArrow()  # 2^17 rows at most
-    c, s, n, none = (near.column(k).to_numpy() for k in ("c", "s", "n", "none"))
-    flat, root = np.zeros((256, 256), np.int64), np.zeros(256, np.int64)
-    np.add.at(root, s, n)
-    np.add.at(flat, (c[~none], s[~none]), n[~none])
-    deep = counts.where("gram < shiftleft(3L, 40)").withColumn("pair", F.expr("shiftright(gram, 24) & 65535"))
-    sizes = sorted((r[0], r[1]) for r in deep.groupBy("pair").count().collect())  # 2^16 rows at most
-    cuts, held = [0], 0
-    for pair, k in sizes:
-        if held and held + k > most:
-            cuts.append(pair)
-            held = 0
-        held += k
-    for lo, hi in zip(cuts, [*cuts[1:], 1 << 16], strict=True):
-        part = deep.where((F.col("pair") >= lo) & (F.col("pair") < hi)).select("gram", "n").toArrow()
-        yield Block(part.column("gram").to_numpy(), part.column("n").to_numpy(), flat, root, lo, hi, lo == 0)
+class Cuts:
+    """Where the blocks begin, in pairs of nearest bytes; and the counts of contexts of one byte and of none."""
+
+    def __init__(self, counts: DataFrame, most: int):
+        near = counts.groupBy(F.expr("shiftright(gram, 32) & 255").alias("c"), F.expr("gram & 255").alias("s"), F.expr("gram >= shiftleft(4L, 40)").alias("none")).agg(F.sum("n").alias("n")).toArrow()  # 2^17 rows at most
+        c, s, n, none = (near.column(k).to_numpy() for k in ("c", "s", "n", "none"))
+        self.flat, self.root = np.zeros((256, 256), np.int64), np.zeros(256, np.int64)
+        np.add.at(self.root, s, n)
+        np.add.at(self.flat, (c[~none], s[~none]), n[~none])
+        pairs = counts.groupBy(F.expr("IF(gram >= shiftleft(3L, 40), 0, shiftright(gram, 24) & 65535)").alias("pair")).count().collect()  # 2^16 rows at most
+        begin, held = [0], 0
+        for pair, k in sorted((r[0], r[1]) for r in pairs):
+            if held and held + k > most:
+                begin.append(pair)
+                held = 0
+            held += k
+        self.begin = np.array(begin)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """The block of each code; those with less than two bytes of context are the first one's."""
+        return np.where(codes >> 40 > ORDER - 2, 0, np.searchsorted(self.begin, codes >> 24 & 0xFFFF, "right") - 1)
+
+    def dealt(self, codes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of the codes by block, and each block's part of it."""
+        block = self.of(codes)
+        order = np.argsort(block, kind="stable")
+        edge = np.flatnonzero(np.diff(block[order], prepend=-1)).tolist()
+        return order, [(int(block[order[a]]), a, b) for a, b in zip(edge, [*edge[1:], len(codes)], strict=True)]
+
+
+def costs(units: DataFrame, counts: DataFrame, cuts: Cuts, order: int) -> DataFrame:
+    """unit, block, costs: for each unit and block, log10 probabilities of the unit's distinct codes in the block, as float32 in the order that cuts deals them."""
+    held = units.sparkSession.sparkContext.broadcast(cuts)
+    size = counts.agg(F.count("*")).first()[0]
+    looked_up = units.agg(F.coalesce(F.sum("n_codes"), F.lit(0))).first()[0]
+    shares = max(1, math.ceil(8 * looked_up / len(cuts.begin) / TASK_BYTES))  # tasks that share a block's look-ups, each with the block's own table
+    ends = "block int, share int, unit binary, codes binary, n binary"
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+    def rows(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], ["block", "share", "unit", "codes", "n"])
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, n = (batch.column(c).to_numpy() for c in ("gram", "n"))
+            by, parts = held.value.dealt(codes)
+            if parts:
+                yield rows([(block, share, None, codes[by[a:b]].tobytes(), n[by[a:b]].tobytes()) for block, a, b in parts for share in range(shares)])
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in sliced(batches, 8):
+            for unit, packed in zip(batch.column("unit").to_pylist(), batch.column("codes").to_pylist(), strict=True):
+                codes = np.frombuffer(unpack.decompress(packed), np.int64)
+                by, parts = held.value.dealt(codes)
+                if parts:
+                    yield rows([(block, unit[0] % shares, unit, codes[by[a:b]].tobytes(), None) for block, a, b in parts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, now, gathered, trie = held.value, None, [], None
+        for batch in batches:
+            out = []
+            for block, share, unit, codes, n in zip(*(batch.column(c).to_pylist() for c in ("block", "share", "unit", "codes", "n")), strict=True):
+                if (block, share) != now:
+                    now, gathered, trie = (block, share), [], None
+                codes = np.frombuffer(codes, np.int64)
+                if unit is None:
+                    gathered.append((codes, np.frombuffer(n, np.int64)))
+                    continue
+                if trie is None:
+                    empty = np.zeros(0, np.int64)
+                    trie, gathered = Block(*_summed(*map(np.concatenate, zip(*gathered, (empty, empty), strict=True))), cuts.flat, cuts.root, order), []
+                out.append((unit, block, trie.costs(codes).astype(np.float32).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.binary()), strict=True)], ["unit", "block", "costs"])
+
+    both = counts.select("gram", "n").mapInArrow(table, ends).unionByName(units.select("unit", "codes").mapInArrow(wanted, ends))
+    parts = max(1, len(cuts.begin) * shares, math.ceil(size / BLOCK_GRAMS))
+    met = both.repartition(parts, "block", "share").sortWithinPartitions("block", "share", F.col("unit").asc_nulls_first())
+    return met.mapInArrow(run, "unit binary, block int, costs binary")
 
 
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    if order not in (ORDER, DEEP):
-        raise ValueError(f"tries are of order {ORDER} or {DEEP}")
-    counts = materialize(training_counts(docs, grams if order == ORDER else deep_grams), "counts")
-    vocabulary = counts.where("word is not null").select("word", "n")
+    if order not in range(1, ORDER + 1):
+        raise ValueError(f"orders are 1 to {ORDER}")
+    found = materialize(measured(docs), "measured")
+    counts = materialize(found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    vocabulary = materialize(found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     texts = counts.where("gram = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    more = iter(())
-    if order == ORDER:
-        gram = counts.where("gram >= 0").select("gram", "n").toArrow()  # at most 2^24 + 2^16 + 2^8 rows
-        trie = Trie(gram.column("gram").to_numpy(), gram.column("n").to_numpy())
-    else:
-        more = blocks(counts.where("gram >= 0").select("gram", "n"), BLOCK_GRAMS)
-        trie = next(more)
     train_tokens, distinct = total[0] + texts, total[1] + (texts > 0)
-    frequent = vocabulary.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
-    known = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), np.log10(frequent.column("n").to_numpy() + 1.0).tolist(), trie))
     floor = math.log10(train_tokens + distinct + 1)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        words, logs, trie = known.value
-        of = run.__dict__.get("of") or run.__dict__.setdefault("of", dict(zip(words, logs, strict=True)))
-        lowered = [x.lower() for x in as_bytes(batch.column("text"))]
-        out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "logs", "rare")}
-        for x in lowered:
-            split = x.split()
-            found = np.array([of.get(w, -1.0) for w in split])
-            missing = found < 0
-            out["n_tokens"].append(len(split) + 1)
-            out["n_known"].append(len(split) - int(missing.sum()) + (texts > 0))
-            out["logs"].append(float(found[~missing].sum()) + math.log10(texts + 1))
-            out["rare"].append([{"word": w, "k": k} for w, k in Counter(split[i] for i in np.flatnonzero(missing).tolist()).items()])
-        base = uuid.uuid4().int >> 65 & ~0xFFFFF
-        return {"row": [base + k for k in range(batch.num_rows)], "doc_id": batch.column("doc_id"), "key": batch.column("key"), "held_out": batch.column("held_out"), "score": trie.scores(lowered), "n_bytes": [len(x) for x in lowered]} | out
-
-    schema = "row long, doc_id long, key long, held_out boolean, n_tokens long, n_known long, logs double, rare array<struct<word binary, k long>>, score double, n_bytes long"
-    keyed = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64("doc_id", "text").alias("key"))
-    found = materialize(map_batches(keyed, run, schema), "scored")
-    known.destroy()
-    passes = []
-    for block in more:
-        held = spark.sparkContext.broadcast(block)
-
-        def again(batch: pa.RecordBatch, held=held) -> dict:
-            return {"key": batch.column("key"), "more": held.value.scores([x.lower() for x in as_bytes(batch.column("text"))])}
-
-        # Equal rows have equal scores.
-        passes.append(materialize(map_batches(keyed.select("key", "text"), again, "key long, more double").dropDuplicates(["key"]), "pass"))
-        held.destroy()
-    if passes:
-        added = reduce(DataFrame.unionByName, passes).groupBy("key").agg(F.sum("more").alias("more"))
-        found = found.join(added, "key").withColumn("score", F.col("score") + F.col("more")).drop("more")
-    rare = found.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k").join(vocabulary, "word")
-    more = rare.groupBy("row").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_logs"))
+    grams = counts.where("gram >= 0")
+    cuts = Cuts(grams, BLOCK_GRAMS)
+    units = found.where("unit is not null")
+    priced = costs(units.select("unit", "codes", F.expr("aggregate(size, 0L, (a, x) -> a + x)").alias("n_codes")), grams, cuts, order)  # bytes: no fewer than codes
+
+    frequent = vocabulary.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    known = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), np.log10(frequent.column("n").to_numpy() + 1.0).tolist(), cuts))
+    none = lambda kind: F.lit(None).cast(kind)
+    texts_of = units.select("unit", F.lit(-1).alias("block"), "doc_id", "held", "size", F.col("text").alias("blob"))
+    costs_of = priced.select("unit", "block", none("array<long>").alias("doc_id"), none("array<boolean>").alias("held"), none("array<long>").alias("size"), F.col("costs").alias("blob"))
+    met = texts_of.unionByName(costs_of).repartition("unit").sortWithinPartitions("unit", "block")
+    schema = "unit binary, k int, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, rare array<struct<word binary, k long>>, score double, n_bytes long"
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, logs, cuts = known.value
+        of = dict(zip(words, logs, strict=True))
+        ends = zstandard.ZstdDecompressor()
+        now: tuple | None = None
+        pieces: list[bytes] = []
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            unit, ids, held, size, packed = now
+            text, size = ends.decompress(packed), np.array(size, np.int64)
+            score = _by_text(text, size, cuts, np.frombuffer(b"".join(pieces), np.float32).astype(float))
+            rows: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "logs", "rare")}
+            stop = np.cumsum(size)
+            for a, b in zip((stop - size).tolist(), stop.tolist(), strict=True):
+                split = text[a:b].split()
+                each = np.array([of.get(w if len(w) <= LONGEST else key_of(w), -1.0) for w in split])
+                missing = each < 0
+                rows["n_tokens"].append(len(split) + 1)
+                rows["n_known"].append(len(split) - int(missing.sum()) + (texts > 0))
+                rows["logs"].append(float(each[~missing].sum()) + math.log10(texts + 1))
+                rows["rare"].append([{"word": key_of(w), "k": k} for w, k in Counter(split[i] for i in np.flatnonzero(missing).tolist()).items()])
+            rows |= {"unit": [unit] * len(ids), "k": range(len(ids)), "doc_id": ids, "held_out": held, "score": score, "n_bytes": size}
+            made = pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in out], schema=out)
+            for at in range(0, made.num_rows, 2000):
+                yield made.slice(at, 2000)
+
+        for batch in sliced(batches, 64):
+            for unit, block, *meta, blob in zip(*(batch.column(c).to_pylist() for c in ("unit", "block", "doc_id", "held", "size", "blob")), strict=True):
+                if block >= 0:
+                    pieces.append(blob)
+                    continue
+                if now:
+                    yield from scored()
+                now, pieces = (unit, *meta, blob), []
+        if now:
+            yield from scored()
+
+    scored = materialize(met.mapInArrow(run, schema), "scored")
+    rare = scored.select("unit", "k", F.explode("rare").alias("r")).select("unit", "k", "r.word", F.col("r.k").alias("times")).join(vocabulary, "word")
+    more = rare.groupBy("unit", "k").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return found.drop("rare").join(more, "row", "left").select(
+    return scored.drop("rare").join(more, ["unit", "k"], "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + zero("more_logs") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score", "n_bytes",
     )
+
+
+def _by_text(text: bytes, size: np.ndarray, cuts: Cuts, priced: np.ndarray) -> np.ndarray:
+    """Of each of the joined texts, the sum of its bytes' costs; priced has those of the distinct codes as cuts deals them."""
+    codes = codes_of(text, size)
+    short = codes >> 40 > 0
+    # Sorted with their places in the low bits, codes need no permutation; the few with a flag above are looked up.
+    bits = max(1, len(codes).bit_length())
+    if bits <= 24:
+        key = (codes & CODE).astype(np.uint64) << np.uint64(bits) | np.arange(len(codes), dtype=np.uint64)
+        key = key[~short]
+        key.sort()
+        place, plain = (key & np.uint64((1 << bits) - 1)).astype(np.int64), (key >> np.uint64(bits)).astype(np.int64)
+    else:  # one text larger than 16 MB
+        place = np.flatnonzero(~short)
+        place = place[np.argsort(codes[place], kind="stable")]
+        plain = codes[place]
+    first = np.flatnonzero(np.diff(plain, prepend=-1))
+    rest = np.unique(codes[short])
+    distinct = np.concatenate((plain[first], rest))
+    by, _ = cuts.dealt(distinct)
+    if len(priced) != len(distinct):
+        raise ValueError(f"{len(priced)} costs for {len(distinct)} codes")
+    cost = np.empty(len(distinct))
+    cost[by] = priced
+    each = np.empty(len(codes))
+    each[place] = np.repeat(cost[: len(first)], np.diff(np.append(first, len(plain))))
+    each[short] = cost[len(first) + np.searchsorted(rest, codes[short])]
+    upto = np.concatenate(([0.0], np.cumsum(each)))
+    end = np.cumsum(size)
+    return upto[end] - upto[end - size]

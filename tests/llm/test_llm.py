@@ -357,7 +357,7 @@ def test_loser_tree():
 
 def test_ppm_scores(docs, none, monkeypatch):
     monkeypatch.setattr(ppm, "FREQUENT", 10)
-    got = sorted(ppm.scores(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    got = sorted(ppm.scores(docs, 2).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
     train = [low(t) for i, t in TEXTS if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
     c, contexts = Counter(), defaultdict(Counter)
     for t in train:
@@ -388,15 +388,26 @@ def test_ppm_scores(docs, none, monkeypatch):
 
 
 def test_trie_gives_probabilities():
-    codes, n = ppm.grams([b"abracadabra", b"", b"a", b"ab"])
-    trie = ppm.Trie(codes, n)
-    assert np.allclose((10.0 ** trie.costs.astype(float)).sum(1), 1, atol=1e-5)
+    texts = [b"abracadabra", b"", b"a", b"ab", b"cadabra abra"]
+    size = np.array(list(map(len, texts)))
+    codes, n = np.unique(ppm.codes_of(b"".join(texts), size), return_counts=True)
+    flat, root = np.zeros((256, 256), np.int64), np.zeros(256, np.int64)
+    for t in texts:
+        for k in range(len(t)):
+            root[t[k]] += 1
+            if k:
+                flat[t[k - 1], t[k]] += 1
+    trie = ppm.Block(codes, n, flat, root)
+    for context in [*(int(c) >> 8 for c in codes), int.from_bytes(b"zzab"), int.from_bytes(b"acad"[::-1])]:
+        assert math.isclose((10.0 ** trie.costs((context << 8) + np.arange(256))).sum(), 1, abs_tol=1e-5)
 
 
 @pytest.mark.parametrize("grams", [1 << 22, 500])
 def test_ppm_scores_of_the_higher_order(docs, none, monkeypatch, grams):
-    """In one block and in several: the costs of the order that the query has."""
+    """In one block and in several, in one unit and in several: the costs of the order that the query has."""
     monkeypatch.setattr(ppm, "BLOCK_GRAMS", grams)
+    monkeypatch.setattr(ppm, "UNIT_BYTES", 8 * grams)
+    monkeypatch.setattr(ppm, "TASK_BYTES", 2000 * grams)
     contexts = defaultdict(Counter)
     for t in (low(t) for i, t in TEXTS if i is None or zlib.crc32(str(i).encode()) % 7 != 2):
         b = t.encode()
@@ -416,11 +427,11 @@ def test_ppm_scores_of_the_higher_order(docs, none, monkeypatch, grams):
         return out - math.log10(256 - len(gone))
 
     of = lambda r: (r[0] is None, r[0] or 0)
-    got = sorted(((r.doc_id, r.score) for r in ppm.scores(docs, ppm.DEEP).collect()), key=of)
+    got = sorted(((r.doc_id, r.score) for r in ppm.scores(docs).collect()), key=of)
     for (i, score), (j, t) in zip(got, sorted(TEXTS, key=of), strict=True):
         b = low(t).encode()
         assert i == j and math.isclose(score, sum(p(b[max(0, k - 4) : k], b[k]) for k in range(len(b))), rel_tol=1e-5, abs_tol=1e-5)
-    assert ppm.scores(none, ppm.DEEP).count() == 0
+    assert ppm.scores(none).count() == 0
 
 
 # ---------------------------------------------------------------- near-duplicates
