@@ -54,10 +54,12 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000, most: int = 32 <
             yield batch.slice(at, step)
 
 
-def kept_in_worker(key: str, make: Callable):
-    """What make() gives, made once in a Python worker's life: a task's own copy of this package ends with the task."""
+def kept_in_worker(name: str, owner: str, make: Callable):
+    """What make() gives, kept under the name in a Python worker's life (a task's own copy of this package ends with the task) until another owner asks."""
     held = sys.modules.setdefault("clausegrain_worker_state", types.ModuleType("clausegrain_worker_state")).__dict__
-    return held[key] if key in held else held.setdefault(key, make())
+    if held.get(name, ("",))[0] != owner:
+        held[name] = (owner, make())
+    return held[name][1]
 
 
 def free(taken: list[str], name: str) -> str:

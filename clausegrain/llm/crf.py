@@ -19,6 +19,7 @@ NONE = ("none",)
 class Crf:
     """tags[0] is outside. describe(word) gives a word's features."""
 
+    #: Words and signatures that are remembered at most.
     KEPT = 100_000
 
     def __init__(self, tags: Sequence[str], describe: Callable[[bytes], tuple]):
@@ -57,8 +58,7 @@ class Crf:
             at_tag[np.nonzero(inside)[0], np.nonzero(inside)[1], gold[inside]] -= 1
             grad = np.zeros_like(self.weights)
             for j, p in enumerate(places):
-                by = np.zeros((len(known), k))
-                np.add.at(by, p[inside], at_tag[inside])
+                by = np.stack([np.bincount(p[inside], at_tag[inside][:, t], len(known)) for t in range(k)], 1)
                 grad[j] = has.T @ by
             pairs -= self._counted(gold, inside)
             for x, g, s in ((self.weights, grad, squares[0]), (self.step, pairs, squares[1])):
@@ -134,6 +134,8 @@ class Crf:
     def spans(self, texts: list[list[bytes]], files: list[tuple] | None = None) -> list[list[tuple[int, int, int]]]:
         """Of each text, the spans (tag that begins it, first word, word after the last). Tags come as outside, then begin and inside of each kind."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        if len(self.signatures) > self.KEPT:
+            self.words, self.signatures, self.tables = {}, {}, None
         lead = self.certain()
         none, get = self._number(NONE), self.words.get
         rest = []  # (text, first word, scores)

@@ -237,7 +237,7 @@ def _sums_above(left: dict[int, int], low: int, high: int) -> bool:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenises, ends and cuts each document; chunk and rank tell which piece of its length it is within its task's batch."""
     def run(batch: pa.RecordBatch) -> dict:
-        encoder = kept_in_worker(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
+        encoder = kept_in_worker("encoder", tokenizer, lambda: Encoder(tokenizer))
         ids_of = batch.column("doc_id").to_pylist()
         texts = [x or "" for x in batch.column("text").to_pylist()]
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "chunk", "rank")}

@@ -1,12 +1,12 @@
 """Secrets: exact base rules, and a linear-chain conditional random field that tags words as begin, inside or outside.
 
-Its features are a word's shape (length, mix of letters, digits and cases, entropy), the two words beside it, and the
+Its features are a word's shape (length, mix of letters, digits and cases, changes between them, entropy), the two words beside it, and the
 file's kind (prose, settings, or code, told by the share of words with = : { } ;). It is trained on the driver from a
-small table of made-up lines of a fixed seed, and decoded by Viterbi. A span it finds must hold a mix of letters and
-digits of some entropy, and overlap no base span.
+small table of made-up lines of a fixed seed, and decoded by Viterbi. Every word of a span that it finds is a secret of its own, without the
+name and marks around it, unless it can't be one (short, letters with a number at an end, a date, an address) or overlaps a base span.
 
 Defined results: null and empty texts have no spans; a text's spans don't depend on other rows; repeated rows are
-judged alike; an empty table gives no rows.
+judged alike; an empty table gives no rows; further columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -48,9 +48,12 @@ def base(text: bytes) -> list[Span]:
 
 # ---------------------------------------------------------------- the model
 
-EDGE = b".,;:!?\"'()[]<>{}*#$%&|`"
+EDGE = b".,;:?\"'()[]<>{}*#$%&|`"
 CUES = frozenset(b"password passwd pwd secret token apikey api_key key bearer auth authorization credential credentials private access login pass is =".split()) | {b""}
 BODY = re.compile(rb"[A-Za-z0-9+/_.=!@~^-]{10,}")
+#: What begins a value: a name and = or :, or a scheme and a user before a password.
+NAMED = re.compile(rb"[A-Za-z_][A-Za-z0-9_.-]{0,29}[\"']?[=:][\"'`]?(?=[^/=:])")
+MAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+")
 
 
 def entropy(word: bytes) -> float:
@@ -58,31 +61,45 @@ def entropy(word: bytes) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(word).values()) if n else 0.0
 
 
+CLASS = bytes(0 if 48 <= c <= 57 else 1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 else 3 for c in range(256))
+
+
 def describe(word: bytes) -> tuple:
     core = word.strip(EDGE)
-    if (core.isalpha() or not core.isascii()) and core.lower() not in CUES:
-        return ("plain",)
     lower = core.lower()
-    name, sep, value = core.partition(b"=")
-    if not (sep and value and len(name) < 30):
-        name, sep, value = core.partition(b":")
-    if sep and len(value) >= 8 and not value.startswith(b"//"):
-        out = ["pair", "name=" + (name.lower().decode() if name.lower() in CUES else "other")]
-        core = value.strip(EDGE)
+    if core.isalpha() and len(core) < 16 or not core.isascii():
+        return ("plain", "cue=" + lower.decode(), "asks" if word[-1:] in b":=" else "says") if lower in CUES and core else ("plain",)
+    m = NAMED.match(core)
+    if m and len(core) - m.end() >= 8:
+        name = re.split(rb"[\"'=:]", m.group(), maxsplit=1)[0].lower()
+        out = ["pair", "name=" + (name.decode() if name in CUES else "cue" if any(x in name for x in (b"key", b"token", b"secret", b"pass")) else "other")]
+        core = core[m.end() :].strip(EDGE)
     else:
         out = ["cue=" + lower.decode()] if lower in CUES else ["word"]
     n = len(core)
-    digit, upper, small = (any(a <= c <= b for c in core) for a, b in ((48, 57), (65, 90), (97, 122)))
+    kinds = core.translate(CLASS)
+    digit, upper, small = (kinds.count(k) for k in (0, 1, 2))
     out.append("mix=" + "".join(x for x, on in zip("dUl", (digit, upper, small), strict=True) if on))
     out.append(f"len={'0-5' if n < 6 else '6-9' if n < 10 else '10-15' if n < 16 else '16-23' if n < 24 else '24+'}")
     out.append(f"entropy={min(5, int(entropy(core)))}")
-    out.append("only" if not core.translate(None, b"0123456789.,:-+()/") else "body" if BODY.fullmatch(core) else "other")
+    changes = sum((a == 0) != (b == 0) and 3 not in (a, b) for a, b in zip(kinds, kinds[1:], strict=False))
+    out.append(f"changes={changes if changes < 3 else '3-5' if changes < 6 else '6+'}")
+    cases = sum({a, b} == {1, 2} for a, b in zip(kinds, kinds[1:], strict=False))
+    out.append(f"cases={cases if cases < 2 else '2-4' if cases < 5 else '5+'}")
+    out.append(f"marks={min(3, kinds.count(3))}")
+    longest = max(map(len, re.split(rb"[^A-Za-z0-9]+", core)), default=0)
+    out.append(f"part={'0-9' if longest < 10 else '10-19' if longest < 20 else '20+'}")
+    out.append("only" if not core.translate(None, b"0123456789.,:-+()/T Z") else "body" if BODY.fullmatch(core) else "other")
+    if digit and changes * 6 >= n - kinds.count(3):
+        out.append("mixed up")
     if word[-1:] in b":=" and word[-1:]:
         out.append("asks")
     if word[:1] in b"\"'`" and word[:1]:
         out.append("quoted")
     if b"://" in word:
         out.append("url")
+    if MAIL.search(core):
+        out.append("mail")
     return tuple(out)
 
 
@@ -93,21 +110,33 @@ def describe_file(text: bytes, words: list[bytes]) -> tuple:
     return ("file=prose",) if share < 2 else ("file=settings",) if share < 30 else ("file=code",)
 
 
-def labelled(lines: int = 600, seed: int = 11) -> tuple[list[list[bytes]], list[list[int]], list[tuple]]:
+def labelled(lines: int = 1000, seed: int = 11) -> tuple[list[list[bytes]], list[list[int]], list[tuple]]:
     """The labelled table: made-up lines of three kinds of file, some with a secret, some with strings that are none."""
     r = random.Random(seed)
     syllables = "ta lo mi rek san du vor pel ing ous tion ét ñar schö".split()
     name = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
-    plain = lambda: (name() if r.random() < 0.8 else name().title()) + r.choice(["", "", "", ",", ".", "***", "|"])
+    said = lambda: r.choice("is Is pass Pass key Key private access login auth Token password".split())
+    plain = lambda: (name() if (x := r.random()) < 0.75 else name().title() if x < 0.92 else said()) + r.choice(["", "", "", ",", ".", "***", "|"])
     of = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
     mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
+    low = "abcdefghijklmnopqrstuvwxyz0123456789"
+    keyed = lambda chars, n: next(x for x in iter(lambda: of(chars, n), None) if any(c.isdigit() for c in x) and any(c.isalpha() for c in x))
+
     def value() -> str:
-        return r.choice([lambda: of(mixed, r.randint(16, 40)), lambda: r.choice(["ghx_", "sk-", "xoxp-", "pk_"]) + of(mixed, r.randint(20, 36)), lambda: of(mixed + "+/", 40), lambda: f"eyJ{of(mixed, 20)}.eyJ{of(mixed, 24)}.{of(mixed + '-_', 30)}"])()
+        kinds = [
+            lambda: keyed(mixed, r.randint(16, 40)), lambda: keyed(mixed, r.randint(20, 44)), lambda: of(low[:26], r.randint(2, 5)) + r.choice("_-.") + keyed(mixed, r.randint(18, 40)), lambda: keyed(low, r.randint(20, 40)), lambda: keyed(mixed[:26] + "0123456789", r.randint(20, 36)),
+            lambda: keyed(mixed + "+/", 40), lambda: keyed(mixed + "-_", r.randint(22, 48)), lambda: keyed(mixed + "!@#~^%", r.randint(12, 20)), lambda: f"eyJ{of(mixed, 20)}.eyJ{of(mixed, 24)}.{of(mixed + '-_', 30)}", lambda: of(mixed[:26], 2) + "." + keyed(mixed, 20) + "." + keyed(mixed, 40),
+        ]
+        return r.choice(kinds)()
 
     cue = lambda: r.choice(["password", "secret", "token", "key", "pwd", "credential", "auth"])
-    found = [lambda: (["Authorization:", "Bearer"], value()), lambda: ([cue() + ":"], value()), lambda: ([cue(), "="], '"' + value() + '"'), lambda: ([cue(), "is"], value()), lambda: ([], cue() + "=" + value()), lambda: (["private", "key"], value()), lambda: ([], value())]
-    none = [lambda: of("0123456789", r.randint(1, 16)), lambda: f"http://{name()}.com/{name()}/{of('0123456789', 3)}", lambda: f"{name()}-{name()}-{name()}", lambda: f"2024-0{r.randint(1, 9)}-1{r.randint(0, 9)}", lambda: f"{of('0123456789', 2)}.{of('0123456789', 2)}.{of('0123456789', 3)}.{of('0123456789', 2)}", lambda: f"{name()}={name()}", lambda: f"{name()}_{name()}.py", lambda: f"{name()}@{name()}.org", lambda: f"the {cue()} was {name()}", lambda: f"{name()}/{name()}/{name()}.html", lambda: name().upper() + of("0123456789", 2), lambda: f"+1 ({of('0123456789', 3)}) {of('0123456789', 3)}-{of('0123456789', 4)}", lambda: f"version {of('0123456789', 1)}.{of('0123456789', 1)}"]
+    found = [lambda: (["Authorization:", "Bearer"], value()), lambda: ([cue() + ":"], value()), lambda: ([cue(), "="], '"' + value() + '"'), lambda: ([cue(), "is"], value()), lambda: ([], cue() + "=" + value()), lambda: ([], f"{name().upper()}_{cue().upper()}='{value()}'"), lambda: (["private", "key"], value()), lambda: ([], value()), lambda: ([], value()), lambda: ([name()], value())]
+    none = [
+        lambda: of("0123456789", r.randint(1, 16)), lambda: f"http://{name()}.com/{name()}/{of('0123456789', 3)}", lambda: f"https://{name()}.org/{name()}-{name()}/{name()}-{of('0123456789', r.randint(2, 6))}", lambda: f"{name()}-{name()}-{name()}", lambda: f"2024-0{r.randint(1, 9)}-1{r.randint(0, 9)}", lambda: f"2024-0{r.randint(1, 9)}-1{r.randint(0, 9)}T{of('0123456789', 2)}:{of('0123456789', 2)}",
+        lambda: f"{of('0123456789', 2)}.{of('0123456789', 2)}.{of('0123456789', 3)}.{of('0123456789', 2)}", lambda: f"{name()}={name()}", lambda: f"{name()}_{name()}.py", lambda: f"{name()}_{name()}_{of('0123456789', 2)}.txt", lambda: f"{name()}@{name()}.org", lambda: f"{name()}.{of('0123456789', 2)}@{name()}.example.com", lambda: f"the {cue()} was {name()}", lambda: f"{name()}/{name()}/{name()}.html", lambda: f"{name()}/{name().title()}{name().title()}{of('0123456789', 1)}.cc",
+        lambda: name().upper() + of("0123456789", 2), lambda: f"{name().upper()[:3]}-{of('0123456789', 4)}-{of('0123456789', 4)}", lambda: f"{name()}{name().title()}{name().title()}()", lambda: f"{name()}{name().title()}{of('0123456789', 1)}", lambda: f"+1 ({of('0123456789', 3)}) {of('0123456789', 3)}-{of('0123456789', 4)}", lambda: f"version {of('0123456789', 1)}.{of('0123456789', 1)}", lambda: f"{name()}{name()}{name()}", lambda: f"{name()}-{of('0123456789', 1)}.{of('0123456789', 2)}", lambda: f"{of('0123456789', 1)},{of('0123456789', 3)},{of('0123456789', 3)}",
+    ]
     texts, tags, files = [], [], []
     for _ in range(lines):
         words, mark = [], []
@@ -134,17 +163,22 @@ def labelled(lines: int = 600, seed: int = 11) -> tuple[list[list[bytes]], list[
     return texts, tags, files
 
 
-def accept(text: bytes, begin: int, end: int, kind: str) -> tuple[int, int] | None:
-    """The longest body within the words, if it mixes letters and digits and its entropy is a key's."""
-    best = max(BODY.finditer(text[begin:end]), key=lambda m: m.end() - m.start(), default=None)
-    if best is None:
-        return None
-    body = best.group()
-    a = begin + best.start()
-    cut = max(body.rfind(b"=", 0, min(len(body) - 10, 30)) + 1, 0)
-    a, body = a + cut, body[cut:]
-    rich = len(body) >= 16 and re.search(rb"[0-9]", body) and re.search(rb"[A-Z]", body) and re.search(rb"[a-z]", body) and b"@" not in body and entropy(body) >= 3.2
-    return (a, begin + best.end()) if rich else None
+def accept(text: bytes, begin: int, end: int, kind: str) -> list[tuple[int, int]]:
+    """Each word from begin to end, without its name and the marks around it, that can be a secret."""
+    out = []
+    for m in re.finditer(rb"[^\x20\x09-\x0D]+", text[begin:end]):
+        a, core = m.start() + len(m.group()) - len(m.group().lstrip(EDGE)), m.group().strip(EDGE)
+        named = NAMED.match(core)
+        if named and len(core) - named.end() >= 8:
+            inner = core[named.end() :]
+            a += named.end() + len(inner) - len(inner.lstrip(EDGE))
+            core = inner.strip(EDGE)
+        kinds = core.translate(CLASS)
+        changes = sum((a == 0) != (b == 0) and 3 not in (a, b) for a, b in zip(kinds, kinds[1:], strict=False))
+        moment = not core.translate(None, b"0123456789.,:-+()/TZ")
+        if len(core) >= 10 and changes > 1 and not moment and entropy(core) >= 2.5 and b"://" not in core and not MAIL.search(core):
+            out.append((begin + a, begin + a + len(core)))
+    return out
 
 
 @cache

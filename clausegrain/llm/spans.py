@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from bisect import bisect_left
 from collections.abc import Callable
 
@@ -34,9 +35,9 @@ def apart(spans: list[Span], taken: list[Span]) -> list[Span]:
 
 
 class Finder:
-    """Base rules, a trained model, and the exact check that a model's span must pass."""
+    """Base rules, a trained model, and what of a model's span is plausible: accept(text, begin, end, kind) gives the places within it."""
 
-    def __init__(self, kinds: tuple[str, ...], base: Callable[[bytes], list[Span]], model: Crf, model_kinds: tuple[str, ...], accept: Callable[[bytes, int, int, str], tuple[int, int] | None], describe_file: Callable[[bytes, list[bytes]], tuple] | None = None):
+    def __init__(self, kinds: tuple[str, ...], base: Callable[[bytes], list[Span]], model: Crf, model_kinds: tuple[str, ...], accept: Callable[[bytes, int, int, str], list[tuple[int, int]]], describe_file: Callable[[bytes, list[bytes]], tuple] | None = None):
         self.kinds, self.base, self.model, self.model_kinds, self.accept, self.describe_file = kinds, base, model, model_kinds, accept, describe_file
 
     def find(self, texts: list[bytes]) -> list[tuple[list[Span], list[Span]]]:
@@ -50,8 +51,7 @@ class Finder:
                 begin, end = word_places(text)
                 for kind, a, b in tagged:
                     name = self.model_kinds[kind]
-                    if (place := self.accept(text, int(begin[a]), int(end[b - 1]), name)) is not None:
-                        more.append((*place, name))
+                    more += [(*place, name) for place in self.accept(text, int(begin[a]), int(end[b - 1]), name)]
             out.append((base, apart(more, sorted(base)) if more else []))
         return out
 
@@ -59,8 +59,10 @@ class Finder:
 def table_of(docs: DataFrame, name: str, make: Callable[[], Finder], counted: tuple[str, ...]) -> DataFrame:
     """doc_id, n_<kind> for the base spans of each counted kind, base_sha256, spans; a row for each row of docs."""
 
+    owner = uuid.uuid4().hex
+
     def run(batch: pa.RecordBatch) -> dict:
-        finder = kept_in_worker(name, make)
+        finder = kept_in_worker(name, owner, make)
         texts = as_bytes(batch.column("text"))
         out: dict[str, list] = {f"n_{k}": [] for k in counted} | {"base_sha256": [], "spans": []}
         for text, (base, more) in zip(texts, finder.find(texts), strict=True):
@@ -77,10 +79,10 @@ def table_of(docs: DataFrame, name: str, make: Callable[[], Finder], counted: tu
 
 def masked(docs: DataFrame, name: str, make: Callable[[], Finder], mask: Callable[[str], bytes] = lambda kind: f"[{kind.upper()}]".encode()) -> DataFrame:
     """docs in all their columns, each span in text replaced by its kind's mask, and n_chars brought up to date where there is one."""
-    names = docs.columns
+    names, owner = docs.columns, uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> dict:
-        finder = kept_in_worker(name, make)
+        finder = kept_in_worker(name, owner, make)
         column = batch.column("text")
         texts, null = as_bytes(column), column.is_null().to_pylist()
         done: list[str | None] = []
