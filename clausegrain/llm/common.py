@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: The words of most contracts: runs without ASCII white space. bytes.split() splits at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,5 +93,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
     return df.mapInArrow(run, struct)
 
 
+def join_hot(rows: DataFrame, known: DataFrame, key: str, how: str = "inner", share: int = 10_000) -> DataFrame:
+    """rows joined with known, which has each key once at most. Keys of more than one in `share` rows, of which there are fewer than
+    share, are joined by a broadcast, so that no task gets all rows of such a key; null keys match nothing."""
+    counts = materialize(rows.groupBy(key).agg(F.count("*").alias("n")), "key_counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.where((F.col("n") > max(1, total // share)) & F.col(key).isNotNull()).select(key)
+    hot = materialize(often.join(known, key, how), "hot_keys")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(known.join(F.broadcast(hot.select(key)), key, "left_anti"), key, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,10 +14,12 @@ Two bits apart is closer than most edited copies are: a fingerprint of 64 bits p
 shingles) some ten bits apart, and covering ten bits would take 2047 tables. So where near copies of that similarity must go
 (`similar_links`, used by `one_of_each`), min-wise hashes find further links: 24 bands of 4 miss a pair of similarity 0.8 three
 times in a million, 256 hashes then estimate the pair's similarity with a deviation of 0.025, and whole texts decide near the
-limit. They join the same components.
+limit. They join the same components. Of a band's members, those that are then in its largest component are not compared with each other again,
+all others with everyone.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; rows with equal ids and
-texts share a component; a null id counts as no id when the smallest is sought; an empty table gives no rows.
+texts share a component; a null id counts as no id when the smallest is sought; an empty table gives no rows; further columns of
+any name stay as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from clausegrain.llm.common import as_bytes, discard, map_batches, materialize
+from clausegrain.llm.common import as_bytes, discard, free, join_hot, map_batches, materialize
 
 SEED = 42
 BITS = 64
@@ -57,8 +59,8 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 #: For links by similarity: bands times rows min-wise hashes choose candidates, all HASHES estimate the similarity.
 SIMILAR_SHINGLE, BANDS, ROWS, HASHES = 5, 24, 4, 256
 SIMILARITY, DEVIATION = 0.8, 0.025
-#: Rows of a band that are compared in one task meet this many others at most, about.
-BAND_PART = 600
+#: Members of a band, and shingles of theirs, in one part; two parts at a time are compared in a task.
+PART_ROWS, PART_SHINGLES = 600, 1 << 20
 FACTORS = np.random.default_rng(12).integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 
 
@@ -75,8 +77,13 @@ def minima(text: bytes) -> np.ndarray | None:
     return least
 
 
+def text_key(text: str = "text") -> Column:
+    """What tells texts apart: 128 bits of their hash; null for null."""
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def signatures(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """fingerprints() with bands (a key each, empty without words) and sketch (16 bits of each hash)."""
+    """fingerprints() with bands (a key each, empty without words), sketch (16 bits of each hash) and size (of the text, in words)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = as_bytes(batch.column("text"))
@@ -86,9 +93,9 @@ def signatures(docs: DataFrame, shingle: int = 3) -> DataFrame:
             least = minima(x)
             bands.append([] if least is None else [signed(xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k)) for k in range(BANDS)])
             sketches.append(b"" if least is None else least.astype("<u2").tobytes())
-        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": fps, "bands": bands, "sketch": sketches}
+        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": fps, "bands": bands, "sketch": sketches, "size": [len(x.split()) for x in texts]}
 
-    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), run, "doc_id long, key long, fp long, bands array<long>, sketch binary", rows=500)
+    return map_batches(docs.select("doc_id", text_key().alias("key"), "text"), run, "doc_id long, key binary, fp long, bands array<long>, sketch binary, size long", rows=500)
 
 
 def shingles(text: bytes) -> frozenset[bytes]:
@@ -109,10 +116,10 @@ def alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float
         return {c: batch.column(c) for c in ("key", "other", "fp", "hub")} | {"about": (a == b).mean(1)}
 
     slack = 4 * DEVIATION
-    likely = materialize(map_batches(met, estimate, "key long, other long, fp long, hub long, about double").where(F.col("about") >= similarity - slack), "likely")
+    likely = materialize(map_batches(met, estimate, "key binary, other binary, fp long, hub long, about double").where(F.col("about") >= similarity - slack), "likely")
     near = likely.where(F.col("about") < similarity + slack)
     wanted = materialize(near.select("key").unionByName(near.select(F.col("other").alias("key"))).distinct(), "wanted")
-    whole = materialize(docs.select(F.xxhash64("text").alias("key"), "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "whole")
+    whole = materialize(docs.select(text_key().alias("key"), "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "whole")
     both = near.join(whole, "key").withColumnRenamed("text", "a").join(whole.withColumnsRenamed({"key": "other", "text": "b"}), "other").select("fp", "hub", "a", "b")
 
     def exact(batch: pa.RecordBatch) -> dict:
@@ -132,9 +139,10 @@ def similar_links(docs: DataFrame, signed_docs: DataFrame, known: DataFrame, sim
     signed_docs: signatures() of docs.
 
     First all members of a band are compared with its pivot, the member whose bands are the fullest (an original shares more bands with
-    its copies than they do with each other). Bands that then still hold several components have all their pairs compared, within tasks."""
-    texts = materialize(signed_docs.select("key", "fp", "bands", "sketch").dropDuplicates(["key"]), "texts")
-    keyed = texts.select("key", "fp", F.explode("bands").alias("band"))
+    its copies than they do with each other). In bands that then still hold several components, all members outside the
+    largest one are compared with all members, within tasks."""
+    texts = materialize(signed_docs.select("key", "fp", "bands", "sketch", "size").dropDuplicates(["key"]), "texts")
+    keyed = texts.select("key", "fp", "size", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("band", "n")
     full = materialize(keyed.join(shared, "band"), "bands")
     weight = full.groupBy("key").agg(F.sum("n").alias("weight"))
@@ -142,79 +150,94 @@ def similar_links(docs: DataFrame, signed_docs: DataFrame, known: DataFrame, sim
     pairs = full.join(pivots, "band").where("key <> other").select("key", "other").distinct()
     found = materialize(known.unionByName(alike(docs, texts, pairs, similarity)).distinct(), "links")
     roots = found.select("fp", F.col("fp").alias("root")).limit(0) if found.isEmpty() else components(found).withColumnRenamed("node", "fp")
-    rooted = materialize(full.join(roots, "fp", "left").select("band", "key", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
-    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    left = materialize(rooted.join(several, "band", "left_semi"), "left")
+    rooted = materialize(full.join(roots, "fp", "left").select("band", "key", "size", F.coalesce("root", "fp").alias("root")), "rooted")
+    by_root = rooted.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    several = by_root.groupBy("band").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("all_size"), F.max("n").alias("n_main"), F.max_by("size", F.struct("n", "root")).alias("main_size"), F.count("*").alias("k")
+    ).where("k > 1")
+    parts = lambda n, size: F.greatest(F.ceil(n / PART_ROWS), F.ceil(size / PART_SHINGLES), F.lit(1))
+    sized = several.select("band", "main", parts(F.col("n"), F.col("all_size")).alias("parts"), parts(F.col("n") - F.col("n_main"), F.col("all_size") - F.col("main_size")).alias("loose_parts"))
+    left = materialize(rooted.join(sized, "band").select("band", "key", "root", (F.col("root") != F.col("main")).alias("loose"), "parts", "loose_parts"), "left")
     discard(full)
     discard(rooted)
-    return found.unionByName(all_alike(docs, left, similarity)).distinct()
+    return found if left.isEmpty() else found.unionByName(closing(docs, left, similarity)).distinct()
 
 
-def all_alike(docs: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
-    """Edges (fp, hub) that join what any of the pairs of similar texts in the bands of left (band, key, fp, n) join.
+def closing(docs: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
+    """Edges (fp, hub) between the roots that similar texts in the bands of left (band, key, root, loose, parts, loose_parts) join.
 
-    A band's rows are dealt to parts of about BAND_PART, and each two parts meet in a group; a group's pairs are counted by matrix products
-    over its shingles, and only a forest over the similar ones leaves the task."""
+    A band's members are dealt to its parts and its loose members to loose parts, and each two parts meet in a group; a group's
+    intersections are counted by matrix products over its shingles, and only a forest over the joined roots leaves the task."""
 
     def hashed(batch: pa.RecordBatch) -> dict:
         return {"key": batch.column("key"), "shingles": [np.array(sorted({xxh64_intdigest(x) for x in shingles(t)}), "<u8").tobytes() for t in as_bytes(batch.column("text"))]}
 
     wanted = materialize(left.select("key").distinct(), "wanted")
-    whole = docs.select(F.xxhash64("text").alias("key"), "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    hashes = materialize(map_batches(whole, hashed, "key long, shingles binary", rows=500), "shingles")
-    parts = F.ceil(F.col("n") / BAND_PART)
-    own = F.pmod(F.xxhash64("key"), parts)
-    others = F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: (k != own) | (parts == 1))
-    dealt = left.select("band", "key", "fp", own.alias("own"), F.explode(others).alias("with"))
-    ready = dealt.select("band", "key", "fp", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two")).join(hashes, "key")
-    ready = ready.select("band", "one", "two", "fp", "shingles").repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
-
-    def forest(fps: list[int], sets: list[bytes]) -> list[tuple[int, int]]:
-        rows = [np.frombuffer(x, "<u8") for x in sets]
+    whole = docs.select(text_key().alias("key"), "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    hashes = materialize(map_batches(whole, hashed, "key binary, shingles binary", rows=500), "shingles")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    as_member = left.select("band", "key", "root", F.lit(False).alias("loose"), F.pmod(F.xxhash64("key"), "parts").alias("one"), F.explode(every("loose_parts")).alias("two"))
+    as_loose = left.where("loose").select("band", "key", "root", "loose", F.explode(every("parts")).alias("one"), F.pmod(F.xxhash64("key"), "loose_parts").alias("two"))
+    ready = as_member.unionByName(as_loose).join(hashes, "key").select("band", "one", "two", "loose", "root", "shingles")
+    ready = ready.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
+
+    def joined(roots: list[int], loose: list[bool], sets: list[bytes]) -> list[tuple[int, int]]:
+        if not any(loose) or all(loose) or min(roots) == max(roots):
+            return []
+        rows, root, loose = [np.frombuffer(x, "<u8") for x in sets], np.array(roots), np.array(loose)
         size = np.array([len(x) for x in rows])
         _, at, often = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
         row, keep = np.repeat(np.arange(len(rows)), size), often[at] > 1  # a shingle of one text is in no intersection
-        column = (np.cumsum(often > 1) - 1)[at[keep]]
-        row, both = row[keep], np.zeros((len(rows), len(rows)), np.float32)
+        column, row = (np.cumsum(often > 1) - 1)[at[keep]], row[keep]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
+        place = np.where(loose, np.cumsum(loose), np.cumsum(~loose)) - 1
+        both = np.zeros((int((~loose).sum()), int(loose.sum())), np.float32)
         for start in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
             a, b = np.searchsorted(column, (start, start + 1024))
-            x = np.zeros((len(rows), min(1024, int(column[-1]) + 1 - start)), np.float32)
-            x[row[a:b], column[a:b] - start] = 1
-            both += x @ x.T
-        edges, new = [], np.ones(len(rows), bool)
-        while new.any():
-            reached = [int(new.argmax())]
-            new[reached[0]] = False
-            while reached:
-                k = reached.pop()
-                more = np.flatnonzero(new & (both[k] >= similarity * (size[k] + size - both[k]) - 1e-9)).tolist()
-                new[more] = False
-                reached += more
-                edges += [(fps[m], fps[k]) for m in more if fps[m] != fps[k]]
-        return edges
+            sides = []
+            for side in (~loose, loose):
+                of = side[row[a:b]]
+                x = np.zeros((int(side.sum()), 1024), np.float32)
+                x[place[row[a:b][of]], column[a:b][of] - start] = 1
+                sides.append(x)
+            both += sides[0] @ sides[1].T
+        a, b = np.nonzero(both >= similarity * (size[~loose][:, None] + size[loose] - both) - 1e-9)
+        pairs = np.unique(np.stack((root[~loose][a], root[loose][b]), 1), axis=0)
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for x, y in pairs.tolist():
+            x, y = top(x), top(y)
+            up[max(x, y)] = min(x, y)
+        return [(x, top(x)) for x in list(up) if top(x) != x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(edges: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["fp", "hub"])
-
-        group, fps, sets = None, [], []
+        group, held = None, ([], [], [])
         for batch in batches:
             edges = []
-            for *g, fp, x in zip(*(batch.column(c).to_pylist() for c in ("band", "one", "two", "fp", "shingles")), strict=True):
+            for *g, loose, root, x in zip(*(batch.column(c).to_pylist() for c in ("band", "one", "two", "loose", "root", "shingles")), strict=True):
                 if g != group:
-                    edges += forest(fps, sets) if len(fps) > 1 else []
-                    group, fps, sets = g, [], []
-                fps.append(fp)
-                sets.append(x)
-            yield out(edges)
-        if len(fps) > 1:
-            yield out(forest(fps, sets))
+                    edges += joined(held[0], held[1], held[2])
+                    group, held = g, ([], [], [])
+                for to, value in zip(held, (root, loose, x), strict=True):
+                    to.append(value)
+            if edges:
+                yield _edges(edges)
+        if edges := joined(held[0], held[1], held[2]):
+            yield _edges(edges)
 
     return ready.mapInArrow(run, "fp long, hub long").distinct()
 
 
+def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["fp", "hub"])
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, key (a hash of the text, null for null) and fp, the fingerprint as a signed long."""
 
@@ -222,7 +245,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         made = np.array([fingerprint(x, shingle) for x in as_bytes(batch.column("text"))], dtype="<u8")
         return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": made.view("<i8")}
 
-    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), run, "doc_id long, key long, fp long")
+    return map_batches(docs.select("doc_id", text_key().alias("key"), "text"), run, "doc_id long, key binary, fp long")
 
 
 def signed(x: int) -> int:
@@ -258,25 +281,25 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return stars.where("fp <> hub").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and root (its component's smallest node) of every node of edges (a, b): smallest labels spread along
-    edges and through the labels' own labels, a table in the shared folder after each round."""
+def components(edges: DataFrame) -> DataFrame:
+    """node and root (its component's smallest node) of every node of edges (a, b): each node hooks onto its smallest neighbour, edges
+    are contracted to those between what the nodes hang on, and so on until none is left, a table in the shared folder after each round."""
     a, b = edges.columns
-    both = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))), "edges")
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "labels")
-    for _ in range(most_rounds):
-        heard = both.join(labels.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "root", F.lit(None).cast("long").alias("old"))
-        own = labels.select("node", "root", F.col("root").alias("old"))
-        least = heard.unionByName(own).groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old"))
-        above = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        new = materialize(least.join(above, "root", "left").select("node", F.least("root", "above").alias("root"), "old"), "labels")
-        over = new.where("root <> old").isEmpty()
-        discard(labels)
-        labels = new.drop("old")
-        if over:
-            discard(both)
-            return labels
-    raise RuntimeError("the components did not settle")
+    left = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), "edges")
+    labels = materialize(left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct().withColumn("root", F.col("node")), "labels")
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hooked = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("up")), "hooks")
+        above = hooked.select(F.col("node").alias("up"), F.col("up").alias("above"))
+        up = materialize(hooked.join(above, "up").select("node", F.least("up", "above").alias("up")), "ups")
+        once = left.join(up.withColumnsRenamed({"node": "u", "up": "x"}), "u").select("x", "v")
+        new = materialize(once.join(up.withColumnsRenamed({"node": "v", "up": "y"}), "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
+        moved = materialize(labels.join(up.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
+        for old in (left, labels, hooked, up):
+            discard(old)
+        left, labels = new, moved
+    discard(left)
+    return labels
 
 
 def classes(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
@@ -295,7 +318,7 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: floa
         named = roots.join(least, "root").select("fp", "root", "least")
         known = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
     discard(edges)
-    return made.select("doc_id", "key", "fp").join(known, "fp")
+    return join_hot(made.select("doc_id", "key", "fp"), materialize(known, "known"), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -307,12 +330,13 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity:
     """The row of the smallest doc_id of each component of links by fingerprint and by similarity, in all columns of docs; among rows with equal ids, that of the smallest text hash, once."""
     known = materialize(classes(docs, shingle, radius, similarity).select("doc_id", "key", "root"), "classes")
     least = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
-    keep = materialize(least.select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_kept")), "kept")
-    same = lambda d, k: d["doc_id"].eqNullSafe(k["_id"]) & d["_key"].eqNullSafe(k["_kept"])
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(keep, same(keyed, keep), "left_semi")
-    repeated = materialize(known.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_kept")), "repeated")
+    own, kept_id, kept_key = (free(docs.columns, c) for c in ("text_key", "kept_id", "kept_key"))
+    named = lambda d: d.select(F.col("doc_id").alias(kept_id), F.col("key").alias(kept_key))
+    keep = materialize(named(least.select("m.*")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col(kept_id)) & F.col(own).eqNullSafe(F.col(kept_key))
+    kept = docs.withColumn(own, text_key()).join(keep, same, "left_semi")
+    repeated = materialize(named(known.groupBy("doc_id", "key").count().where("count > 1")), "repeated")
     if not repeated.isEmpty():
-        once = kept.join(repeated, same(kept, repeated), "left_semi").dropDuplicates(["doc_id", "_key"])
-        kept = kept.join(repeated, same(kept, repeated), "left_anti").unionByName(once)
-    return kept.drop("_key")
+        once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", own])
+        kept = kept.join(repeated, same, "left_anti").unionByName(once)
+    return kept.drop(own)

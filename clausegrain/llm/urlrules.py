@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from clausegrain.llm.common import join_hot, materialize
+
 #: Host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: A token set must be in this share of the labelled URLs, and go with its verdict this often.
@@ -97,7 +99,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, support: float = SU
     read = parts.select("page_id", "host", "path", listed(rules).alias("listed"), tokens().alias("tokens"))
     known = labelled(read, labels)
     mined = matched(read.where("listed is null"), index(mine(known, support, confidence), known))
-    both = read.join(mined, "tokens", "left")
+    both = join_hot(read, materialize(mined, "mined"), "tokens", "left")
     free = F.col("listed").isNull()
     return both.select(
         "page_id", "host", "path", F.col("listed.rule").alias("rule"), F.coalesce("listed.verdict", "mined.verdict", F.lit("allow")).alias("verdict"),
