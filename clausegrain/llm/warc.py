@@ -5,12 +5,13 @@ the others are revisits that refer to it. Tasks write gzip members into archives
 folder, each under a name of its own try, and hand back the names; the names of tries that failed are handed back by none,
 so their files are never read. Names travel as a table.
 
-Read: archives are streamed, record by record, and give captures; each archive's are one run, sorted by URL
-key and timestamp. Runs are dealt by ranges of (URL key, timestamp, page_id), so that a popular URL or host spans
-several ranges, and each range's parts of the runs are merged by a loser tree: capture histories in global order.
+Read: archives are streamed, record by record, and give captures. A task sorts those of some RUN_BYTES of archives by URL key, timestamp
+and page_id and writes them as a run: a file of small batches under the shared folder. Batches are dealt by ranges of these keys, so that a popular
+URL or host spans several ranges. For each range a loser tree merges streams over the runs' files, of which it holds one batch each; beyond FAN runs,
+groups of them are merged to longer runs first. So no task's memory grows with the corpus, and capture histories come in global order.
 
 Defined results: null html is an empty payload and null urls are written as unknown:; repeated rows are captures of
-their own (with the largest page_id of a payload, all of them are responses); an empty table gives no rows.
+their own (with the largest page_id of a payload, all of them are responses); an empty table gives no rows; further columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
 from urllib.parse import quote
@@ -27,15 +29,22 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from clausegrain.llm.common import materialize, shared_dir
+from clausegrain.llm.common import materialize, shared_dir, sliced
 
 #: An archive is closed once it has this many compressed bytes.
 ARCHIVE_BYTES = 64 << 20
+#: Compressed archives in a run, rows of a run's batch and, about, of a range, and runs that are merged at once.
+RUN_BYTES, BATCH_ROWS, RANGE_ROWS, FAN = 128 << 20, 512, 1 << 18, 256
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 CRLF = b"\r\n"
 NAMES = "archive string, records long, bytes long"
 CAPTURES = "url_key string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 FIELDS = [f.split()[0] for f in CAPTURES.split(", ")]
+KINDS = [pa.int64() if " long" in f else pa.string() for f in CAPTURES.split(", ")]
+#: A batch of a run: where it lies, and its first and last key.
+PIECES = "run string, file string, batch int, rows long, url_key string, timestamp string, page_id long, last_url_key string, last_timestamp string, last_page_id long"
+PIECE_FIELDS = [f.split()[0] for f in PIECES.split(", ")]
+PIECE_KINDS = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[f.split()[1]] for f in PIECES.split(", ")]
 
 
 # ---------------------------------------------------------------- records
@@ -202,7 +211,7 @@ def write(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCH
                 out.close()
                 out = None
 
-        for batch in batches:
+        for batch in sliced(batches, 500):
             for page_id, url, payload, first, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "first", "revisit")), strict=True):
                 if out is None:
                     name = f"{base}/{uuid.uuid4().hex}.warc.gz"
@@ -220,45 +229,124 @@ def write(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCH
     return materialize(marked.mapInArrow(run, NAMES), "archives")
 
 
-def runs(archives: DataFrame) -> DataFrame:
-    """The captures of each archive, sorted within it: one run an archive."""
-    n = max(1, archives.count())
+def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _batches(rows: Iterable[tuple], size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield _table(held, FIELDS, KINDS)
+            held = []
+    if held:
+        yield _table(held, FIELDS, KINDS)
+
+
+def _written(rows: Iterable[tuple], folder: str, run: str | None) -> list[tuple]:
+    """Writes sorted captures as a file of a run (a run of its own, if None) and gives its PIECES."""
+    fs, base = filesystem(folder)
+    fs.create_dir(base, recursive=True)
+    name, made = uuid.uuid4().hex, []
+    with fs.open_output_stream(f"{base}/{name}", compression=None) as out, pa.ipc.new_file(out, pa.schema(list(zip(FIELDS, KINDS, strict=True)))) as file:
+        for batch in _batches(rows, BATCH_ROWS):
+            file.write_batch(batch)
+            first, last = (tuple(batch.column(k)[at].as_py() for k in range(3)) for at in (0, batch.num_rows - 1))
+            made.append((run or name, f"{folder}/{name}", len(made), batch.num_rows, *first, *last))
+    return made
+
+
+def _read(pieces: list[tuple[str, int]], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    """The captures of a run's batches (file, number) from the key low to below high, one batch at a time."""
+    opened = None
+    for path, number in pieces:
+        if opened is None or opened[0] != path:
+            fs, place = filesystem(path)
+            opened = path, pa.ipc.open_file(fs.open_input_file(place))
+        for row in zip(*(c.to_pylist() for c in opened[1].get_batch(number).columns), strict=True):
+            key = order(row)
+            if (low is None or key >= low) and (high is None or key < high):
+                yield row
+
+
+def runs(archives: DataFrame, folder: str | None = None) -> DataFrame:
+    """PIECES of sorted runs of the archives' captures (archive, bytes), one run a task, in files under the folder."""
+    spark = archives.sparkSession
+    folder = folder or f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    n, size = archives.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, max(2 * spark.sparkContext.defaultParallelism, -(-size // RUN_BYTES))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
         for batch in batches:
             for archive in batch.column("archive").to_pylist():
                 fs, path = filesystem(archive)
                 with fs.open_input_stream(path, compression=None) as stream:
-                    found = sorted((capture(raw, archive, offset) for offset, raw in members(stream)), key=order)
-                yield from _batches(found)
-
-    return archives.select("archive").repartition(n).mapInArrow(run, CAPTURES)
+                    parts.append(sorted((capture(raw, archive, offset) for offset, raw in members(stream)), key=order))
+        if parts:
+            yield _table(_written(LoserTree(parts, order), folder, None), PIECE_FIELDS, PIECE_KINDS)
 
+    return materialize(archives.select("archive").repartition(tasks).mapInArrow(run, PIECES), "pieces")
 
-def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64() if " long" in f else pa.string() for f in CAPTURES.split(", ")]
-    for at in range(0, len(rows), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 10_000], strict=True), kinds, strict=True)], FIELDS)
 
+def _merge(pieces: DataFrame, groups: int, edges: list[tuple], folder: str | None) -> DataFrame:
+    """The runs of each group merged, by ranges between edges (keys): PIECES of longer runs in files under the folder, or, without one, the captures."""
+    wide = -(-(len(edges) + 1) // max(1, (len(edges) + 1) // groups))  # as many neighbouring ranges are one as keep its rows about the same
 
-def history(sorted_runs: DataFrame) -> DataFrame:
-    """Captures in global order of URL key, timestamp and page_id: partition after partition, and within each."""
-    dealt = sorted_runs.repartitionByRange("url_key", "timestamp", "page_id").sortWithinPartitions("archive", "url_key", "timestamp", "page_id")
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for piece in zip(*(batch.column(c).to_pylist() for c in PIECE_FIELDS), strict=True):
+                run, file, number, _, *keys = piece
+                group = zlib.crc32(run.encode()) % groups
+                for k in range(bisect_right(edges, order(keys[:3])) // wide, bisect_right(edges, order(keys[3:])) // wide + 1):
+                    rows.append((k, group, run, file, number, *keys[:3]))
+            if rows:
+                yield _table(rows, ["range", "group", "run", "file", "batch", "url_key", "timestamp", "page_id"], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*(batch.column(f).to_pylist() for f in FIELDS), strict=True):
-                parts.setdefault(row[7], []).append(row)
-        merged: list[tuple] = []
-        for row in LoserTree(list(parts.values()), order):
-            merged.append(row)
-            if len(merged) == 10_000:
+        def done() -> Iterator[pa.RecordBatch]:
+            k, group = unit
+            low = edges[k * wide - 1] if k else None
+            high = edges[(k + 1) * wide - 1] if (k + 1) * wide <= len(edges) else None
+            merged = LoserTree([_read(x, low, high) for x in of_run.values()], order)
+            if folder is None:
                 yield from _batches(merged)
-                merged = []
-        yield from _batches(merged)
+            elif made := _written(merged, folder, f"{folder}/{group}"):
+                yield _table(made, PIECE_FIELDS, PIECE_KINDS)
 
-    return dealt.mapInArrow(run, CAPTURES)
+        unit, of_run = None, {}
+        for batch in batches:
+            for k, group, name, file, number in zip(*(batch.column(c).to_pylist() for c in ("range", "group", "run", "file", "batch")), strict=True):
+                if unit != (k, group):
+                    if unit:
+                        yield from done()
+                    unit, of_run = (k, group), {}
+                of_run.setdefault(name, []).append((file, number))
+        if unit:
+            yield from done()
+
+    each = pieces.mapInArrow(dealt, "range long, group long, run string, file string, batch int, url_key string, timestamp string, page_id long")
+    met = each.repartitionByRange(len(edges) + 1, "range", "group").sortWithinPartitions("range", "group", "run", "url_key", "timestamp", "page_id", "file", "batch")
+    return met.mapInArrow(run, CAPTURES if folder is None else PIECES)
+
+
+def history(pieces: DataFrame) -> DataFrame:
+    """Captures of sorted runs in global order of URL key, timestamp and page_id: partition after partition, and within each."""
+    spark = pieces.sparkSession
+    n, k = pieces.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count_distinct("run")).first()
+    ranges = max(1, -(-n // RANGE_ROWS))
+    keys = ["url_key", "timestamp", "page_id"]
+    edges: list[tuple] = []
+    if ranges > 1:  # a key for each range: the first of Spark's ranges of the batches' first keys
+        first = pieces.select(*keys).repartitionByRange(ranges, *keys).withColumn("part", F.spark_partition_id())
+        edges = sorted({order(r[0]) for r in first.groupBy("part").agg(F.min(F.struct(*keys)).alias("m")).select("m").collect()})[1:]
+    while k > FAN:
+        groups = -(-k // FAN)
+        pieces = materialize(_merge(pieces, groups, edges, f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"), "pieces")
+        k = groups
+    return _merge(pieces, 1, edges, None)
 
 
 def captures(pages: DataFrame) -> DataFrame:

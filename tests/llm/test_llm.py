@@ -365,6 +365,24 @@ def test_warc_round_trip_and_order(spark):
     assert warc.captures(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("fan", "ranges"), [(256, 1 << 18), (256, 40), (3, 40), (2, 7)])
+def test_warc_merges_many_runs_with_little_held(spark, monkeypatch, fan, ranges):
+    """Runs of one archive each, in one pass and in several, one range and many; a task holds a batch of each of the runs it merges."""
+    for name, value in (("FAN", fan), ("RANGE_ROWS", ranges), ("RUN_BYTES", 1), ("BATCH_ROWS", 5)):
+        monkeypatch.setattr(warc, name, value)
+    r = random.Random(fan + ranges)
+    rows = [(k, f"http://h{r.randint(0, 3)}.org/{r.randint(0, 2)}", f"p{r.randint(0, 50)}") for k in range(300)] + [(7, "http://h0.org/0", "p1")] * 30 + [(None, None, None)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives = warc.write(pages.repartition(20), archive_bytes=2000)
+    pieces = warc.runs(archives)
+    assert pieces.select("run").distinct().count() >= archives.count() // 3 > 6
+    assert pieces.agg({"rows": "max"}).first()[0] <= 5
+    got = warc.history(pieces).collect()
+    assert [warc.order(x) for x in got] == sorted(warc.order(x) for x in got)
+    assert Counter(x.page_id for x in got) == Counter(x[0] for x in rows)
+    assert len({(x.archive, x.offset) for x in got}) == len(rows)
+
+
 def test_loser_tree():
     r = random.Random(3)
     for _ in range(300):
