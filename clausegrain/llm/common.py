@@ -55,11 +55,12 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000, most: int = 32 <
 
 
 def kept_in_worker(name: str, owner: str, make: Callable):
-    """What make() gives, kept under the name in a Python worker's life (a task's own copy of this package ends with the task) until another owner asks."""
+    """What make() gives, kept in a Python worker's life (a task's own copy of this package ends with the task) until another name or owner asks: one at a time."""
     held = sys.modules.setdefault("clausegrain_worker_state", types.ModuleType("clausegrain_worker_state")).__dict__
-    if held.get(name, ("",))[0] != owner:
-        held[name] = (owner, make())
-    return held[name][1]
+    if held.get("kept", ("", ""))[:2] != (name, owner):
+        held.pop("kept", None)
+        held["kept"] = (name, owner, make())
+    return held["kept"][2]
 
 
 def free(taken: list[str], name: str) -> str:
@@ -89,6 +90,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
                 made = pa.RecordBatch.from_arrays(arrays, schema=out)
                 for at in range(0, made.num_rows, 20_000):
                     yield made.slice(at, 20_000)
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return df.mapInArrow(run, struct)
 

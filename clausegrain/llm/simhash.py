@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from clausegrain.llm.common import as_bytes, discard, free, join_hot, map_batches, materialize
+from clausegrain.llm.common import as_bytes, discard, free, join_hot, map_batches, materialize, sliced
 
 SEED = 42
 BITS = 64
@@ -60,7 +60,7 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 SIMILAR_SHINGLE, BANDS, ROWS, HASHES = 5, 24, 4, 256
 SIMILARITY, DEVIATION = 0.8, 0.025
 #: Members of a band, and shingles of theirs, in one part; two parts at a time are compared in a task.
-PART_ROWS, PART_SHINGLES = 600, 1 << 20
+PART_ROWS, PART_SHINGLES = 600, 1 << 19
 FACTORS = np.random.default_rng(12).integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 
 
@@ -218,7 +218,7 @@ def closing(docs: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, ([], [], [])
-        for batch in batches:
+        for batch in sliced(batches, 200, 4 << 20):
             edges = []
             for *g, loose, root, x in zip(*(batch.column(c).to_pylist() for c in ("band", "one", "two", "loose", "root", "shingles")), strict=True):
                 if g != group:
