@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from clausegrain.functions.taxonomy import CATEGORIES, FALLBACK, TERMS, all_categories, label_col
-from clausegrain.functions.text import n_words, strip
+from clausegrain.functions.text import let, n_words, strip
 
 
 def normalize(labels: Column) -> Column:
@@ -46,7 +46,7 @@ def by_rules(text: Column, terms: dict[str, str] = TERMS) -> Column:
     """Categories whose terms a text holds as whole words; the fallback if none. Sorted."""
     t = F.lower(text)
     found = F.array_compact(F.array(*[F.when(t.rlike(rf"(?U)\b({words})\b"), F.lit(c)) for c, words in terms.items()]))
-    return F.array_sort(F.when(F.size(found) == 0, F.array(F.lit(FALLBACK))).otherwise(found))
+    return let(found, lambda x: F.array_sort(F.when(F.size(x) == 0, F.array(F.lit(FALLBACK))).otherwise(x)))
 
 
 def parse_response(raw: Column, default_confidence: float = 0.5) -> Column:

@@ -77,10 +77,9 @@ def best_threshold(swept: DataFrame, by: str = "macro_f1", digits: int | None =
     return swept.orderBy(value.desc(), "threshold").limit(1)
 
 
-def cooccurrence(positives: DataFrame, row: str, category: str = "category") -> DataFrame:
-    """category_a, category_b (a <= b), n: rows that have both. A row has fourteen categories at most, so pairs are bounded by the row."""
-    sets = positives.groupBy(row).agg(F.array_sort(F.collect_set(category)).alias("cs"))
-    pairs = sets.select(F.explode("cs").alias("category_a"), "cs").select("category_a", F.explode("cs").alias("category_b")).where("category_a <= category_b")
+def cooccurrence(labelled: DataFrame, labels: str = "labels") -> DataFrame:
+    """category_a, category_b (a <= b), n: rows that have both. Pairs are made within a row's own array, fourteen categories at most, and shuffled as counts."""
+    pairs = labelled.select(F.explode(F.array_sort(F.array_distinct(labels))).alias("category_a"), labels).select("category_a", F.explode(F.array_distinct(labels)).alias("category_b")).where("category_a <= category_b")
     return pairs.groupBy("category_a", "category_b").agg(F.count("*").alias("n"))
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clausegrain.functions.text import clause_id, is_blank, strip
+from clausegrain.functions.text import clause_id, is_blank, let, strip
 
 FLAGS = "(?mdU)"
 # What begins a clause in version 1. Java's d and U flags make it read lines and spaces as Unicode text does.
@@ -29,11 +29,6 @@ V1_HEADING = r"^[A-Z][A-Z\s,\-/&]{5,}$"
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with the value computed once: Catalyst would copy its expression to each place that reads it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def match_starts(text: Column, pattern: str, at_least: int = 0) -> Column:
     """Where a pattern matches, as an array of offsets; matches of fewer stripped characters than at_least don't count. One pass over the matches."""
     pairs = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0))

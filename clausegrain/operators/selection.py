@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clausegrain.functions.text import hash_order, length_bucket
+from clausegrain.operators.relations import numbered
 
 
 def _per(document: str, *order: Column | str):
@@ -14,8 +15,10 @@ def _per(document: str, *order: Column | str):
 
 
 def ranked(rows: DataFrame, score: str, key: str, top: int | None = None) -> DataFrame:
-    """With rank by falling score, then key. With top, only the first so many are kept, before any row is numbered."""
-    best = rows.orderBy(F.col(score).desc(), key).limit(top) if top else rows
+    """With rank by falling score, then key. With top, only the first so many are kept, before any row is numbered; else ranks come from ranges."""
+    if top is None:
+        return numbered(rows, None, F.col(score).desc(), key).withColumn("rank", (F.col("_rank") + 1).cast("int")).drop("_rank", "_before")
+    best = rows.orderBy(F.col(score).desc(), key).limit(top)
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.col(score).desc(), key)))
 
 
@@ -62,12 +65,14 @@ def document_sample(documents: DataFrame, name: str, n: int | None) -> DataFrame
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, size: int = 40) -> DataFrame:
-    """Of each stratum max(1, its share of size, rounded down) rows by hash order."""
-    total = rows.agg(F.count("*").alias("_n"))  # one row
-    w = W.partitionBy(stratum)
-    counted = rows.crossJoin(F.broadcast(total)).withColumn("_s", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.md5(F.col(key).cast("string")), key)))
+    """Of each stratum max(1, its share of size, rounded down) rows by hash order. No quota is above size, so each task sends that many rows of a stratum at most."""
+    counts = rows.groupBy(stratum).agg(F.count("*").alias("_s"))
+    total = counts.agg(F.sum("_s").alias("_n"))  # one row
     quota = F.greatest(F.lit(1), F.floor(F.col("_s") * F.least(F.lit(size), F.col("_n")) / F.col("_n")))
-    return counted.where(F.col("_r") <= quota).drop("_n", "_s", "_r")
+    quotas = counts.crossJoin(F.broadcast(total)).select(F.col(stratum).alias("_stratum"), quota.alias("_quota"))
+    first = F.row_number().over(W.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), key))
+    near = rows.withColumn("_r", first).where(F.col("_r") <= max(1, size))
+    return near.join(quotas, F.col(stratum).eqNullSafe(F.col("_stratum"))).where("_r <= _quota").drop("_stratum", "_quota", "_r")
 
 
 WANTED = ("short", "medium", "long", "medium", "long")

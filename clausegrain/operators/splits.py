@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from clausegrain.operators.relations import numbered
+
 SPLITS = ("train", "validation", "test")
 
 
@@ -28,15 +29,11 @@ def by_ratio(documents: DataFrame, document: str, ratios: tuple[float, float, fl
 
 
 def smallest_to_validation(rows: DataFrame, document: str, share: float = 0.2) -> DataFrame:
-    """document, n, split: the smallest documents validate, as long as those before them hold fewer rows than the share.
-
-    Documents of one size are counted together first, so the running sum is over sizes, and then within one size."""
+    """document, n, split: the smallest documents validate, as long as those before them hold fewer rows than the share."""
     sizes = rows.groupBy(document).agg(F.count("*").alias("n"))
-    by_size = sizes.groupBy("n").agg(F.count("*").alias("docs"))
     total = sizes.agg(F.floor(share * F.sum("n")).alias("_target"))  # one row
-    before = by_size.select("n", F.coalesce(F.sum(F.col("n") * F.col("docs")).over(W.orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # as many rows as sizes
-    own = sizes.join(before, "n").withColumn("_upto", F.col("_before") + F.col("n") * (F.row_number().over(W.partitionBy("n").orderBy(document)) - 1))
-    return own.crossJoin(F.broadcast(total)).select(document, "n", F.when(F.col("_upto") < F.col("_target"), "validation").otherwise("train").alias("split"))
+    placed = numbered(sizes, "n", "n", document)
+    return placed.crossJoin(F.broadcast(total)).select(document, "n", F.when(F.col("_before") < F.col("_target"), "validation").otherwise("train").alias("split"))
 
 
 def fixed(spark: SparkSession, assignment: dict, default: str = "test") -> tuple[DataFrame, str]:
@@ -49,17 +46,6 @@ def assign(rows: DataFrame, splits: DataFrame, document: str, default: str | Non
     return out.na.fill(default, ["split"]) if default else out.where("split is not null")
 
 
-def _in_order(rows: DataFrame, size: str, *order) -> DataFrame:
-    """rows with _rank and _before, how many rows come before each in the order and the sum of their sizes; no task sorts all of them."""
-    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    sums = ranged.groupBy("_p").agg(F.sum(size).alias("s"), F.count("*").alias("k"))
-    ahead = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    first = sums.select("_p", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("_s"), F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("_k"))  # as many rows as partitions
-    own = W.partitionBy("_p").orderBy(*order)
-    upto = F.coalesce(F.sum(size).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return ranged.join(F.broadcast(first), "_p").withColumns({"_rank": F.col("_k") + F.row_number().over(own) - 1, "_before": F.col("_s") + upto}).drop("_p", "_s", "_k")
-
-
 # Categories that make a document rare.
 RARE = frozenset(("Liability for Damages", "Competition Rights", "Governing Law and Jurisdiction", "Intellectual Property", "Term and Termination", "NDA Type", "Non-Confidential Information"))
 
@@ -70,7 +56,7 @@ def greedy_coverage(profile: DataFrame, document: str = "document_id") -> DataFr
     # A set of categories brings something to each split once at most, and never again once it brought nothing: only its first three
     # documents are looked at one by one. The others fill up, so the sum of the clauses before them tells their split.
     rare = F.size(F.array_intersect("categories", F.array(*map(F.lit, sorted(RARE)))))
-    docs = _in_order(profile.select(document, "clauses", F.array_sort(F.array_distinct("categories")).alias("categories"), rare.alias("_rare")), "clauses", F.desc("_rare"), F.desc("clauses"), F.desc(document)).persist()
+    docs = numbered(profile.select(document, "clauses", F.array_sort(F.array_distinct("categories")).alias("categories"), rare.alias("_rare")), "clauses", F.desc("_rare"), F.desc("clauses"), F.desc(document)).persist()
     total = docs.agg(F.sum("clauses")).first()[0] or 1
     nth = F.row_number().over(W.partitionBy("categories").orderBy("_rank"))
     first = docs.withColumn("_nth", nth).where("_nth <= 3").select("_rank", "_before", "clauses", "categories").collect()  # three of each set of categories at most
@@ -142,7 +128,7 @@ def greedy_target(profile: DataFrame, targets: dict[str, float], document: str =
                     picks.append(name)
                     held += size
                     before = before + F.when(F.col("_h") < h, size).otherwise(0)
-            taken = _in_order(small, "clauses", F.desc("_h")).where(before + F.col("_before") < target).select(document)
+            taken = numbered(small, "clauses", F.desc("_h")).where(before + F.col("_before") < target).select(document)
         chosen = taken.withColumn("_taken", F.lit(True))
         assigned = assigned.join(chosen, document, "left").withColumn("split", F.coalesce("split", F.when(F.col("_taken") | key.isin(picks), split))).drop("_taken").persist()
     return assigned.select(document, F.coalesce("split", F.lit("train")).alias("split"))
@@ -150,7 +136,7 @@ def greedy_target(profile: DataFrame, targets: dict[str, float], document: str =
 
 def group_folds(rows: DataFrame, document: str, folds: int = 5) -> DataFrame:
     """document, fold: the largest documents first, each to the smallest fold so far."""
-    sizes = _in_order(rows.groupBy(document).agg(F.count("*").alias("n")), "n", F.desc("n"), document).persist()
+    sizes = numbered(rows.groupBy(document).agg(F.count("*").alias("n")), "n", F.desc("n"), document).persist()
     groups = sorted(((r[0], r[1]) for r in sizes.groupBy("n").count().collect()), reverse=True)  # as many as sizes
     load = [0] * min(folds, max(1, sum(k for _, k in groups)))
     runs, rank = [], 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clausegrain.functions.labels import pos_neg_ratio
 from clausegrain.functions.taxonomy import CATEGORIES, dimension
@@ -64,12 +64,23 @@ def audit_reasons(text: Column) -> Column:
     )), "; ")
 
 
+def _distribution(labelled: DataFrame, document: str, labels: str, values: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of all fourteen categories and _n, the number of clauses, from one pass: each clause also counts once for the empty category."""
+    of = F.concat(F.array_distinct(F.coalesce(labels, F.array().cast("array<string>"))), F.array(F.lit("")))
+    each = labelled.select(document, *values, F.explode(of).alias("category")).groupBy("category").agg(F.count("*").alias("clauses"), F.count_distinct(document).alias("documents"), *(F.avg(v).alias(f"avg_{v}") for v in values))
+    every = each.join(dimension(labelled.sparkSession).select("cat_idx", "category"), "category", "full")  # a row for each category
+    total = F.coalesce(F.max(F.when(F.col("category") == "", F.col("clauses"))).over(W.partitionBy()), F.lit(0))
+    return every.withColumn("_n", total).where("cat_idx is not null").na.fill(0)
+
+
 def category_distribution(labelled: DataFrame, document: str = "document_id", labels: str = "labels", values: tuple[str, ...] = ()) -> DataFrame:
     """All fourteen categories: clauses, documents, percent of clauses, and means of value columns over the clauses that have it."""
-    each = labelled.select(document, *values, F.explode(F.array_distinct(labels)).alias("category")).groupBy("category").agg(F.count("*").alias("clauses"), F.count_distinct(document).alias("documents"), *(F.avg(v).alias(f"avg_{v}") for v in values))
-    total = labelled.agg(F.count("*").alias("_n"))  # one row
-    full = dimension(labelled.sparkSession).select("cat_idx", "category").join(each, "category", "left").na.fill(0)
-    return full.crossJoin(F.broadcast(total)).withColumn("percent", F.when(F.col("_n") > 0, 100 * F.col("clauses") / F.col("_n")).otherwise(0.0)).drop("_n")
+    full = _distribution(labelled, document, labels, values)
+    return full.select("cat_idx", "category", "clauses", "documents", *(f"avg_{v}" for v in values), _percent().alias("percent"))
+
+
+def _percent() -> Column:
+    return F.when(F.col("_n") > 0, 100 * F.col("clauses") / F.col("_n")).otherwise(0.0)
 
 
 def scarcity(clauses: Column, percent: Column) -> Column:
@@ -78,10 +89,10 @@ def scarcity(clauses: Column, percent: Column) -> Column:
 
 def class_imbalance(labelled: DataFrame, document: str = "document_id", labels: str = "labels") -> DataFrame:
     """Of each category: positives, negatives, percent, documents, ratio of negatives, whether it is a majority (15 and more)."""
-    total = labelled.agg(F.count("*").alias("_n"))  # one row
-    base = category_distribution(labelled, document, labels).crossJoin(F.broadcast(total))
     pos, neg = F.col("clauses"), F.col("_n") - F.col("clauses")
-    return base.select("cat_idx", "category", pos.alias("positives"), neg.alias("negatives"), "percent", F.col("documents").alias("document_frequency"), F.when(pos > 0, neg / pos).alias("neg_per_pos"), (pos >= 15).alias("is_majority"))
+    return _distribution(labelled, document, labels).select(
+        "cat_idx", "category", pos.alias("positives"), neg.alias("negatives"), _percent().alias("percent"), F.col("documents").alias("document_frequency"), F.when(pos > 0, neg / pos).alias("neg_per_pos"), (pos >= 15).alias("is_majority")
+    )
 
 
 def with_ratio_text(imbalance: DataFrame) -> DataFrame:

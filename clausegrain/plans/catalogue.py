@@ -576,8 +576,7 @@ def threshold_best(spark, d):
 
 @query(f"""WITH {CLAUSES}, {LABELLED}, e AS (SELECT clause_id, unnest(list_distinct(labels)) AS c FROM clause_labels) SELECT a.c AS category_a, b.c AS category_b, count(*) AS n FROM e a JOIN e b USING (clause_id) WHERE a.c <= b.c GROUP BY a.c, b.c""")
 def cooccurrence(spark, d):
-    each = A.clause_labels(spark, d).select("clause_id", F.explode("labels").alias("category"))
-    return metrics.cooccurrence(each, "clause_id")
+    return metrics.cooccurrence(A.clause_labels(spark, d))
 
 
 COUNTED = f"{CLAUSES}, {LABELLED}, n AS (SELECT category, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(labels) AS category FROM clause_labels) GROUP BY category)"
