@@ -146,3 +146,7 @@ def human_validity(action: Column) -> Column:
 
 def pos_neg_ratio(positive: Column, negative: Column) -> Column:
     return F.when(positive > 0, F.format_string("1:%.1f", negative / positive)).otherwise("N/A")
+
+
+def impact(delta: Column, least: float = 0.02) -> Column:
+    return F.when(delta > least, "IMPROVED").when(delta < -least, "DEGRADED").otherwise("NEUTRAL")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from clausegrain.operators.filters import is_sure
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
@@ -71,10 +73,17 @@ def sweep(predictions: DataFrame, grid: tuple[float, ...] = GRID, minor: DataFra
     return summary(per_category(confusion(at, keys=("threshold", "category"))), minor, ("threshold",))
 
 
-def best_threshold(swept: DataFrame, by: str = "macro_f1", digits: int | None = 4) -> DataFrame:
-    """The row with the greatest metric (rounded, if digits are given); the lowest threshold among equals."""
+def best_threshold(swept: DataFrame, by: str = "macro_f1", digits: int | None = 4, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The row with the greatest metric (rounded, if digits are given); among equals the greatest of the metrics in ties, then the lowest threshold."""
     value = F.round(by, digits) if digits is not None else F.col(by)
-    return swept.orderBy(value.desc(), "threshold").limit(1)
+    return swept.orderBy(value.desc(), *(F.col(c).desc() for c in ties), "threshold").limit(1)
+
+
+def ablation(predictions: DataFrame, quality: str = "quality") -> DataFrame:
+    """summary() over all rows, over those of high and medium and over those of high confidence, in one pass."""
+    q = F.col(quality)
+    subsets = F.array_compact(F.array(F.lit("ALL"), F.when(is_sure(q, "MEDIUM_CONFIDENCE"), "HIGH_MEDIUM"), F.when(is_sure(q), "HIGH")))
+    return summary(per_category(confusion(predictions.withColumn("subset", F.explode(subsets)), keys=("subset", "category"))), None, ("subset",))
 
 
 def cooccurrence(labelled: DataFrame, labels: str = "labels") -> DataFrame:

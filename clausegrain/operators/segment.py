@@ -228,3 +228,24 @@ def paragraphs(docs: DataFrame, min_length: int = 30) -> DataFrame:
     """document_id, text of each paragraph between blank lines, at least so long: a fallback for texts without structure."""
     each = docs.select("document_id", F.explode(F.split("text", r"\n\s*\n")).alias("text")).withColumn("text", strip(F.col("text")))
     return each.where(F.length("text") >= min_length)
+
+
+def compare_versions(old: DataFrame, new: DataFrame, document: str = "document_id", text: str = "text", names: tuple[str, str] = ("old", "new")) -> DataFrame:
+    """Of each document of the new clauses (text, is_suspicious, segment_type): clauses, suspicious and short ones of both versions, headers and their greatest length, and
+    the greatest legal clause; a document that the old version lacks counts 0 there."""
+    n = F.length(text)
+    by = lambda rows, name: rows.groupBy(document).agg(F.count("*").alias(f"{name}_clauses"), F.count_if("is_suspicious").alias(f"{name}_suspicious"), F.count_if(F.length(strip(F.col(text))) < 20).alias(f"{name}_short"))
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("segment_type") == kind, n)), F.lit(0))
+    more = new.groupBy(document).agg(F.count_if((F.col("segment_type") == "header") & (n > 500)).alias("large_headers"), of("header").alias("largest_header"), of("legal_clause").alias("largest_legal_clause"))
+    return by(new, names[1]).join(by(old, names[0]), document, "left").join(more, document).na.fill(0)
+
+
+def version_totals(compared: DataFrame, names: tuple[str, str] = ("old", "new"), most: int = 10) -> DataFrame:
+    """One row over compare_versions(): totals of both versions, documents whose counts differ by more than `most`, and header figures."""
+    each = [f"{v}_{c}" for v in names for c in ("clauses", "suspicious", "short")]
+    apart = F.abs(F.col(f"{names[0]}_clauses") - F.col(f"{names[1]}_clauses")) > most
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return compared.agg(
+        F.count("*").alias("documents"), *(zero(F.sum(c)).alias(c) for c in each), F.count_if(apart).alias("mismatches"), zero(F.sum("large_headers")).alias("large_headers"),
+        zero(F.max("largest_header")).alias("largest_header"), zero(F.max("largest_legal_clause")).alias("largest_legal_clause"),
+    )

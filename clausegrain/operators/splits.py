@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from clausegrain.functions.taxonomy import CATEGORIES, dimension
 from clausegrain.operators.relations import numbered
 
 SPLITS = ("train", "validation", "test")
@@ -168,15 +169,30 @@ def _turns(load: list[int], n: int, k: int) -> list[tuple[int, list[int]]]:
     return out
 
 
+# Categories whose documents the audit counts by themselves.
+AUDITED = {"liability": "Liability for Damages", "competition": "Competition Rights", "intellectual_property": "Intellectual Property", "governing_law": "Governing Law and Jurisdiction"}
+
+
 def audit(rows: DataFrame, document: str = "document_id", labels: str = "labels") -> DataFrame:
-    """One row of gates over rows with split: counts, leakage, coverage, and status READY, CONDITIONALLY_READY or BLOCKED with reasons."""
-    leaks = rows.groupBy(document).agg(F.count_distinct("split").alias("k")).agg(F.count("*").alias("documents"), F.count_if(F.col("k") > 1).alias("leaking_documents"))
+    """One row over rows with split: counts, twelve gates (booleans), reasons and status: READY, CONDITIONALLY_READY (validation or test lacks
+    categories) or BLOCKED (few documents, a category in fewer than three of them, leakage, or train lacks categories)."""
+    k = F.col("k")
+    leaks = rows.groupBy(document).agg(F.count_distinct("split").alias("k")).agg(F.count("*").alias("documents"), F.count_if(k > 1).alias("leaking_documents"), F.coalesce(F.sum((k * (k - 1) / 2).cast("long")), F.lit(0)).alias("overlaps"))
     each = rows.select(document, "split", F.explode(F.array_distinct(labels)).alias("category")).groupBy("category").agg(F.count_distinct(document).alias("docs"), *(F.count_if(F.col("split") == s).alias(s) for s in SPLITS))
-    cover = each.agg(F.count("*").alias("categories"), F.min("docs").alias("least_documents"), *(F.count_if(F.col(s) > 0).alias(f"{s}_categories") for s in SPLITS))
+    full = dimension(rows.sparkSession).select("category").join(each, "category", "left").na.fill(0)  # fourteen rows
+    cover = full.agg(
+        F.count_if(F.col("docs") > 0).alias("categories"), F.min("docs").alias("least_documents"), *(F.count_if(F.col(s) > 0).alias(f"{s}_categories") for s in SPLITS),
+        *(F.max(F.when(F.col("category") == c, F.col("docs"))).alias(f"{name}_documents") for name, c in AUDITED.items()),
+    )
     counts = rows.agg(F.count("*").alias("rows"), *(F.count_if(F.col("split") == s).alias(f"{s}_rows") for s in SPLITS))
     one = counts.crossJoin(leaks).crossJoin(cover)  # three tables of one row
-    hard = {"documents leak": F.col("leaking_documents") > 0, "no training rows": F.col("train_rows") == 0, "no validation rows": F.col("validation_rows") == 0, "no test rows": F.col("test_rows") == 0}
-    soft = {"categories missing": F.col("categories") < 14, "training lacks categories": F.col("train_categories") < 14, "fewer than 14 documents": F.col("documents") < 14, "categories in fewer than 3 documents": F.coalesce(F.col("least_documents"), F.lit(0)) < 3}
-    reasons = lambda gates: F.array_compact(F.array(*(F.when(c, k) for k, c in gates.items())))
-    bad, weak = reasons(hard), reasons(soft)
-    return one.withColumns({"reasons": F.array_join(F.concat(bad, weak), "; "), "status": F.when(F.size(bad) > 0, "BLOCKED").when(F.size(weak) > 0, "CONDITIONALLY_READY").otherwise("READY")})
+    all_of = lambda s: F.col(f"{s}_categories") == len(CATEGORIES)
+    gates = {"documents": F.col("documents") >= 14} | {name: F.col(f"{name}_documents") >= 3 for name in AUDITED} | {
+        "category_documents": F.col("least_documents") >= 3, "leakage": F.col("overlaps") == 0, "train_coverage": all_of("train"), "validation_coverage": all_of("validation"), "test_coverage": all_of("test"),
+    }
+    g = lambda name: F.col(f"gate_{name}")
+    out = one.withColumns({f"gate_{name}": c for name, c in gates.items()}).withColumn("gate_split_coverage", g("train_coverage") & g("validation_coverage") & g("test_coverage"))
+    out = out.withColumn("gate_final", g("documents") & g("category_documents") & g("leakage") & g("train_coverage"))
+    reasons = {"documents": "fewer than 14 documents", "category_documents": "categories in fewer than 3 documents", "leakage": "documents leak", "train_coverage": "train lacks categories", "validation_coverage": "validation lacks categories", "test_coverage": "test lacks categories"}
+    out = out.withColumn("reasons", F.array_join(F.array_compact(F.array(*(F.when(~g(k), v) for k, v in reasons.items()))), "; "))
+    return out.withColumn("status", F.when(~g("final"), "BLOCKED").when(g("validation_coverage") & g("test_coverage"), "READY").otherwise("CONDITIONALLY_READY"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clausegrain.functions.labels import pos_neg_ratio
 from clausegrain.functions.taxonomy import CATEGORIES, dimension
-from clausegrain.functions.text import n_words
+from clausegrain.functions.text import n_words, strip, truthy
 
 
 def corpus(clauses: DataFrame, document: str = "document_id", text: str = "text") -> DataFrame:
@@ -51,7 +51,7 @@ def extremes(audit: DataFrame, document: str, metrics: tuple[str, ...]) -> DataF
 
 def audit_reasons(text: Column) -> Column:
     """What is odd about a clause, as reasons joined by semicolons."""
-    from clausegrain.functions.text import is_upper, strip
+    from clausegrain.functions.text import is_upper
     from clausegrain.operators.segment import MARKS
 
     t, low = strip(text), F.lower(strip(text))
@@ -149,3 +149,40 @@ def inventory(docs: DataFrame, source: str, text: str) -> DataFrame:
     """Of each source: documents, and their mean, least and greatest words."""
     n = n_words(F.col(text))
     return docs.groupBy(source).agg(F.count("*").alias("documents"), F.avg(n).alias("avg_words"), F.min(n).alias("min_words"), F.max(n).alias("max_words"))
+
+
+def segmentation(extracted: DataFrame, clauses: DataFrame, document: str = "document_id", text: str = "text") -> DataFrame:
+    """One row: documents by outcome of their extraction (status), and clauses by document and length; zeros without clauses."""
+    outcome = extracted.agg(F.count("*").alias("documents_processed"), F.count_if(F.col("status").isin("success", "partial")).alias("successful_documents"), F.count_if(F.col("status").isin("failed", "empty")).alias("failed_documents"))
+    n = F.length(text)
+    by_doc = clauses.groupBy(document).agg(F.count("*").alias("k"), F.sum(n).alias("s"), F.min(n).alias("lo"), F.max(n).alias("hi"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    found = by_doc.agg(
+        F.count("*").alias("documents_with_clauses"), zero(F.sum("k")).alias("clauses"), zero(F.avg("k")).alias("avg_clauses"), zero(F.min("k")).alias("min_clauses"), zero(F.max("k")).alias("max_clauses"),
+        zero(F.sum("s") / F.sum("k")).alias("avg_length"), zero(F.min("lo")).alias("min_length"), zero(F.max("hi")).alias("max_length"),
+    )
+    return outcome.crossJoin(found)  # two tables of one row
+
+
+def annotation_summary(rows: DataFrame, labels: str = "labels", status: str = "annotation_status", verified: str = "label_verified", round_: str = "annotation_round") -> DataFrame:
+    """One row: clauses, labelled, verified and multi-label ones, counts by status (blank is pending), and the latest round (a whole number)."""
+    state = F.upper(F.coalesce(F.nullif(strip(F.col(status)), F.lit("")), F.lit("PENDING")))
+    size = F.coalesce(F.size(labels), F.lit(0))
+    number = F.when(F.col(round_).rlike("^[0-9]+$"), F.col(round_).cast("long"))
+    return rows.agg(
+        F.count("*").alias("total_clauses"), F.count_if(size > 0).alias("labeled_clauses"), F.count_if(truthy(F.col(verified), ("true", "1", "yes"))).alias("verified_clauses"), F.count_if(size > 1).alias("multi_labeled_clauses"),
+        *(F.count_if(state == s).alias(s.lower()) for s in ("PENDING", "ANNOTATED", "DISPUTED", "SKIPPED")), F.coalesce(F.max(number), F.lit(0)).alias("current_round"),
+    )
+
+
+def round_distribution(labelled: DataFrame, earlier: DataFrame | None, number: int, document: str = "document_id", labels: str = "labels") -> DataFrame:
+    """All fourteen categories: annotations, percent of them, documents, the round_N columns of an earlier distribution (0 where it lacks a
+    category), this round's, and a warning on scarce ones."""
+    each = labelled.select(document, F.explode(labels).alias("category")).groupBy("category").agg(F.count("*").alias("total_annotations"), F.count_distinct(document).alias("documents_present"))
+    full = dimension(labelled.sparkSession).select("category").join(each, "category", "left").na.fill(0)
+    n, total = F.col("total_annotations"), F.greatest(F.sum("total_annotations").over(W.partitionBy()), F.lit(1))  # fourteen rows
+    out = full.withColumn("percentage", 100 * n / total).withColumn("warning", F.when(n == 0, "ZERO_EXAMPLES").when(n < 5, "SPARSE").when(n < total * 0.1, "UNDERREPRESENTED").otherwise(""))
+    old = [c for c in (earlier.columns if earlier is not None else []) if c.startswith("round_") and c != f"round_{number}"]
+    if old:
+        out = out.join(earlier.select("category", *old), "category", "left").na.fill(0, old)
+    return out.select("category", "total_annotations", "percentage", "documents_present", *old, n.alias(f"round_{number}"), "warning")

@@ -18,9 +18,10 @@ def write_clauses(clauses: DataFrame, path: str, format: str = "json") -> None:
 
 
 def write_splits(rows: DataFrame, path: str, document: str = "doc_id") -> DataFrame:
-    """Rows by split, a folder each, and one row of JSON about them in split_info."""
+    """Rows by split, a folder each; each split's documents, a row each, in split_documents; and a row of counts for each split in split_info."""
     rows.write.mode("overwrite").partitionBy("split").json(f"{path}/rows")
-    sizes = rows.groupBy("split").agg(F.count("*").alias("clauses"), F.array_sort(F.collect_set(document)).alias("documents"))
+    rows.select("split", document).distinct().write.mode("overwrite").partitionBy("split").json(f"{path}/split_documents")
+    sizes = rows.groupBy("split").agg(F.count("*").alias("clauses"), F.count_distinct(document).alias("documents"))
     sizes.coalesce(1).write.mode("overwrite").json(f"{path}/split_info")
     return sizes
 
@@ -47,13 +48,29 @@ def write_metadata(one_row: DataFrame, path: str) -> None:
     one_row.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def _files(spark, path: str):
+    """A path maker and the file system of the path."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return hadoop, hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def restored(spark, path: str) -> None:
+    """Puts a table back that a replace_table() which was cut off between its renames had moved aside."""
+    hadoop, fs = _files(spark, path)
+    if not fs.exists(hadoop(path)):
+        left = sorted((s.getModificationTime(), s.getPath().toString()) for s in fs.globStatus(hadoop(f"{path}.old-*")) or [])
+        if left:
+            fs.rename(hadoop(left[-1][1]), hadoop(path))
+
+
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Writes beside the table and then takes its place, so a reader finds the old rows or the new, and rows may be read from the path itself."""
+    """Writes beside the table, moves the old one aside and puts the new one in its place; rows may be read from the path itself. For the moment
+    between the two renames the path is absent; a run cut off there is mended by restored(), which this calls first."""
     spark = rows.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    restored(spark, path)
+    hadoop, fs = _files(spark, path)
     beside, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     rows.write.parquet(beside)
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     had = fs.exists(hadoop(path))
     if had:
         fs.rename(hadoop(path), hadoop(old))

@@ -1,7 +1,8 @@
 """Incremental, resumable processing: an append-only log as a stream, its latest state by key as a table.
 
-Checkpoints remember which files were read, so a run that is stopped goes on where it was, and a batch that is repeated
-changes nothing: the upsert keeps the greatest ordinal of each key."""
+Each micro-batch is reduced to its latest row of each key and written as one more folder of a log, under the batch's number, so a batch that is repeated
+writes the same folder again. Now and then the log is compacted to a snapshot, which counts once it is whole; so a batch costs what it holds, and a run that
+is stopped anywhere goes on where it was. state() reads the newest whole snapshot and the batches after it."""
 
 from __future__ import annotations
 
@@ -10,12 +11,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrain.sources.sinks import replace_table
+#: Batches between two snapshots.
+COMPACT = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else "file://" + tempfile.mkdtemp(prefix="clausegrain-stream-")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="clausegrain-stream-")
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -25,19 +31,36 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return newest.select(key, "_r.*")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _numbered(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the whole folders below a path."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(path))
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(hadoop(f"{path}/*/_SUCCESS")) or []
+    return sorted(int(s.getPath().getParent().getName()) for s in found)
+
+
+def state(spark: SparkSession, target: str, key: str, order: str) -> DataFrame | None:
+    """The latest row of each key that upsert_stream() has kept under target; None before its first batch."""
+    snapshots = _numbered(spark, f"{target}/snapshots")[-1:]
+    batches = [k for k in _numbered(spark, f"{target}/batches") if not snapshots or k > snapshots[0]]
+    parts = [f"{target}/snapshots/{k}" for k in snapshots] + [f"{target}/batches/{k}" for k in batches]
+    return latest(spark.read.parquet(*parts), key, order) if parts else None
 
 
 def upsert_stream(stream: DataFrame, target: str, checkpoint: str, key: str, order: str):
-    """Keeps target at the latest row of each key of a stream; runs over what is there, and then ends."""
+    """Keeps what state() reads under target at the latest row of each key of a stream; runs over what is there, and then ends."""
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        old = session.read.parquet(target) if _exists(session, target) else None
-        both = batch if old is None else old.unionByName(batch)
-        replace_table(latest(both, key, order).select(*batch.columns), target)
+        latest(batch, key, order).write.mode("overwrite").parquet(f"{target}/batches/{number}")
+        if number % COMPACT == COMPACT - 1:
+            state(session, target, key, order).write.mode("overwrite").parquet(f"{target}/snapshots/{number}")
+            hadoop = session.sparkContext._jvm.org.apache.hadoop.fs.Path
+            fs = hadoop(target).getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
+            for folder, kept in (("batches", number + 1), ("snapshots", number)):
+                for k in _numbered(session, f"{target}/{folder}"):
+                    if k < kept:
+                        fs.delete(hadoop(f"{target}/{folder}/{k}"), True)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -46,15 +69,16 @@ def latest_by_user(spark: SparkSession, events: str, folder: str | None = None)
     """The events table as a stream: each user's latest event (user_id, event_id, event_type, value)."""
     folder = folder or f"{shared_dir(spark)}/resume-{uuid.uuid4().hex}"
     columns = ["user_id", "event_id", "event_type", "value"]
-    schema = spark.read.parquet(events).schema
+    whole = spark.read.parquet(events)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(events)
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    reader = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
         events, name = events.rsplit("/", 1)  # a stream reads folders
         reader = reader.option("pathGlobFilter", name)
     stream = reader.parquet(events)
     upsert_stream(stream.select(*columns), f"{folder}/state", f"{folder}/checkpoint", "user_id", "event_id").awaitTermination()
-    return spark.read.parquet(f"{folder}/state").select(*columns)
+    found = state(spark, f"{folder}/state", "user_id", "event_id")
+    return found.select(*columns) if found is not None else whole.select(*columns).limit(0)
 
 
 def remaining(queue: DataFrame, log: DataFrame, key: str, ok: str = "status = 'SUCCESS'") -> DataFrame:

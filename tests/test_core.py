@@ -212,7 +212,7 @@ def test_scorer_is_tried_again_and_then_left(spark):
         raise RuntimeError("down")
 
     rows = spark.createDataFrame([(f"c{k}", "t") for k in range(5)], "clause_id string, text string")
-    assert {r.status for r in ensemble.score_with(rows, "m", broken).collect()} == {"API_ERROR"}
+    assert {r.status for r in ensemble.score_with(rows, "m", broken, sleep=lambda seconds: None).collect()} == {"API_ERROR"}
     assert {r.labels[0] for r in ensemble.score_with(rows, "m", lambda ts: [(["Purpose"], 1.0, "SUCCESS", "")] * len(ts)).collect()} == {"Purpose"}
 
 
@@ -250,11 +250,69 @@ def test_resume_stream(spark, tmp_path):
     make([(1, 2, "c"), (3, 1, "d")])
     run()
     run()
-    state = spark.read.parquet(target)
+    state = resume.state(spark, target, "k", "n")
     assert {tuple(r) for r in state.collect()} == {(1, 2, "c"), (2, 1, "b"), (3, 1, "d")}
     assert [r.k for r in resume.remaining(spark.createDataFrame([(1,), (9,)], "k long"), state.withColumn("status", F.lit("SUCCESS")), "k").collect()] == [9]
 
 
+def test_resume_stream_compacts_its_log(spark, tmp_path, monkeypatch):
+    """Many batches, a snapshot now and then, and a snapshot that was cut off before it was whole."""
+    monkeypatch.setattr(resume, "COMPACT", 3)
+    source, target = str(tmp_path / "in"), str(tmp_path / "state")
+    for n in range(8):
+        spark.createDataFrame([(n % 3, n, f"v{n}")], "k long, n long, v string").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("k long, n long, v string").option("maxFilesPerTrigger", 1).parquet(source)
+    resume.upsert_stream(stream, target, str(tmp_path / "cp"), "k", "n").awaitTermination()
+    os.makedirs(f"{target}/snapshots/99")
+    assert {tuple(r) for r in resume.state(spark, target, "k", "n").collect()} == {(2, 5, "v5"), (0, 6, "v6"), (1, 7, "v7")}
+    assert sorted(os.listdir(f"{target}/snapshots")) == ["5", "99"] and sorted(d for d in os.listdir(f"{target}/batches")) == ["6", "7"]
+
+
+def test_a_replaced_table_is_restored(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    sinks.replace_table(spark.range(3), path)
+    sinks.replace_table(spark.read.parquet(path).union(spark.range(2)), path)
+    assert spark.read.parquet(path).count() == 5
+    os.rename(path, f"{path}.old-x")  # cut off between its renames
+    sinks.restored(spark, path)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_failed_votes_vote_where_all_three_do(spark):
+    v = [("c", "a", ["Purpose"], 0.9, "SUCCESS"), ("c", "b", [], 0.0, "API_ERROR"), ("c", "d", [], 0.0, "API_ERROR")]
+    got = ensemble.combine(spark.createDataFrame(v, "clause_id string, model string, labels array<string>, confidence double, status string"), count_failures=True).first()
+    assert got.labels == ["Additional Information"] and abs(got.average_confidence - 1.9 / 3) < 1e-9
+    usual = ensemble.combine(spark.createDataFrame([*v, ("c", "e", ["Purpose"], 0.8, "SUCCESS")], "clause_id string, model string, labels array<string>, confidence double, status string")).first()
+    assert usual.labels == ["Purpose"] and usual.reason.startswith("[2/4 models failed]")
+
+
+def test_a_scorer_is_waited_for(spark):
+    said = []
+
+    def busy(texts):
+        said.append(len(texts))
+        if len(said) < 3:
+            raise RuntimeError("429 RESOURCE_EXHAUSTED retryDelay': '7s'" if len(said) == 1 else "503")
+        return [(["Purpose"], 1.0, "SUCCESS", "")] * len(texts)
+
+    waits = []
+    answers, status, _ = ensemble.ask(busy, ["t"], 5, None, waits.append)
+    assert status == "SUCCESS" and answers and waits == [9.0, 30.0]
+    assert ensemble.wait_for("boom", 4) == 3.0 and ensemble.wait_for("429", 9) == 60.0
+
+    def spent(texts):
+        raise RuntimeError("429, retry in 500s")
+
+    assert ensemble.ask(spent, ["t"], 5, None, waits.append)[1] == "API_QUOTA_EXHAUSTED" and len(waits) == 2
+    import time
+
+    assert ensemble.ask(lambda texts: time.sleep(1), ["t"], 2, 0.05, waits.append)[1] == "API_ERROR" and waits[2:] == [3.0]
+    queue = spark.createDataFrame([(f"c{k}", "t") for k in range(6)], "clause_id string, text string")
+    log = spark.createDataFrame([("c0", "m", "SUCCESS"), ("c1", "m", "API_ERROR"), ("c2", "other", "SUCCESS")], "clause_id string, model string, status string")
+    done = ensemble.score_pending(queue, log, "m", lambda texts: [(["Purpose"], 1.0, "SUCCESS", "")] * len(texts), limit=3).collect()
+    assert sorted(r.clause_id for r in done) == ["c1", "c2", "c3"]
+
+
 def test_baseline_classifier(spark):
     from clausegrain.operators import learning
 
