@@ -177,7 +177,7 @@ def audit(rows: DataFrame, document: str = "document_id", labels: str = "labels"
     """One row over rows with split: counts, twelve gates (booleans), reasons and status: READY, CONDITIONALLY_READY (validation or test lacks
     categories) or BLOCKED (few documents, a category in fewer than three of them, leakage, or train lacks categories)."""
     k = F.col("k")
-    leaks = rows.groupBy(document).agg(F.count_distinct("split").alias("k")).agg(F.count("*").alias("documents"), F.count_if(k > 1).alias("leaking_documents"), F.coalesce(F.sum((k * (k - 1) / 2).cast("long")), F.lit(0)).alias("overlaps"))
+    leaks = rows.groupBy(document).agg(F.count_distinct("split").alias("k")).agg(F.count("*").alias("documents"), F.count_if(k > 1).alias("leaking_documents"), F.coalesce(F.sum((k * (k - 1) / 2).cast("long")), F.lit(0)).alias("shared_documents"))
     each = rows.select(document, "split", F.explode(F.array_distinct(labels)).alias("category")).groupBy("category").agg(F.count_distinct(document).alias("docs"), *(F.count_if(F.col("split") == s).alias(s) for s in SPLITS))
     full = dimension(rows.sparkSession).select("category").join(each, "category", "left").na.fill(0)  # fourteen rows
     cover = full.agg(
@@ -188,7 +188,7 @@ def audit(rows: DataFrame, document: str = "document_id", labels: str = "labels"
     one = counts.crossJoin(leaks).crossJoin(cover)  # three tables of one row
     all_of = lambda s: F.col(f"{s}_categories") == len(CATEGORIES)
     gates = {"documents": F.col("documents") >= 14} | {name: F.col(f"{name}_documents") >= 3 for name in AUDITED} | {
-        "category_documents": F.col("least_documents") >= 3, "leakage": F.col("overlaps") == 0, "train_coverage": all_of("train"), "validation_coverage": all_of("validation"), "test_coverage": all_of("test"),
+        "category_documents": F.col("least_documents") >= 3, "leakage": F.col("shared_documents") == 0, "train_coverage": all_of("train"), "validation_coverage": all_of("validation"), "test_coverage": all_of("test"),
     }
     g = lambda name: F.col(f"gate_{name}")
     out = one.withColumns({f"gate_{name}": c for name, c in gates.items()}).withColumn("gate_split_coverage", g("train_coverage") & g("validation_coverage") & g("test_coverage"))

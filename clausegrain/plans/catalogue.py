@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausegrain.functions import labels as L, text as X
 from clausegrain.functions.taxonomy import CATEGORIES, RISK, label_col
-from clausegrain.operators import ensemble, metrics, quality, relations as R, risk, segment, selection as S, splits, stats
+from clausegrain.operators import ensemble, metrics, relations as R, risk, segment, selection as S, splits, stats
 from clausegrain.plans import adapters as A
 from clausegrain.plans.adapters import CLAUSES, LABELLED, PREDICTIONS, SECTIONS, TAXONOMY, VOTES, table
 
@@ -397,12 +397,6 @@ def document_sample(spark, d):
     return S.document_sample(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 50)
 
 
-@query()
-def seed_batch(spark, d):
-    rows = A.clauses(spark, d).withColumn("review_status", F.when(F.col("pos") % 3 == 0, "PRIORITY_UNREVIEWED").otherwise("UNREVIEWED"))
-    return S.seed_batch(rows, "doc_id", "clause_id", "text", "review_status").select("doc_id", "clause_id", "turn", "length_bucket", "selection_reason")
-
-
 @query(f"""WITH {SCORED} SELECT clause_id, list_filter([CASE WHEN pos % 7 = 0 THEN 'NEEDS_CONTEXT' END, CASE WHEN score / 997 < 0.7 THEN 'LOW_CONFIDENCE' END, CASE WHEN pos % 5 = 1 THEN 'SPLIT' END,
 CASE WHEN score / 997 >= 0.9 AND CAST('0x' || substr(md5(clause_id), 1, 4) AS BIGINT) % 100 < 10 THEN 'AUDIT' END], lambda x: x IS NOT NULL) AS reasons FROM scored""")
 def review_routing(spark, d):
@@ -526,16 +520,6 @@ def split_greedy_target(spark, d):
     return splits.greedy_target(profile, {"test": 0.2, "validation": 0.15}, "doc_id")
 
 
-@query()
-def group_folds(spark, d):
-    return splits.group_folds(A.clauses(spark, d), "doc_id")
-
-
-@query()
-def split_audit(spark, d):
-    return splits.audit(with_split(A.clause_labels(spark, d)), "doc_id")
-
-
 # ---------------------------------------------------------------- metrics
 
 CONF = f"{PREDICTIONS}, conf AS (SELECT category, count(*) FILTER (y_true = 1 AND y_prob >= 0.5) AS tp, count(*) FILTER (y_true <> 1 AND y_prob >= 0.5) AS fp, count(*) FILTER (y_true = 1 AND y_prob < 0.5) AS fn, count(*) FILTER (y_true <> 1 AND y_prob < 0.5) AS tn FROM predictions GROUP BY category)"
@@ -636,26 +620,6 @@ def document_risk(spark, d):
     return risk.document_risk(A.clause_labels(spark, d), "doc_id")
 
 
-@query(f"""WITH {CLAUSES}, r AS (SELECT clause_id, pos % 50 = 7 AS b0, length(text) < 25 AS b1, false AS b2, doc_id % 100 = 3 AS b3 FROM clauses),
-f AS (SELECT 'odd_position' AS "check", 'ERROR' AS severity, count(*) FILTER (b0) AS count, false AS needs, list(clause_id ORDER BY clause_id) FILTER (b0) AS ids FROM r UNION ALL SELECT 'short_text', 'WARN', count(*) FILTER (b1), false, list(clause_id ORDER BY clause_id) FILTER (b1) FROM r
-UNION ALL SELECT 'never', 'ERROR', count(*) FILTER (b2), false, NULL FROM r UNION ALL SELECT 'has_third', 'BLOCKED', count(*) FILTER (b3), true, list(clause_id ORDER BY clause_id) FILTER (b3) FROM r)
-SELECT "check", severity, CASE WHEN needs = (count > 0) THEN 'PASS' ELSE severity END AS status, count, md5(coalesce(CAST(to_json(ids) AS VARCHAR), '[]')) AS ids_md5 FROM f""")
-def dq_suite(spark, d):
-    rules = [quality.Rule("odd_position", F.col("pos") % 50 == 7), quality.Rule("short_text", F.length("text") < 25, "WARN"), quality.Rule("never", F.lit(False)), quality.Rule("has_third", F.col("doc_id") % 100 == 3, "BLOCKED", needs=True)]
-    return quality.run(A.clauses(spark, d), rules, "clause_id").select("check", "severity", "status", "count", F.md5("ids").alias("ids_md5"))
-
-
-@query()
-def dq_split_suite(spark, d):
-    rows = with_split(A.clause_labels(spark, d)).withColumn("document_id", F.col("doc_id"))
-    return quality.splits(rows, most_ids=20)
-
-
-@query()
-def dq_pseudo_label_suite(spark, d):
-    return quality.pseudo_labels(combined(spark, d), most_ids=20)
-
-
 def review_tables(spark, d):
     c = A.clauses(spark, d)
     k = (F.col("doc_id") * 7 + F.col("pos")) % 10
@@ -678,13 +642,4 @@ def evidence_resolution(spark, d):
     return resolve(*review_tables(spark, d))
 
 
-# ---------------------------------------------------------------- streams
-
-
-@query()
-def resume_stream(spark, d):
-    from clausegrain.streaming.resume import latest_by_user
-
-    return latest_by_user(spark, f"{d}/events.parquet")
-
-
+from clausegrain.plans import suites  # noqa: E402, F401  more queries, which build on these
