@@ -1,12 +1,14 @@
 """The pipeline against a brute-force version of its stages."""
 
+import itertools
+import os
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline
-from clausegrain.llm import pii, quality
+from clausegrain.llm import pii, quality, simhash
 from tests.llm.test_llm import contaminated, finger, grouped, prose
 
 
@@ -64,3 +66,23 @@ def test_clean_documents_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert quality.filtered(docs).count() == 50
     assert re.match("quality", corpus_pipeline.STAGES[0][0])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_near_duplicates_of_the_tables_are_those_of_brute_force(spark):
+    """All pairs of a thousand documents: five-word shingles, similarity of 0.8 and more, or fingerprints two bits apart."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    sets, fps = [simhash.shingles(t.encode()) for _, t in rows], [finger(t) for _, t in rows]
+    holds = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            holds[x].append(k)
+    common = Counter((a, b) for ks in holds.values() for a, b in itertools.combinations(ks, 2))
+    pairs = {(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9}
+    assert len(pairs) > 20
+    root = grouped(range(len(rows)), lambda a, b: (a, b) in pairs or (fps[a] ^ fps[b]).bit_count() <= 2)
+    least = {}
+    for k, r in root.items():
+        least[r] = min(least.get(r, rows[k][0]), rows[k][0])
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(least.values())
