@@ -19,6 +19,11 @@ def multi_hot(labels: Column) -> list[Column]:
     return [F.coalesce(F.array_contains(labels, c), F.lit(False)).cast("int").alias(label_col(c)) for c in CATEGORIES]
 
 
+def unapproved(labels: Column) -> Column:
+    """The labels that are no known category."""
+    return F.array_except(labels, all_categories())
+
+
 def parse(json: Column, policy: str = "empty") -> Column:
     """Labels from a JSON text. Policies for what isn't a list: empty (and only known categories stay), null, scalar
     (a bare string is a list of one), split (on semicolons), fallback (the fallback category), strings (only string elements stay)."""
@@ -150,3 +155,8 @@ def pos_neg_ratio(positive: Column, negative: Column) -> Column:
 
 def impact(delta: Column, least: float = 0.02) -> Column:
     return F.when(delta > least, "IMPROVED").when(delta < -least, "DEGRADED").otherwise("NEUTRAL")
+
+
+def holds_any(text: Column, words: list[str]) -> Column:
+    """Whether a text matches one of some patterns in any case; null holds none."""
+    return F.coalesce(text.rlike("(?iU)" + "|".join(f"(?:{w})" for w in words)), F.lit(False))

@@ -70,6 +70,19 @@ def in_order(rows: DataFrame, order: DataFrame, key: str, ordinal: str) -> DataF
     return rows.join(order.select(key, ordinal), key).orderBy(ordinal)
 
 
+def ordered_left(rows: DataFrame, other: DataFrame, key: str, ordinal: str = "_position") -> DataFrame:
+    """Left join that carries each row's place among the rows, ordered by key, so that its order can be had again."""
+    placed = numbered(rows, None, key).withColumnRenamed("_rank", ordinal).drop("_before")
+    return placed.join(other, key, "left")
+
+
+def set_operations(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """key and side (both, left, right) of every distinct key: intersection, difference and symmetric difference at once."""
+    side = lambda df, c: df.select(key).distinct().withColumn(c, F.lit(True))
+    both = side(a, "_a").join(side(b, "_b"), key, "full")
+    return both.select(key, F.when(F.col("_a") & F.col("_b"), "both").when(F.col("_a"), "left").otherwise("right").alias("side"))
+
+
 def duplicates(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """With in_group (every member of a group of two or more), is_repeat (all but the first by an order that tells rows apart). Groups are counted,
     and those of two and more joined, so that no task sorts the rows of a busy key."""

@@ -128,9 +128,10 @@ def split_support(labelled: DataFrame, split: str = "split", labels: str = "labe
     return full.withColumn("missing_in", F.array_join(F.array_compact(F.array(*(F.when(F.col(s) == 0, s) for s in splits))), ","))
 
 
-def document_profile(labelled: DataFrame, document: str = "document_id", labels: str = "labels") -> DataFrame:
-    """document, clauses, its categories as a sorted set."""
-    return labelled.groupBy(document).agg(F.count("*").alias("clauses"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(labels)))).alias("categories"))
+def document_profile(labelled: DataFrame, document: str = "document_id", labels: str = "labels", split: str | None = None) -> DataFrame:
+    """document, clauses, its categories as a sorted set; with a split column also that (the smallest, where a document leaks)."""
+    more = [F.min(split).alias(split)] if split else []
+    return labelled.groupBy(document).agg(*more, F.count("*").alias("clauses"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(labels)))).alias("categories"))
 
 
 def quality_summary(rows: DataFrame, quality: str, confidence: str, agreement: str) -> DataFrame:
@@ -186,3 +187,17 @@ def round_distribution(labelled: DataFrame, earlier: DataFrame | None, number: i
     if old:
         out = out.join(earlier.select("category", *old), "category", "left").na.fill(0, old)
     return out.select("category", "total_annotations", "percentage", "documents_present", *old, n.alias(f"round_{number}"), "warning")
+
+
+def signal_score(clauses: DataFrame, signals: dict[str, str], document: str = "document_id", text: str = "text") -> DataFrame:
+    """Of each document: clauses, how many signals some clause holds, how many clauses hold each summed up, and a score of these."""
+    names = [f"_s{i}" for i in range(len(signals))]
+    hits = clauses.groupBy(document).agg(*(F.count_if(F.lower(text).rlike("(?U)" + p)).alias(n) for n, p in zip(names, signals.values(), strict=True)), F.count("*").alias("clauses"))
+    distinct, total = sum(((F.col(n) > 0).cast("int") for n in names), F.lit(0)), sum((F.col(n) for n in names), F.lit(0))
+    return hits.select(document, "clauses", distinct.alias("distinct_signals"), total.cast("long").alias("total_signals"), (10 * distinct + 2 * total + 0.1 * F.col("clauses")).alias("score"))
+
+
+def dataset(labelled: DataFrame, document: str = "document_id", text: str = "text", labels: str = "labels") -> DataFrame:
+    """corpus() with single- and multi-label clauses, and an error where there is no clause."""
+    out = corpus(labelled, document, text).crossJoin(single_or_multi(labelled, labels))  # two tables of one row
+    return out.withColumn("error", F.when(F.col("clauses") == 0, "no documents"))

@@ -326,9 +326,7 @@ def heuristic_score(spark, d):
 @query(f"""WITH {CLAUSES}, h AS (SELECT doc_id, {', '.join(f"sum(CAST(regexp_matches(lower(text), '{p}') AS INTEGER)) AS s{i}" for i, p in enumerate(SQL_SIGNALS))}, count(*) AS clauses FROM clauses GROUP BY doc_id)
 SELECT doc_id, clauses, {' + '.join(f'CAST(s{i} > 0 AS INTEGER)' for i in range(4))} AS distinct_signals, CAST(s0 + s1 + s2 + s3 AS BIGINT) AS total_signals, 10 * ({' + '.join(f'CAST(s{i} > 0 AS INTEGER)' for i in range(4))}) + 2 * (s0 + s1 + s2 + s3) + CAST(0.1 AS DOUBLE) * clauses AS score FROM h""")
 def doc_signal_score(spark, d):
-    hits = A.clauses(spark, d).groupBy("doc_id").agg(*(F.count_if(F.lower("text").rlike("(?U)" + p)).alias(f"s{i}") for i, p in enumerate(PROSE_SIGNALS.values())), F.count("*").alias("clauses"))
-    distinct, total = sum(((F.col(f"s{i}") > 0).cast("int") for i in range(4)), F.lit(0)), F.col("s0") + F.col("s1") + F.col("s2") + F.col("s3")
-    return hits.select("doc_id", "clauses", distinct.alias("distinct_signals"), total.alias("total_signals"), (10 * distinct + 2 * total + 0.1 * F.col("clauses")).alias("score"))
+    return stats.signal_score(A.clauses(spark, d), PROSE_SIGNALS, "doc_id")
 
 
 @query("SELECT vec_id, 1 - list_sum(list_transform(embedding, lambda x: abs(1 / (1 + exp(-CAST(x AS DOUBLE))) - 0.5))) / len(embedding) AS uncertainty, len(list_filter(embedding, lambda x: 1 / (1 + exp(-CAST(x AS DOUBLE))) >= 0.5)) AS positives FROM embeddings")
@@ -635,11 +633,13 @@ def review_tables(spark, d):
 @query(f"""WITH {CLAUSES}, k AS (SELECT clause_id, doc_id, (doc_id * 7 + pos) % 10 AS k FROM clauses)
 SELECT clause_id, doc_id, ['PSEUDO_KEEP', 'EXCLUDED_NON_LEGAL', 'PENDING_MERGE', 'PENDING_REVIEW', 'PENDING_SPLIT', 'API_FAILURE', 'HUMAN_RECORDED_KEEP', 'CONFLICT_REVIEW', 'PRIORITY_UNREVIEWED', 'UNREVIEWED'][k + 1] AS review_status,
 ['KEEP', 'REMOVE_NON_LEGAL', 'MERGE_WITH_NEXT', 'REVIEW', 'SPLIT', '', 'KEEP', 'REVIEW', '', ''][k + 1] AS review_action, CASE WHEN k < 5 THEN '0.90' END AS confidence, CASE k WHEN 6 THEN 'KEEP' WHEN 7 THEN 'SPLIT' ELSE '' END AS human_actions,
-k <> 1 AS needs_human_review, k = 2 AS unresolved_merge, k IN (4, 7) AS unresolved_split FROM k""")
+k <> 1 AS needs_human_review, k = 2 AS unresolved_merge, k IN (4, 7) AS unresolved_split, CASE WHEN k < 5 THEN 'SUCCESS' WHEN k = 5 THEN 'ERROR' ELSE 'NOT_REVIEWED' END AS llm_status, CASE WHEN k < 5 THEN 'LLM_SUGGESTION' ELSE '' END AS confidence_basis,
+CASE WHEN k < 5 THEN '2024-01-01' ELSE '' END AS review_timestamp, CASE WHEN k < 5 THEN 'suggestions' WHEN k IN (6, 7) THEN 'review' ELSE '' END AS review_sources, k = 8 AS is_priority,
+CASE k WHEN 6 THEN '[{{"review_file":"review","human_action":"KEEP","human_corrected_text":""}}]' WHEN 7 THEN '[{{"review_file":"review","human_action":"SPLIT","human_corrected_text":"fixed"}}]' ELSE '[]' END AS human_review_records FROM k""")
 def evidence_resolution(spark, d):
     from clausegrain.operators.evidence import resolve
 
-    return resolve(*review_tables(spark, d))
+    return resolve(*review_tables(spark, d)).drop("review_reason")
 
 
 from clausegrain.plans import suites  # noqa: E402, F401  more queries, which build on these

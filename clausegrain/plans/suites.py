@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausegrain.functions import labels as L, text as X
 from clausegrain.functions.taxonomy import CATEGORIES, label_col
-from clausegrain.operators import ensemble, filters, metrics, quality, segment, selection as S, splits, stats
+from clausegrain.operators import ensemble, filters, metrics, quality, relations as R, segment, selection as S, splits, stats
 from clausegrain.plans import adapters as A
 from clausegrain.plans.adapters import CLAUSES, LABELLED, PREDICTIONS, SECTIONS, TAXONOMY, table
 from clausegrain.plans.catalogue import CONF, ENSEMBLE, PAIR, PER, SPLIT, SUMMARY, SWEPT, VOTES, combined, query, with_split
@@ -358,6 +358,105 @@ def ensemble_always_three(spark: SparkSession, d: str) -> DataFrame:
     return ensemble.combine(A.votes(spark, d), count_failures=True).select("clause_id", "labels", "average_confidence", "agreement_score", "quality")
 
 
+@query(f"""WITH {CLAUSES}, {LABELLED}, b AS (SELECT doc_id, count(*) AS n FROM clause_labels GROUP BY 1), w AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS nw FROM clause_labels)
+SELECT (SELECT count(*) FROM b) AS documents, count(*) AS clauses, (SELECT min(n) FROM b) AS min_clauses, (SELECT max(n) FROM b) AS max_clauses, (SELECT avg(n) FROM b) AS avg_clauses, CAST(min(length(text)) AS INTEGER) AS min_chars, CAST(max(length(text)) AS INTEGER) AS max_chars, avg(length(text)) AS avg_chars,
+CAST(min(nw) AS INTEGER) AS min_words, CAST(max(nw) AS INTEGER) AS max_words, avg(nw) AS avg_words, count(*) FILTER (len(labels) = 1) AS single_label, count(*) FILTER (len(labels) > 1) AS multi_label, CASE WHEN count(*) = 0 THEN 'no documents' END AS error FROM w""")
+def dataset_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return stats.dataset(A.clause_labels(spark, d), "doc_id")
+
+
+@query(f"WITH {CLAUSES}, {LABELLED} SELECT doc_id, min({SPLIT}) AS split, count(*) AS clauses, list_sort(list_distinct(flatten(list(labels)))) AS categories FROM clause_labels GROUP BY doc_id")
+def document_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return stats.document_profile(with_split(A.clause_labels(spark, d)), "doc_id", split="split")
+
+
+@query(f"""WITH {CLAUSES}, {LABELLED} SELECT clause_id, CASE WHEN pos % 3 = 0 THEN ['Odd'] ELSE [] END AS unapproved FROM clause_labels""")
+def unapproved_labels(spark: SparkSession, d: str) -> DataFrame:
+    more = F.when(F.col("pos") % 3 == 0, F.array(F.lit("Odd"))).otherwise(F.array().cast("array<string>"))
+    return A.clause_labels(spark, d).select("clause_id", L.unapproved(F.concat("labels", more)).alias("unapproved"))
+
+
+@query("SELECT doc_id, quality, toxic, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) LEFT JOIN labels USING (doc_id)")
+def ordered_left_join(spark: SparkSession, d: str) -> DataFrame:
+    return R.ordered_left(table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id"), table(spark, d, "labels"), "doc_id", "position")
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = (SELECT max(event_type) FROM events) AND event_id % 3 = 0)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NOT NULL AND b.user_id IS NOT NULL THEN 'both' WHEN a.user_id IS NOT NULL THEN 'left' ELSE 'right' END AS side FROM a FULL JOIN b ON a.user_id = b.user_id""")
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    kinds = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))  # one row
+    return R.set_operations(e.join(F.broadcast(kinds), F.col("event_type") == F.col("lo")), e.where("event_id % 3 = 0").join(F.broadcast(kinds), F.col("event_type") == F.col("hi")), "user_id")
+
+
+@query(f"WITH {CLAUSES} SELECT clause_id FROM clauses WHERE regexp_matches(text, '(?i)(?:th[ae]n)|(?:und)')")
+def signal_filter(spark: SparkSession, d: str) -> DataFrame:
+    return A.clauses(spark, d).where(L.holds_any(F.col("text"), ["th[ae]n", "und"])).select("clause_id")
+
+
+@query(f"""WITH {CLAUSES}, k AS (SELECT clause_id, [NULL, '', ' PENDING ', 'ANNOTATED', 'SKIPPED'][pos % 5 + 1] AS s, [' True', '1', 'no', NULL][pos % 4 + 1] AS t, 'key AIza' || substr(md5(clause_id), 1, 6) || ' x' AS secret FROM clauses)
+SELECT clause_id, trim(coalesce(s, '')) NOT IN ('', 'PENDING') AS done, coalesce(lower(trim(t)) IN ('true', '1'), false) AS truth, regexp_replace(secret, 'AIza[\\w-]+', '[REDACTED]', 'g') AS redacted FROM k""")
+def small_parsers(spark: SparkSession, d: str) -> DataFrame:
+    states, truths = one_of(F.col("pos") % 5, None, {1: "", 2: " PENDING ", 3: "ANNOTATED", 4: "SKIPPED"}), one_of(F.col("pos") % 4, None, {0: " True", 1: "1", 2: "no"})
+    secret = F.concat(F.lit("key AIza"), F.substring(F.md5("clause_id"), 1, 6), F.lit(" x"))
+    return A.clauses(spark, d).select("clause_id", filters.is_done(states).alias("done"), X.truthy(truths).alias("truth"), X.redact(secret).alias("redacted"))
+
+
+@query(f"""WITH {CLAUSES} SELECT clause_id, pos % 6 IN (0, 1) AS valid FROM clauses""")
+def review_validator(spark: SparkSession, d: str) -> DataFrame:
+    good = '{"suggested_action": "KEEP", "confidence": 0.9, "reason": "r", "needs_context": false}'
+    raw = one_of(F.col("pos") % 6, None, {0: good, 1: good.replace("suggested_action", "action"), 2: good.replace("0.9", "1.9"), 3: good.replace("KEEP", "DROP"), 4: good.replace('"r"', '" "')})
+    return A.clauses(spark, d).select("clause_id", L.is_valid_review(raw).alias("valid"))
+
+
+@query(f"""WITH {CLAUSES}, k AS (SELECT ['KEEP', 'SPLIT', 'REVIEW'][pos % 3 + 1] AS suggested_action, doc_id % 101 / 100 AS c FROM clauses)
+SELECT suggested_action, count(*) AS n, count(*) FILTER (c >= 0.9) AS high, count(*) FILTER (c >= 0.7 AND c < 0.9) AS medium, count(*) FILTER (c < 0.7) AS low, 100 * count(*) / sum(count(*)) OVER () AS percent FROM k GROUP BY 1""")
+def review_statistics(spark: SparkSession, d: str) -> DataFrame:
+    from clausegrain.operators.evidence import review_statistics as statistics
+
+    action = one_of(F.col("pos") % 3, None, {0: "KEEP", 1: "SPLIT", 2: "REVIEW"})
+    return statistics(A.clauses(spark, d).select(action.alias("suggested_action"), (F.col("doc_id") % 101 / 100).alias("confidence")))
+
+
+LEGAL_HITS = " + ".join(f"CAST(contains(lower(t), '{w}') AS INTEGER)" for w in segment.LEGAL_WORDS)
+LIKE = lambda p: f"regexp_matches(t, '{p}')"
+EXHIBIT, PAGE = LIKE(segment.EXHIBIT), f"({LIKE(segment.PAGE)} AND ((regexp_matches(t, '^\\d+$') AND n <= 3) OR contains(lower(t), 'page') OR contains(t, '-')))"
+HEADING = lambda most, title: f"(n < {most} AND {LIKE(segment.HEADING % title)} AND NOT ends_with(t, '.'))"
+UPPER = r"regexp_matches(t, '^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$')"
+NO_WORDS = LIKE("^[" + segment.MARKS.replace("'", "''") + "]+$")
+
+
+@query(f"""WITH {CLAUSES}, v AS (SELECT clause_id, CASE pos % 8 WHEN 0 THEN 'EX-10.1 title' WHEN 1 THEN 'Page 3 of 9' WHEN 2 THEN 'SECTION CONFIDENTIAL MATTERS' WHEN 3 THEN '...' WHEN 4 THEN left(text, 12) WHEN 5 THEN upper(left(text, 40)) WHEN 6 THEN text || ' the party shall disclose' ELSE text END AS t0 FROM clauses),
+w AS (SELECT clause_id, trim(t0, chr(32) || chr(9) || chr(10)) AS t, length(t0) AS n0 FROM v), u AS (SELECT *, length(t) AS n FROM w), l AS (SELECT *, n >= 50 AND ({LEGAL_HITS} >= 2 OR n > 300) AS legal FROM u),
+k AS (SELECT *, CASE WHEN t = '' THEN 'fragment' WHEN {EXHIBIT} THEN 'header' WHEN {PAGE} THEN 'page_number' WHEN {HEADING(80, 60)} THEN 'section_heading' WHEN n < 60 AND {UPPER} AND NOT ends_with(t, '.') THEN 'section_heading' WHEN {NO_WORDS} THEN 'fragment' WHEN n < 20 THEN 'fragment' ELSE 'legal_clause' END AS kind_2,
+  CASE WHEN t = '' THEN 'fragment' WHEN {NO_WORDS} THEN 'fragment' WHEN {EXHIBIT} AND legal THEN 'legal_clause' WHEN {EXHIBIT} AND n < 300 THEN 'header' WHEN {PAGE} THEN 'page_number' WHEN NOT legal AND {HEADING(150, 100)} THEN 'section_heading'
+    WHEN NOT legal AND n < 100 AND {UPPER} AND NOT ends_with(t, '.') AND len(regexp_split_to_array(t, '\\s+')) < 15 THEN 'section_heading' WHEN n < 20 AND NOT legal THEN 'fragment' ELSE 'legal_clause' END AS kind_3 FROM l)
+SELECT clause_id, legal, kind_2, kind_3, n0 < 20 OR kind_2 IN ('fragment', 'page_number', 'header') AS suspicious_2, n0 < 15 OR kind_3 IN ('fragment', 'page_number') OR (kind_3 = 'header' AND n0 > 500) AS suspicious_3 FROM k""")
+def segment_kinds(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    made = one_of(F.col("pos") % 8, t, {0: "EX-10.1 title", 1: "Page 3 of 9", 2: "SECTION CONFIDENTIAL MATTERS", 3: "...", 4: F.left(t, F.lit(12)), 5: F.upper(F.left(t, F.lit(40))), 6: F.concat(t, F.lit(" the party shall disclose"))})
+    rows = A.clauses(spark, d).select("clause_id", made.alias("t"))
+    kinds = rows.select("clause_id", "t", segment.has_legal_content(X.strip(F.col("t"))).alias("legal"), segment.segment_type(F.col("t"), 2).alias("kind_2"), segment.segment_type(F.col("t"), 3).alias("kind_3"))
+    return kinds.select("clause_id", "legal", "kind_2", "kind_3", segment.is_suspicious(F.col("t"), F.col("kind_2"), 2).alias("suspicious_2"), segment.is_suspicious(F.col("t"), F.col("kind_3"), 3).alias("suspicious_3"))
+
+
+@query(f"""WITH {CLAUSES}, c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (pos % 9 = 2) AS bad, count(*) FILTER (pos % 6 <> 0) AS legal FROM clauses GROUP BY 1)
+SELECT doc_id AS document_id, coalesce(n, 0) AS num_clauses, coalesce(legal, 0) AS num_legal_clauses, coalesce(bad, 0) AS n_suspicious, CASE WHEN coalesce(n, 0) <= 3 OR 10 * bad > 4 * n THEN 'HIGH_RISK' WHEN bad > 0 OR n > 100 THEN 'REVIEW' ELSE 'OK' END AS quality_status FROM documents LEFT JOIN c USING (doc_id)""")
+def document_status(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.clauses(spark, d).select(F.col("doc_id").alias("document_id"), (F.col("pos") % 9 == 2).alias("is_suspicious"), F.when(F.col("pos") % 6 == 0, "header").otherwise("legal_clause").alias("segment_type"))
+    return segment.document_status(rows, table(spark, d, "documents").select(F.col("doc_id").alias("document_id")))
+
+
+@query(f"""WITH {CLAUSES}, r AS (SELECT clause_id, row_number() OVER (ORDER BY md5(clause_id), clause_id) AS r FROM clauses WHERE doc_id % 5 = 0) SELECT clause_id FROM r WHERE r <= 30""")
+def audit_sample(spark: SparkSession, d: str) -> DataFrame:
+    return S.hash_sample(A.clauses(spark, d).where("doc_id % 5 = 0").select("clause_id"), "clause_id", 30)
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def enriched(spark: SparkSession, d: str) -> DataFrame:
+    return R.enrich(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", {"quality": -1, "toxic": 0})
+
+
 # ---------------------------------------------------------------- one row after another, in SQL by recursion
 
 
