@@ -52,6 +52,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000, most: int = 32 <
         step = max(1, min(rows, batch.num_rows * most // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        del batch  # the next one is read without this one beside it
 
 
 def kept_in_worker(name: str, owner: str, make: Callable):
@@ -90,6 +91,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
                 made = pa.RecordBatch.from_arrays(arrays, schema=out)
                 for at in range(0, made.num_rows, 20_000):
                     yield made.slice(at, 20_000)
+                del arrays, made, cols
+            del batch
         pa.default_memory_pool().release_unused()  # workers live on
 
     return df.mapInArrow(run, struct)

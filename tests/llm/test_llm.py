@@ -121,6 +121,18 @@ def test_reduction_keeps_an_optimum_within_reach():
         assert fixed + least_bins(sorted(rest.elements(), reverse=True), 20) == least_bins(items, 20)
 
 
+def test_ids_are_those_of_the_tokenizers_library():
+    """Odd strings: white space of all kinds, marks, digits, other scripts, control strings."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(21)
+    bits = [" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "a", "The", "don't", "'s", "é", "ß", "漢字", "😀", "12", "3.14", "...", "!?", "<|endoftext|>", "x" * 40, "_", "ſ", "İ", "\u200b", "ن", "A1b2", "-", "```", "\x00"]
+    t, own = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(4000)] + [x or "" for _, x in TEXTS]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 # ---------------------------------------------------------------- chat
 
 
@@ -198,6 +210,31 @@ def test_mined_rules_have_any_length(spark):
     assert [(r.tokens, r.confidence) for r in rules] == [(list("abcd"), 1.0)]
 
 
+def test_no_mined_rule_is_lost_and_the_surest_wins(spark):
+    """Mining, index and tie-break against all token sets: verdict and confidence of every URL."""
+    r = random.Random(13)
+    hosts, parts = ["a.com", "b.com", "x.a.com", "c.info"], ["p", "q", "shop", "win", "en"]
+    urls = [f"http://{r.choice(hosts)}/{'/'.join(r.sample(parts, r.randint(0, 3)))}{r.choice(['', '?id=1', '?win=2&x'])}" for _ in range(300)]
+    urls = [re.sub(r"(\?|$)", rf"/{k}\1", u, count=1) for k, u in enumerate(urls)]
+    bad = {k for k, u in enumerate(urls) if ("win" in u and r.random() < 0.9) or ("c.info" in u and "shop" in u) or r.random() < 0.15}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k not in bad), 0) for k in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    read = pages.select("page_id", "url", urlrules.host(pages["url"]).alias("host"), urlrules.path(pages["url"]).alias("path"))
+    tokens = {x.page_id: frozenset(x.t) for x in read.select("page_id", urlrules.tokens().alias("t")).collect()}
+    known = [(tokens[k], k in bad) for k in range(0, 300, 2)]
+    sets = {frozenset(c) for t, _ in known for n in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), n)}
+    hits = {s: [b for t, b in known if s <= t] for s in sets}
+    mined = {s: sum(v) / len(v) for s, v in hits.items() if sum(v) >= 0.02 * len(known) and sum(v) / len(v) >= 0.5}
+    rules = {s: c for s, c in mined.items() if not any(mined.get(s - {x}, -1) >= c for x in s)}
+    assert len(rules) > 5
+    for x in urlrules.judged(pages, labels, rules=(("c.info", "/q", "allow"),), support=0.02).collect():
+        best = max((c for s, c in rules.items() if s <= tokens[x.page_id]), default=None)
+        if x.rule is None:
+            assert (x.verdict, x.mined_confidence) == ("block" if best else "allow", best), urls[x.page_id]
+        else:
+            assert x.verdict == "allow" and x.mined_confidence is None and x.host.endswith("c.info")
+
+
 # ---------------------------------------------------------------- spans
 
 
@@ -334,6 +371,23 @@ def test_quality_filter_is_the_verdict_and_sketches_merge(spark):
     assert np.allclose([q.word_length_q1, q.word_length_q2, q.word_length_q3], exact, rtol=quality.ACCURACY * 1.01)
 
 
+def test_quality_limits_differ_by_group_and_bind(spark):
+    """Two sources of unlike prose: each one's odd text would be the other's usual one. A group of one text has its parent's limits, nearly."""
+    r = random.Random(18)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    text = lambda length, marks=0: "\n".join(" ".join(word(max(1, round(r.gauss(length, 1)))) + ("," if r.random() < marks else "") for _ in range(20)) for _ in range(20))
+    rows = [(k, text(4, 0.05), "en", "short") for k in range(600)] + [(1000 + k, text(9, 0.05), "en", "long") for k in range(600)]
+    rows += [(900, text(9, 0.05), "en", "short"), (901, text(4, 0.05), "en", "long"), (902, text(4, 0.9), "en", "short"), (903, text(9, 0.9), "en", "long"), (904, text(5, 0.05), "en", "one")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limit = {x.source: x for x in quality.limits(quality.counts(table)).collect()}
+    assert limit["short"].max_word_length < 0.8 * limit["long"].max_word_length and limit["short"].min_word_length < limit["long"].min_word_length and limit["short"].max_marks > limit["long"].max_marks
+    out = {x.doc_id for x in quality.judged(table).where("not kept").collect()}
+    assert out == {900, 901, 902, 903}
+    clash = table.withColumns({"_lang": table["lang"], "_source": table["source"], "limit_lang": table["lang"], "max_marks": table["doc_id"], "n_words": table["doc_id"]})
+    kept = quality.filtered(clash)
+    assert kept.columns == clash.columns and {x.doc_id for x in kept.collect()} == {k for k, *_ in rows} - out
+
+
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 6, 30])
 def test_repeated_words_with_many_words(n):
     words = [str(k % max(1, n)).encode() for k in range(2 * n)] + [str(k).encode() for k in range(9000)]
@@ -564,6 +618,15 @@ def test_one_of_each_catches_similar_texts(spark, docs):
     assert simhash.one_of_each(docs).columns == docs.columns
 
 
+def test_columns_of_clashing_names_stay(spark):
+    rows = [(k, prose(40 + k), "a", "b", "c", k, "d") for k in range(12)] + [(20, BASE, "a", "b", "c", 1, "d"), (21, BASE, "a", "b", "c", 2, "d"), (21, BASE, "a", "b", "c", 2, "d")]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, _key string, text_key string, _id string, kept_id int, _row string")
+    kept = simhash.one_of_each(clash)
+    assert kept.columns == clash.columns and sorted(tuple(x) for x in kept.collect()) == sorted(rows[:-2])
+    clean = decontam.cleaned(clash, spark.createDataFrame([(1, BASE)], "item_id long, text string"), block_words=1)
+    assert clean.columns == clash.columns and sorted(tuple(x) for x in clean.collect()) == sorted(rows[:-3])
+
+
 def test_one_original_gathers_hundreds_of_copies(spark):
     """Each copy is similar to the original, but hardly any two copies are to each other."""
     r = random.Random(12)
