@@ -1,6 +1,6 @@
 """Language-model scores: prediction by partial matching over bytes, beside an add-one unigram baseline.
 
-Counts of byte contexts come from all training documents in one aggregation: the trie of order 4 is a table of grams (four
+Counts of byte contexts come from all training documents in one aggregation: the trie of order 5 is a table of grams (five
 bytes of context and a symbol) that grows with the corpus, cut into blocks of about BLOCK_GRAMS grams by the context's two nearest
 bytes. A symbol unseen in a context costs that context's escape (method C: distinct symbols against all occurrences) and is
 sought one level below, where symbols that the longer context has are excluded; below the root all symbols left are alike.
@@ -33,13 +33,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from clausegrain.llm.common import as_bytes, materialize, sliced
 
 #: The longest context, and grams of a block: a task holds one block, whatever the corpus.
-ORDER, BLOCK_GRAMS = 4, 1 << 20
+ORDER, BLOCK_GRAMS = 5, 1 << 20
 #: Bytes of text in a unit, and of a block's looked-up grams in a task, about.
 UNIT_BYTES, TASK_BYTES = 4 << 20, 256 << 20
 FREQUENT, LONGEST = 1 << 18, 64
 #: Distinct words or grams that a task gathers before it sends them on.
 GATHERED = 300_000
-CODE = (1 << 40) - 1
+#: Bits of a code below its flag.
+TOP = 8 * (ORDER + 1)
+CODE = (1 << TOP) - 1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -47,15 +49,27 @@ def held_out(doc_id: Column) -> Column:
 
 
 def codes_of(text: bytes, size: np.ndarray) -> np.ndarray:
-    """A code for each byte of joined texts: the byte before it in bits 32-39, the next in 24-31, to the fourth in 8-15, itself in 0-7, and above how many of the four its text lacks."""
+    """A code for each byte of joined texts: the byte before it in the highest of ORDER + 1 bytes, the next below, itself in the lowest, and above (from bit TOP) how many of the bytes before it its text lacks."""
     raw = np.frombuffer(text, np.uint8)
-    end = np.cumsum(size)
     out = raw.astype(np.int64)
     for j in range(1, ORDER + 1):
         out[j:] |= raw[:-j].astype(np.int64) << 8 * (ORDER + 1 - j)
-    for k in range(ORDER):  # the first bytes of each text have shorter contexts
-        at = (end - size + k)[size > k]
-        out[at] = (out[at] & (CODE >> 8 * (ORDER - k) << 8 * (ORDER - k) | 255)) | (ORDER - k) << 40
+    for at, k in _begins(size):
+        out[at] = _codes_at(raw, at, k)
+    return out
+
+
+def _begins(size: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """The places of the texts' first bytes, which have fewer than ORDER bytes before them, and how many they have."""
+    start = np.cumsum(size) - size
+    return [((start + k)[size > k], k) for k in range(ORDER)]
+
+
+def _codes_at(raw: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The codes of places that have k bytes before them."""
+    out = raw[at].astype(np.int64) | (ORDER - k) << TOP
+    for j in range(1, k + 1):
+        out |= raw[at - j].astype(np.int64) << 8 * (ORDER + 1 - j)
     return out
 
 
@@ -152,7 +166,7 @@ class Block:
         symbols = np.arange(256)
         at1, s1 = np.nonzero(flat)
         levels = {0: (symbols[root > 0], root[root > 0]), 1: ((at1 << 8) + s1, flat[at1, s1])}
-        plain, had = codes & CODE, ORDER - (codes >> 40)
+        plain, had = codes & CODE, ORDER - (codes >> TOP)
         for j in range(2, order + 1):
             on = had >= j
             levels[j] = _summed((plain[on] >> 8 * (ORDER + 1 - j) << 8) + (plain[on] & 255), n[on])
@@ -175,7 +189,7 @@ class Block:
 
     def costs(self, codes: np.ndarray) -> np.ndarray:
         """Log10 probability of each code's symbol."""
-        plain, had = codes & CODE, ORDER - (codes >> 40)
+        plain, had = codes & CODE, ORDER - (codes >> TOP)
         out, spent = np.zeros(len(codes)), np.zeros(len(codes))
         open_, came = np.arange(len(codes)), np.full(len(codes), -1)
         for j in range(self.order, -1, -1):
@@ -214,12 +228,12 @@ class Cuts:
     """Where the blocks begin, in pairs of nearest bytes; and the counts of contexts of one byte and of none."""
 
     def __init__(self, counts: DataFrame, most: int):
-        near = counts.groupBy(F.expr("shiftright(gram, 32) & 255").alias("c"), F.expr("gram & 255").alias("s"), F.expr("gram >= shiftleft(4L, 40)").alias("none")).agg(F.sum("n").alias("n")).toArrow()  # 2^17 rows at most
+        near = counts.groupBy(F.expr(f"shiftright(gram, {TOP - 8}) & 255").alias("c"), F.expr("gram & 255").alias("s"), F.expr(f"gram >= {ORDER << TOP}L").alias("none")).agg(F.sum("n").alias("n")).toArrow()  # 2^17 rows at most
         c, s, n, none = (near.column(k).to_numpy() for k in ("c", "s", "n", "none"))
         self.flat, self.root = np.zeros((256, 256), np.int64), np.zeros(256, np.int64)
         np.add.at(self.root, s, n)
         np.add.at(self.flat, (c[~none], s[~none]), n[~none])
-        pairs = counts.groupBy(F.expr("IF(gram >= shiftleft(3L, 40), 0, shiftright(gram, 24) & 65535)").alias("pair")).count().collect()  # 2^16 rows at most
+        pairs = counts.groupBy(F.expr(f"IF(gram >= {ORDER - 1 << TOP}L, 0, shiftright(gram, {TOP - 16}) & 65535)").alias("pair")).count().collect()  # 2^16 rows at most
         begin, held = [0], 0
         for pair, k in sorted((r[0], r[1]) for r in pairs):
             if held and held + k > most:
@@ -230,7 +244,7 @@ class Cuts:
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         """The block of each code; those with less than two bytes of context are the first one's."""
-        return np.where(codes >> 40 > ORDER - 2, 0, np.searchsorted(self.begin, codes >> 24 & 0xFFFF, "right") - 1)
+        return np.where(codes >> TOP > ORDER - 2, 0, np.searchsorted(self.begin, codes >> TOP - 16 & 0xFFFF, "right") - 1)
 
     def dealt(self, codes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """An order of the codes by block, and each block's part of it."""
@@ -368,30 +382,42 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 def _by_text(text: bytes, size: np.ndarray, cuts: Cuts, priced: np.ndarray) -> np.ndarray:
     """Of each of the joined texts, the sum of its bytes' costs; priced has those of the distinct codes as cuts deals them."""
-    codes = codes_of(text, size)
-    short = codes >> 40 > 0
-    # Sorted with their places in the low bits, codes need no permutation; the few with a flag above are looked up.
-    bits = max(1, len(codes).bit_length())
-    if bits <= 24:
-        key = (codes & CODE).astype(np.uint64) << np.uint64(bits) | np.arange(len(codes), dtype=np.uint64)
-        key = key[~short]
+    raw = np.frombuffer(text, np.uint8)
+    each = np.empty(len(raw))
+    begins = _begins(size)
+    flagged = [(at, _codes_at(raw, at, k)) for at, k in begins]
+    whole = np.ones(len(raw), bool)
+    for at, _ in begins:
+        whole[at] = False
+    seen = np.bincount(raw, minlength=256) > 0
+    letter, place_bits = max(1, int(seen.sum() - 1).bit_length()), max(1, len(raw).bit_length())
+    if letter * (ORDER + 1) + place_bits <= 64:
+        # With the alphabet's own numbers, a code and its place fit a word, and sorting needs no permutation.
+        own = (np.cumsum(seen) - 1).astype(np.uint64)[raw]
+        key = own << np.uint64(place_bits)
+        for j in range(1, ORDER + 1):
+            key[j:] |= own[:-j] << np.uint64(letter * (ORDER + 1 - j) + place_bits)
+        key = (key | np.arange(len(raw), dtype=np.uint64))[whole]
         key.sort()
-        place, plain = (key & np.uint64((1 << bits) - 1)).astype(np.int64), (key >> np.uint64(bits)).astype(np.int64)
-    else:  # one text larger than 16 MB
-        place = np.flatnonzero(~short)
-        place = place[np.argsort(codes[place], kind="stable")]
-        plain = codes[place]
-    first = np.flatnonzero(np.diff(plain, prepend=-1))
-    rest = np.unique(codes[short])
-    distinct = np.concatenate((plain[first], rest))
+        place = (key & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.diff(key >> np.uint64(place_bits)) != 0) + 1
+    else:
+        place = np.flatnonzero(whole)
+        codes = codes_of(text, size)[place]
+        by_code = np.argsort(codes, kind="stable")
+        place = place[by_code]
+        first = np.flatnonzero(np.diff(codes[by_code])) + 1
+    first = np.concatenate(([0], first)) if len(place) else np.zeros(0, np.int64)
+    rest = np.unique(np.concatenate([c for _, c in flagged]))
+    distinct = np.concatenate((_codes_at(raw, place[first], ORDER), rest))
     by, _ = cuts.dealt(distinct)
     if len(priced) != len(distinct):
         raise ValueError(f"{len(priced)} costs for {len(distinct)} codes")
     cost = np.empty(len(distinct))
     cost[by] = priced
-    each = np.empty(len(codes))
-    each[place] = np.repeat(cost[: len(first)], np.diff(np.append(first, len(plain))))
-    each[short] = cost[len(first) + np.searchsorted(rest, codes[short])]
+    each[place] = np.repeat(cost[: len(first)], np.diff(np.append(first, len(place))))
+    for at, codes in flagged:
+        each[at] = cost[len(first) + np.searchsorted(rest, codes)]
     upto = np.concatenate(([0.0], np.cumsum(each)))
     end = np.cumsum(size)
     return upto[end] - upto[end - size]

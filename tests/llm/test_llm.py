@@ -490,7 +490,7 @@ def test_trie_gives_probabilities():
             if k:
                 flat[t[k - 1], t[k]] += 1
     trie = ppm.Block(codes, n, flat, root)
-    for context in [*(int(c) >> 8 for c in codes), int.from_bytes(b"zzab"), int.from_bytes(b"acad"[::-1])]:
+    for context in [*(int(c) >> 8 for c in codes), int.from_bytes(b"zzzab"), int.from_bytes(b"acada"[::-1])]:
         assert math.isclose((10.0 ** trie.costs((context << 8) + np.arange(256))).sum(), 1, abs_tol=1e-5)
 
 
@@ -504,7 +504,7 @@ def test_ppm_scores_of_the_higher_order(docs, none, monkeypatch, grams):
     for t in (low(t) for i, t in TEXTS if i is None or zlib.crc32(str(i).encode()) % 7 != 2):
         b = t.encode()
         for k in range(len(b)):
-            for o in range(min(k, 4) + 1):
+            for o in range(min(k, 5) + 1):
                 contexts[b[k - o : k]][b[k]] += 1
 
     def p(history, s):
@@ -522,10 +522,21 @@ def test_ppm_scores_of_the_higher_order(docs, none, monkeypatch, grams):
     got = sorted(((r.doc_id, r.score) for r in ppm.scores(docs).collect()), key=of)
     for (i, score), (j, t) in zip(got, sorted(TEXTS, key=of), strict=True):
         b = low(t).encode()
-        assert i == j and math.isclose(score, sum(p(b[max(0, k - 4) : k], b[k]) for k in range(len(b))), rel_tol=1e-5, abs_tol=1e-5)
+        assert i == j and math.isclose(score, sum(p(b[max(0, k - 5) : k], b[k]) for k in range(len(b))), rel_tol=1e-5, abs_tol=1e-5)
     assert ppm.scores(none).count() == 0
 
 
+def test_ppm_scores_of_texts_with_all_bytes(spark):
+    """An alphabet too large to pack codes with their places gives the scores that a smaller one gives."""
+    r = random.Random(31)
+    texts = [(k, "".join(chr(r.choice([*range(1, 127), *range(0x400, 0x800), *range(0x4E00, 0x9FFF, 7)])) for _ in range(800))) for k in range(12)] + [(50, prose(300))]
+    size = np.array([len(t.encode()) for _, t in texts])
+    assert len(set(b"".join(t.encode() for _, t in texts))) > 128
+    alone = {x.doc_id: x.score for x in ppm.scores(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect()}
+    apart = {x.doc_id: x.score for x in ppm.scores(spark.createDataFrame(texts, "doc_id long, text string").repartition(13, "doc_id")).collect()}
+    assert size.sum() > 10_000 and alone.keys() == apart.keys() and all(math.isclose(alone[k], apart[k], rel_tol=1e-5) for k in alone)
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 
