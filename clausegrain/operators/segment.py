@@ -25,6 +25,7 @@ V1_BOUNDARIES = (
     r"(?i)^\s*\([ivxlcdm]+\)\s+",
     r"^\s*\(\d{1,3}\)\s+",
 )
+# A heading of version 1, what ends a paragraph, what stays by itself, and marks that are no words.
 V1_HEADING = r"^[A-Z][A-Z\s,\-/&]{5,}$"
 SPANS = "array<struct<start:int,end:int>>"
 

@@ -60,6 +60,12 @@ def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows if n < 0 else rows.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
 
 
+def audited_queue(rows: DataFrame, priority: Column, key: str, n: int = 20) -> DataFrame:
+    """Rows of priority, and after them n others by hash, each with its reason: the order of review is by reason and key."""
+    first = rows.where(priority).withColumn("reason", F.lit("priority"))
+    return first.unionByName(hash_sample(rows.where(~F.coalesce(priority, F.lit(False))), key, n).withColumn("reason", F.lit("sample"))).orderBy("reason", key)
+
+
 def document_sample(documents: DataFrame, name: str, n: int | None) -> DataFrame:
     return (documents if n is None or n < 0 else hash_sample(documents, name, n)).orderBy(name)
 

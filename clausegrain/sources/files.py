@@ -112,6 +112,22 @@ def lenient_csv(spark: SparkSession, path: str, columns: tuple[str, ...], null_v
         return spark.createDataFrame([], schema)
 
 
+# Texts that stand for a missing value in inferred CSV files.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV file in a schema's columns and types; every text that stands for a missing value is null, and what isn't of its type too. A missing file is an empty relation."""
+    fields = T.StructType.fromDDL(schema).fields
+    rows = lenient_csv(spark, path, tuple(f.name for f in fields))
+    return rows.select(*(F.when(~F.col(f.name).isin(*MISSING), F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in fields))
+
+
+def header(spark: SparkSession, path: str) -> list[str]:
+    """The columns of a CSV file, from its first line; no row is read."""
+    return spark.read.csv(path, header=True, inferSchema=False).columns
+
+
 EXPERIMENT = "experiment string, model string, loss string, macro_f1 double, micro_f1 double, weighted_f1 double, minority_f1 double, hamming_loss double, macro_mcc double"
 
 
@@ -261,6 +277,11 @@ def pdfs(spark: SparkSession, directory: str, pages_of: Callable[[bytes], list[s
     return out.withColumns({"character_count": n, "word_count": n_words(F.col("text")), "line_count": n_lines(F.col("text")), "status": status})
 
 
+def extraction_counts(extracted: DataFrame) -> DataFrame:
+    """One row: documents, and how many came out whole, in part, empty and not at all."""
+    return extracted.agg(F.count("*").alias("documents"), *(F.count_if(F.col("status") == s).alias(s) for s in ("success", "partial", "empty", "failed")))
+
+
 def config(path: str, most_parents: int = 10) -> dict:
     """A YAML configuration, sought from its folder upward; driver-side."""
     from pathlib import Path

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from clausegrain.operators.relations import pending
+
 
 def write_clauses(clauses: DataFrame, path: str, format: str = "json") -> None:  # noqa: A002
     """Labelled clauses as JSON lines, or as CSV with labels joined by commas; an empty relation writes its header."""
@@ -44,6 +46,23 @@ def write_statistics(one_row: DataFrame, path: str) -> None:
     long.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_queue(rows: DataFrame, path: str) -> None:
+    """A review queue in CSV, nothing of it verified yet."""
+    rows.withColumn("human_verified", F.lit("false")).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+
+
+def shrink_queue(spark, path: str, done: DataFrame, key: str) -> None:
+    """A Parquet queue without the rows whose key is done."""
+    restored(spark, path)
+    replace_table(pending(spark.read.parquet(path), done, key), path)
+
+
+def write_frequency(frequency: DataFrame, path: str) -> None:
+    """label_frequency() in CSV, the most frequent first, each with its tag."""
+    tagged = frequency.select("label", "n", "percent", F.when(F.col("is_majority"), "majority").otherwise("minority").alias("class"))
+    tagged.orderBy(F.desc("n"), "label").coalesce(1).write.mode("overwrite").csv(path, header=True)  # as many rows as labels
+
+
 def write_metadata(one_row: DataFrame, path: str) -> None:
     one_row.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 

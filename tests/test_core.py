@@ -323,6 +323,46 @@ def test_baseline_classifier(spark):
     assert all((r.y_prob > 0.5) == bool(r.id % 2) for r in got)
 
 
+def test_folds_and_rounds(spark, tmp_path):
+    from clausegrain.operators import learning, rounds
+
+    rows = [(f"d{k % 12}", f"c{k:03d}", "the recipient shall pay all damages" if k % 2 else "the term ends on a date", ["x"] if k % 2 else ["y"], "ANNOTATED", "human_annotation") for k in range(96)]
+    table = spark.createDataFrame(rows, "document_id string, clause_id string, text string, labels array<string>, annotation_status string, label_source string")
+    got = learning.cross_validate(table, ["x", "y"], folds=3, sublinear=True).collect()
+    assert [r.fold for r in got] == [0, 1, 2] and all(r.macro_f1 == 1.0 for r in got)
+    log = str(tmp_path / "log")
+    new = spark.createDataFrame([("n1", "n1_1", "damages"), ("n1", "n1_2", "nothing known"), ("n2", "n2_1", "the term ends on a date")], "document_id string, clause_id string, text string")
+    done = rounds.run(table, new, ["x", "y"], 1, log, size=2, min_categories=2)
+    assert done.summary.first().macro_f1 == 1.0 and {r.clause_id for r in done.scores.collect()} == {"n1_1", "n1_2", "n2_1"} and done.batch.count() == 2 and done.batch.first().clause_id == "n1_2"
+    assert rounds.run(table.limit(5), new, ["x", "y"], 2, log).batch is None
+    assert [(r["round"], r.ready) for r in spark.read.parquet(log).orderBy("round").collect()] == [(1, True), (2, False)]
+
+
+def test_sql_can_call_the_segmenter(spark):
+    from clausegrain.functions.register import register
+
+    register(spark)
+    rows = spark.sql("SELECT p.* FROM VALUES ('1. First part of it is here.\\n\\n2. Second part of it is here.') AS t(x), LATERAL clause_pieces(t.x, 3) AS p").collect()
+    assert [r.text for r in rows] == ["1. First part of it is here.", "2. Second part of it is here."]
+
+
+def test_typed_csv_and_queues(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b,c\nN/A,1.5,x\n3,nan,NULL\nq,2,\n")
+    got = files.typed_csv(spark, str(tmp_path / "a.csv"), "a long, b double, c string").collect()
+    assert [tuple(r) for r in got] == [(None, 1.5, "x"), (3, None, None), (None, 2.0, None)]
+    assert files.header(spark, str(tmp_path / "a.csv")) == ["a", "b", "c"] and files.typed_csv(spark, str(tmp_path / "no.csv"), "a long").count() == 0
+    queue = str(tmp_path / "queue")
+    spark.range(6).write.parquet(queue)
+    sinks.shrink_queue(spark, queue, spark.range(2), "id")
+    assert sorted(r.id for r in spark.read.parquet(queue).collect()) == [2, 3, 4, 5]
+    made = selection.audited_queue(spark.range(50), F.col("id") < 3, "id", 4).collect()
+    assert [r.reason for r in made] == ["priority"] * 3 + ["sample"] * 4 and len({r.id for r in made}) == 7
+    sinks.write_frequency(spark.createDataFrame([("a", 1, 10.0, False), ("b", 9, 90.0, True)], "label string, n long, percent double, is_majority boolean"), str(tmp_path / "f"))
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "f"), header=True).collect()] == [("b", "9", "90.0", "majority"), ("a", "1", "10.0", "minority")]
+    statuses = spark.createDataFrame([("success",), ("failed",), ("success",)], "status string")
+    assert tuple(files.extraction_counts(statuses).first()) == (3, 2, 0, 0, 1)
+
+
 def profiles(spark, n, seed, most=40):
     import random
 
