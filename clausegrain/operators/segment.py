@@ -195,14 +195,16 @@ def segment(docs: DataFrame, version: int = 3, min_length: int = 20) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [list(fold_forward(t or "", version, min_length)) for t in batch.column("text").to_pylist()]
-            pieces = [[{"index": i, "start": a, "end": b} for i, a, b in x] for x in cut]
-            yield pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("text"), pa.array(pieces, pa.list_(pa.struct([("index", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))], ["document_id", "_text", "_pieces"])
+            texts = batch.column("text").to_pylist()
+            for at in range(0, len(texts), 500):
+                cut = [(k, i, a, b, texts[k][a:b]) for k in range(at, min(at + 500, len(texts))) for i, a, b in fold_forward(texts[k] or "", version, min_length)]
+                if cut:
+                    row, index, start, end, text = zip(*cut, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column("document_id").take(pa.array(row)), pa.array(index, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(text, pa.string())], ["document_id", "index", "start", "end", "text"])
 
     kind = docs.schema["document_id"].dataType.simpleString()
-    cut = docs.select("document_id", "text").mapInArrow(run, f"document_id {kind}, _text string, _pieces array<struct<index:int,start:int,end:int>>")
-    each = cut.select("document_id", "_text", F.inline("_pieces"))
-    clauses = each.select("document_id", clause_id(F.col("document_id"), F.col("index")).alias("clause_id"), strip(F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("text"), "start", "end")
+    each = docs.select("document_id", "text").mapInArrow(run, f"document_id {kind}, index int, start int, end int, text string")
+    clauses = each.select("document_id", clause_id(F.col("document_id"), F.col("index")).alias("clause_id"), strip(F.col("text")).alias("text"), "start", "end")
     typed = clauses.withColumn("segment_type", segment_type(F.col("text"), version, min_length))
     return typed.withColumn("is_suspicious", is_suspicious(F.col("text"), F.col("segment_type"), version))
 
