@@ -23,6 +23,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,15 @@ def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Ascending codes, by their distances."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(codes, prepend=0).tobytes())
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64))
+
+
 def key_of(word: bytes) -> bytes:
     return word if len(word) <= LONGEST else b"\0" + hashlib.sha256(word).digest()  # no word holds white space, any may hold a null
 
@@ -118,15 +128,15 @@ def measured(docs: DataFrame) -> DataFrame:
             codes = key[first] >> 1
             n = np.add.reduceat(key & 1, first) if len(first) else codes
             grams.extend([(codes[n > 0], n[n > 0]), (np.array([-1]), np.array([int(train.sum())]))])
-            yield from out(unit=[uuid.uuid4().bytes], doc_id=[ids], held=[held], size=[size], text=[pack.compress(text)], codes=[pack.compress(codes.tobytes())])
+            yield from out(unit=[uuid.uuid4().bytes], doc_id=[ids], held=[held], size=[size], text=[pack.compress(text)], codes=[packed(codes)])
             for x, trains in zip(texts, train, strict=True):
                 if trains:
                     words.update(x.split())
                 if len(words) > GATHERED:
                     yield from sent()
-            if sum(len(c) for c, _ in grams) > 4 * GATHERED:
+            if sum(len(c) for c, _ in grams) > 8 * GATHERED:
                 grams[:] = [_summed(*map(np.concatenate, zip(*grams, strict=True)))]
-                if len(grams[0][0]) > 2 * GATHERED:
+                if len(grams[0][0]) > 6 * GATHERED:
                     yield from out(gram=grams[0][0], n=grams[0][1])
                     grams.clear()
             for x in (texts, ids, held):
@@ -267,20 +277,27 @@ def costs(units: DataFrame, counts: DataFrame, cuts: Cuts, order: int) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], ["block", "share", "unit", "codes", "n"])
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, n = (batch.column(c).to_numpy() for c in ("gram", "n"))
+        def dealt() -> pa.RecordBatch:
+            codes, n = map(np.concatenate, zip(*gathered, strict=True))
+            gathered.clear()
             by, parts = held.value.dealt(codes)
-            if parts:
-                yield rows([(block, share, None, codes[by[a:b]].tobytes(), n[by[a:b]].tobytes()) for block, a, b in parts for share in range(shares)])
+            return rows([(block, share, None, codes[by[a:b]].tobytes(), n[by[a:b]].tobytes()) for block, a, b in parts for share in range(shares)])
+
+        gathered: list[tuple] = []
+        for batch in batches:
+            gathered.append((batch.column("gram").to_numpy(), batch.column("n").to_numpy()))
+            if sum(len(c) for c, _ in gathered) > 2 * GATHERED:
+                yield dealt()
+        if sum(len(c) for c, _ in gathered):
+            yield dealt()
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for batch in sliced(batches, 8):
-            for unit, packed in zip(batch.column("unit").to_pylist(), batch.column("codes").to_pylist(), strict=True):
-                codes = np.frombuffer(unpack.decompress(packed), np.int64)
+            for unit, blob in zip(batch.column("unit").to_pylist(), batch.column("codes").to_pylist(), strict=True):
+                codes = unpacked(blob)
                 by, parts = held.value.dealt(codes)
                 if parts:
-                    yield rows([(block, unit[0] % shares, unit, codes[by[a:b]].tobytes(), None) for block, a, b in parts])
+                    yield rows([(block, unit[0] % shares, unit, packed(codes[by[a:b]]), None) for block, a, b in parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, now, gathered, trie = held.value, None, [], None
@@ -289,14 +306,13 @@ def costs(units: DataFrame, counts: DataFrame, cuts: Cuts, order: int) -> DataFr
             for block, share, unit, codes, n in zip(*(batch.column(c).to_pylist() for c in ("block", "share", "unit", "codes", "n")), strict=True):
                 if (block, share) != now:
                     now, gathered, trie = (block, share), [], None
-                codes = np.frombuffer(codes, np.int64)
                 if unit is None:
-                    gathered.append((codes, np.frombuffer(n, np.int64)))
+                    gathered.append((np.frombuffer(codes, np.int64), np.frombuffer(n, np.int64)))
                     continue
                 if trie is None:
                     empty = np.zeros(0, np.int64)
                     trie, gathered = Block(*_summed(*map(np.concatenate, zip(*gathered, (empty, empty), strict=True))), cuts.flat, cuts.root, order), []
-                out.append((unit, block, trie.costs(codes).astype(np.float32).tobytes()))
+                out.append((unit, block, trie.costs(unpacked(codes)).astype(np.float32).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.binary()), strict=True)], ["unit", "block", "costs"])
 
@@ -334,28 +350,41 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     out = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, logs, cuts = known.value
-        of = dict(zip(words, logs, strict=True))
+        frequent_words, frequent_logs, cuts = known.value
+        of = dict(zip(frequent_words, frequent_logs, strict=True))
         ends = zstandard.ZstdDecompressor()
         now: tuple | None = None
         pieces: list[bytes] = []
 
         def scored() -> Iterator[pa.RecordBatch]:
-            unit, ids, held, size, packed = now
-            text, size = ends.decompress(packed), np.array(size, np.int64)
+            unit, ids, held, size, blob = now
+            text, size = ends.decompress(blob), np.array(size, np.int64)
             score = _by_text(text, size, cuts, np.frombuffer(b"".join(pieces), np.float32).astype(float))
-            rows: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "logs", "rare")}
             stop = np.cumsum(size)
-            for a, b in zip((stop - size).tolist(), stop.tolist(), strict=True):
-                split = text[a:b].split()
-                each = np.array([of.get(w if len(w) <= LONGEST else key_of(w), -1.0) for w in split])
-                missing = each < 0
-                rows["n_tokens"].append(len(split) + 1)
-                rows["n_known"].append(len(split) - int(missing.sum()) + (texts > 0))
-                rows["logs"].append(float(each[~missing].sum()) + math.log10(texts + 1))
-                rows["rare"].append([{"word": key_of(w), "k": k} for w, k in Counter(split[i] for i in np.flatnonzero(missing).tolist()).items()])
-            rows |= {"unit": [unit] * len(ids), "k": range(len(ids)), "doc_id": ids, "held_out": held, "score": score, "n_bytes": size}
-            made = pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in out], schema=out)
+            each = [text[a:b].split() for a, b in zip((stop - size).tolist(), stop.tolist(), strict=True)]
+            n_words = np.fromiter(map(len, each), np.int64, len(each))
+            words = list(chain.from_iterable(each))
+            logs = np.fromiter(map(of.get, words, repeat(-1.0)), float, len(words))
+            missing = np.flatnonzero(logs < 0)
+            lost: dict[bytes, int] = {}
+            number = np.fromiter((lost.setdefault(words[i], len(lost)) for i in missing.tolist()), np.int64, len(missing))
+            keys = list(map(key_of, lost))
+            long = {k: of[key] for k, (w, key) in enumerate(zip(lost, keys, strict=True)) if len(w) > LONGEST and key in of}
+            if long:  # frequent, by their hash
+                table = np.full(len(lost), -1.0)
+                table[list(long)] = list(long.values())
+                logs[missing] = table[number]
+                missing, number = missing[logs[missing] < 0], number[logs[missing] < 0]
+            doc = np.repeat(np.arange(len(each)), n_words)
+            pair, times = np.unique(doc[missing] * max(1, len(lost)) + number, return_counts=True)
+            of_doc = np.searchsorted(pair // max(1, len(lost)), np.arange(len(each) + 1))
+            rare = pa.ListArray.from_arrays(pa.array(of_doc, pa.int32()), pa.StructArray.from_arrays([pa.array(keys, pa.binary()).take(pa.array(pair % max(1, len(lost)))), pa.array(times, pa.int64())], ["word", "k"]))
+            known_logs = np.bincount(doc, np.where(logs < 0, 0, logs), len(each))
+            rows = {
+                "unit": [unit] * len(ids), "k": range(len(ids)), "doc_id": ids, "held_out": held, "n_tokens": n_words + 1, "n_known": n_words - np.bincount(doc[missing], minlength=len(each)) + (texts > 0),
+                "logs": known_logs + math.log10(texts + 1), "score": score, "n_bytes": size,
+            }
+            made = pa.RecordBatch.from_arrays([rare.cast(f.type) if f.name == "rare" else pa.array(rows[f.name], type=f.type) for f in out], schema=out)
             for at in range(0, made.num_rows, 2000):
                 yield made.slice(at, 2000)
 
