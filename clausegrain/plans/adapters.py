@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausegrain.functions.taxonomy import CATEGORIES
 from clausegrain.functions.text import is_blank
+from clausegrain.sources.files import dealt
+
+
+#: Tables of texts, whose rows cost much more to work on than to move.
+TEXTS = ("documents", "conversations", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(rows, f"{sf_dir}/{name}.parquet") if name in TEXTS else rows
 
 
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,14 @@ SEGMENTED_V1 = f"document_id string, source_file string, total_characters int, n
 SEGMENTED_V3 = f"document_id string, source_file string, total_characters int, num_clauses int, num_legal_clauses int, quality_status string, clauses {SPAN_V3}"
 
 
+def dealt(df: DataFrame, path: str) -> DataFrame:
+    """A table's rows, dealt to all cores if it is a single file: that may be one row group, which one task reads. Tables of many files stay as they are."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    single = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile()
+    return df.repartition(spark.sparkContext.defaultParallelism) if single else df
+
+
 def stem() -> Column:
     """A path's file name without its suffix."""
     return F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
