@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from clausegrain.sources.files import dealt
+
 #: The words of most contracts: runs without ASCII white space. bytes.split() splits at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -110,4 +112,5 @@ def join_hot(rows: DataFrame, known: DataFrame, key: str, how: str = "inner", sh
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(rows, f"{sf_dir}/{name}.parquet") if name in ("documents", "pages", "conversations") else rows
