@@ -507,12 +507,29 @@ def split_hash_ratio(spark, d):
     return splits.by_ratio(table(spark, d, "documents"), "doc_id")
 
 
-@query()
+def _brings(seen: str) -> str:
+    return f"len(list_filter(categories, lambda x: NOT list_contains({seen}, x))) > 0"
+
+
+@query(f"""WITH RECURSIVE {CLAUSES}, {LABELLED}, p AS (SELECT doc_id, count(*) AS n, list_sort(list_distinct(flatten(list(labels)))) AS categories FROM clause_labels GROUP BY 1),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY len(list_filter(categories, lambda x: x IN ({', '.join(f"'{c}'" for c in sorted(splits.RARE))}))) DESC, n DESC, doc_id DESC) AS r, sum(n) OVER () AS total FROM p),
+f AS (SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS doc_id, CAST('' AS VARCHAR) AS split, CAST([] AS VARCHAR[]) AS st, CAST([] AS VARCHAR[]) AS sv, CAST([] AS VARCHAR[]) AS sx, CAST(0 AS HUGEINT) AS ft, CAST(0 AS HUGEINT) AS fv, CAST(0 AS HUGEINT) AS fx UNION ALL
+  SELECT r, doc_id, split, CASE split WHEN 'train' THEN list_distinct(list_concat(st, categories)) ELSE st END, CASE split WHEN 'validation' THEN list_distinct(list_concat(sv, categories)) ELSE sv END, CASE split WHEN 'test' THEN list_distinct(list_concat(sx, categories)) ELSE sx END,
+    ft + CASE split WHEN 'train' THEN n ELSE 0 END, fv + CASE split WHEN 'validation' THEN n ELSE 0 END, fx + CASE split WHEN 'test' THEN n ELSE 0 END
+  FROM (SELECT o.r, o.doc_id, o.n, o.categories, st, sv, sx, ft, fv, fx, CASE WHEN {_brings('st')} AND ft / total < 0.65 THEN 'train' WHEN {_brings('sv')} AND fv / total < 0.25 THEN 'validation' WHEN {_brings('sx')} AND fx / total < 0.25 THEN 'test'
+    WHEN ft / total < 0.60 THEN 'train' WHEN fv / total < 0.20 THEN 'validation' ELSE 'test' END AS split FROM f JOIN o ON o.r = f.r + 1))
+SELECT doc_id, split FROM f WHERE r > 0""")
 def split_greedy(spark, d):
     return splits.greedy_coverage(stats.document_profile(A.clause_labels(spark, d), "doc_id"), "doc_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CLAUSES}, {LABELLED}, o AS MATERIALIZED (SELECT doc_id, count(*) AS n, list_distinct(flatten(list(labels))) AS categories, md5(doc_id || ':42') AS h FROM clause_labels GROUP BY 1), t AS MATERIALIZED (SELECT sum(n) AS total FROM o),
+f AS (SELECT 0 AS step, 0 AS phase, 0.2::DOUBLE * total AS target, total, CAST(0 AS HUGEINT) AS held, CAST([] AS BIGINT[]) AS taken, CAST([] AS VARCHAR[]) AS has, CAST(NULL AS BIGINT) AS doc_id, CAST('' AS VARCHAR) AS split FROM t UNION ALL
+  SELECT step + 1, CASE WHEN b IS NULL THEN phase + 1 ELSE phase END, CASE WHEN b IS NULL THEN 0.15::DOUBLE * total ELSE target END, total, CASE WHEN b IS NULL THEN 0 ELSE held + b.n END, CASE WHEN b IS NULL THEN taken ELSE list_append(taken, b.doc_id) END,
+    CASE WHEN b IS NULL THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_concat(has, b.categories)) END, b.doc_id, ['test', 'validation'][phase + 1]
+  FROM (SELECT step, phase, target, total, held, taken, has, arg_max(struct_pack(doc_id := o.doc_id, n := o.n, categories := o.categories), struct_pack(a := len(list_filter(o.categories, lambda x: NOT list_contains(has, x))), b := o.h)) FILTER (held < target AND held + o.n <= 1.5 * target AND NOT list_contains(taken, o.doc_id)) AS b
+    FROM f, o WHERE phase < 2 GROUP BY step, phase, target, total, held, taken, has))
+SELECT o.doc_id, coalesce(f.split, 'train') AS split FROM o LEFT JOIN (SELECT doc_id, split FROM f WHERE doc_id IS NOT NULL) AS f USING (doc_id)""")
 def split_greedy_target(spark, d):
     profile = stats.document_profile(A.clause_labels(spark, d), "doc_id")
     return splits.greedy_target(profile, {"test": 0.2, "validation": 0.15}, "doc_id")

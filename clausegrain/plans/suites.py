@@ -473,7 +473,7 @@ def seed_batch(spark: SparkSession, d: str) -> DataFrame:
     return S.seed_batch(rows, "doc_id", "clause_id", "text", "review_status").select("doc_id", "clause_id", "turn", "length_bucket", "selection_reason")
 
 
-@query(f"""WITH RECURSIVE {CLAUSES}, s AS (SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, doc_id) AS r FROM (SELECT doc_id, count(*) AS n FROM clauses GROUP BY 1)),
+@query(f"""WITH RECURSIVE {CLAUSES}, s AS MATERIALIZED (SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, doc_id) AS r FROM (SELECT doc_id, count(*) AS n FROM clauses GROUP BY 1)),
 f AS (SELECT CAST(0 AS BIGINT) AS r, [0, 0, 0, 0, 0]::BIGINT[] AS load, CAST(NULL AS BIGINT) AS doc_id, 0 AS fold UNION ALL
   SELECT s.r, list_transform(load, lambda x, i: x + CASE WHEN i = list_position(load, list_min(load)) THEN s.n ELSE 0 END), s.doc_id, list_position(load, list_min(load)) - 1 FROM f JOIN s ON s.r = f.r + 1)
 SELECT doc_id, CAST(fold AS INTEGER) AS fold FROM f WHERE r > 0""")
