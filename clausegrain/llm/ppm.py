@@ -35,8 +35,8 @@ from clausegrain.llm.common import as_bytes, materialize, sliced
 
 #: The longest context, and grams of a block: a task holds one block, whatever the corpus.
 ORDER, BLOCK_GRAMS = 5, 1 << 20
-#: Bytes of text in a unit, and of a block's looked-up grams in a task, about.
-UNIT_BYTES, TASK_BYTES = 4 << 20, 256 << 20
+#: Bytes of text in a unit (places within one then fit 22 bits, see _by_text), and of a block's looked-up grams in a task, about.
+UNIT_BYTES, TASK_BYTES = 3 << 20, 256 << 20
 FREQUENT, LONGEST = 1 << 18, 64
 #: Distinct words or grams that a task gathers before it sends them on.
 GATHERED = 300_000
@@ -146,7 +146,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield from out(word=list(map(key_of, words)), n=list(words.values()))
             words.clear()
 
-        for batch in sliced(batches, 500, UNIT_BYTES):
+        for batch in sliced(batches, 500, UNIT_BYTES // 4):
             lowered = [x.lower() for x in as_bytes(batch.column("text"))]
             texts += lowered
             ids += batch.column("doc_id").to_pylist()
@@ -258,9 +258,9 @@ class Cuts:
 
     def dealt(self, codes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """An order of the codes by block, and each block's part of it."""
-        block = self.of(codes)
+        block = self.of(codes).astype(np.uint16)  # 2^16 pairs at most begin one
         order = np.argsort(block, kind="stable")
-        edge = np.flatnonzero(np.diff(block[order], prepend=-1)).tolist()
+        edge = np.flatnonzero(np.diff(block[order].astype(np.int32), prepend=-1)).tolist()
         return order, [(int(block[order[a]]), a, b) for a, b in zip(edge, [*edge[1:], len(codes)], strict=True)]
 
 

@@ -5,8 +5,8 @@ keys a fingerprint by the positions with <m(i), v> = 1. The vectors of at most r
 span the whole space, so some v is orthogonal to all of them: in that table both fingerprints have the same key.
 So no pair within the radius is missed, and 2^(radius + 1) - 1 tables do.
 
-Only distinct fingerprints are hashed, so exact copies cost one row. Those that share a bucket are tied exactly,
-without comparing all pairs of it: two fingerprints at most two bits apart share a point at most one bit from
+Only distinct fingerprints are hashed, so exact copies cost one row. The members of a small bucket are compared with each other. Those of a
+larger one are tied exactly without comparing all pairs of it: two fingerprints at most two bits apart share a point at most one bit from
 both, and all fingerprints around one point (65 at most) are within two bits of each other, so each is
 linked to the smallest of them. Buckets of any size cost the same per row.
 
@@ -56,6 +56,8 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0])
 
 
+#: Buckets of so many fingerprints at most are compared pair by pair; larger ones are tied by the points their members share.
+FEW = 16
 #: For links by similarity: bands times rows min-wise hashes choose candidates, all HASHES estimate the similarity.
 SIMILAR_SHINGLE, BANDS, ROWS, HASHES = 5, 24, 4, 256
 SIMILARITY, DEVIATION = 0.8, 0.025
@@ -270,15 +272,20 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("the points that neighbours share are worked out for radius 2")
     tables = masks(radius)
     keys = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in tables])).alias("t", "key"))
-    shared = keys.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("t", "key")
+    shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")  # fingerprints are distinct
+    met = keys.join(shared, ["t", "key"])
+    # In a small bucket the members are compared outright, and only those that are linked leave it.
+    few = met.where(F.col("n") <= FEW).groupBy("t", "key").agg(F.collect_list("fp").alias("members"))
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
+    pairs = F.transform("members", lambda a, i: F.transform(F.filter(F.slice("members", i + 2, FEW), lambda b: near(a, b)), lambda b: F.struct(F.greatest(a, b).alias("fp"), F.least(a, b).alias("hub"))))
+    direct = few.select(F.inline(F.flatten(pairs)))
     points = None
     for t, m in enumerate(tables):
         around = _around(F.col("fp"), m)
         points = F.when(F.col("t") == t, around) if points is None else points.when(F.col("t") == t, around)
-    near = keys.join(shared, ["t", "key"]).select("fp", F.explode(points).alias("point"))
-    balls = near.groupBy("point").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
-    stars = balls.select(F.explode("members").alias("fp"), F.array_min("members").alias("hub"))
-    return stars.where("fp <> hub").distinct()
+    balls = met.where(F.col("n") > FEW).select("fp", F.explode(points).alias("point")).groupBy("point").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
+    stars = balls.select(F.explode("members").alias("fp"), F.array_min("members").alias("hub")).where("fp <> hub")
+    return direct.unionByName(stars).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -573,7 +573,9 @@ def test_masks_cover_every_pair_within_the_radius():
                 assert any(x & m == 0 for m in masks)
 
 
-def test_components_of_fingerprints(spark, docs, none):
+@pytest.mark.parametrize("few", [16, 1, 3])
+def test_components_of_fingerprints(spark, docs, none, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
     r = random.Random(6)
     fps = {0}
     for _ in range(40):
