@@ -143,22 +143,6 @@ def segment_v1(spark, d):
     return segment.segment_v1(A.sections(spark, d)).select("document_id", "clause_id", "start", "end", "text")
 
 
-@query()
-def segment_v2_types(spark, d):
-    return segment.segment(A.sections(spark, d), 2)
-
-
-@query()
-def segment_v3_types(spark, d):
-    return segment.segment(A.sections(spark, d), 3)
-
-
-@query()
-def segment_v3_status(spark, d):
-    docs = A.sections(spark, d)
-    return segment.document_status(segment.segment(docs, 3), docs)
-
-
 # ---------------------------------------------------------------- statistics
 
 NW = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"

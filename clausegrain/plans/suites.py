@@ -440,6 +440,47 @@ def segment_kinds(spark: SparkSession, d: str) -> DataFrame:
     return kinds.select("clause_id", "legal", "kind_2", "kind_3", segment.is_suspicious(F.col("t"), F.col("kind_2"), 2).alias("suspicious_2"), segment.is_suspicious(F.col("t"), F.col("kind_3"), 3).alias("suspicious_3"))
 
 
+KIND_2 = f"""CASE WHEN t = '' THEN 'fragment' WHEN {EXHIBIT} THEN 'header' WHEN {PAGE} THEN 'page_number' WHEN {HEADING(80, 60)} THEN 'section_heading' WHEN n < 60 AND {UPPER} AND NOT ends_with(t, '.') THEN 'section_heading' WHEN {NO_WORDS} THEN 'fragment' WHEN n < 20 THEN 'fragment' ELSE 'legal_clause' END"""
+KIND_3 = f"""CASE WHEN t = '' THEN 'fragment' WHEN {NO_WORDS} THEN 'fragment' WHEN {EXHIBIT} AND legal THEN 'legal_clause' WHEN {EXHIBIT} AND n < 300 THEN 'header' WHEN {PAGE} THEN 'page_number' WHEN NOT legal AND {HEADING(150, 100)} THEN 'section_heading'
+    WHEN NOT legal AND n < 100 AND {UPPER} AND NOT ends_with(t, '.') AND len(regexp_split_to_array(t, '\\s+')) < 15 THEN 'section_heading' WHEN n < 20 AND NOT legal THEN 'fragment' ELSE 'legal_clause' END"""
+ODD = {2: "n < 20 OR segment_type IN ('fragment', 'page_number', 'header')", 3: "n < 15 OR segment_type IN ('fragment', 'page_number') OR (segment_type = 'header' AND n > 500)"}
+BEGINS = {2: r"regexp_matches(own, '^\d{1,2}\.\s+[A-Z]')", 3: r"regexp_matches(own, '^\d{1,3}\.\s+[A-Z0-9]')"}
+STAYS = {2: r"length(said) >= 25 OR regexp_matches(said, '^(?i)(?:EX-|EXHIBIT|Page|\d+$)')", 3: r"length(said) >= 20 OR regexp_matches(said, '^(?i)(?:SECTION|ARTICLE|EX-|EXHIBIT)') OR (length(said) > 5 AND regexp_matches(said, '^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$'))"}
+
+
+def pieces_sql(version: int) -> str:
+    """CTEs up to seg, the typed clauses of sections: a piece may begin at a numbered line (at the line end before it), in version 3 also after a blank line; pieces that don't stay join what follows, one edge after another."""
+    after_blank = "UNION SELECT document_id, place FROM placed WHERE i > 0" if version == 3 else ""
+    return f"""{SECTIONS}, docs AS MATERIALIZED (SELECT document_id, text FROM sections WHERE regexp_matches(text, '\\S')),
+ln AS (SELECT document_id, i, (i + 1) || '. ' || ls[i + 1] AS own FROM (SELECT doc_id AS document_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(len(ls))) AS t(i)),
+placed AS (SELECT *, coalesce(sum(length(own) + 2) OVER (PARTITION BY document_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM ln),
+edges AS (SELECT document_id, place - 1 AS e FROM placed WHERE i > 0 AND {BEGINS[version]} {after_blank} UNION SELECT document_id, length(text) FROM docs),
+rk AS MATERIALIZED (SELECT document_id, CAST(e AS BIGINT) AS e, row_number() OVER (PARTITION BY document_id ORDER BY e) AS k, count(*) OVER (PARTITION BY document_id) AS m FROM edges WHERE e > 0),
+f AS (SELECT document_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS open, 0 AS idx, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e, 0 AS out_idx FROM docs UNION ALL
+  SELECT document_id, k, CASE WHEN closes THEN e ELSE open END, idx + CAST(closes AS INTEGER), CASE WHEN closes AND said <> '' THEN open END, e, idx FROM (SELECT *, k = m OR {STAYS[version]} AS closes FROM
+    (SELECT rk.document_id, rk.k, rk.m, rk.e, f.open, f.idx, trim(substr(docs.text, f.open + 1, rk.e - f.open), chr(32) || chr(9) || chr(10)) AS said FROM f JOIN rk ON rk.document_id = f.document_id AND rk.k = f.k + 1 JOIN docs ON docs.document_id = f.document_id))),
+cutted AS (SELECT f.document_id, printf('%d_clause_%03d', f.document_id, out_idx) AS clause_id, trim(substr(docs.text, s + 1, e - s), chr(32) || chr(9) || chr(10)) AS t, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end" FROM f JOIN docs USING (document_id) WHERE s IS NOT NULL),
+u AS (SELECT *, length(t) AS n FROM cutted), l AS (SELECT *, n >= 50 AND ({LEGAL_HITS} >= 2 OR n > 300) AS legal FROM u), kd AS (SELECT *, {KIND_2 if version == 2 else KIND_3} AS segment_type FROM l),
+seg AS (SELECT document_id, clause_id, t AS text, "start", "end", segment_type, {ODD[version]} AS is_suspicious FROM kd)"""
+
+
+@query(f"WITH RECURSIVE {pieces_sql(2)} SELECT * FROM seg")
+def segment_v2_types(spark: SparkSession, d: str) -> DataFrame:
+    return segment.segment(A.sections(spark, d), 2)
+
+
+@query(f"WITH RECURSIVE {pieces_sql(3)} SELECT * FROM seg")
+def segment_v3_types(spark: SparkSession, d: str) -> DataFrame:
+    return segment.segment(A.sections(spark, d), 3)
+
+
+@query(f"""WITH RECURSIVE {pieces_sql(3)}, c AS (SELECT document_id, count(*) AS n, count(*) FILTER (segment_type = 'legal_clause') AS legal, count(*) FILTER (is_suspicious) AS bad FROM seg GROUP BY 1)
+SELECT DISTINCT document_id, coalesce(n, 0) AS num_clauses, coalesce(legal, 0) AS num_legal_clauses, coalesce(bad, 0) AS n_suspicious, CASE WHEN coalesce(n, 0) <= 3 OR 10 * bad > 4 * n THEN 'HIGH_RISK' WHEN bad > 0 OR n > 100 THEN 'REVIEW' ELSE 'OK' END AS quality_status FROM sections LEFT JOIN c USING (document_id)""")
+def segment_v3_status(spark: SparkSession, d: str) -> DataFrame:
+    docs = A.sections(spark, d)
+    return segment.document_status(segment.segment(docs, 3), docs)
+
+
 @query(f"""WITH {CLAUSES}, c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (pos % 9 = 2) AS bad, count(*) FILTER (pos % 6 <> 0) AS legal FROM clauses GROUP BY 1)
 SELECT doc_id AS document_id, coalesce(n, 0) AS num_clauses, coalesce(legal, 0) AS num_legal_clauses, coalesce(bad, 0) AS n_suspicious, CASE WHEN coalesce(n, 0) <= 3 OR 10 * bad > 4 * n THEN 'HIGH_RISK' WHEN bad > 0 OR n > 100 THEN 'REVIEW' ELSE 'OK' END AS quality_status FROM documents LEFT JOIN c USING (doc_id)""")
 def document_status(spark: SparkSession, d: str) -> DataFrame:
