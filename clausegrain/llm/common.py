@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import types
@@ -9,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clausegrain.sources.files import dealt
@@ -57,6 +59,27 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000, most: int = 32 <
         del batch  # the next one is read without this one beside it
 
 
+class Shared:
+    """A broadcast of an object of this package's classes, which travel with it by value; value is made once a task and dropped by drop()."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.sent.__dict__.pop("_value", None)
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent}
+
+    @property
+    def value(self):
+        if "made" not in self.__dict__:
+            self.made = pickle.loads(self.sent.value)
+            self.sent.__dict__.pop("_value", None)
+        return self.made
+
+    def drop(self) -> None:
+        self.__dict__.pop("made", None)
+
+
 def kept_in_worker(name: str, owner: str, make: Callable):
     """What make() gives, kept in a Python worker's life (a task's own copy of this package ends with the task) until another name or owner asks: one at a time."""
     held = sys.modules.setdefault("clausegrain_worker_state", types.ModuleType("clausegrain_worker_state")).__dict__

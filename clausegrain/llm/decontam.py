@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clausegrain.llm.common import as_bytes, map_batches
+from clausegrain.llm.common import Shared, as_bytes, map_batches
 
 WINDOW = 13
 #: A block's arrays and vocabulary take some 200 bytes a word.
@@ -205,8 +205,7 @@ def sent(benchmark: DataFrame, block_words: int, window: int) -> list:
     """A broadcast of each block, kept in files, not in the driver's memory."""
     out = []
     for block in blocks(benchmark, block_words, window):
-        out.append(benchmark.sparkSession.sparkContext.broadcast(block))
-        out[-1].__dict__.pop("_value", None)
+        out.append(Shared(benchmark.sparkSession, block))
     return out
 
 
@@ -246,7 +245,7 @@ def judge(texts: list[bytes], held: list) -> list[Found]:
                 longest[d] = new if longest[d] is None else min(longest[d], new)
         hit |= np.cumsum(edge[:-1]) > 0
         if len(held) > 1:
-            each.__dict__.pop("_value", None)  # a worker holds one block at a time
+            each.drop()  # a worker holds one block at a time
     total = np.concatenate(([0], np.cumsum(hit)))
     n_hit = total[first[1:]] - total[first[:-1]]
     return [Found(len(w), int(n), i, best) for w, n, i, best in zip(split, n_hit.tolist(), items, longest, strict=True)]
@@ -301,7 +300,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW,
                 out["doc_start"] += (place - shard.first[doc]).tolist()
                 out["length"] += length.tolist()
             if len(held) > 1:
-                each.__dict__.pop("_value", None)
+                each.drop()
         return out
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, item_id long, item_start int, doc_start int, length int", most=SHARD_BYTES)

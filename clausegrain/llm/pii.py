@@ -20,6 +20,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 
 from clausegrain.llm import spans
+from clausegrain.llm.common import Shared
 from clausegrain.llm.crf import Crf
 from clausegrain.llm.spans import Finder, Span
 
@@ -219,10 +220,10 @@ def trained() -> Finder:
 
 
 def table_of(docs: DataFrame) -> DataFrame:
-    model = docs.sparkSession.sparkContext.broadcast(trained())
+    model = Shared(docs.sparkSession, trained())
     return spans.table_of(docs, "pii", lambda: model.value, KINDS)
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    model = docs.sparkSession.sparkContext.broadcast(trained())
+    model = Shared(docs.sparkSession, trained())
     return spans.masked(docs, "pii", lambda: model.value)

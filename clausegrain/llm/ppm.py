@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from clausegrain.llm.common import as_bytes, materialize, sliced
+from clausegrain.llm.common import Shared, as_bytes, discard, materialize, sliced
 
 #: The longest context, and grams of a block: a task holds one block, whatever the corpus.
 ORDER, BLOCK_GRAMS = 5, 1 << 20
@@ -266,7 +266,7 @@ class Cuts:
 
 def costs(units: DataFrame, counts: DataFrame, cuts: Cuts, order: int) -> DataFrame:
     """unit, block, costs: for each unit and block, log10 probabilities of the unit's distinct codes in the block, as float32 in the order that cuts deals them."""
-    held = units.sparkSession.sparkContext.broadcast(cuts)
+    held = Shared(units.sparkSession, cuts)
     size = counts.agg(F.count("*")).first()[0]
     looked_up = units.agg(F.coalesce(F.sum("n_codes"), F.lit(0))).first()[0]
     shares = max(1, math.ceil(8 * looked_up / len(cuts.begin) / TASK_BYTES))  # tasks that share a block's look-ups, each with the block's own table
@@ -341,7 +341,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     priced = costs(units.select("unit", "codes", F.expr("aggregate(size, 0L, (a, x) -> a + x)").alias("n_codes")), grams, cuts, order)  # bytes: no fewer than codes
 
     frequent = vocabulary.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
-    known = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), np.log10(frequent.column("n").to_numpy() + 1.0).tolist(), cuts))
+    known = Shared(spark, (frequent.column("word").to_pylist(), np.log10(frequent.column("n").to_numpy() + 1.0).tolist(), cuts))
     none = lambda kind: F.lit(None).cast(kind)
     texts_of = units.select("unit", F.lit(-1).alias("block"), "doc_id", "held", "size", F.col("text").alias("blob"))
     costs_of = priced.select("unit", "block", none("array<long>").alias("doc_id"), none("array<boolean>").alias("held"), none("array<long>").alias("size"), F.col("costs").alias("blob"))
@@ -400,6 +400,8 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
             yield from scored()
 
     scored = materialize(met.mapInArrow(run, schema), "scored")
+    discard(found)
+    discard(counts)
     rare = scored.select("unit", "k", F.explode("rare").alias("r")).select("unit", "k", "r.word", F.col("r.k").alias("times")).join(vocabulary, "word")
     more = rare.groupBy("unit", "k").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
