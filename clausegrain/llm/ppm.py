@@ -91,6 +91,20 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64))
 
 
+#: Costs travel as multiples of 2^-18 below 64, three bytes each, so that a text's score is right to some millionths a byte.
+COST_STEP = 1 << 18
+
+
+def packed_costs(costs: np.ndarray) -> bytes:
+    whole = np.minimum(np.rint(-costs * COST_STEP), (1 << 24) - 1).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(whole.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes())
+
+
+def unpacked_costs(blob: bytes) -> np.ndarray:
+    low, middle, high = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(3, -1).astype(np.int64)
+    return (low | middle << 8 | high << 16) / -COST_STEP
+
+
 def key_of(word: bytes) -> bytes:
     return word if len(word) <= LONGEST else b"\0" + hashlib.sha256(word).digest()  # no word holds white space, any may hold a null
 
@@ -111,7 +125,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield made.slice(at, 20_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=5)
         words: Counter = Counter()
         grams: list[tuple] = []
         texts: list[bytes] = []
@@ -265,7 +279,7 @@ class Cuts:
 
 
 def costs(units: DataFrame, counts: DataFrame, cuts: Cuts, order: int) -> DataFrame:
-    """unit, block, costs: for each unit and block, log10 probabilities of the unit's distinct codes in the block, as float32 in the order that cuts deals them."""
+    """unit, block, costs: for each unit and block, log10 probabilities of the unit's distinct codes in the block, packed, in the order that cuts deals them."""
     held = Shared(units.sparkSession, cuts)
     size = counts.agg(F.count("*")).first()[0]
     looked_up = units.agg(F.coalesce(F.sum("n_codes"), F.lit(0))).first()[0]
@@ -312,7 +326,7 @@ def costs(units: DataFrame, counts: DataFrame, cuts: Cuts, order: int) -> DataFr
                 if trie is None:
                     empty = np.zeros(0, np.int64)
                     trie, gathered = Block(*_summed(*map(np.concatenate, zip(*gathered, (empty, empty), strict=True))), cuts.flat, cuts.root, order), []
-                out.append((unit, block, trie.costs(unpacked(codes)).astype(np.float32).tobytes()))
+                out.append((unit, block, packed_costs(trie.costs(unpacked(codes)))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.binary()), strict=True)], ["unit", "block", "costs"])
 
@@ -359,7 +373,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         def scored() -> Iterator[pa.RecordBatch]:
             unit, ids, held, size, blob = now
             text, size = ends.decompress(blob), np.array(size, np.int64)
-            score = _by_text(text, size, cuts, np.frombuffer(b"".join(pieces), np.float32).astype(float))
+            score = _by_text(text, size, cuts, np.concatenate([np.zeros(0), *map(unpacked_costs, pieces)]))
             stop = np.cumsum(size)
             each = [text[a:b].split() for a, b in zip((stop - size).tolist(), stop.tolist(), strict=True)]
             n_words = np.fromiter(map(len, each), np.int64, len(each))
