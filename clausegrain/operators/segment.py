@@ -25,7 +25,7 @@ V1_BOUNDARIES = (
     r"(?i)^\s*\([ivxlcdm]+\)\s+",
     r"^\s*\(\d{1,3}\)\s+",
 )
-# A heading of version 1, what ends a paragraph, what stays by itself, and marks that are no words.
+# A heading of version 1.
 V1_HEADING = r"^[A-Z][A-Z\s,\-/&]{5,}$"
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -110,10 +110,11 @@ V3_BOUNDARIES = (
     r"(?m)^[A-Z][A-Z\s,\-/&]{10,}$",
     r"(?m)^\s*(?:WHEREAS|NOW THEREFORE|IN WITNESS WHEREOF)",
 )
+# What parts paragraphs, and what stays by itself however short.
 PARAGRAPH = re.compile(r"\n\s*\n")
 V2_STAYS = re.compile(r"(?:EX-|EXHIBIT|Page|\d+$)", re.I)
 V3_STAYS = re.compile(r"(?:SECTION|ARTICLE|EX-|EXHIBIT)", re.I)
-# Words of legal content, and patterns of segment types.
+# Words of legal content, patterns of segment types, and marks that are no words.
 LEGAL_WORDS = ("shall", "must", "agrees", "acknowledges", "party", "parties", "confidential", "information", "agreement", "obligations", "disclose", "receive", "terminate", "governed", "rights", "duties")
 EXHIBIT = r"(?i)^(?:EX-\d+[\w\.\-]*|EXHIBIT\s+\d+[\w\.\-]*|EXHIBIT\s+[A-Z]|EX-\d+.*htm)"
 PAGE = r"(?i)^(?:Page\s*\d+(?:\s*of\s*\d+)?|\d+\s*of\s*\d+|-\s*\d+\s*-|\d{1,3})$"

@@ -49,6 +49,11 @@ def extremes(audit: DataFrame, document: str, metrics: tuple[str, ...]) -> DataF
     return found.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), (-F.col(m)["col2"]).alias(document), F.col(m)[m].cast("double").alias("value")) for m in metrics))).alias("r")).select("r.*")
 
 
+# Clauses that are section numbers or page numbers alone.
+SECTION_ALONE = r"(?i)^(?:Section|Article|Clause|\d+[.\d]*)\s*\d*$"
+PAGE_ALONE = r"(?i)^(?:Page\s*\d+|\d+\s*of\s*\d+|-\s*\d+\s*-|\d+)$"
+
+
 def audit_reasons(text: Column) -> Column:
     """What is odd about a clause, as reasons joined by semicolons."""
     from clausegrain.functions.text import is_upper
@@ -59,7 +64,7 @@ def audit_reasons(text: Column) -> Column:
     return F.array_join(F.array_compact(F.array(
         F.when(~some, "empty").when(F.length(text) <= 20, "short_<=20_chars"),
         F.when(some & t.rlike(rf"^[{MARKS}]+\z"), "only_punctuation"), F.when(t.rlike(r"^\d+\z"), "only_numbers"),
-        F.when(t.rlike(r"(?i)^(?:Section|Article|Clause|\d+[.\d]*)\s*\d*$"), "only_section_numbers"), F.when(t.rlike(r"(?i)^(?:Page\s*\d+|\d+\s*of\s*\d+|-\s*\d+\s*-|\d+)$"), "page_numbers"),
+        F.when(t.rlike(SECTION_ALONE), "only_section_numbers"), F.when(t.rlike(PAGE_ALONE), "page_numbers"),
         F.when(some & (t.startswith("EX-") | low.contains("exhibit") | (is_upper(t) & (F.length(t) < 40) & ~t.endswith("."))), "header_or_title"),
     )), "; ")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from clausegrain.functions.text import is_blank, strip
 
 
+# The tags of annotated files.
 @dataclass(frozen=True)
 class Tags:
     clause_open: str = "[INIT_CLAUSE]"
