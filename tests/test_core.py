@@ -171,7 +171,8 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "c"), header=True).first().labels == "a, b"
     with pytest.raises(ValueError):
         sinks.write_clauses(rows, str(tmp_path / "c"), "xml")
-    assert sinks.write_splits(rows, str(tmp_path / "s")).first().documents == ["d"]
+    assert sinks.write_splits(rows, str(tmp_path / "s")).first().documents == 1
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "s" / "split_documents")).select("doc_id", "split").collect()] == [("d", "train")]
     sinks.replace_table(rows, str(tmp_path / "t"))
     sinks.replace_table(spark.read.parquet(str(tmp_path / "t")).unionByName(rows), str(tmp_path / "t"))
     sinks.append_aligned(rows.drop("text").withColumn("extra", F.lit(1)), str(tmp_path / "t"))
