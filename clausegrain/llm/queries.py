@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrain.llm import chat, decontam, packing, pii, ppm, quality, secrets, simhash, urlrules, warc
+from clausegrain.llm import chat, decontam, packing, pii, ppm, quality, resample, secrets, simhash, topk, urlrules, veccodes, warc
 from clausegrain.llm.common import table
 
 
@@ -58,11 +58,68 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.table_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_url_rules, op4_secret_spans, op5_quality_rules, op6_warc_captures, op7_ppm_scores, op8_simhash_links, op9_pii_spans, op10_decontamination)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20)
+
+
+def op12_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_url_rules, op4_secret_spans, op5_quality_rules, op6_warc_captures, op7_ppm_scores, op8_simhash_links, op9_pii_spans, op10_decontamination, op11_importance_resampling, op12_threshold_topk, op13_vector_codes)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Whole components of the vectors that take part.
+WHOLE = """e AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))"""
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """The rounds of op13, one after another: a (nearest entries) and c (entries) of each. Products of doubles are exact at these sizes."""
+    near = """a{k} AS (SELECT rid, part, min_by(entry, struct_pack(d := d, e := entry)) AS entry, min(d) AS d
+         FROM (SELECT p.rid, p.part, c.entry, p.pp - 2 * list_dot_product(p.x, c.x) + list_dot_product(c.x, c.x) AS d FROM p JOIN c{k} AS c USING (part)) GROUP BY rid, part)"""
+    move = """s{k} AS (SELECT part, entry, i, floor(sum(x[i]) / count(*)) AS m FROM p JOIN a{k} USING (rid, part), (SELECT unnest(range(1, CAST((SELECT w FROM width) AS BIGINT) + 1)) AS i) GROUP BY ALL),
+m{k} AS (SELECT part, entry, list(m ORDER BY i) AS x FROM s{k} GROUP BY ALL),
+c{n} AS (SELECT part, entry, coalesce(m{k}.x, c{k}.x) AS x FROM c{k} LEFT JOIN m{k} USING (part, entry))"""
+    steps = ",\n".join(t.format(k=k, n=k + 1) for k in range(rounds) for t in (near, move)) + ",\n" + near.format(k=rounds)
+    return f"""
+WITH {WHOLE},
+width AS (SELECT max(len(v)) // 4 AS w FROM e),
+p AS (SELECT rid, part, x, list_dot_product(x, x) AS pp FROM (SELECT rid, part, CAST(v[part * w + 1:part * w + w] AS DOUBLE[]) AS x FROM e, width, (SELECT unnest(range(4)) AS part))),
+c0 AS (SELECT part, entry, x FROM p JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id, v) - 1 AS entry FROM e WHERE vec_id IS NOT NULL QUALIFY entry < 256) USING (rid)),
+{steps},
+o AS (SELECT rid, string_agg(lower(printf('%02x', CAST(entry AS INTEGER))), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN o USING (rid), h"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_importance_resampling": rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT rid, unnest(ws) AS word FROM t), bw AS (SELECT unnest(ws) AS word FROM g),
+words AS (SELECT word, lower(hex(encode(word))) AS hex FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+step AS (SELECT list_transform(range(16), lambda i: list_reduce([i, 1, 1, 1, 1], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS table16),
+crc AS (SELECT word, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(hex)), lambda i: CAST(instr('0123456789abcdef', hex[i + 2 - 2 * (i % 2):i + 2 - 2 * (i % 2)]) - 1 AS BIGINT))),
+               lambda c, n: xor(table16[xor(c % 16, n) + 1], c // 16))) % 10000 AS bucket FROM words, step),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN crc USING (word) GROUP BY bucket), b AS (SELECT bucket, count(*) AS t FROM bw JOIN crc USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM dw) AS s_all, (SELECT count(*) FROM bw) AS t_all),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN b USING (bucket), n),
+w AS (SELECT rid, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM dw JOIN crc USING (word) JOIN gain USING (bucket) GROUP BY rid),
+o AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256(concat('2024:', doc_id))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM t LEFT JOIN w USING (rid)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) FILTER (n_features >= 20) OVER () AS eligible FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * eligible // 100 THEN place END AS rank FROM r""",
+    "op12_threshold_topk": f"""
+WITH {WHOLE},
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM e AS q JOIN e AS c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10""",
+    "op13_vector_codes": _codes_sql(),
     "op2_chat_formatting": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
