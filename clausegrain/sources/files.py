@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from clausegrain.functions.text import clean_extracted, is_blank, n_lines, n_words
+from clausegrain.sources.strict import strict_csv  # noqa: F401  one of the sources
 
 SPAN_V1 = "array<struct<clause_id:string,text:string,start_position:int,end_position:int>>"
 SPAN_V3 = "array<struct<document_id:string,clause_id:string,text:string,start:int,end:int,segment_type:string,is_suspicious:boolean>>"
@@ -76,39 +77,6 @@ def segmented_checked(spark: SparkSession, directory: str) -> DataFrame:
     return checked.select("document_id", name.alias("source"), F.inline("clauses").alias("_d", "clause_id", "clause_text", "start", "end", "segment_type", "is_suspicious")).drop("_d")
 
 
-def strict_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file as strings: byte-order mark and leading blank lines are passed over, quoted line breaks kept; a repeated
-    column name or a row of another width is an error. Each file is parsed as a stream in one task, as quoting asks for it."""
-    lines = spark.read.text(path).where(F.trim(F.translate("value", "\ufeff", "")) != "").limit(1).collect()
-    if not lines:
-        raise ValueError(f"{path} is empty")
-    header = next(csv.reader([lines[0][0].lstrip("\ufeff")]))
-    if len(set(header)) < len(header):
-        raise ValueError(f"{path}: a column name twice")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                reader = csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", newline=""))
-                first, rows = True, []
-                for row in reader:
-                    if first:
-                        first = not row  # the header, after blank lines
-                        continue
-                    if not row:
-                        continue
-                    if len(row) != len(header):
-                        raise ValueError(f"line {reader.line_num} has {len(row)} fields, not {len(header)}")
-                    rows.append(row)
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=header)
-                        rows = []
-                yield pd.DataFrame(rows, columns=header)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
-
-
 def lenient_csv(spark: SparkSession, path: str, columns: tuple[str, ...], null_value: str | None = None) -> DataFrame:
     """A CSV file as strings; a missing file is an empty relation, empty fields stay empty texts unless they are the null value."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
