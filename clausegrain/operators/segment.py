@@ -1,23 +1,21 @@
 """Clause segmentation: texts to clauses with exact offsets in code points.
 
-v1 is a plan of built-in functions only: boundaries are where patterns match, found by the lengths of what lies between
-and within matches; short segments join their predecessor, long ones break at blank lines. v2 and v3 fold short
-pieces forward and test what has gathered, which is a sequential rule, so they run as Arrow batches of whole texts.
-A text never leaves its row: no version shuffles.
+Cutting is a sequential rule: v1 joins short pieces to their predecessor and breaks long ones at blank lines, v2 and v3 fold short
+pieces forward and test what has gathered. So texts run through it as Arrow batches, each in time linear in its length (v1) and with
+one list of cuts; what pieces are is told by built-in functions. A text never leaves its row: no version shuffles.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clausegrain.functions.text import clause_id, is_blank, let, strip
+from clausegrain.functions.text import clause_id, is_blank, strip
 
-FLAGS = "(?mdU)"
-# What begins a clause in version 1. Java's d and U flags make it read lines and spaces as Unicode text does.
+# What begins a clause in version 1.
 V1_BOUNDARIES = (
     r"^\s*(?:ARTICLE|Article|SECTION|Section)\s+[IVXLCDM\d]+[\.\:\s]",
     r"^\s*(\d{1,3}(?:\.\d{1,3})*)\s*[\.\)]\s+",
@@ -25,71 +23,91 @@ V1_BOUNDARIES = (
     r"(?i)^\s*\([ivxlcdm]+\)\s+",
     r"^\s*\(\d{1,3}\)\s+",
 )
-# A heading of version 1.
+# A heading of version 1, of eight characters at least.
 V1_HEADING = r"^[A-Z][A-Z\s,\-/&]{5,}$"
-SPANS = "array<struct<start:int,end:int>>"
+BLANK_LINES, LINE_START = re.compile(r"\n\n+"), re.compile(r"(?:\A|\n)\s*")
+
+
+class Boundaries:
+    """Where patterns match. For those that begin with a line's start and any white space it's enough to look after each run of white space once, however many
+    lines it has: a search would begin anew at each of them, and take time quadratic in the run."""
+
+    def __init__(self, patterns: tuple[str, ...]):
+        self.after, self.others = [], []
+        for p in patterns:
+            flags, rest = re.match(r"((?:\(\?[a-z]+\))*)(.*)", p, re.S).groups()
+            if rest.startswith(r"^\s*"):
+                self.after.append(re.compile(flags + rest.removeprefix(r"^\s*"), re.M))
+            else:
+                self.others.append(re.compile(p, re.M))
+
+    def of(self, text: str) -> set[int]:
+        found, ends = {m.start() for p in self.others for m in p.finditer(text)}, [0] * len(self.after)
+        for run in LINE_START.finditer(text):
+            first, at = run.start() + 1 if run.start() else 0, run.end()
+            for k, p in enumerate(self.after):
+                if m := p.match(text, at):
+                    start = first
+                    if ends[k] > first:  # the match before took a part of this run; what is left must hold a line's start
+                        start = ends[k] if text[ends[k] - 1] == "\n" else text.find("\n", ends[k], at) + 1
+                        if not start:
+                            continue
+                    found.add(start)
+                    ends[k] = m.end()
+        return found
+
+
+_V1, _V1_HEADING = Boundaries(V1_BOUNDARIES), re.compile(V1_HEADING, re.M)
+
+
+def cut(text: str, min_length: int = 30, max_length: int = 5000) -> Iterator[tuple[int, int]]:
+    """Start and end of version 1's clauses, in one pass over a list of cuts: a short piece joins the one before it, a long one breaks at blank lines."""
+    starts = sorted(_V1.of(text) | {m.start() for m in _V1_HEADING.finditer(text) if len(m[0].strip()) >= 8})
+    if not starts or text[: starts[0]].strip():
+        starts.insert(0, 0)
+    spans: list[list[int]] = []
+    for start, end in zip(starts, [*starts[1:], len(text)], strict=True):
+        if spans and len(text[start:end].strip()) < min_length:
+            spans[-1][1] = end
+        else:
+            spans.append([start, end])
+    for start, end in spans:
+        if len(text[start:end].strip()) > max_length:
+            edges = [start, *(x for m in BLANK_LINES.finditer(text, start, end) for x in m.span()), end]
+        else:
+            edges = [start, end]
+        yield from ((a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if text[a:b].strip())
 
 
-def match_starts(text: Column, pattern: str, at_least: int = 0) -> Column:
-    """Where a pattern matches, as an array of offsets; matches of fewer stripped characters than at_least don't count. One pass over the matches."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["0"])
-        fits = p["1"].isNotNull() if not at_least else F.length(strip(p["1"])) >= at_least
-        return F.struct((start + F.coalesce(F.length(p["1"]), F.lit(0))).alias("at"), F.when(fits, F.concat(acc["starts"], F.array(start))).otherwise(acc["starts"]).alias("starts"))
-
-    return F.aggregate(pairs, none, step, lambda acc: acc["starts"])
-
-
-def v1_boundaries(text: Column) -> Column:
-    every = [match_starts(text, FLAGS + p) for p in V1_BOUNDARIES] + [match_starts(text, FLAGS + V1_HEADING, 8)]
-    return F.array_sort(F.array_distinct(F.concat(*every)))
-
-
-def part(text: Column, span: Column) -> Column:
-    return F.substring(text, span["start"] + 1, span["end"] - span["start"])
-
-
-def _span(start: Column, end: Column) -> Column:
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
-
-
-def v1_spans(text: Column, starts: Column, min_length: int, max_length: int) -> Column:
-    n = F.length(text)
-    cuts = F.transform(starts, lambda s, i: _span(s, F.coalesce(F.get(starts, i + 1), n)))
-    before = F.when((starts[0] > 0) & (strip(F.substring(text, F.lit(1), starts[0])) != ""), F.array(_span(F.lit(0), starts[0]))).otherwise(F.array().cast(SPANS))
-    spans = F.when(F.size(starts) == 0, F.array(_span(F.lit(0), n))).otherwise(F.concat(before, cuts))
-
-    def join_short(acc: Column, span: Column) -> Column:
-        short = (F.length(strip(part(text, span))) < min_length) & (F.size(acc) > 0)
-        last = F.element_at(acc, -1)
-        return F.when(short, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(_span(last["start"], span["end"])))).otherwise(F.concat(acc, F.array(span)))
-
-    joined = F.aggregate(spans, F.array().cast(SPANS), join_short)
-    n_gaps = r"\n\n+"
-
-    def break_long(span: Column) -> Column:
-        own = part(text, span)
-        pairs = F.arrays_zip(F.split(own, n_gaps, -1), F.regexp_extract_all(own, F.lit(n_gaps), 0))
-        none = F.struct(span["start"].alias("at"), F.array().cast(SPANS).alias("spans"))
-
-        def step(acc: Column, p: Column) -> Column:
-            end = acc["at"] + F.length(p["0"])
-            return F.struct((end + F.coalesce(F.length(p["1"]), F.lit(0))).alias("at"), F.concat(acc["spans"], F.array(_span(acc["at"], end))).alias("spans"))
+def segment_v1(docs: DataFrame, min_length: int = 30, max_length: int = 5000) -> DataFrame:
+    """docs (document_id, text) to document_id, clause_id, text, start, end; blank texts give no clause."""
+    each = _cut_by(docs.where(~is_blank(F.col("text"))), lambda text: ((i, a, b) for i, (a, b) in enumerate(cut(text, min_length, max_length))))
+    return each.select("document_id", clause_id(F.col("document_id"), F.col("index")).alias("clause_id"), strip(F.col("text")).alias("text"), "start", "end")
 
-        return F.when(F.length(strip(own)) <= max_length, F.array(span)).otherwise(F.aggregate(pairs, none, step, lambda acc: acc["spans"]))
 
-    return F.filter(F.flatten(F.transform(joined, break_long)), lambda s: strip(part(text, s)) != "")
+def _cut_by(docs: DataFrame, pieces: Callable[[str], Iterator[tuple[int, int, int]]]) -> DataFrame:
+    """document_id, index, start, end, text of the pieces (index, start, end) of each text; some thousand pieces leave a task at a time, however long a text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+
+            def made(batch=batch, held=held) -> pa.RecordBatch:
+                row, index, start, end, text = zip(*held, strict=True)
+                return pa.RecordBatch.from_arrays([batch.column("document_id").take(pa.array(row)), pa.array(index, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(text, pa.string())], ["document_id", "index", "start", "end", "text"])
+
+            for k in range(batch.num_rows):
+                text = batch.column("text")[k].as_py() or ""
+                for i, a, b in pieces(text):
+                    held.append((k, i, a, b, text[a:b]))
+                    if len(held) == 5000:
+                        yield made()
+                        held.clear()
+            if held:
+                yield made()
 
-def segment_v1(docs: DataFrame, min_length: int = 30, max_length: int = 5000) -> DataFrame:
-    """docs (document_id, text) to document_id, clause_id, text, start, end; blank texts give no clause."""
-    texts = docs.where(~is_blank(F.col("text"))).select("document_id", F.col("text").alias("_text"))
-    spans = let(v1_boundaries(F.col("_text")), lambda starts: v1_spans(F.col("_text"), starts, min_length, max_length))
-    each = texts.select("document_id", "_text", F.posexplode(spans).alias("_i", "_span"))
-    return each.select("document_id", clause_id(F.col("document_id"), F.col("_i")).alias("clause_id"), strip(part(F.col("_text"), F.col("_span"))).alias("text"), F.col("_span.start").alias("start"), F.col("_span.end").alias("end"))
+    kind = docs.schema["document_id"].dataType.simpleString()
+    return docs.select("document_id", "text").mapInArrow(run, f"document_id {kind}, index int, start int, end int, text string")
 
 
 # ---------------------------------------------------------------- versions 2 and 3
@@ -120,7 +138,7 @@ EXHIBIT = r"(?i)^(?:EX-\d+[\w\.\-]*|EXHIBIT\s+\d+[\w\.\-]*|EXHIBIT\s+[A-Z]|EX-\d
 PAGE = r"(?i)^(?:Page\s*\d+(?:\s*of\s*\d+)?|\d+\s*of\s*\d+|-\s*\d+\s*-|\d{1,3})$"
 HEADING = r"(?i)^(?:SECTION|ARTICLE|\d+[\.\d]*)\s+[A-Z\s,]{3,%d}$"
 MARKS = r".,;:!?\-–—\"'()\[\]{}/*\\&$#@ 0123456789"
-_COMPILED = {2: [re.compile(p) for p in V2_BOUNDARIES], 3: [re.compile(p) for p in V3_BOUNDARIES]}
+_COMPILED = {2: Boundaries(V2_BOUNDARIES), 3: Boundaries(V3_BOUNDARIES)}
 
 
 def _stays(version: int, said: str, min_length: int) -> bool:
@@ -134,7 +152,7 @@ def fold_forward(text: str, version: int, min_length: int = 20) -> Iterator[tupl
     """Index, start and end of the pieces of a text; blank ones are left out, yet counted."""
     if not text.strip():
         return
-    begins = {m.start() for p in _COMPILED[version] for m in p.finditer(text)}
+    begins = _COMPILED[version].of(text)
     if version == 3:
         begins.update(m.end() for m in PARAGRAPH.finditer(text))
     # A break at the very end leaves an empty last piece, which still takes what gathered before it.
@@ -194,17 +212,7 @@ def segment(docs: DataFrame, version: int = 3, min_length: int = 20) -> DataFram
     if version not in (2, 3):
         raise ValueError(f"unknown version: {version}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 500):
-                cut = [(k, i, a, b, texts[k][a:b]) for k in range(at, min(at + 500, len(texts))) for i, a, b in fold_forward(texts[k] or "", version, min_length)]
-                if cut:
-                    row, index, start, end, text = zip(*cut, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column("document_id").take(pa.array(row)), pa.array(index, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(text, pa.string())], ["document_id", "index", "start", "end", "text"])
-
-    kind = docs.schema["document_id"].dataType.simpleString()
-    each = docs.select("document_id", "text").mapInArrow(run, f"document_id {kind}, index int, start int, end int, text string")
+    each = _cut_by(docs, lambda text: fold_forward(text, version, min_length))
     clauses = each.select("document_id", clause_id(F.col("document_id"), F.col("index")).alias("clause_id"), strip(F.col("text")).alias("text"), "start", "end")
     typed = clauses.withColumn("segment_type", segment_type(F.col("text"), version, min_length))
     return typed.withColumn("is_suspicious", is_suspicious(F.col("text"), F.col("segment_type"), version))
