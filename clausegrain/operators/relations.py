@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from clausegrain.sources.scratch import free, written
+
 
 def pending(queue: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows of the queue whose key isn't done; null keys are pending."""
@@ -86,22 +87,25 @@ def set_operations(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def duplicates(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """With in_group (every member of a group of two or more), is_repeat (all but the first by an order that tells rows apart). Groups are counted,
     and those of two and more joined, so that no task sorts the rows of a busy key."""
-    keyed = rows.withColumn("_k", key)
-    several = keyed.groupBy("_k").agg(F.count("*").alias("_n"), F.min(order).alias("_first")).where("_n > 1")
-    out = keyed.join(several.withColumnRenamed("_k", "_key"), F.col("_k").eqNullSafe(F.col("_key")), "left")
-    return out.withColumns({"in_group": F.col("_n").isNotNull(), "is_repeat": F.coalesce(F.col(order) != F.col("_first"), F.lit(False))}).drop("_k", "_key", "_n", "_first")
+    own, n, first = (free(rows.columns, c) for c in ("_k", "_n", "_first"))
+    keyed = rows.withColumn(own, key)
+    several = keyed.groupBy(F.col(own).alias("_" + own)).agg(F.count("*").alias(n), F.min(order).alias(first)).where(F.col(n) > 1)
+    out = keyed.join(several, F.col(own).eqNullSafe(F.col("_" + own)), "left")
+    return out.withColumns({"in_group": F.col(n).isNotNull(), "is_repeat": F.coalesce(F.col(order) != F.col(first), F.lit(False))}).drop(own, "_" + own, n, first)
 
 
 def numbered(rows: DataFrame, size: str | None, *order) -> DataFrame:
-    """rows with _rank (from 0) and _before, the sum of size over the rows before each in the order; no task sorts all of them."""
+    """rows with _rank (from 0) and _before, the sum of size over the rows before each in the order; no task sorts all of them. The ranges are written to the
+    shared folder once, so that sums and ranks are of the same ranges."""
+    part, ahead_s, ahead_k = (free(rows.columns, c) for c in ("_p", "_s", "_k"))
     value = F.col(size) if size else F.lit(1)
-    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    sums = ranged.groupBy("_p").agg(F.sum(value).alias("s"), F.count("*").alias("k"))
-    ahead = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    first = sums.select("_p", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("_s"), F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("_k"))  # as many rows as partitions
-    own = W.partitionBy("_p").orderBy(*order)
+    ranged = written(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy(part).agg(F.sum(value).alias("s"), F.count("*").alias("k"))
+    ahead = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    first = sums.select(part, F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias(ahead_s), F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias(ahead_k))  # as many rows as partitions
+    own = W.partitionBy(part).orderBy(*order)
     upto = F.coalesce(F.sum(value).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return ranged.join(F.broadcast(first), "_p").withColumns({"_rank": F.col("_k") + F.row_number().over(own) - 1, "_before": F.col("_s") + upto}).drop("_p", "_s", "_k")
+    return ranged.join(F.broadcast(first), part).withColumns({"_rank": F.col(ahead_k) + F.row_number().over(own) - 1, "_before": F.col(ahead_s) + upto}).drop(part, ahead_s, ahead_k)
 
 
 def shared_keys(rows: DataFrame, key: Column, split: str) -> DataFrame:
