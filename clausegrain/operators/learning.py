@@ -2,70 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+import pyarrow as pa
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, functions as F
 
-from clausegrain.operators import metrics, splits
-
-
-@F.udf(VectorUDT())
-def _sublinear(v):
-    """1 + ln of each count; Spark has no function over the entries of a sparse vector."""
-    return Vectors.sparse(v.size, v.indices, 1 + np.log(v.values)) if isinstance(v, SparseVector) else v
-
-
-class Sublinear(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Adds _scaled, the logarithmic form of the counts in _counts."""
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumn("_scaled", _sublinear("_counts"))
-
-
-def features(vocabulary: int = 20_000, stop_words: bool = False, sublinear: bool = False) -> Pipeline:
-    """Stages from text to a normalised vector in features: words and pairs of words share one vocabulary, the most frequent first."""
-    stages = [RegexTokenizer(inputCol="text", outputCol="_all", pattern=r"\W+")]
-    stages.append(StopWordsRemover(inputCol="_all", outputCol="_one") if stop_words else NGram(n=1, inputCol="_all", outputCol="_one"))
-    stages += [NGram(n=2, inputCol="_one", outputCol="_two"), SQLTransformer(statement="SELECT *, concat(_one, _two) AS _terms FROM __THIS__"), CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=vocabulary)]
-    stages += [Sublinear()] if sublinear else []
-    stages += [IDF(inputCol="_scaled" if sublinear else "_counts", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="features")]
-    return Pipeline(stages=stages)
-
-
-def train(rows: DataFrame, categories: list[str], labels: str = "labels", least: int = 1, **options) -> tuple[PipelineModel, dict]:
-    """A feature model and a classifier for each category that has enough positives and negatives. rows: text, labels."""
-    model = features(**options).fit(rows)
-    ready = model.transform(rows).select("features", labels).persist()
-    n = ready.agg(F.count("*").alias("_n"), *(F.count_if(F.array_contains(labels, c)).alias(str(i)) for i, c in enumerate(categories))).first()
-    found = {}
-    for i, c in enumerate(categories):
-        pos, neg = n[str(i)], n["_n"] - n[str(i)]
-        if min(pos, neg) >= least:
-            y = F.array_contains(labels, c)
-            data = ready.select("features", y.cast("double").alias("label"), F.when(y, n["_n"] / (2.0 * pos)).otherwise(n["_n"] / (2.0 * neg)).alias("weight"))
-            found[c] = LogisticRegression(weightCol="weight", maxIter=50).fit(data)
-    ready.unpersist()
-    return model, found
-
-
-def predict(rows: DataFrame, model: PipelineModel, classifiers: dict, key: str) -> DataFrame:
-    """key, category, y_prob in long form, all categories in one pass."""
-    ready = model.transform(rows).select(key, "features")
-    probabilities = []
-    for k, (c, lr) in enumerate(classifiers.items()):
-        ready = lr.setPredictionCol(f"_p{k}").setRawPredictionCol(f"_r{k}").setProbabilityCol(f"_q{k}").transform(ready)
-        probabilities.append(F.struct(F.lit(c).alias("category"), vector_to_array(f"_q{k}")[1].alias("y_prob")))
-    return ready.select(key, F.inline(F.array(*probabilities)))
+from clausegrain.operators import linear, metrics, splits
+from clausegrain.sources.scratch import dropped, free, written
+
+
+def train(rows: DataFrame, categories: list[str], labels: str = "labels", least: int = 1, vocabulary: int = 20_000, stop_words: bool = False, sublinear: bool = True, strength: float = 1.0, most: int = 100) -> tuple[linear.Vocabulary, dict[str, np.ndarray]]:
+    """A vocabulary, and the weights (terms, then the constant) of a classifier for each category that has enough positives and negatives. rows: text, labels.
+    All categories are trained in the same passes."""
+    own = written(rows.select("text", labels, F.monotonically_increasing_id().alias("_row")), "rows")
+    n = own.agg(F.count("*").alias("_n"), *(F.count_if(F.array_contains(labels, c)).alias(str(i)) for i, c in enumerate(categories))).first()
+    able = [(c, n[str(i)]) for i, c in enumerate(categories) if min(n[str(i)], n["_n"] - n[str(i)]) >= max(least, 1)]
+    words = tuple(StopWordsRemover.loadDefaultStopWords("english")) if stop_words else ()
+    model = linear.fit_vocabulary(own, "_row", size=vocabulary, sublinear=sublinear, stop_words=words)
+    if not able:
+        return model, {}
+    y = F.array(*(F.coalesce(F.array_contains(labels, c), F.lit(False)).cast("byte") for c, _ in able)).alias("y")
+    vectors = own.select("_row", y).join(model.vectors(own, "_row"), "_row", "left")
+    blocks = written(linear.packed(vectors.select(F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"), "y"), len(able)), "blocks")
+    balance = np.array([[n["_n"] / (2.0 * (n["_n"] - k)) for _, k in able], [n["_n"] / (2.0 * k) for _, k in able]])
+    weights, _ = linear.descend(blocks, model.size, balance, strength, most)
+    dropped(own)
+    dropped(blocks)
+    return model, {c: weights[:, k] for k, (c, _) in enumerate(able)}
+
+
+def predict(rows: DataFrame, model: linear.Vocabulary, classifiers: dict[str, np.ndarray], key: str) -> DataFrame:
+    """key, category, y_prob in long form, all categories in one pass; keys are taken to tell rows apart, and rows without a known term get the constants' chances."""
+    names, w = list(classifiers), np.stack(list(classifiers.values()), axis=1) if classifiers else np.zeros((model.size + 1, 0))
+    kind = rows.schema[key].dataType.simpleString()
+    k = free([key], "k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch["ids"].value_lengths().fill_null(0))
+            m = linear.margins(np.repeat(np.arange(len(sizes)), sizes), np.asarray(batch["ids"].flatten(), np.int64), np.asarray(batch["weights"].flatten(), np.float64), len(sizes), w)
+            chances = pa.FixedSizeListArray.from_arrays(pa.array((1 / (1 + np.exp(-np.clip(m, -500, 500)))).ravel()), max(1, w.shape[1])).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch[k], chances], names=[k, "chances"])
+
+    own = rows.select(F.col(key).alias(k), "text")
+    vectors = own.select(k).join(model.vectors(own, k), k, "left") if names else own.limit(0).selectExpr(k, "array(0) AS ids", "array(0D) AS weights")
+    judged = vectors.mapInArrow(run, f"{k} {kind}, chances array<double>")
+    each = F.arrays_zip(F.array(*map(F.lit, names)).cast("array<string>").alias("category"), F.col("chances").alias("y_prob"))
+    return judged.select(F.col(k).alias(key), F.inline(each).alias("category", "y_prob"))
 
 
 def cross_validate(rows: DataFrame, categories: list[str], document: str = "document_id", key: str = "clause_id", labels: str = "labels", folds: int = 5, **options) -> DataFrame:
     """fold, macro and micro F1, precision and recall: for each fold of documents a model of the others judges it. A loop over a few folds; rows stay on the cluster."""
-    dealt = rows.join(splits.group_folds(rows, document, folds), document).persist()
+    dealt = written(rows.join(splits.group_folds(rows, document, folds), document), "folds")
     out = None
     for fold in sorted(r[0] for r in dealt.select("fold").distinct().collect()):
         model, found = train(dealt.where(F.col("fold") != fold), categories, labels, **options)
