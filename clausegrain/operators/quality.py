@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clausegrain.functions.labels import ACTIONS
 from clausegrain.functions.taxonomy import CATEGORIES, EXCLUDED_QUALITY, VALID_QUALITY, all_categories, label_col
-from clausegrain.functions.text import is_blank, truthy
+from clausegrain.functions.text import is_blank, strip, truthy
+from clausegrain.sources.scratch import free
 
 
 @dataclass(frozen=True)
@@ -64,18 +65,20 @@ def with_repeats(rows: DataFrame, **keys: Column) -> DataFrame:
     """rows with a boolean column for each named key: whether another row has the same key. Keys are counted and those of two and more
     joined, so no task gets all rows of a busy one; null keys repeat nothing."""
     for name, key in keys.items():
-        keyed = rows.withColumn("_key", key)
-        several = keyed.where("_key is not null").groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key", F.lit(True).alias(name))
-        rows = keyed.join(several, "_key", "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_key")
+        own = free(rows.columns, "_key")
+        keyed = rows.withColumn(own, key)
+        several = keyed.where(F.col(own).isNotNull()).groupBy(own).agg(F.count("*").alias("n")).where("n > 1").select(own, F.lit(True).alias(name))
+        rows = keyed.join(several, own, "left").withColumn(name, F.coalesce(name, F.lit(False))).drop(own)
     return rows
 
 
 def with_leaks(rows: DataFrame, split: str = "split", **keys: Column) -> DataFrame:
     """rows with a boolean column for each named key: whether rows of the same key lie in two splits or more."""
     for name, key in keys.items():
-        keyed = rows.withColumn("_key", key)
-        leaking = keyed.where("_key is not null").groupBy("_key").agg(F.min(split).alias("_a"), F.max(split).alias("_b")).where("_a < _b").select("_key", F.lit(True).alias(name))
-        rows = keyed.join(leaking, "_key", "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_key")
+        own = free(rows.columns, "_key")
+        keyed = rows.withColumn(own, key)
+        leaking = keyed.where(F.col(own).isNotNull()).groupBy(own).agg(F.min(split).alias("a"), F.max(split).alias("b")).where("a < b").select(own, F.lit(True).alias(name))
+        rows = keyed.join(leaking, own, "left").withColumn(name, F.coalesce(name, F.lit(False))).drop(own)
     return rows
 
 
@@ -142,6 +145,32 @@ def annotations(rows: DataFrame, clauses: DataFrame, most_ids: int = 20) -> Data
     return run(with_repeats(rows.join(known, rows["clause_id"] == known["_id"], "left"), _same_id=F.col("clause_id")), rules, "clause_id", most_ids)
 
 
+def annotation_tables(queue: DataFrame, database: DataFrame, clauses: DataFrame, most_ids: int = 20) -> DataFrame:
+    """The suite over both tables of an annotation project, each check with its table: the queue, and the database of what was annotated, whose columns verified, reviewer and
+    selection_source stand for label_verified, label_reviewer and label_source. An empty database is one passed check."""
+    named = database.withColumnsRenamed({"verified": "label_verified", "reviewer": "label_reviewer", "selection_source": "label_source"})
+    both = lambda rows, name: annotations(rows, clauses, most_ids).withColumn("table", F.lit(name))
+    checks = both(queue, "queue")
+    if named.isEmpty():
+        one = Rule("db_empty", F.lit(True), detail="nothing is annotated yet")
+        return checks.unionByName(run(named.limit(0), [one], "clause_id").withColumn("table", F.lit("db")))
+    return checks.unionByName(both(named, "db"))
+
+
+# Statuses of annotation that a summary counts.
+SUMMED = {"pending": "PENDING", "annotated": "ANNOTATED", "disputed": "DISPUTED", "skipped": "SKIPPED"}
+
+
+def annotation_summary(rows: DataFrame, verified: str = "label_verified") -> DataFrame:
+    """One row: total, labelled, verified and labelled, multi-labelled clauses, and those of each status."""
+    parsed = F.coalesce(F.from_json("category_labels", "array<string>"), F.array())
+    filled = F.size(parsed) > 0
+    return rows.agg(
+        F.count("*").alias("total_clauses"), F.count_if(filled).alias("labeled_clauses"), F.count_if(filled & truthy(F.col(verified), ("true", "1", "yes"))).alias("verified_labeled_clauses"), F.count_if(F.size(parsed) > 1).alias("multi_labeled_clauses"),
+        *(F.count_if(F.col("annotation_status") == s).alias(c) for c, s in SUMMED.items()),
+    )
+
+
 def pseudo_labels(rows: DataFrame, most_ids: int = 20) -> DataFrame:
     """The suite of ensemble labels (clause_id, labels array, model confidences, average_confidence, agreement_score, quality)."""
     confidences = [c for c in rows.columns if c.endswith("_confidence")]
@@ -257,3 +286,48 @@ def preflight(train: DataFrame, validation: DataFrame, test: DataFrame) -> DataF
         "labels_exist": (F.lit(lacking), _none(F.lit(lacking))), "columns_match": (F.lit(unlike), _none(F.lit(unlike))), "document_overlap": (F.col("documents"), _none(F.col("documents"))), "missing_text": (F.col("no_text"), _none(F.col("no_text"))),
         "missing_document_ids": (F.col("no_document"), _none(F.col("no_document"))), "label_values": (F.col("odd"), _none(F.col("odd"))), "label_dimensions": (F.lit(sizes), _none(F.lit(sizes))),
     })
+
+
+def training_preflight(rows: DataFrame, labels: tuple[str, ...] = tuple(CATEGORIES), quality: str = "pseudo_label_quality") -> DataFrame:
+    """Five checks before training, of all splits in one table (clause_id, document_id, clause_text, split, quality, label columns): check, status, value."""
+    blank = lambda c: F.count_if(is_blank(F.col(c).cast("string")))
+    one = rows.agg((blank("clause_text") + blank("document_id")).alias("blank"), F.count_if(F.col(quality).isin(*EXCLUDED_QUALITY)).alias("errors"))
+    for more in (_extra(rows, F.col("clause_id"), "ids"), _overlaps(rows, F.col("document_id"), ALL_PAIRS, "documents")):
+        one = one.crossJoin(F.broadcast(more))
+    lacking = F.lit(len({label_col(c) for c in labels} - set(rows.columns)))
+    values = {"duplicate_clause_ids": F.col("ids"), "document_leakage": F.col("documents"), "blank_fields": F.col("blank"), "error_rows": F.col("errors"), "label_columns": lacking}
+    return _checks(one, {k: (v, _none(v)) for k, v in values.items()})
+
+
+def synthetic_preflight(synthetic: DataFrame, train: DataFrame, validation: DataFrame, test: DataFrame, rows: int = 5000) -> DataFrame:
+    """Ten checks of synthetic rows (clause_id, clause_text, label columns) that are to join a training table: their number, labels, texts and ids, that the benchmark's
+    tables have one schema, and that no synthetic text lies in validation or test. Texts are compared without the white space around them, by their hashes."""
+    wanted = {label_col(c) for c in CATEGORIES}
+    present = sorted(wanted & set(synthetic.columns))
+    own = {c for c in train.columns if c.startswith("label_") and c != "label_source"}
+    odd = sum((F.count_if(~F.coalesce(F.col(c).isin(0, 1), F.lit(False))) for c in present), F.lit(0))
+    one = synthetic.agg(F.count("*").alias("rows"), odd.alias("odd"), F.count_if(is_blank(F.col("clause_text"))).alias("blank"))
+    hashes = lambda t: t.where("clause_text is not null").select(F.md5(strip(F.col("clause_text"))).alias("h")).distinct()
+    shared = lambda t, name: hashes(synthetic).join(hashes(t), "h", "left_semi").agg(F.count("*").alias(name))
+    for more in (_extra(synthetic, F.col("clause_id"), "ids"), _extra(synthetic, F.md5("clause_text"), "texts"), shared(validation, "in_validation"), shared(test, "in_test")):
+        one = one.crossJoin(F.broadcast(more))
+    off = F.abs(F.col("rows") - rows)
+    values = {
+        "row_count": off, "label_columns": F.lit(len(wanted - set(synthetic.columns))), "label_values": F.col("odd"), "blank_texts": F.col("blank"), "duplicate_clause_ids": F.col("ids"), "duplicate_texts": F.col("texts"),
+        "same_label_columns": F.lit(len(wanted ^ own)), "same_schemas": F.lit(len({tuple(t.columns) for t in (train, validation, test)}) - 1), "validation_isolation": F.col("in_validation"), "test_isolation": F.col("in_test"),
+    }
+    return _checks(one, {k: (v, _none(v)) for k, v in values.items()})
+
+
+def interface_report(parts: dict[str, DataFrame], required: tuple[str, ...]) -> DataFrame:
+    """split, row_count, missing_columns, null_texts, null_docs, binary_labels_valid of each split table, in one pass over each."""
+    out = None
+    for name, rows in parts.items():
+        present = [label_col(c) for c in CATEGORIES if label_col(c) in rows.columns]
+        odd = sum((F.count_if(~F.coalesce(F.col(c).isin(0, 1), F.lit(False))) for c in present), F.lit(0))
+        null = lambda c, rows=rows: F.count_if(F.col(c).isNull()) if c in rows.columns else F.count("*")
+        valid = (odd == 0) & F.lit(len(present) == len(CATEGORIES))
+        own = rows.agg(F.count("*").alias("row_count"), null("clause_text").alias("null_texts"), null("document_id").alias("null_docs"), valid.alias("binary_labels_valid"))
+        own = own.select(F.lit(name).alias("split"), "row_count", F.lit(len(missing_columns(rows, required))).alias("missing_columns"), "null_texts", "null_docs", "binary_labels_valid")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clausegrain.functions.labels import uncertainty
 from clausegrain.operators import filters, learning, metrics, selection, splits
+from clausegrain.sources.scratch import written
 from clausegrain.sources.sinks import append_aligned
 
 
@@ -30,7 +31,7 @@ def run(annotated: DataFrame, unlabelled: DataFrame, categories: list[str], numb
     if not ready["ready"]:
         _record(gate, None, number, log)
         return Round(gate)
-    parts = splits.assign(rows, splits.smallest_to_validation(rows, "document_id"), "document_id").persist()
+    parts = written(splits.assign(rows, splits.smallest_to_validation(rows, "document_id"), "document_id"), "parts")
     model, found = learning.train(parts.where("split = 'train'"), categories, **options)
     truth = parts.where("split = 'validation'").select("clause_id", "labels", F.explode(F.array(*map(F.lit, sorted(found)))).alias("category"))
     judged = truth.join(learning.predict(parts.where("split = 'validation'"), model, found, "clause_id"), ["clause_id", "category"])

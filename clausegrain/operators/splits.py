@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from clausegrain.functions.taxonomy import CATEGORIES, dimension
 from clausegrain.operators.relations import numbered
+from clausegrain.sources.scratch import written
 
 SPLITS = ("train", "validation", "test")
 
@@ -57,7 +58,7 @@ def greedy_coverage(profile: DataFrame, document: str = "document_id") -> DataFr
     # A set of categories brings something to each split once at most, and never again once it brought nothing: only its first three
     # documents are looked at one by one. The others fill up, so the sum of the clauses before them tells their split.
     rare = F.size(F.array_intersect("categories", F.array(*map(F.lit, sorted(RARE)))))
-    docs = numbered(profile.select(document, "clauses", F.array_sort(F.array_distinct("categories")).alias("categories"), rare.alias("_rare")), "clauses", F.desc("_rare"), F.desc("clauses"), F.desc(document)).persist()
+    docs = written(numbered(profile.select(document, "clauses", F.array_sort(F.array_distinct("categories")).alias("categories"), rare.alias("_rare")), "clauses", F.desc("_rare"), F.desc("clauses"), F.desc(document)), "coverage")
     total = docs.agg(F.sum("clauses")).first()[0] or 1
     nth = F.row_number().over(W.partitionBy("categories").orderBy("_rank"))
     first = docs.withColumn("_nth", nth).where("_nth <= 3").select("_rank", "_before", "clauses", "categories").collect()  # three of each set of categories at most
@@ -102,12 +103,12 @@ def greedy_target(profile: DataFrame, targets: dict[str, float], document: str =
     """document, split: test, then validation take documents that add most missing categories (by hash among equals), up to 1.5 times their target share; the rest trains."""
     # At most a category's worth of picks add something; then all that fit follow in the order of hashes, by sums over those before them.
     key, n = F.col(document), F.col("clauses")
-    docs = profile.select(document, "clauses", "categories", F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))).alias("_h")).persist()
+    docs = written(profile.select(document, "clauses", "categories", F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))).alias("_h")), "target")
     total = docs.agg(F.sum("clauses")).first()[0] or 1
     assigned = docs.withColumn("split", F.lit(None).cast("string"))
     for split in ("test", "validation"):
         target, has, held, picks, best = targets[split] * total, set(), 0, [], None
-        free = assigned.where("split is null").drop("split").persist()
+        free = assigned.where("split is null").drop("split")
         while held < target:
             new = F.size(F.array_except(F.array_distinct("categories"), F.array(*map(F.lit, sorted(has))).cast("array<string>")))
             best = free.where(~key.isin(picks) & (held + n <= 1.5 * target)).orderBy(new.desc(), F.desc("_h")).select(document, "clauses", "categories", new.alias("_new")).first()
@@ -131,13 +132,13 @@ def greedy_target(profile: DataFrame, targets: dict[str, float], document: str =
                     before = before + F.when(F.col("_h") < h, size).otherwise(0)
             taken = numbered(small, "clauses", F.desc("_h")).where(before + F.col("_before") < target).select(document)
         chosen = taken.withColumn("_taken", F.lit(True))
-        assigned = assigned.join(chosen, document, "left").withColumn("split", F.coalesce("split", F.when(F.col("_taken") | key.isin(picks), split))).drop("_taken").persist()
+        assigned = written(assigned.join(chosen, document, "left").withColumn("split", F.coalesce("split", F.when(F.col("_taken") | key.isin(picks), split))).drop("_taken"), "assigned")
     return assigned.select(document, F.coalesce("split", F.lit("train")).alias("split"))
 
 
 def group_folds(rows: DataFrame, document: str, folds: int = 5) -> DataFrame:
     """document, fold: the largest documents first, each to the smallest fold so far."""
-    sizes = numbered(rows.groupBy(document).agg(F.count("*").alias("n")), "n", F.desc("n"), document).persist()
+    sizes = written(numbered(rows.groupBy(document).agg(F.count("*").alias("n")), "n", F.desc("n"), document), "sizes")
     groups = sorted(((r[0], r[1]) for r in sizes.groupBy("n").count().collect()), reverse=True)  # as many as sizes
     load = [0] * min(folds, max(1, sum(k for _, k in groups)))
     runs, rank = [], 0
@@ -169,6 +170,30 @@ def _turns(load: list[int], n: int, k: int) -> list[tuple[int, list[int]]]:
     return out
 
 
+def ranked_profile(rows: DataFrame, document: str = "document_id", labels: str = "labels") -> DataFrame:
+    """document, clauses, counts (clauses of each category, in their order), n_categories, size_rank (the largest first) and category_rank (most categories first), from 0, ties by document."""
+    n = [F.count_if(F.array_contains(labels, c)) for c in CATEGORIES]
+    profile = rows.groupBy(document).agg(F.count("*").alias("clauses"), F.array(*n).alias("counts")).withColumn("n_categories", F.size(F.filter("counts", lambda x: x > 0)))
+    by_size = numbered(profile, None, F.desc("clauses"), document).withColumnRenamed("_rank", "size_rank").drop("_before")
+    return numbered(by_size, None, F.desc("n_categories"), F.desc("clauses"), document).withColumnRenamed("_rank", "category_rank").drop("_before")
+
+
+def judged(profile: DataFrame, strategies: dict[str, Column], document: str = "document_id") -> DataFrame:
+    """strategy and for each split its documents, clauses, categories and the categories it lacks, and unassigned documents, of many assignments in one pass: strategies names a
+    column over the profile (ranked_profile() has ranks) that tells a document's split, or null. Each document becomes a row for each strategy within its task, and is summed before it is shuffled."""
+    each = profile.select("clauses", "counts", F.inline(F.array(*(F.struct(F.lit(k).alias("strategy"), c.alias("split")) for k, c in strategies.items()))))
+    sums = each.groupBy("strategy", "split").agg(F.count("*").alias("documents"), F.sum("clauses").alias("clauses"), *(F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(len(CATEGORIES))))
+    names = F.array(*(F.when(F.coalesce(F.col(f"c{i}"), F.lit(0)) == 0, c) for i, c in enumerate(CATEGORIES)))
+    short = sums.select("strategy", "split", "documents", "clauses", F.array_compact(names).alias("lacks"))  # some splits of some strategies
+    of = lambda s, c: F.max(F.when(F.col("split") == s, F.col(c)))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    columns = []
+    for s in SPLITS:
+        lacks = F.coalesce(of(s, "lacks"), F.array(*map(F.lit, CATEGORIES)))
+        columns += [zero(of(s, "documents")).alias(f"{s}_documents"), zero(of(s, "clauses")).alias(f"{s}_clauses"), (len(CATEGORIES) - F.size(lacks)).alias(f"{s}_categories"), lacks.alias(f"{s}_lacks")]
+    return short.groupBy("strategy").agg(*columns, zero(F.max(F.when(F.col("split").isNull(), F.col("documents")))).alias("unassigned"))
+
+
 # Categories whose documents the audit counts by themselves.
 AUDITED = {"liability": "Liability for Damages", "competition": "Competition Rights", "intellectual_property": "Intellectual Property", "governing_law": "Governing Law and Jurisdiction"}
 

@@ -569,9 +569,11 @@ def train_counts(spark, d):
     return A.clause_labels(spark, d).select("doc_id", F.explode("labels").alias("category")).groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query(f"WITH {COUNTED} SELECT category, n, least((20000 - n) / greatest(n, 1), 25.0) AS weight FROM n")
+@query(f"WITH {COUNTED} SELECT category, n, least(((SELECT count(*) FROM clause_labels) - n) / greatest(n, 1), 25.0) AS weight FROM n")
 def class_weights(spark, d):
-    return metrics.class_weights(train_counts(spark, d).select("category", "n"), 20000, cap=25.0)
+    total = A.clauses(spark, d).agg(F.count("*").alias("rows"))  # one row
+    counts = train_counts(spark, d).select("category", "n").crossJoin(F.broadcast(total))
+    return metrics.class_weights(counts, F.col("rows"), cap=25.0).drop("rows")
 
 
 @query(f"WITH {COUNTED} SELECT category, n FROM n WHERE n < (SELECT greatest(15, median(n)) FROM n)")

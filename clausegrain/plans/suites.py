@@ -376,9 +376,9 @@ def unapproved_labels(spark: SparkSession, d: str) -> DataFrame:
     return A.clause_labels(spark, d).select("clause_id", L.unapproved(F.concat("labels", more)).alias("unapproved"))
 
 
-@query("SELECT doc_id, quality, toxic, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, quality, toxic, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents LEFT JOIN labels USING (doc_id)")
 def ordered_left_join(spark: SparkSession, d: str) -> DataFrame:
-    return R.ordered_left(table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id"), table(spark, d, "labels"), "doc_id", "position")
+    return R.ordered_left(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", "position")
 
 
 @query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = (SELECT max(event_type) FROM events) AND event_id % 3 = 0)
@@ -488,9 +488,9 @@ def document_status(spark: SparkSession, d: str) -> DataFrame:
     return segment.document_status(rows, table(spark, d, "documents").select(F.col("doc_id").alias("document_id")))
 
 
-@query(f"""WITH {CLAUSES}, r AS (SELECT clause_id, row_number() OVER (ORDER BY md5(clause_id), clause_id) AS r FROM clauses WHERE doc_id % 5 = 0) SELECT clause_id FROM r WHERE r <= 30""")
+@query(f"""WITH {CLAUSES}, r AS (SELECT clause_id, row_number() OVER (ORDER BY md5(clause_id), clause_id) AS r FROM clauses) SELECT clause_id FROM r WHERE r <= 30""")
 def audit_sample(spark: SparkSession, d: str) -> DataFrame:
-    return S.hash_sample(A.clauses(spark, d).where("doc_id % 5 = 0").select("clause_id"), "clause_id", 30)
+    return S.hash_sample(A.clauses(spark, d).select("clause_id"), "clause_id", 30)
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")

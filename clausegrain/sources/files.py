@@ -133,11 +133,15 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.exceptAll(after).unionByName(after.exceptAll(before)).select("path").distinct()
 
 
-def manifest_digest(files: DataFrame) -> DataFrame:
-    """One digest of all files: of the sorted digests by the first two hex digits of the paths' hashes, so that no list grows with the corpus beyond its share."""
-    part = F.substring(F.md5("path"), 1, 2)
-    parts = files.groupBy(part.alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "path", "sha256"))), "\n"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("p", "d"))), ""), 256).alias("digest"))
+def manifest_digest(files: DataFrame, levels: int = 4) -> DataFrame:
+    """One digest of all files (path, sha256), whatever their order and partitions: a tree of digests over the hex digits of the paths' MD5. A leaf holds the files of one of 16^levels
+    beginnings (some hundred of ten million), each other node its sixteen children; a path that repeats is one entry with its count."""
+    once = files.groupBy("path", "sha256").agg(F.count("*").alias("n"))
+    digest = lambda parts: F.sha2(F.array_join(F.array_sort(F.collect_list(parts)), "\n"), 256)
+    nodes = once.groupBy(F.substring(F.md5("path"), 1, levels).alias("p")).agg(digest(F.concat_ws("=", "path", "sha256", "n")).alias("d"))
+    for level in range(levels - 1, -1, -1):
+        nodes = nodes.groupBy(F.substring("p", 1, level).alias("p")).agg(digest(F.concat_ws("=", "p", "d")).alias("d"))
+    return nodes.agg(F.coalesce(F.max("d"), F.sha2(F.lit(""), 256)).alias("digest"))
 
 
 def xz_tsv(spark: SparkSession, path: str, columns: int = 6) -> DataFrame:

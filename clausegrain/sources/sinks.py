@@ -3,18 +3,42 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from clausegrain.operators.relations import pending
 
 
+#: A CSV field keeps its white space and its quotes.
+WHOLE = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content", pack: Callable[[bytes], bytes] | None = None) -> None:
+    """A file for each row in a folder (a URI that all executors reach): its name and its content, a text or bytes, perhaps packed. Names must not repeat. A file
+    is written beside its place and moved there whole, so tries that fail leave no part of it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri("file:///" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            for of, body in zip(batch[name], batch[content], strict=True):
+                beside = f"{base}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(beside, compression=None) as out:
+                    out.write(pack(body.as_py() or b"") if pack else body.as_py() or b"")
+                fs.move(beside, f"{base}/{of.as_py()}")
+        yield from ()
+
+    rows.select(name, F.col(content).cast("binary").alias(content)).mapInArrow(run, "none int").write.format("noop").mode("overwrite").save()
+
+
 def write_clauses(clauses: DataFrame, path: str, format: str = "json") -> None:  # noqa: A002
     """Labelled clauses as JSON lines, or as CSV with labels joined by commas; an empty relation writes its header."""
     if format == "json":
         clauses.write.mode("overwrite").json(path)
     elif format == "csv":
-        clauses.withColumn("labels", F.array_join("labels", ", ")).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+        clauses.withColumn("labels", F.array_join("labels", ", ")).write.mode("overwrite").options(**WHOLE).csv(path, header=True)
     else:
         raise ValueError(f"unknown format: {format}")
 
@@ -48,7 +72,7 @@ def write_statistics(one_row: DataFrame, path: str) -> None:
 
 def write_queue(rows: DataFrame, path: str) -> None:
     """A review queue in CSV, nothing of it verified yet."""
-    rows.withColumn("human_verified", F.lit("false")).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    rows.withColumn("human_verified", F.lit("false")).write.mode("overwrite").options(**WHOLE).csv(path, header=True)
 
 
 def shrink_queue(spark, path: str, done: DataFrame, key: str) -> None:
