@@ -646,3 +646,4 @@ def evidence_resolution(spark, d):
 
 
 from clausegrain.plans import suites  # noqa: E402, F401  more queries, which build on these
+from clausegrain.plans import storage  # noqa: E402, F401  isort: skip

@@ -94,8 +94,8 @@ def dq_clean_suite(spark: SparkSession, d: str) -> DataFrame:
 ANNOTATED = {5: "[", 6: '["Nope"]', 7: '["Purpose","Purpose"]'} | dict.fromkeys(range(8, 13), '["Purpose"]')
 
 
-def annotation_rows(spark: SparkSession, d: str) -> DataFrame:
-    m = MOD(5) % 19
+def annotation_rows(spark: SparkSession, d: str, step: int = 5) -> DataFrame:
+    m = MOD(step) % 19
     return A.clauses(spark, d).select(
         F.when(m == 1, "").when(m == 2, F.concat(F.col("doc_id").cast("string"), F.lit("_dup"))).otherwise(F.col("clause_id")).alias("clause_id"), F.when(m == 3, "zz").when(m == 4, "").otherwise(F.col("doc_id").cast("string")).alias("document_id"),
         one_of(m, "", ANNOTATED).alias("category_labels"), one_of(m, "PENDING", {8: "COMPLETED", 9: "VERIFIED", 11: "ODD", 13: "COMPLETED"}).alias("annotation_status"), one_of(m, "", {9: "yes", 12: "yes", 14: "true"}).alias("label_verified"),
