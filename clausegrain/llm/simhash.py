@@ -289,24 +289,29 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (its component's smallest node) of every node of edges (a, b): each node hooks onto its smallest neighbour, edges
-    are contracted to those between what the nodes hang on, and so on until none is left, a table in the shared folder after each round."""
+    """node and root (its component's smallest node) of every node of edges (a, b). In a round each node hooks onto the neighbour, or itself, whose hash of the round is
+    the smallest, and jumps to what that one hooks onto; edges are contracted to those between what the nodes came to, until none is left. Hashes are new in each
+    round, so whatever the order of the ids a round leaves a share of the nodes only (the one of the greatest hash never stays): rounds are about the logarithm of the longest way."""
     a, b = edges.columns
     left = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), "edges")
     labels = materialize(left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct().withColumn("root", F.col("node")), "labels")
+    number = 0
     while not left.isEmpty():
+        ranked = lambda c, number=number: F.struct(F.xxhash64(c, F.lit(number)).alias("rank"), F.col(c).alias("to"))
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hooked = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("up")), "hooks")
-        above = hooked.select(F.col("node").alias("up"), F.col("up").alias("above"))
-        up = materialize(hooked.join(above, "up").select("node", F.least("up", "above").alias("up")), "ups")
+        hooked = materialize(both.groupBy("u").agg(F.min(ranked("v")).alias("low")).select(F.col("u").alias("node"), F.least(ranked("u"), F.col("low"))["to"].alias("up")), "hooks")
+        up = materialize(hooked.join(hooked.select(F.col("node").alias("up"), F.col("up").alias("above")), "up").select("node", F.col("above").alias("up")), "ups")
         once = left.join(up.withColumnsRenamed({"node": "u", "up": "x"}), "u").select("x", "v")
         new = materialize(once.join(up.withColumnsRenamed({"node": "v", "up": "y"}), "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
         moved = materialize(labels.join(up.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
         for old in (left, labels, hooked, up):
             discard(old)
-        left, labels = new, moved
+        left, labels, number = new, moved, number + 1
+    least = labels.groupBy("root").agg(F.min("node").alias("least"))
+    named = materialize(join_hot(labels, least, "root").select("node", F.col("least").alias("root")), "labels")
     discard(left)
-    return labels
+    discard(labels)
+    return named
 
 
 def classes(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
