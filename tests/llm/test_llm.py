@@ -299,6 +299,23 @@ def test_field_finds_forms_it_was_not_trained_on(module):
     assert right > 0.95 * found and right > 0.95 * wanted and beyond > 0.4 * wanted
 
 
+def test_field_decides_on_keys_of_any_letters():
+    """Keys without digits or of one change, and UUIDs, versions, file names and long words, which are none."""
+    lines = unseen.key_lines(400, 5)
+    finder = secrets.trained()
+    right = found = wanted = 0
+    for (line, want), (base, more) in zip(lines, finder.find([x.encode() for x, _ in lines]), strict=True):
+        got = [line.encode()[a:b].decode() for a, b, _ in base + more]
+        right, found, wanted = right + sum((Counter(got) & Counter(want)).values()), found + len(got), wanted + len(want)
+    assert right > 0.95 * found and right > 0.95 * wanted
+    said = lambda line: [line.encode()[a:b].decode() for part in finder.find([line.encode()])[0] for a, b, _ in part]
+    for key in ("KQZXWPVTNLMRSYBGHJDFABCQ", "abcdefghijkl12345678", "hf_AbCdEfGhIjKlMnOpQrStUvWxYzAbCdEfGh", "sk_live_abcdefghijklmnopqrstuvwx"):
+        assert said(f"Authorization: Bearer {key}") == [key], key
+    assert said("key=QWERTYUIOPASDFGHJKLZXCVB98") == ["QWERTYUIOPASDFGHJKLZXCVB98"]
+    for line in ("order 550e8400-e29b-41d4-a716-446655440000 was sent", "a Rechtsschutzversicherungsgesellschaft", "MAX_CONNECTION_POOL_SIZE", "build 2.14.1-SNAPSHOT of commons-lang3-3.14.0.jar"):
+        assert said(line) == [], line
+
+
 @pytest.mark.parametrize("module", [pii, secrets])
 def test_segments_decode_as_whole_chains_do(module):
     texts, tags, *files = module.labelled(80, seed=4)

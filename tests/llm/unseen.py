@@ -70,3 +70,21 @@ def secret_lines(n: int, seed: int) -> list[tuple[str, list[str]]]:
         lambda: "getCustomerBillingAddress2()", lambda: f"src/main/java/{r.choice(WORDS).title()}Controller{of(digits, 1)}.java", lambda: f"+49 30 {of(digits, 7)}", lambda: f"v{of(digits, 1)}.{of(digits, 2)}.{of(digits, 1)}-beta", lambda: "internationalisation", lambda: "Donaudampfschifffahrtsgesellschaft", lambda: f"{of(digits, 1)},{of(digits, 3)},{of(digits, 3)}.00", lambda: "password reset page", lambda: f"{r.choice(WORDS)}={r.choice(WORDS)}",
     ]
     return lines(r, n, found, none)
+
+
+def key_lines(n: int, seed: int) -> list[tuple[str, list[str]]]:
+    """Keys of any letters, with and without digits, beside identifiers that are none."""
+    r = random.Random(seed)
+    of = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    hexed = digits + "abcdef"
+    uuid = lambda: "-".join(of(hexed, k) for k in (8, 4, 4, 4, 12))
+    found = [
+        lambda: ("", of(upper, 24), ""), lambda: ("use ", of(lower + upper, 30), "."), lambda: ("Bearer ", of(lower, 14) + of(digits, 8), ""), lambda: ("", "hf_" + of(lower + upper, 34), ""), lambda: ("", "sk_live_" + of(lower, 24), ","), lambda: ("our key ", of(lower, 28), " was"),
+        lambda: ("export KEY=", of(upper, 23) + of(digits, 2), ""), lambda: ("", "ghp_" + of(lower + upper, 36), ""), lambda: ("X-Auth: ", of(lower + upper, 40), ""), lambda: ("credential ", of(upper, 32), ";"), lambda: ("Bearer ", of(lower, 20), ""), lambda: ("the pass is ", of(lower + upper, 16) + of(digits, 1), ""),
+    ]
+    none = [
+        lambda: f"order {uuid()}", uuid, lambda: f"request-id={uuid()}", lambda: f"release {of(digits, 1)}.{of(digits, 2)}.{of(digits, 1)}-rc{of(digits, 1)}", lambda: f"spring-core-{of(digits, 1)}.{of(digits, 1)}.{of(digits, 2)}.RELEASE.jar", lambda: f"DSC_{of(digits, 5)}.JPG", lambda: f"minutes_{r.choice(WORDS)}_{of(digits, 4)}-{of(digits, 2)}.docx", lambda: "Rechtsschutzversicherung",
+        lambda: "Geschwindigkeitsbegrenzung", lambda: "incomprehensibilities", lambda: "electroencephalography", lambda: "desproporcionadamente", lambda: "AbstractSingletonProxyFactoryBean", lambda: "handleIncomingConnection()", lambda: "MAX_CONNECTION_POOL_SIZE", lambda: "org.apache.commons.lang3.StringUtils", lambda: "user-agent-parser-service", lambda: "UNCHARACTERISTICALLY", lambda: f"/var/log/nginx/access.log.{of(digits, 1)}", lambda: f"PO-{of(digits, 4)}-{of(digits, 6)}", lambda: f"SKU{of(digits, 8)}",
+    ]
+    return lines(r, n, found, none)
