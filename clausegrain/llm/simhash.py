@@ -14,8 +14,8 @@ Two bits apart is closer than most edited copies are: a fingerprint of 64 bits p
 shingles) some ten bits apart, and covering ten bits would take 2047 tables. So where near copies of that similarity must go
 (`similar_links`, used by `one_of_each`), min-wise hashes find further links: 24 bands of 4 miss a pair of similarity 0.8 three
 times in a million, 256 hashes then estimate the pair's similarity with a deviation of 0.025, and whole texts decide near the
-limit. They join the same components. Of a band's members, those that are then in its largest component are not compared with each other again,
-all others with everyone.
+limit. They join the same components. Texts of bands that then still hold several components are joined by their rarest shingles, which finds every pair of that similarity
+among them and, where many texts share a template, hardly any other.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; rows with equal ids and
 texts share a component; a null id counts as no id when the smallest is sought; an empty table gives no rows; further columns of
@@ -24,14 +24,12 @@ any name stay as they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from clausegrain.llm.common import as_bytes, discard, free, join_hot, map_batches, materialize, sliced
+from clausegrain.llm.common import as_bytes, discard, free, join_hot, map_batches, materialize
 
 SEED = 42
 BITS = 64
@@ -61,8 +59,6 @@ FEW = 16
 #: For links by similarity: bands times rows min-wise hashes choose candidates, all HASHES estimate the similarity.
 SIMILAR_SHINGLE, BANDS, ROWS, HASHES = 5, 24, 4, 256
 SIMILARITY, DEVIATION = 0.8, 0.025
-#: Members of a band, and shingles of theirs, in one part; two parts at a time are compared in a task.
-PART_ROWS, PART_SHINGLES = 600, 1 << 19
 FACTORS = np.random.default_rng(12).integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 
 
@@ -141,8 +137,7 @@ def similar_links(docs: DataFrame, signed_docs: DataFrame, known: DataFrame, sim
     signed_docs: signatures() of docs.
 
     First all members of a band are compared with its pivot, the member whose bands are the fullest (an original shares more bands with
-    its copies than they do with each other). In bands that then still hold several components, all members outside the
-    largest one are compared with all members, within tasks."""
+    its copies than they do with each other). Members of bands that then still hold several components are joined by rare shingles (closing())."""
     texts = materialize(signed_docs.select("key", "fp", "bands", "sketch", "size").dropDuplicates(["key"]), "texts")
     keyed = texts.select("key", "fp", "size", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("band", "n")
@@ -153,91 +148,38 @@ def similar_links(docs: DataFrame, signed_docs: DataFrame, known: DataFrame, sim
     found = materialize(known.unionByName(alike(docs, texts, pairs, similarity)).distinct(), "links")
     roots = found.select("fp", F.col("fp").alias("root")).limit(0) if found.isEmpty() else components(found).withColumnRenamed("node", "fp")
     rooted = materialize(full.join(roots, "fp", "left").select("band", "key", "size", F.coalesce("root", "fp").alias("root")), "rooted")
-    by_root = rooted.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    several = by_root.groupBy("band").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("all_size"), F.max("n").alias("n_main"), F.max_by("size", F.struct("n", "root")).alias("main_size"), F.count("*").alias("k")
-    ).where("k > 1")
-    parts = lambda n, size: F.greatest(F.ceil(n / PART_ROWS), F.ceil(size / PART_SHINGLES), F.lit(1))
-    sized = several.select("band", "main", parts(F.col("n"), F.col("all_size")).alias("parts"), parts(F.col("n") - F.col("n_main"), F.col("all_size") - F.col("main_size")).alias("loose_parts"))
-    left = materialize(rooted.join(sized, "band").select("band", "key", "root", (F.col("root") != F.col("main")).alias("loose"), "parts", "loose_parts"), "left")
+    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    left = materialize(rooted.join(several, "band").select("key", "root").distinct(), "left")
     discard(full)
     discard(rooted)
-    return found if left.isEmpty() else found.unionByName(closing(docs, left, similarity)).distinct()
+    return found if left.isEmpty() else found.unionByName(closing(docs, texts, left, similarity)).distinct()
 
 
-def closing(docs: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
-    """Edges (fp, hub) between the roots that similar texts in the bands of left (band, key, root, loose, parts, loose_parts) join.
+def closing(docs: DataFrame, texts: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
+    """Edges (fp, hub) of the texts of left (key, root) that are at least so similar and have different roots.
 
-    A band's members are dealt to its parts and its loose members to loose parts, and each two parts meet in a group; a group's
-    intersections are counted by matrix products over its shingles, and only a forest over the joined roots leaves the task."""
+    Two such texts have most of their shingles in common, so whatever the order of shingles, they share one among the first size - ceil(similarity * size) + 1 of either. Taken
+    from the rarest on, these are hardly ever those of a template that many texts share; shingles of one text only are in no pair. So what is compared are texts that
+    share a rare shingle and are of similar sizes, not all of a band."""
 
     def hashed(batch: pa.RecordBatch) -> dict:
-        return {"key": batch.column("key"), "shingles": [np.array(sorted({xxh64_intdigest(x) for x in shingles(t)}), "<u8").tobytes() for t in as_bytes(batch.column("text"))]}
-
-    wanted = materialize(left.select("key").distinct(), "wanted")
-    whole = docs.select(text_key().alias("key"), "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    hashes = materialize(map_batches(whole, hashed, "key binary, shingles binary", rows=500), "shingles")
-    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    as_member = left.select("band", "key", "root", F.lit(False).alias("loose"), F.pmod(F.xxhash64("key"), "parts").alias("one"), F.explode(every("loose_parts")).alias("two"))
-    as_loose = left.where("loose").select("band", "key", "root", "loose", F.explode(every("parts")).alias("one"), F.pmod(F.xxhash64("key"), "loose_parts").alias("two"))
-    ready = as_member.unionByName(as_loose).join(hashes, "key").select("band", "one", "two", "loose", "root", "shingles")
-    ready = ready.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
-
-    def joined(roots: list[int], loose: list[bool], sets: list[bytes]) -> list[tuple[int, int]]:
-        if not any(loose) or all(loose) or min(roots) == max(roots):
-            return []
-        rows, root, loose = [np.frombuffer(x, "<u8") for x in sets], np.array(roots), np.array(loose)
-        size = np.array([len(x) for x in rows])
-        _, at, often = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-        row, keep = np.repeat(np.arange(len(rows)), size), often[at] > 1  # a shingle of one text is in no intersection
-        column, row = (np.cumsum(often > 1) - 1)[at[keep]], row[keep]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        place = np.where(loose, np.cumsum(loose), np.cumsum(~loose)) - 1
-        both = np.zeros((int((~loose).sum()), int(loose.sum())), np.float32)
-        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
-            a, b = np.searchsorted(column, (start, start + 1024))
-            sides = []
-            for side in (~loose, loose):
-                of = side[row[a:b]]
-                x = np.zeros((int(side.sum()), 1024), np.float32)
-                x[place[row[a:b][of]], column[a:b][of] - start] = 1
-                sides.append(x)
-            both += sides[0] @ sides[1].T
-        a, b = np.nonzero(both >= similarity * (size[~loose][:, None] + size[loose] - both) - 1e-9)
-        pairs = np.unique(np.stack((root[~loose][a], root[loose][b]), 1), axis=0)
-        up: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                x = up[x]
-            return x
-
-        for x, y in pairs.tolist():
-            x, y = top(x), top(y)
-            up[max(x, y)] = min(x, y)
-        return [(x, top(x)) for x in list(up) if top(x) != x]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, ([], [], [])
-        for batch in sliced(batches, 200, 4 << 20):
-            edges = []
-            for *g, loose, root, x in zip(*(batch.column(c).to_pylist() for c in ("band", "one", "two", "loose", "root", "shingles")), strict=True):
-                if g != group:
-                    edges += joined(held[0], held[1], held[2])
-                    group, held = g, ([], [], [])
-                for to, value in zip(held, (root, loose, x), strict=True):
-                    to.append(value)
-            if edges:
-                yield _edges(edges)
-        if edges := joined(held[0], held[1], held[2]):
-            yield _edges(edges)
-
-    return ready.mapInArrow(run, "fp long, hub long").distinct()
-
-
-def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["fp", "hub"])
+        sets = [np.unique(np.fromiter((xxh64_intdigest(x) for x in shingles(t)), "<u8")).view("<i8") for t in as_bytes(batch.column("text"))]
+        return {"key": batch.column("key").take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))), "shingle": np.concatenate(sets), "size": np.repeat([len(x) for x in sets], [len(x) for x in sets])}
+
+    whole = docs.select(text_key().alias("key"), "text").join(left.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    each = materialize(map_batches(whole, hashed, "key binary, shingle long, size long", rows=200, most=4 << 20), "shingles")
+    often = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    listed = each.join(often, "shingle").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("known"), F.first("size").alias("size"))  # a text's own shingles
+    first = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("known"))  # those of no other text come before all
+    begun = listed.select("key", "size", F.explode(F.transform(F.slice("known", F.lit(1), F.greatest(first, F.lit(0)).cast("int")), lambda x: x["shingle"])).alias("shingle")).join(left, "key")
+    apart = begun.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
+    shared = materialize(begun.join(apart, "shingle"), "shared")
+    discard(each)
+    theirs = shared.select("shingle", F.col("key").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size"))
+    fits = (F.col("root") < F.col("other_root")) & (F.least("size", "other_size") >= F.lit(similarity) * F.greatest("size", "other_size") - 1e-9)
+    pairs = materialize(shared.join(theirs, "shingle").where(fits).select("key", "other").distinct(), "pairs")
+    discard(shared)
+    return alike(docs, texts, pairs, similarity)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
