@@ -157,20 +157,6 @@ def annotation_tables(queue: DataFrame, database: DataFrame, clauses: DataFrame,
     return checks.unionByName(both(named, "db"))
 
 
-# Statuses of annotation that a summary counts.
-SUMMED = {"pending": "PENDING", "annotated": "ANNOTATED", "disputed": "DISPUTED", "skipped": "SKIPPED"}
-
-
-def annotation_summary(rows: DataFrame, verified: str = "label_verified") -> DataFrame:
-    """One row: total, labelled, verified and labelled, multi-labelled clauses, and those of each status."""
-    parsed = F.coalesce(F.from_json("category_labels", "array<string>"), F.array())
-    filled = F.size(parsed) > 0
-    return rows.agg(
-        F.count("*").alias("total_clauses"), F.count_if(filled).alias("labeled_clauses"), F.count_if(filled & truthy(F.col(verified), ("true", "1", "yes"))).alias("verified_labeled_clauses"), F.count_if(F.size(parsed) > 1).alias("multi_labeled_clauses"),
-        *(F.count_if(F.col("annotation_status") == s).alias(c) for c, s in SUMMED.items()),
-    )
-
-
 def pseudo_labels(rows: DataFrame, most_ids: int = 20) -> DataFrame:
     """The suite of ensemble labels (clause_id, labels array, model confidences, average_confidence, agreement_score, quality)."""
     confidences = [c for c in rows.columns if c.endswith("_confidence")]

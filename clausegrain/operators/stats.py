@@ -110,11 +110,9 @@ def crosstab(rows: DataFrame, index: str, column: str, values: list[str]) -> Dat
 
 
 def document_categories(labelled: DataFrame, document: str = "document_id", labels: str = "labels") -> DataFrame:
-    """document, one count column a category, categories_present, clauses."""
-    each = labelled.select(document, F.explode(F.array_distinct(labels)).alias("category"))
-    counts = each.groupBy(document).agg(*(F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES), F.count_distinct("category").alias("categories_present"))
-    n = labelled.groupBy(document).agg(F.count("*").alias("clauses"))
-    return n.join(counts, document, "left").na.fill(0)
+    """document, one count column a category, categories_present (of the fourteen), clauses. One aggregation over the rows as they are."""
+    counts = labelled.groupBy(document).agg(F.count("*").alias("clauses"), *(F.count_if(F.array_contains(labels, c)).alias(c) for c in CATEGORIES))
+    return counts.withColumn("categories_present", sum(((F.col(f"`{c}`") > 0).cast("long") for c in CATEGORIES), F.lit(0).cast("long")))
 
 
 def coverage(labelled: DataFrame, document: str = "document_id", labels: str = "labels") -> DataFrame:
@@ -181,6 +179,14 @@ def annotation_summary(rows: DataFrame, labels: str = "labels", status: str = "a
     )
 
 
+def next_action(annotated: Column, seed_annotated: Column, seed_total: Column, has_model: Column, pending: Column) -> Column:
+    """What an annotation project does next: the seed, the rest of it, the first model, the batch that is picked, or another round."""
+    return (
+        F.when(annotated == 0, "annotate the seed").when(seed_annotated < seed_total, F.format_string("annotate %d more of the seed", seed_total - seed_annotated)).when(~has_model, "train the first round")
+        .when(pending > 0, F.format_string("annotate %d uncertain clauses", pending)).otherwise("train the next round")
+    )
+
+
 def round_distribution(labelled: DataFrame, earlier: DataFrame | None, number: int, document: str = "document_id", labels: str = "labels") -> DataFrame:
     """All fourteen categories: annotations, percent of them, documents, the round_N columns of an earlier distribution (0 where it lacks a
     category), this round's, and a warning on scarce ones."""

@@ -443,3 +443,76 @@ def interface_report(spark: SparkSession, d: str) -> DataFrame:
     parts = {s: hot.where(F.col("split") == s).drop("split") for s in splits.SPLITS}
     parts["test"] = parts["test"].drop(label_col(CATEGORIES[0]))
     return quality.interface_report(parts, ("document_id", "clause_id", "clause_text", "source_file", *map(label_col, CATEGORIES)))
+
+
+# ---------------------------------------------------------------- inference, artefacts, actions, reasons
+
+
+def chances(texts: list[str]):
+    """Of each category a hundredth of a remainder of the text's length."""
+    import numpy as np
+
+    return np.array([[(len(t) * (k + 3) + k) % 100 / 100 for k in range(len(CATEGORIES))] for t in texts]).reshape(len(texts), len(CATEGORIES))
+
+
+@query(f"""WITH {CLAUSES}, {TAXONOMY}, p AS (SELECT clause_id, category, (length(text) * (cat_idx + 3) + cat_idx) % 100 / 100 AS y_prob FROM clauses, taxonomy)
+SELECT clause_id, coalesce(list(category ORDER BY category) FILTER (y_prob >= 0.9), [arg_min(category, {{p: -y_prob, c: category}})]) AS labels, max(y_prob) AS top_probability FROM p GROUP BY clause_id""")
+def batch_inference(spark: SparkSession, d: str) -> DataFrame:
+    """All clauses through a model that workers hold."""
+    from clausegrain.operators import inference
+
+    return inference.decided(inference.infer(A.clauses(spark, d), lambda: chances, list(CATEGORIES), "remainders-1"), 0.9)
+
+
+@query(f"""WITH {ENSEMBLE} SELECT 'distribution' AS artefact, category AS name, CAST(count(e.clause_id) AS VARCHAR) AS value FROM (SELECT unnest([{suites.QUOTED(CATEGORIES)}]) AS category) LEFT JOIN (SELECT clause_id, unnest(labels) AS category FROM ens) AS e USING (category) GROUP BY category
+UNION ALL SELECT 'to_verify', clause_id, quality FROM ens WHERE quality IN ('DISAGREEMENT', 'LOW_CONFIDENCE', 'API_ERROR', 'INVALID_RESPONSE')
+UNION ALL SELECT 'figures', unnest(['rows', 'clauses', 'agreements', 'disagreements', 'failures', 'duplicates']), unnest([CAST(count(*) AS VARCHAR), CAST(count(DISTINCT clause_id) AS VARCHAR), CAST(count(*) FILTER (quality IN ('HIGH_CONFIDENCE', 'MEDIUM_CONFIDENCE', 'LOW_CONFIDENCE')) AS VARCHAR), CAST(count(*) FILTER (quality = 'DISAGREEMENT') AS VARCHAR), CAST(count(*) FILTER (quality = 'API_ERROR') AS VARCHAR), CAST(count(*) - count(DISTINCT clause_id) AS VARCHAR)]) FROM ens""")
+def run_artefacts(spark: SparkSession, d: str) -> DataFrame:
+    """A run's artefacts as files, three of them read back."""
+    from clausegrain.operators import artefacts, ensemble
+
+    votes = A.votes(spark, d)
+    texts = A.clauses(spark, d).select("clause_id", "text")
+    at = artefacts.write(ensemble.combine(votes).join(texts, "clause_id"), folder(spark, "artefacts"))
+    long = lambda name, key, value: spark.read.csv(at[name], header=True, multiLine=True, quote='"', escape='"').select(F.lit(name).alias("artefact"), F.col(key).alias("name"), F.col(value).alias("value"))
+    figures = spark.read.csv(at["figures"], header=True)
+    names = ("rows", "clauses", "agreements", "disagreements", "failures", "duplicates")
+    counted = figures.select(F.lit("figures").alias("artefact"), F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in names))))
+    return long("distribution", "category", "count").unionByName(long("to_verify", "clause_id", "quality")).unionByName(counted)
+
+
+@query(f"""WITH {CLAUSES}, g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (pos % 3 = 0) AS seed, count(*) FILTER (pos % 3 = 0 AND doc_id % 4 > 0) AS done, count(*) FILTER (doc_id % 5 > 0) AS annotated, count(*) FILTER (pos % 3 = 1) AS pending FROM clauses GROUP BY doc_id)
+SELECT doc_id, CASE WHEN annotated = 0 THEN 'annotate the seed' WHEN done < seed THEN 'annotate ' || (seed - done) || ' more of the seed' WHEN doc_id % 3 = 0 THEN 'train the first round' WHEN pending > 0 THEN 'annotate ' || pending || ' uncertain clauses' ELSE 'train the next round' END AS action FROM g""")
+def next_actions(spark: SparkSession, d: str) -> DataFrame:
+    from clausegrain.operators import stats
+
+    i, p = F.col("doc_id"), F.col("pos")
+    g = A.clauses(spark, d).groupBy("doc_id").agg(F.count_if(p % 3 == 0).alias("seed"), F.count_if((p % 3 == 0) & (i % 4 > 0)).alias("done"), F.count_if(i % 5 > 0).alias("annotated"), F.count_if(p % 3 == 1).alias("pending"))
+    return g.select("doc_id", stats.next_action(F.col("annotated"), F.col("done"), F.col("seed"), i % 3 != 0, F.col("pending")).alias("action"))
+
+
+@query(f"""WITH {CLAUSES}, k AS (SELECT clause_id, (doc_id * 7 + pos) % 10 AS k FROM clauses)
+SELECT clause_id, ['', 'a structural exclusion, no category', 'the merge isn''t applied', '', 'the split isn''t applied', 'no suggestion, as the service failed', 'a human said KEEP', 'evidence conflicts, is incomplete, or holds a corrected text; a human said SPLIT', 'not reviewed, and of priority', 'not reviewed'][k + 1] AS review_reason FROM k""")
+def evidence_reasons(spark: SparkSession, d: str) -> DataFrame:
+    from clausegrain.operators.evidence import resolve
+    from clausegrain.plans.catalogue import review_tables
+
+    return resolve(*review_tables(spark, d)).select("clause_id", "review_reason")
+
+
+@query(f"""WITH {CLAUSES}, k AS (SELECT clause_id, (doc_id * 7 + pos) % 10 AS k FROM clauses) SELECT clause_id, k <> 1 AS retained FROM k""")
+def evidence_partition(spark: SparkSession, d: str) -> DataFrame:
+    from clausegrain.operators.evidence import partition, resolve
+    from clausegrain.plans.catalogue import review_tables
+
+    kept, gone = partition(resolve(*review_tables(spark, d)))
+    return kept.select("clause_id", F.lit(True).alias("retained")).unionByName(gone.select("clause_id", F.lit(False).alias("retained")))
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '429 quota exceeded for requests per day' WHEN 1 THEN 'RESOURCE_EXHAUSTED: daily limit' WHEN 2 THEN '429 retry in 5s' WHEN 3 THEN 'daily report' END AS message FROM events) SELECT event_id, event_id % 5 < 2 AS spent FROM e""")
+def daily_quotas(spark: SparkSession, d: str) -> DataFrame:
+    from clausegrain.functions.text import is_daily_quota
+
+    k = F.col("event_id") % 5
+    message = F.when(k == 0, "429 quota exceeded for requests per day").when(k == 1, "RESOURCE_EXHAUSTED: daily limit").when(k == 2, "429 retry in 5s").when(k == 3, "daily report")
+    return table(spark, d, "events").select("event_id", F.coalesce(is_daily_quota(message), F.lit(False)).alias("spent"))

@@ -91,6 +91,14 @@ def dq_clean_suite(spark: SparkSession, d: str) -> DataFrame:
     return quality.clean_dataset(clean_rows(spark, d), reference).select(*SHOWN)
 
 
+@query(f"""WITH {CLAUSES}, a AS (SELECT DISTINCT CASE WHEN (doc_id * 3 + pos) % 23 = 2 THEN '' WHEN (doc_id * 3 + pos) % 23 = 3 THEN doc_id || '_dup' ELSE clause_id END AS id FROM clauses), odd AS (SELECT id FROM a ANTI JOIN clauses ON id = clause_id UNION ALL SELECT clause_id FROM clauses ANTI JOIN a ON id = clause_id)
+SELECT 'cleaning_coverage' AS "check", CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'ERROR' END AS status, count(*) AS count FROM odd""")
+def cleaning_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The check of clean_dataset() that every expected clause is there and no other."""
+    reference = A.clauses(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), "clause_id", F.col("text").alias("clause_text"), F.lit("doc").alias("source"))
+    return quality.clean_dataset(clean_rows(spark, d), reference, reference).where(F.col("check") == "cleaning_coverage").select("check", "status", "count")
+
+
 ANNOTATED = {5: "[", 6: '["Nope"]', 7: '["Purpose","Purpose"]'} | dict.fromkeys(range(8, 13), '["Purpose"]')
 
 
@@ -312,6 +320,11 @@ def threshold_best_rounded(spark: SparkSession, d: str) -> DataFrame:
     return metrics.best_threshold(metrics.sweep(A.predictions(spark, d)), digits=1, ties=("minority_f1", "macro_mcc"))
 
 
+@query(f"WITH {SWEPT} SELECT * FROM swept ORDER BY round(macro_f1, 4) DESC, minority_f1 DESC, macro_mcc DESC, threshold LIMIT 1")
+def threshold_best_four(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.best_threshold(metrics.sweep(A.predictions(spark, d)), ties=("minority_f1", "macro_mcc"))
+
+
 @query(f"""WITH {CLAUSES}, k AS (SELECT clause_id, pos % 101 / 100 AS c, ['KEEP', 'REMOVE_NON_LEGAL', 'REVIEW', 'SPLIT'][pos % 4 + 1] AS a, pos % 3 AS p FROM clauses)
 SELECT clause_id, CASE WHEN c >= 0.9 THEN 'HIGH' WHEN c >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS tier, CASE WHEN a IN ('KEEP', 'SPLIT') THEN 'true' WHEN a = 'REMOVE_NON_LEGAL' THEN 'false' ELSE '' END AS validity, CASE WHEN p > 0 THEN printf('1:%.1f', 7 / p) ELSE 'N/A' END AS ratio FROM k""")
 def review_tiers(spark: SparkSession, d: str) -> DataFrame:
