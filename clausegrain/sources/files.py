@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import io
 import lzma
 from collections.abc import Callable, Iterator
@@ -12,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from clausegrain.functions.text import clean_extracted, is_blank, n_lines, n_words
+from clausegrain.sources.json_records import label_counts
 from clausegrain.sources.strict import strict_csv  # noqa: F401  one of the sources
 
 SPAN_V1 = "array<struct<clause_id:string,text:string,start_position:int,end_position:int>>"
@@ -179,44 +179,8 @@ IDENTITY_FIELDS = ("clause_id", "document_id", "id", "text", "clause_text")
 
 
 def label_audit(spark: SparkSession, directory: str) -> DataFrame:
-    """path, records, candidates: how many records of each CSV, JSON, JSONL, TSV and text file have an identity and a label."""
-    import json
-
-    def records(value) -> Iterator[dict]:
-        stack = [value]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, dict):
-                yield x
-                stack.extend(x.values())
-            elif isinstance(x, list):
-                stack.extend(x)
-
-    def is_candidate(row: dict) -> bool:
-        names = {str(k).lower(): v for k, v in row.items()}
-        return any(names.get(f) for f in IDENTITY_FIELDS) and any(names.get(f) not in (None, "", [], {}) for f in LABEL_FIELDS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                text, kind = content.decode("utf-8-sig", "replace"), path.rsplit(".", 1)[-1].lower()
-                try:
-                    if kind == "json":
-                        rows = list(records(json.loads(text)))
-                    elif kind == "jsonl":
-                        rows = [r for line in text.splitlines() if line.strip() for r in records(json.loads(line))]
-                    elif kind in ("csv", "tsv"):
-                        rows = list(csv.DictReader(io.StringIO(text), delimiter="\t" if kind == "tsv" else ","))
-                    else:
-                        rows = []
-                    out.append((path, len(rows), sum(map(is_candidate, rows)), None))
-                except (ValueError, csv.Error) as e:
-                    out.append((path, 0, 0, str(e)[:200]))
-            yield pd.DataFrame(out, columns=["path", "records", "candidates", "problem"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    return files.where(F.lower("path").rlike(r"\.(csv|json|jsonl|txt|tsv)$")).select("path", "content").mapInPandas(run, "path string, records long, candidates long, problem string")
+    """path, records, candidates, problem: how many records of each CSV, JSON, JSONL, TSV and text file have an identity and a label."""
+    return label_counts(spark, directory, IDENTITY_FIELDS, LABEL_FIELDS)
 
 
 def pdfs(spark: SparkSession, directory: str, pages_of: Callable[[bytes], list[str]] | None = None, min_characters: int = 50) -> DataFrame:
