@@ -7,7 +7,8 @@ sought one level below, where symbols that the longer context has are excluded;
 
 Texts are read once, into units of some UNIT_BYTES, kept in the shared folder. A unit's distinct grams meet the blocks they belong to, a task
 for a block and a share of the units, and their costs come back to the unit, where a document's score is the sum over
-its bytes. So work and tables grow with the corpus, a task's memory doesn't, and no pass over the texts depends on the size of the trie.
+its bytes. So work and tables grow with the corpus, and no pass over the texts depends on the size of the trie. A block holds all grams of one pair of nearest bytes
+at least, so the memory of the task of the commonest pair grows with the distinct grams of that pair.
 
 Baseline counts of frequent words (FREQUENT of them, at most LONGEST bytes each: some 20 MB) travel to the tasks;
 all other words are joined with the whole vocabulary, so no word is left out. Words of more than LONGEST bytes go by their SHA-256.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clausegrain.llm import decontam, packing, pii, quality, simhash
-from clausegrain.llm.common import materialize, table
+from clausegrain.llm.common import discard, materialize, table
 from clausegrain.llm.queries import tokenizer_path
 
 
@@ -41,9 +41,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage{k}")
+            if before is not None:
+                discard(before)  # the stage's rows are written, so nothing reads its input any more
+            before = docs
     return docs
