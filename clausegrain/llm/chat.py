@@ -12,7 +12,8 @@ one another, so a conversation is never held as a whole: turns are rendered wher
 and turn, and parsed and digested as a stream.
 
 Defined results: null texts and roles are empty; rows of a conversation with the same turn come by role, then text;
-a null conv_id is a conversation of its own, a null turn comes first; an empty table gives no rows.
+a null conv_id is a conversation of its own, a null turn comes first; an empty table gives no rows. A very long text is held as one turn, a conversation never.
+Repeated rows are turns of their own. Further columns of any name are not read.
 """
 
 from __future__ import annotations

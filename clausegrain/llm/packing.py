@@ -11,7 +11,8 @@ with j: whatever the others hold fits in i's place. Such pairs (and pieces that
 fixed for good, and the instance shrinks. Best fit by decreasing length packs what remains.
 
 Nulls and empty texts hold just the end token; repeated rows are packed as often as they come; an empty
-table gives no rows; rows with a null id are packed as well, with a null doc_id.
+table gives no rows; rows with a null id are packed as well, with a null doc_id. Very long texts are cut like others (one text at a time is
+held whole, with its ids); pieces of equal length take their places by the order of tasks' batches. Further columns of any name are not read.
 """
 
 from __future__ import annotations

@@ -272,7 +272,9 @@ class Cuts:
         return np.where(codes >> TOP > ORDER - 2, 0, np.searchsorted(self.begin, codes >> TOP - 16 & 0xFFFF, "right") - 1)
 
     def dealt(self, codes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """An order of the codes by block, and each block's part of it."""
+        """An order of the codes by block, and each block's part of it; no codes (a unit of empty texts) have no part."""
+        if not len(codes):
+            return np.zeros(0, np.int64), []
         block = self.of(codes).astype(np.uint16)  # 2^16 pairs at most begin one
         order = np.argsort(block, kind="stable")
         edge = np.flatnonzero(np.diff(block[order].astype(np.int32), prepend=-1)).tolist()
