@@ -13,7 +13,11 @@ def test_a_sorted_chain_takes_few_rounds(spark, monkeypatch):
     chain = spark.range(999).selectExpr("id AS fp", "id + 1 AS hub").unionByName(spark.range(2000, 2005).selectExpr("id AS fp", "2000L AS hub"))
     got = {r.node: r.root for r in simhash.components(chain).collect()}
     assert got == {k: 0 for k in range(1000)} | {k: 2000 for k in range(2000, 2005) if k != 2000} | {2000: 2000}
-    assert rounds.count("hooks") <= 12
+    assert rounds.count("hooks") <= 24
+    rounds.clear()
+    star = spark.range(1, 500).selectExpr("id AS fp", "0L AS hub").unionByName(spark.range(600, 999).selectExpr("id AS fp", "999L AS hub"))
+    got = {r.node: r.root for r in simhash.components(star).collect()}
+    assert got == {k: 0 for k in range(500)} | {k: 600 for k in range(600, 1000)} and rounds.count("hooks") <= 3
 
 
 def mined(spark, rows, support=0.01, confidence=0.5):
