@@ -62,33 +62,3 @@ def test_rules_are_those_of_all_sets_where_tokens_share_rows(spark):
 
 def test_nothing_bad_mines_nothing(spark):
     assert mined(spark, [({"a"}, "allow")]) == set() and mined(spark, [(set(), "block")] * 3) == set()
-
-
-def test_pages_on_one_template_are_not_compared_with_each_other(spark, monkeypatch):
-    """Pages that share 160 of 240 words, no two alike but for planted copies: all copies go, and the texts compared follow the copies, not the pairs of pages."""
-    r = random.Random(4)
-    many = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(30_000)]
-    template = [r.choice(many) for _ in range(160)]
-    counts, plain = {}, simhash.materialize
-
-    def counted(df, name):
-        made = plain(df, name)
-        counts[name] = made.count() if name in ("pairs", "left") else 0
-        return made
-
-    monkeypatch.setattr(simhash, "materialize", counted)
-    seen = {}
-    for n in (400, 1600):
-        rows, gone = [], set()
-        for k in range(n):
-            words = template[:80] + [r.choice(many) for _ in range(80)] + template[80:]
-            rows.append((k, " ".join(words)))
-            if k % 20 == 0:
-                words[r.randrange(80, 160)] = r.choice(many)
-                rows.append((n + k, " ".join(words)))
-                gone.add(n + k)
-        kept = {x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-        assert kept == {k for k, _ in rows} - gone
-        seen[n] = counts.get("pairs", 0)
-        assert seen[n] <= 2 * n
-    assert seen[1600] <= 6 * max(seen[400], 50)
