@@ -96,6 +96,17 @@ def is_upper(c: Column) -> Column:
     return c.rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")
 
 
+# Letters whose upper case is several letters in full, and one (or none, so that they stay) by itself.
+SEVERAL = "".join(x for x in map(chr, range(0xDF, 0xFB18)) if len(x.upper()) > 1)
+ALONE = "".join("\u1E9E" if x == "\xDF" else x.title() if len(x.title()) == 1 else x for x in SEVERAL)
+
+
+def upper_by_letter(c: Column) -> Column:
+    """Upper case that keeps a text's length: each letter by itself, so that sharp s is one letter too, where F.upper() makes two of it."""
+    each = F.transform(F.split(c, ""), lambda x: F.when(F.length(F.upper(x)) == F.length(x), F.upper(x)).otherwise(F.translate(x, SEVERAL, ALONE)))
+    return F.when(F.length(F.upper(c)) == F.length(c), F.upper(c)).otherwise(F.array_join(each, ""))
+
+
 def length_bucket(c: Column) -> Column:
     n = F.length(c)
     return F.when(n < 100, "short").when(n < 400, "medium").otherwise("long")

@@ -447,7 +447,7 @@ k AS (SELECT *, CASE WHEN t = '' THEN 'fragment' WHEN {EXHIBIT} THEN 'header' WH
 SELECT clause_id, legal, kind_2, kind_3, n0 < 20 OR kind_2 IN ('fragment', 'page_number', 'header') AS suspicious_2, n0 < 15 OR kind_3 IN ('fragment', 'page_number') OR (kind_3 = 'header' AND n0 > 500) AS suspicious_3 FROM k""")
 def segment_kinds(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    made = one_of(F.col("pos") % 8, t, {0: "EX-10.1 title", 1: "Page 3 of 9", 2: "SECTION CONFIDENTIAL MATTERS", 3: "...", 4: F.left(t, F.lit(12)), 5: F.upper(F.left(t, F.lit(40))), 6: F.concat(t, F.lit(" the party shall disclose"))})
+    made = one_of(F.col("pos") % 8, t, {0: "EX-10.1 title", 1: "Page 3 of 9", 2: "SECTION CONFIDENTIAL MATTERS", 3: "...", 4: F.left(t, F.lit(12)), 5: X.upper_by_letter(F.left(t, F.lit(40))), 6: F.concat(t, F.lit(" the party shall disclose"))})
     rows = A.clauses(spark, d).select("clause_id", made.alias("t"))
     kinds = rows.select("clause_id", "t", segment.has_legal_content(X.strip(F.col("t"))).alias("legal"), segment.segment_type(F.col("t"), 2).alias("kind_2"), segment.segment_type(F.col("t"), 3).alias("kind_3"))
     return kinds.select("clause_id", "legal", "kind_2", "kind_3", segment.is_suspicious(F.col("t"), F.col("kind_2"), 2).alias("suspicious_2"), segment.is_suspicious(F.col("t"), F.col("kind_3"), 3).alias("suspicious_3"))

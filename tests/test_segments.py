@@ -62,3 +62,13 @@ def test_clauses_of_a_long_text_leave_in_parts(spark):
     rows = segment.segment_v1(docs).collect()
     assert len(rows) == 12_001 and {(r.document_id, r.clause_id) for r in rows} >= {("d", "d_clause_11999"), ("g", "g_clause_000")}
     assert all(r.document_id == "g" or text[r.start : r.end].strip() == r.text for r in rows)
+
+
+def test_upper_case_by_letter_keeps_lengths(spark):
+    from pyspark.sql import functions as F
+
+    from clausegrain.functions.text import upper_by_letter
+
+    rows = spark.createDataFrame([("Zuenschßä stpf sch.",), ("ﬁn ᾳ ŉ",), ("plain É é",), ("",), (None,)], "t string")
+    got = [r[0] for r in rows.select(upper_by_letter(F.col("t"))).collect()]
+    assert got == ["ZUENSCHẞÄ STPF SCH.", "ﬁN ᾼ ŉ", "PLAIN É É", "", None]
