@@ -20,15 +20,16 @@ def train(rows: DataFrame, categories: list[str], labels: str = "labels", least:
     n = own.agg(F.count("*").alias("_n"), *(F.count_if(F.array_contains(labels, c)).alias(str(i)) for i, c in enumerate(categories))).first()
     able = [(c, n[str(i)]) for i, c in enumerate(categories) if min(n[str(i)], n["_n"] - n[str(i)]) >= max(least, 1)]
     words = tuple(StopWordsRemover.loadDefaultStopWords("english")) if stop_words else ()
-    model = linear.fit_vocabulary(own, "_row", size=vocabulary, sublinear=sublinear, stop_words=words)
+    model, counted = linear.fit_counted(own, "_row", size=vocabulary, sublinear=sublinear, stop_words=words)
     if not able:
         return model, {}
     y = F.array(*(F.coalesce(F.array_contains(labels, c), F.lit(False)).cast("byte") for c, _ in able)).alias("y")
-    vectors = own.select("_row", y).join(model.vectors(own, "_row"), "_row", "left")
+    vectors = own.select("_row", y).join(model.vectors_of(counted, "_row"), "_row", "left")
     blocks = written(linear.packed(vectors.select(F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"), "y"), len(able)), "blocks")
     balance = np.array([[n["_n"] / (2.0 * (n["_n"] - k)) for _, k in able], [n["_n"] / (2.0 * k) for _, k in able]])
     weights, _ = linear.descend(blocks, model.size, balance, strength, most)
     dropped(own)
+    dropped(counted)
     dropped(blocks)
     return model, {c: weights[:, k] for k, (c, _) in enumerate(able)}
 

@@ -1,7 +1,7 @@
 """TF-IDF as a relation, and logistic regressions of all categories in one pass an iteration.
 
-Terms are rows (row, term, n), counted by an aggregation; the vocabulary is the most frequent of them; weights are (1 + ln n) or n, times the smoothed inverse document frequency, and each
-row's weights are scaled to length one. The rows' sparse vectors and labels are packed into blocks in the shared folder.
+The vocabulary is the most frequent words and pairs of words; the terms of a text are rows (row, term_id, n), looked up in it and counted by an aggregation; weights are (1 + ln n) or n, times the
+smoothed inverse document frequency, and each row's weights are scaled to length one. The rows' sparse vectors and labels are packed into blocks in the shared folder.
 
 Each category has an objective of its own, |w|^2 / 2 + C * sum of weighted losses, and its own quasi-Newton steps, but a pass over the blocks gives the losses and gradients of all of them at
 once: a tree aggregation of arrays (vocabulary by categories), whose size doesn't depend on the rows. A category whose step was too long tries a shorter one in the next pass, along with the others' next steps.
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from clausegrain.sources.scratch import dropped, free, written
 
@@ -25,29 +25,64 @@ BLOCK_ROWS, HISTORY, MOST_PASSES = 5000, 10, 1000
 PACKED = "n int, rows binary, terms binary, weights binary, labels binary"
 
 
-def terms(rows: DataFrame, key: str, text: str = "text", stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """key, term, n: words and pairs of neighbouring words of each text, stop words left out first."""
-    tokens, own = free(rows.columns, "_tokens"), F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), 0)
-    words = F.filter(own, lambda w: ~w.isin(*stop_words)) if stop_words else own
-    each = rows.select(key, words.alias(tokens))
-    pairs = F.transform(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(F.col(tokens), i + 1)))
-    return each.select(key, F.explode(F.concat(F.col(tokens), pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+def tokens(rows: DataFrame, key: str, text: str = "text", stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """key, words: the words of each text in order, stop words left out."""
+    own = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), 0)
+    return rows.select(key, (F.filter(own, lambda w: ~w.isin(*stop_words)) if stop_words else own).alias(free([key], "words")))
 
 
-def vocabulary(counted: DataFrame, rows: int, size: int = 20_000) -> DataFrame:
-    """term, term_id, idf of the `size` most frequent terms (ties by the term); ids follow the terms' order."""
-    most = counted.groupBy("term").agg(F.sum("n").alias("_n"), F.count("*").alias("_df")).orderBy(F.desc("_n"), "term").limit(size)
+def _each(tokenised: DataFrame, key: str) -> DataFrame:
+    """key, _w, _next: each word of tokens() and the one after it, null after the last."""
+    words = F.col(free([key], "words"))
+    return tokenised.select(key, F.inline(F.arrays_zip(words.alias("_w"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("_next"))))
+
+
+def most_frequent(tokenised: DataFrame, key: str, size: int = 20_000) -> DataFrame:
+    """term, term_id of the `size` most frequent words and pairs of neighbours (ties by the term); ids follow the terms' order.
+
+    A pair is no more frequent than either of its words. So where `size` words have a count of L or more, no term below L is among the most frequent, and only pairs of
+    words that reach L are counted: what is shuffled is words, and pairs of some `size` of them, not all pairs."""
+    each = _each(tokenised, key)
+    words = written(each.groupBy("_w").agg(F.count("*").alias("n")), "words")
+    top = words.orderBy(F.desc("n")).limit(size).agg(F.count("*").alias("k"), F.min("n").alias("n")).first()
+    least = top["n"] if size and top["k"] == size else 0
+    often = words.where(F.col("n") >= least)
+    paired = each.where("_next IS NOT NULL").join(often.select("_w"), "_w").join(often.select(F.col("_w").alias("_next")), "_next")
+    pairs = paired.groupBy("_w", "_next").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.concat_ws(" ", "_w", "_next").alias("term"), "n")
+    most = often.select(F.col("_w").alias("term"), "n").unionByName(pairs).orderBy(F.desc("n"), "term").limit(size)
     ids = most.agg(F.array_sort(F.collect_list("term")).alias("_t"))  # `size` terms at most
-    return most.join(ids.select(F.posexplode("_t").alias("term_id", "term")), "term").select("term", "term_id", (F.log((1.0 + rows) / (1 + F.col("_df"))) + 1).alias("idf"))
+    known = written(ids.select(F.posexplode("_t").alias("term_id", "term")).select("term", "term_id").coalesce(1), "terms")
+    dropped(words)
+    return known
+
+
+def counts(tokenised: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """key, term_id, n: how often each known term is in each text. Ids are looked up before anything is shuffled, and a text's are counted where it lies."""
+    parts = F.split("term", " ")
+    placed = known.select(parts[0].alias("_w"), F.get(parts, F.lit(1)).alias("_next"), "term_id")
+    one = placed.where("_next IS NULL").select("_w", F.col("term_id").alias("_one"))
+    two = placed.where("_next IS NOT NULL").select("_w", "_next", F.col("term_id").alias("_two"))
+    found = _each(tokenised, key).join(F.broadcast(one), "_w", "left").join(F.broadcast(two), ["_w", "_next"], "left")  # a vocabulary's size
+    return found.select(key, F.explode(F.array_compact(F.array("_one", "_two"))).alias("term_id")).groupBy(key, "term_id").agg(F.count("*").alias("n"))
+
+
+def with_idf(known: DataFrame, counted: DataFrame, rows: int) -> DataFrame:
+    """term, term_id, idf of known terms, whose counts() in all of so many rows are given."""
+    df = counted.groupBy("term_id").agg(F.count("*").alias("_df"))
+    return known.join(df, "term_id").select("term", "term_id", (F.log((1.0 + rows) / (1 + F.col("_df"))) + 1).alias("idf"))
+
+
+def _scaled(counted: DataFrame, known: DataFrame, key: str, sublinear: bool) -> DataFrame:
+    tf = 1 + F.log("n") if sublinear else F.col("n").cast("double")
+    return counted.join(F.broadcast(known), "term_id").select(key, "term_id", (tf * F.col("idf")).alias("_weight"))
 
 
 def weighted(counted: DataFrame, known: DataFrame, key: str, sublinear: bool = True) -> DataFrame:
     """key, term, term_id, weight: each row's weights, scaled to length one."""
-    tf = 1 + F.log("n") if sublinear else F.col("n").cast("double")
-    each = counted.join(F.broadcast(known), "term").select(key, "term", "term_id", (tf * F.col("idf")).alias("w"))
-    listed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_id", "term", "w"))).alias("of"))  # the terms of one text
-    norm = F.sqrt(F.aggregate("of", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    return listed.select(key, norm.alias("norm"), F.explode("of").alias("x")).select(key, F.col("x.term").alias("term"), F.col("x.term_id").alias("term_id"), (F.col("x.w") / F.col("norm")).alias("weight"))
+    own = W.partitionBy(key).orderBy("term_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # the known terms of one text
+    w = F.col("_weight")
+    scaled = _scaled(counted, known, key, sublinear).select(key, "term_id", (w / F.sqrt(F.sum(w * w).over(own))).alias("weight"))
+    return scaled.join(F.broadcast(known.select("term", "term_id")), "term_id").select(key, "term", "term_id", "weight")
 
 
 @dataclass(frozen=True)
@@ -61,16 +96,31 @@ class Vocabulary:
 
     def vectors(self, rows: DataFrame, key: str, text: str = "text") -> DataFrame:
         """key, ids, weights (arrays) of each row that holds a known term."""
-        each = weighted(terms(rows, key, text, self.stop_words), self.known, key, self.sublinear)
-        both = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("of"))
-        return both.select(key, F.transform("of", lambda x: x["term_id"]).alias("ids"), F.transform("of", lambda x: x["weight"]).alias("weights"))
+        return self.vectors_of(counts(tokens(rows, key, text, self.stop_words), self.known, key), key)
+
+    def vectors_of(self, counted: DataFrame, key: str) -> DataFrame:
+        """vectors() of texts whose counts() are given."""
+        of = F.array_sort(F.collect_list(F.struct("term_id", F.col("_weight").alias("w")))).alias("_of")  # the known terms of one text
+        both = _scaled(counted, self.known, key, self.sublinear).groupBy(key).agg(of)
+        norm = F.sqrt(F.aggregate("_of", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+        return both.select(key, "_of", norm.alias("_norm")).select(key, F.col("_of.term_id").alias("ids"), F.transform("_of", lambda x: x["w"] / F.col("_norm")).alias("weights"))
+
+
+def fit_counted(rows: DataFrame, key: str, text: str = "text", size: int = 20_000, sublinear: bool = True, stop_words: tuple[str, ...] = ()) -> tuple[Vocabulary, DataFrame]:
+    """A vocabulary of the rows, and their counts(), written to the shared folder."""
+    tokenised = written(tokens(rows, key, text, stop_words), "tokens")
+    found = most_frequent(tokenised, key, size)
+    counted = written(counts(tokenised, found, key), "counts")
+    known = written(with_idf(found, counted, tokenised.count()).coalesce(1), "vocabulary")
+    dropped(tokenised)
+    dropped(found)
+    return Vocabulary(known, known.count(), sublinear, stop_words), counted
 
 
 def fit_vocabulary(rows: DataFrame, key: str, text: str = "text", size: int = 20_000, sublinear: bool = True, stop_words: tuple[str, ...] = ()) -> Vocabulary:
-    counted = written(terms(rows, key, text, stop_words), "terms")
-    known = written(vocabulary(counted, rows.count(), size).coalesce(1), "vocabulary")
+    model, counted = fit_counted(rows, key, text, size, sublinear, stop_words)
     dropped(counted)
-    return Vocabulary(known, known.count(), sublinear, stop_words)
+    return model
 
 
 def packed(vectors: DataFrame, labels: int) -> DataFrame:

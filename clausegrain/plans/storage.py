@@ -339,10 +339,8 @@ c AS (SELECT doc_id, term, count(*) AS n FROM x GROUP BY ALL), k AS (SELECT term
 w AS (SELECT doc_id, c.term, (1 + ln(c.n)) * (ln(CAST(1 + (SELECT count(*) FROM documents) AS DOUBLE) / (1 + df)) + 1) AS w FROM c JOIN k USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    counted = linear.terms(docs, "doc_id")
-    known = linear.vocabulary(counted, docs.count(), TERMS)
-    return linear.weighted(counted, known, "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    model, counted = linear.fit_counted(table(spark, d, "documents"), "doc_id", size=TERMS)
+    return linear.weighted(counted, model.known, "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query()
