@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from clausegrain.functions.labels import review_priority
 from clausegrain.functions.taxonomy import dimension
 from clausegrain.operators.selection import stratified_sample
+from clausegrain.sources.scratch import dropped, written
 from clausegrain.sources.sinks import WHOLE, markdown
 
 # Results that a human must verify.
@@ -33,13 +34,18 @@ def made(rows: DataFrame, clause: str = "clause_id", sample: int = 40) -> dict[s
 
 
 def write(rows: DataFrame, path: str, clause: str = "clause_id", sample: int = 40) -> dict[str, str]:
-    """made() as CSV folders below a path, labels as JSON, and the figures as Markdown too; where each lies. The queue keeps its order from file to file."""
-    out = {}
-    for name, df in made(rows, clause, sample).items():
+    """made() as CSV folders below a path, labels as JSON, and the figures as Markdown too; where each lies. The queue keeps its order from file to file.
+    The rows are worked out once, into the shared folder, and read from there for each artefact."""
+    out, spark = {}, rows.sparkSession
+    own = written(rows, "rows")
+    tables = made(own, clause, sample)
+    tables["figures"] = spark.createDataFrame(tables["figures"].collect(), tables["figures"].schema)  # one row
+    for name, df in tables.items():
         out[name] = f"{path}/{name}"
         flat = df.withColumn("labels", F.to_json("labels")) if "labels" in df.columns else df
         flat.write.mode("overwrite").options(**WHOLE).csv(out[name], header=True)
-    report = markdown(made(rows, clause, sample)["figures"])
+    report = markdown(tables["figures"])
     out["report"] = f"{path}/report"
-    rows.sparkSession.createDataFrame([(report,)], "value string").coalesce(1).write.mode("overwrite").text(out["report"])
+    dropped(own)
+    spark.createDataFrame([(report,)], "value string").coalesce(1).write.mode("overwrite").text(out["report"])
     return out

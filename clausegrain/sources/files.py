@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from clausegrain.functions.text import clean_extracted, is_blank, n_lines, n_words
 from clausegrain.sources.json_records import label_counts
+from clausegrain.sources.scratch import written
 from clausegrain.sources.strict import strict_csv  # noqa: F401  one of the sources
 
 SPAN_V1 = "array<struct<clause_id:string,text:string,start_position:int,end_position:int>>"
@@ -34,9 +35,10 @@ def stem() -> Column:
 
 
 def listing(spark: SparkSession, directory: str, suffix: str) -> DataFrame:
-    """path and length of a directory's files of a suffix in any case, sorted; contents aren't read."""
+    """path and length of a directory's files of a suffix in any case, sorted; contents aren't read, and each file is looked at once, as the sort reads what was written of them."""
     found = spark.read.format("binaryFile").load(directory).select("path", "length", "modificationTime")
-    return found.where(F.lower("path").endswith(suffix.lower())).orderBy("path")
+    wanted = found.where(F.lower("path").endswith(suffix.lower())).coalesce(4 * spark.sparkContext.defaultParallelism)
+    return written(wanted, "listing").orderBy("path")
 
 
 def texts(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = (".txt",)) -> DataFrame:

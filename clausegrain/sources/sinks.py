@@ -18,16 +18,18 @@ WHOLE = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreT
 
 def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content", pack: Callable[[bytes], bytes] | None = None) -> None:
     """A file for each row in a folder (a URI that all executors reach): its name and its content, a text or bytes, perhaps packed. Names must not repeat. A file
-    is written beside its place and moved there whole, so tries that fail leave no part of it."""
+    is written in a hidden folder of its task and moved to its place whole, so tries that fail leave no part of it, and tasks don't wait for one another's folder twice a file."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri("file:///" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
-        fs.create_dir(base, recursive=True)
+        own = f"{base}/.{uuid.uuid4().hex}"
+        fs.create_dir(own, recursive=True)
         for batch in batches:
             for of, body in zip(batch[name], batch[content], strict=True):
-                beside = f"{base}/.{uuid.uuid4().hex}"
+                beside = f"{own}/{uuid.uuid4().hex}"
                 with fs.open_output_stream(beside, compression=None) as out:
                     out.write(pack(body.as_py() or b"") if pack else body.as_py() or b"")
                 fs.move(beside, f"{base}/{of.as_py()}")
+        fs.delete_dir(own)
         yield from ()
 
     rows.select(name, F.col(content).cast("binary").alias(content)).mapInArrow(run, "none int").write.format("noop").mode("overwrite").save()
