@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clausegrain.functions.text import hash_order, length_bucket
 from clausegrain.operators.relations import numbered
+from clausegrain.sources.scratch import free
 
 
 def _per(document: str, *order: Column | str):
@@ -85,24 +86,29 @@ WANTED = ("short", "medium", "long", "medium", "long")
 INSTEAD = ("medium", "long", "short")
 
 
-def seed_batch(rows: DataFrame, document: str, key: str, text: str, status: str) -> DataFrame:
-    """Five clauses a document, of wanted lengths in turn; within a length priority rows first, then by hash. A document's
-    picks depend on one another; only its fifteen best candidates (five a length) reach Python, however long it is."""
-    bucketed = rows.withColumns({"length_bucket": length_bucket(F.col(text)), "_p": (F.col(status) != "PRIORITY_UNREVIEWED").cast("int"), "_h": hash_order(F.col(key))})
-    near = bucketed.withColumn("_r", F.row_number().over(W.partitionBy(document, "length_bucket").orderBy("_p", "_h", key))).where("_r <= 5").select(document, key, "length_bucket", "_r")
-    kind = dict(near.dtypes)
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        heaps = {b: list(g.sort_values("_r")[key]) for b, g in group.groupby("length_bucket")}
-        out = []
+def _picks() -> list[tuple]:
+    """length_bucket, _r, how many short, medium and long candidates there are (five of each at most), turn, selection_reason: which candidate each turn takes."""
+    out = []
+    for counts in itertools.product(range(len(WANTED) + 1), repeat=3):
+        left, took = dict(zip(("short", "medium", "long"), counts, strict=True)), dict.fromkeys(INSTEAD, 0)
         for turn, want in enumerate(WANTED):
-            bucket = next((b for b in (want, *(i for i in INSTEAD if i != want)) if heaps.get(b)), None)
+            bucket = next((b for b in (want, *(i for i in INSTEAD if i != want)) if took[b] < left[b]), None)
             if bucket:
-                out.append((group[document].iloc[0], heaps[bucket].pop(0), turn, f"wanted {want}, took {bucket}"))
-        return pd.DataFrame(out, columns=[document, key, "turn", "selection_reason"])
+                took[bucket] += 1
+                out.append((bucket, took[bucket], *counts, turn, f"wanted {want}, took {bucket}"))
+    return out
+
 
-    picked = near.groupBy(document).applyInPandas(pick, f"{document} {kind[document]}, {key} {kind[key]}, turn int, selection_reason string")
-    return bucketed.drop("_p", "_h").join(picked, [document, key])
+def seed_batch(rows: DataFrame, document: str, key: str, text: str, status: str) -> DataFrame:
+    """Five clauses a document, of wanted lengths in turn; within a length priority rows first, then by hash. A document's picks depend
+    on one another, but only through how many candidates of each length it has, so a small table of all such counts says who is picked."""
+    p, h, r, n = (free(rows.columns, c) for c in ("_p", "_h", "_r", "_n"))
+    bucketed = rows.withColumns({"length_bucket": length_bucket(F.col(text)), p: (F.col(status) != "PRIORITY_UNREVIEWED").cast("int"), h: hash_order(F.col(key))})
+    near = bucketed.withColumn(r, F.row_number().over(W.partitionBy(document, "length_bucket").orderBy(p, h, key))).where(F.col(r) <= len(WANTED)).drop(p, h)
+    counts = {f"{n}_{b}": F.coalesce(F.max(F.when(F.col("length_bucket") == b, F.col(r))).over(W.partitionBy(document)), F.lit(0)) for b in ("short", "medium", "long")}  # fifteen rows a document at most
+    taken = rows.sparkSession.createDataFrame(_picks(), f"length_bucket string, `{r}` int, {', '.join(f'`{c}` int' for c in counts)}, turn int, selection_reason string")
+    picked = near.where(F.col(document).isNotNull() & F.col(key).isNotNull()).withColumns(counts).join(F.broadcast(taken), ["length_bucket", r, *counts])
+    return picked.select(*rows.columns, "length_bucket", "turn", "selection_reason")
 
 
 def review_needed(clauses: DataFrame, document: str, text: str, kind: str, suspicious: str, kinds: tuple[str, ...]) -> DataFrame:

@@ -41,3 +41,38 @@ def test_a_listing_looks_at_its_files_once(spark, tmp_path):
     found = files.listing(spark, at, ".TXT")
     assert [(r.path.rsplit("/", 1)[1], r.length) for r in found.collect()] == sorted((f"{i}.txt", i + 1) for i in range(300))
     assert "binaryFile" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_seed_batches_need_no_python_by_document(spark):
+    """Picks of all sizes of documents are those of taking one after another, without a Python function by group."""
+    from clausegrain.operators import selection as S
+
+    wanted, instead = ("short", "medium", "long", "medium", "long"), ("medium", "long", "short")
+    lengths = {"short": 10, "medium": 200, "long": 500}
+    rows = [(d, f"{d}_{b}_{k}", "x" * lengths[b], "OTHER") for d, sizes in enumerate([(1, 0, 0), (7, 1, 0), (0, 0, 3), (0, 9, 0), (2, 2, 2), (6, 6, 6), (0, 1, 1)]) for b, n in zip(lengths, sizes, strict=True) for k in range(n)]
+    table = spark.createDataFrame([*rows, (None, "none", "x", "OTHER")], "doc int, id string, text string, status string")
+    got = S.seed_batch(table, "doc", "id", "text", "status")
+    assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    heaps = {}
+    for r in table.where("doc IS NOT NULL").withColumn("h", S.hash_order(F.col("id"))).orderBy("h", "id").collect():
+        heaps.setdefault(r.doc, {b: [] for b in lengths})[{v: k for k, v in lengths.items()}[len(r.text)]].append(r.id)
+    expected = set()
+    for d, of in heaps.items():
+        for turn, want in enumerate(wanted):
+            bucket = next((b for b in (want, *(i for i in instead if i != want)) if of[b]), None)
+            if bucket:
+                expected.add((d, of[bucket].pop(0), turn, bucket, f"wanted {want}, took {bucket}"))
+    assert {(r.doc, r.id, r.turn, r.length_bucket, r.selection_reason) for r in got.collect()} == expected
+
+
+def test_composition_reaches_python_with_bounded_texts(spark):
+    """Only texts that aren't ASCII go to Python, and the result is what it was."""
+    import unicodedata
+
+    from clausegrain.functions.text import nfc
+
+    texts = ["plain", "é ä", "", None, "ẛ̣", "done é"] * 700
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = {r.i: r.c for r in rows.select("i", nfc(F.col("t")).alias("c")).collect()}
+    assert got == {i: t if t is None else unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+    assert "octet_length" in rows.select(nfc(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
