@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 BLANKS = r"(?U)^\s+|\s+\z"
@@ -50,10 +50,15 @@ def drop_controls(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
 
 
-@F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode's composed form, which Spark has no function for."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+@F.arrow_udf(T.StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    made = [pa.array([t if t is None else unicodedata.normalize("NFC", t) for t in texts.slice(at, 200).to_pylist()], pa.string()) for at in range(0, len(texts), 200)]
+    return pa.concat_arrays(made) if made else texts
+
+
+def nfc(c: Column) -> Column:
+    """Unicode's composed form, which Spark has no function for. Only texts that aren't ASCII go to Python, which holds some of them as objects at a time."""
+    return F.coalesce(_composed(F.when(F.length(c) < F.octet_length(c), c)), c)
 
 
 def clean_clause(c: Column, compose: bool = True, whitespace: bool = True) -> Column:
