@@ -24,7 +24,10 @@ def resolve(clauses: DataFrame, records: DataFrame, log: DataFrame, priority: Da
     records: clause_id, review_file, human_action, human_corrected_text, reviewed, ai_suggested_action, ai_confidence, review_reason (strings). log: clause_id,
     status, suggested_action, confidence, timestamp. priority: clause_id. The order of states: conflict, removal, merge, split, review, keep, failure, none.
     review_file names a record's table: suggestions of a model, the queue of a human, or another.
-    A clause has a few records, gathered by partial aggregates; nothing is gathered as rows."""
+    A clause has a few records, gathered by partial aggregates; nothing is gathered as rows. The joins keep the session's number of shuffle partitions: put together
+    by their bytes, which are few for a row, a task would sort millions of rows for each of the joins at once."""
+    n = int(clauses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clauses, records = clauses.repartition(n, "clause_id"), records.repartition(n, "clause_id")
     done = log.where("status = 'SUCCESS'").groupBy("clause_id").agg(
         F.max_by(F.struct("suggested_action", "confidence", "timestamp"), "timestamp").alias("said"), (F.count_distinct("suggested_action", "confidence") > 1).alias("two_answers")
     )

@@ -76,3 +76,14 @@ def test_composition_reaches_python_with_bounded_texts(spark):
     got = {r.i: r.c for r in rows.select("i", nfc(F.col("t")).alias("c")).collect()}
     assert got == {i: t if t is None else unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
     assert "octet_length" in rows.select(nfc(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_is_joined_in_the_sessions_partitions(spark):
+    """Small rows aren't put together by their bytes into one task, which would sort all of them for each join."""
+    from clausegrain.operators.evidence import resolve
+
+    clauses = spark.range(50).select(F.col("id").cast("string").alias("clause_id"))
+    records = clauses.selectExpr("clause_id", *(f"'' AS {c}" for c in ("review_file", "human_action", "human_corrected_text", "reviewed", "ai_suggested_action", "ai_confidence", "review_reason")))
+    log = clauses.selectExpr("clause_id", "'SUCCESS' AS status", "'KEEP' AS suggested_action", "'0.9' AS confidence", "'2024' AS timestamp")
+    got = resolve(clauses, records, log, clauses.limit(5))
+    assert got.count() == 50 and got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
