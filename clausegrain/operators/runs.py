@@ -60,8 +60,10 @@ def run(queue: DataFrame, log: str, scorers: dict[str, Scorer], clause: str = "c
     """Scores what the log has no success of, in the order of a column (by default the id), and records combine()'s rows with their batch. limit: rows to record at most.
     An id that the queue repeats is scored once; options go to score_with()."""
     spark, order = queue.sparkSession, order or clause
-    once = _left(queue, log, clause).groupBy(clause).agg(F.min(order).alias("_order"), F.min(text).alias("_text"))
-    todo = written(numbered(once, None, "_order", clause).select(F.col(clause), F.col("_text").alias(text), "_rank"), "todo")
+    once = _left(queue, log, clause).groupBy(clause).agg(F.min(order).alias("_order"), F.min(text).alias("_text")).where(F.col(clause).isNotNull())
+    # Only ids are numbered, and the texts, which lie by id already, meet their ranks there; sorted, so that a batch's rows are found by the files' own ranges.
+    ranks = numbered(once.select(clause, "_order"), None, "_order", clause).select(clause, "_rank")
+    todo = written(once.select(clause, F.col("_text").alias(text)).join(ranks, clause).sortWithinPartitions("_rank"), "todo")
     total, tasks = todo.count(), spark.sparkContext.defaultParallelism
     number, at, failing, recorded, good, ended = max(_numbered(spark, log), default=-1) + 1, 0, 0, 0, 0, "done"
     while at < total and ended == "done":

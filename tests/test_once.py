@@ -87,3 +87,13 @@ def test_evidence_is_joined_in_the_sessions_partitions(spark):
     log = clauses.selectExpr("clause_id", "'SUCCESS' AS status", "'KEEP' AS suggested_action", "'0.9' AS confidence", "'2024' AS timestamp")
     got = resolve(clauses, records, log, clauses.limit(5))
     assert got.count() == 50 and got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_only_ids_are_numbered_in_a_run(spark, tmp_path, monkeypatch):
+    from clausegrain.operators import runs
+
+    seen, put = [], runs.numbered
+    monkeypatch.setattr(runs, "numbered", lambda rows, *rest: seen.append(rows.columns) or put(rows, *rest))
+    queue = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z")], "clause_id string, text string")
+    got = runs.run(queue, f"file://{tmp_path}/log", {"m": lambda texts: [(["Purpose"], 0.9, "SUCCESS", "")] * len(texts)}, batch_rows=1)
+    assert seen == [["clause_id", "_order"]] and got.recorded == 2
