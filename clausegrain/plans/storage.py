@@ -17,6 +17,10 @@ from clausegrain.sources import files, sinks, versions
 from clausegrain.streaming.resume import shared_dir
 
 
+#: Folders that files of single documents are dealt to.
+FOLDERS = 256
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -41,17 +45,17 @@ CASE WHEN NOT regexp_matches(text, '\\S') THEN 'empty document' WHEN {LATIN} THE
 def text_files(spark: SparkSession, d: str) -> DataFrame:
     """Files of texts, some in Latin-1, read with the fallback."""
     at = folder(spark, "texts")
-    latin = F.col("text").rlike(r"^[\x00-\xFF]*$") & F.col("text").rlike(r"[\xC0-\xFF][\x00-\x7F]")
+    latin = F.col("text").rlike(r"^[\x00-\xFF]*\z") & F.col("text").rlike(r"[\xC0-\xFF][\x00-\x7F]")
     body = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
-    sinks.write_files(named_texts(spark, d).select("name", body.alias("content")), at)
-    return files.texts(spark, at).select("document_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), "warning")
+    sinks.write_files(named_texts(spark, d).select("name", body.alias("content")), at, spread=FOLDERS)
+    return files.texts(spark, at, recursive=True).select("document_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), "warning")
 
 
 @query("SELECT doc_id || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS length FROM documents WHERE text IS NOT NULL")
 def file_listing(spark: SparkSession, d: str) -> DataFrame:
     at = folder(spark, "texts")
-    sinks.write_files(named_texts(spark, d).select("name", F.col("text").alias("content")), at)
-    return files.listing(spark, at, ".TXT").select(name_of().alias("name"), "length")
+    sinks.write_files(named_texts(spark, d).select("name", F.col("text").alias("content")), at, spread=FOLDERS)
+    return files.listing(spark, at, ".TXT", recursive=True).select(name_of().alias("name"), "length")
 
 
 @query("""WITH b AS (SELECT doc_id, pos, trim(ls[pos + 1], chr(32) || chr(9) || chr(10)) AS text, pos % 4 = 3 AS no_tag, pos % 5 = 2 AS no_labels FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(len(ls))) AS t(pos))
@@ -144,7 +148,7 @@ LEVEL = "t{k} AS (SELECT left(p, {k}) AS p, sha256(string_agg(p || '=' || d, chr
 {', '.join(LEVEL.format(k=k, up=k + 1) for k in (3, 2, 1, 0))} SELECT d AS digest FROM t0""")
 def files_digest(spark: SparkSession, d: str) -> DataFrame:
     at = folder(spark, "texts")
-    sinks.write_files(named_texts(spark, d).select("name", F.col("text").alias("content")), at)
+    sinks.write_files(named_texts(spark, d).select("name", F.col("text").alias("content")), at, spread=FOLDERS)
     return files.manifest_digest(files.fingerprints(spark, at).withColumn("path", name_of()))
 
 

@@ -1,19 +1,23 @@
-"""Files as relations. Schemas are explicit; nothing is inferred from data. Spark's readers pass over files without a byte."""
+"""Files as relations. Schemas are explicit; nothing is inferred from data. Spark's readers pass over files without a byte; found() and contents() don't."""
 
 from __future__ import annotations
 
 import io
 import lzma
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from clausegrain.functions.text import clean_extracted, is_blank, n_lines, n_words
 from clausegrain.sources.json_records import label_counts
-from clausegrain.sources.scratch import written
+from clausegrain.sources.scratch import store
 from clausegrain.sources.strict import strict_csv  # noqa: F401  one of the sources
+from clausegrain.streaming.resume import shared_dir
 
 SPAN_V1 = "array<struct<clause_id:string,text:string,start_position:int,end_position:int>>"
 SPAN_V3 = "array<struct<document_id:string,clause_id:string,text:string,start:int,end:int,segment_type:string,is_suspicious:boolean>>"
@@ -34,31 +38,119 @@ def stem() -> Column:
     return F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def listing(spark: SparkSession, directory: str, suffix: str) -> DataFrame:
+#: Bytes of files that a task reads, bytes and files of a batch.
+TASK_BYTES, BATCH_BYTES, BATCH_FILES = 64 << 20, 8 << 20, 1000
+
+
+def hidden(name: str) -> bool:
+    """Whether Spark's readers pass over a file or folder by its name."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _root(spark: SparkSession, directory: str) -> str:
+    """A folder's path with its scheme."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(f"no file or folder {directory}")
+    return fs.makeQualified(at).toString()
+
+
+def found(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
+    """path, length and modificationTime of each file of a directory, or below it, empty ones too; hidden ones are left out.
+
+    Tasks do the listing, one the directory and then one or more at a time each folder in it, and write it to the shared folder: the driver holds the names of the folders right below the directory,
+    a task what lies right in one folder, and nothing holds all files."""
+    root, kept = _root(spark, directory), "_folder boolean, path string, length long, modificationTime timestamp"
+
+    def entries(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, base = store(root)
+            for batch in batches:
+                stack = batch["folder"].to_pylist()
+                while stack:
+                    at = base + stack.pop()
+                    one = fs.get_file_info(at)
+                    infos = [one] if one.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(at))
+                    for k in range(0, len(infos), 10_000):
+                        some = [i for i in infos[k : k + 10_000] if not hidden(i.base_name)]
+                        if whole:
+                            stack += [i.path[len(base) :] for i in some if i.type == pafs.FileType.Directory]
+                            some = [i for i in some if i.type != pafs.FileType.Directory]
+                        columns = [i.type == pafs.FileType.Directory for i in some], [root + i.path[len(base) :] for i in some], [i.size or 0 for i in some], [i.mtime for i in some]
+                        kinds = pa.bool_(), pa.string(), pa.int64(), pa.timestamp("us", "UTC")
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["_folder", "path", "length", "modificationTime"])
+                    del infos
+
+        return run
+
+    at = f"{shared_dir(spark)}/listing-{uuid.uuid4().hex}"
+
+    def put(folders: list[str], whole: bool) -> DataFrame:
+        rows = spark.createDataFrame(pa.table({"folder": pa.array(folders, pa.string())})).repartition(min(len(folders), 2 * spark.sparkContext.defaultParallelism))
+        rows.mapInArrow(entries(whole), kept).write.mode("append").parquet(at)
+        return spark.read.schema(kept).parquet(at)
+
+    listed = put([""], False)
+    below = [r.path[len(root) :] for r in listed.where("_folder").select("path").collect()] if recursive else []
+    return (put(below, True) if below else listed).where("NOT _folder").drop("_folder")
+
+
+def contents(spark: SparkSession, files: DataFrame, directory: str) -> DataFrame:
+    """path and content of files of found() in a directory, as many tasks as their bytes need; a task holds a batch of them."""
+    root = _root(spark, directory)
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = store(root)
+        paths, bodies, held = [], [], 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], ["path", "content"])
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                with fs.open_input_stream(base + path[len(root) :], compression=None) as stream:
+                    body = stream.read()
+                paths.append(path)
+                bodies.append(body)
+                held += len(body)
+                if held >= BATCH_BYTES or len(paths) == BATCH_FILES:
+                    yield pack()
+                    paths, bodies, held = [], [], 0
+        if paths:
+            yield pack()
+
+    dealt_ = files.select("path").repartition(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+    return dealt_.mapInArrow(run, "path string, content binary")
+
+
+def listing(spark: SparkSession, directory: str, suffix: str, recursive: bool = False) -> DataFrame:
     """path and length of a directory's files of a suffix in any case, sorted; contents aren't read, and each file is looked at once, as the sort reads what was written of them."""
-    found = spark.read.format("binaryFile").load(directory).select("path", "length", "modificationTime")
-    wanted = found.where(F.lower("path").endswith(suffix.lower())).coalesce(4 * spark.sparkContext.defaultParallelism)
-    return written(wanted, "listing").orderBy("path")
+    return found(spark, directory, recursive).where(F.lower("path").endswith(suffix.lower())).orderBy("path")
 
 
-def texts(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = (".txt",)) -> DataFrame:
-    """document_id, text, warning of each text file: UTF-8, or Latin-1 with a warning; blank files have a warning too."""
-    files = spark.read.format("binaryFile").load(directory)
-    wanted = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*(s.lower() for s in suffixes)))
+def _chosen(spark: SparkSession, directory: str, suffixes: tuple[str, ...], recursive: bool) -> DataFrame:
+    return found(spark, directory, recursive).where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*(s.lower() for s in suffixes)))
+
+
+def _decoded(files: DataFrame) -> DataFrame:
     utf8 = F.expr("is_valid_utf8(cast(content AS string))")
     text = F.when(utf8, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    out = wanted.select(stem().alias("document_id"), text.alias("text"), F.when(~utf8, "decoded as Latin-1").alias("warning"))
+    out = files.select(stem().alias("document_id"), text.alias("text"), F.when(~utf8, "decoded as Latin-1").alias("warning"))
     return out.withColumn("warning", F.when(is_blank(F.col("text")), "empty document").otherwise(F.col("warning")))
 
 
-def annotated(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = (".txt",)) -> DataFrame:
+def texts(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = (".txt",), recursive: bool = False) -> DataFrame:
+    """document_id, text, warning of each text file: UTF-8, or Latin-1 with a warning; blank files have a warning too."""
+    return _decoded(contents(spark, _chosen(spark, directory, suffixes, recursive), directory))
+
+
+def annotated(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = (".txt",), recursive: bool = False) -> DataFrame:
     """The blocks of a directory of annotated files; no file of a suffix is an error."""
     from clausegrain.sources.annotated import parse
 
-    found = texts(spark, directory, suffixes)
-    if found.isEmpty():
+    chosen = _chosen(spark, directory, suffixes, recursive)
+    if chosen.isEmpty():
         raise ValueError(f"no file with {', '.join(suffixes)} in {directory}")
-    return parse(found.withColumnRenamed("document_id", "doc_id"))
+    return parse(_decoded(contents(spark, chosen, directory)).withColumnRenamed("document_id", "doc_id"))
 
 
 def segmented(spark: SparkSession, directory: str, version: int = 3) -> DataFrame:
@@ -128,7 +220,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def fingerprints(spark: SparkSession, directory: str) -> DataFrame:
     """path and SHA-256 of each file below a directory."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path", F.sha2("content", 256).alias("sha256"))
+    return contents(spark, found(spark, directory, True), directory).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
 from clausegrain.streaming.resume import shared_dir
@@ -24,6 +25,11 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder that all executors reach, and the folder's path in it. A local path is taken as it is, as Spark does, whatever marks it holds."""
+    return (pafs.LocalFileSystem(), "/" + folder[5:].lstrip("/")) if folder.startswith("file:") else pafs.FileSystem.from_uri(folder)
+
+
 def free(columns: list[str], name: str) -> str:
     """name, or name with underscores before it until no column has it, in any case."""
     low = {c.lower() for c in columns}

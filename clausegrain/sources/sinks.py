@@ -3,32 +3,39 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from clausegrain.operators.relations import pending
+from clausegrain.sources.scratch import store
 
 
 #: A CSV field keeps its white space and its quotes.
 WHOLE = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content", pack: Callable[[bytes], bytes] | None = None) -> None:
+def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content", pack: Callable[[bytes], bytes] | None = None, spread: int = 0) -> None:
     """A file for each row in a folder (a URI that all executors reach): its name and its content, a text or bytes, perhaps packed. Names must not repeat. A file
-    is written in a hidden folder of its task and moved to its place whole, so tries that fail leave no part of it, and tasks don't wait for one another's folder twice a file."""
+    is written in a hidden folder of its task and moved to its place whole, so tries that fail leave no part of it, and tasks don't wait for one another's folder twice a file.
+    spread puts the files into so many folders below that one, by a hash of their names, so that no single folder must hold, and no task list, millions of files."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri("file:///" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
-        own = f"{base}/.{uuid.uuid4().hex}"
+        fs, base = store(folder)
+        own, made = f"{base}/.{uuid.uuid4().hex}", set()
         fs.create_dir(own, recursive=True)
         for batch in batches:
             for of, body in zip(batch[name], batch[content], strict=True):
-                beside = f"{own}/{uuid.uuid4().hex}"
+                beside, final, at = f"{own}/{uuid.uuid4().hex}", of.as_py(), base
+                if spread:
+                    at = f"{base}/{zlib.crc32(final.encode()) % spread:04x}"
+                    if at not in made:
+                        fs.create_dir(at, recursive=True)
+                        made.add(at)
                 with fs.open_output_stream(beside, compression=None) as out:
                     out.write(pack(body.as_py() or b"") if pack else body.as_py() or b"")
-                fs.move(beside, f"{base}/{of.as_py()}")
+                fs.move(beside, f"{at}/{final}")
         fs.delete_dir(own)
         yield from ()
 
