@@ -63,8 +63,8 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(pos AS INTEGER) AS clause_index,
 def annotated_folder(spark: SparkSession, d: str) -> DataFrame:
     at = folder(spark, "annotated")
     blocks = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.lit("[INIT_CLAUSE]"), x, F.when(i % 4 == 3, "").otherwise(F.concat(F.lit("[INIT_CLASSE]"), F.when(i % 5 == 2, " , ").otherwise(" Purpose, NDA Type "), F.lit("[END_CLASSE]"))), F.lit("[END_CLAUSE]")))
-    sinks.write_files(named_texts(spark, d).select("name", F.array_join(blocks, "\n").alias("content")), at)
-    return files.annotated(spark, at).select("doc_id", "clause_index", "text", "warning")
+    sinks.write_files(named_texts(spark, d).select("name", F.array_join(blocks, "\n").alias("content")), at, spread=FOLDERS)
+    return files.annotated(spark, at, recursive=True).select("doc_id", "clause_index", "text", "warning")
 
 
 def as_csv(spark: SparkSession, d: str) -> str:

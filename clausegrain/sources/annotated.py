@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from clausegrain.functions.text import is_blank, strip
+from clausegrain.functions.text import is_blank, let, strip
 
 
 # The tags of annotated files.
@@ -26,13 +26,18 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", tags: Tags = Tags()) -> DataF
     q = lambda s: re.sub(r"([\[\](){}.*+?^$|\\])", r"\\\1", s)
     block = rf"(?s){q(tags.clause_open)}(.*?){q(tags.clause_close)}"
     label = rf"(?s){q(tags.class_open)}(.*?){q(tags.class_close)}"
-    rows = docs.select(doc_id, F.col("text").alias("_doc"), F.posexplode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(block), 1)).alias("clause_index", "_block"))
+    # a row carries its block alone, not its document, which Spark would look at again for each block; a document without a block is one element that tells whether it is blank
+    one = lambda of, blank: F.struct(of.alias("block"), blank.alias("blank"))
+    none_in = F.array(one(F.lit(None).cast("string"), is_blank(F.col("text"))))
+    found = let(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(block), 1), lambda x: F.when(F.size(x) > 0, F.transform(x, lambda b: one(b, F.lit(False)))).otherwise(none_in))
+    each = docs.select(doc_id, F.posexplode(found).alias("_at", "_one"))
+    rows = each.select(doc_id, F.when(F.col("_one.block").isNotNull(), F.col("_at")).alias("clause_index"), F.col("_one.block").alias("_block"), F.col("_one.blank").alias("_blank"))
     has_tag = F.col("_block").rlike(label)
     inside = F.regexp_extract("_block", label, 1)
     labels = F.filter(F.transform(F.split(inside, ","), strip), lambda x: x != "")
     text = strip(F.regexp_extract("_block", rf"(?s)^(.*?){q(tags.class_open)}.*?{q(tags.class_close)}", 1))
     warning = (
-        F.when(is_blank(F.col("_doc")), "empty document").when(F.col("_block").isNull(), "no clause blocks").when(~has_tag, "no class tag").when(inside == "", "empty class tag")
+        F.when(F.col("_blank"), "empty document").when(F.col("_block").isNull(), "no clause blocks").when(~has_tag, "no class tag").when(inside == "", "empty class tag")
         .when(F.size(labels) == 0, "no labels").when(text == "", "empty text")
     )
     out = rows.withColumns({"warning": warning, "_labels": labels, "_text": text})

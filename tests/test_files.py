@@ -1,6 +1,7 @@
 """Files that Spark's readers pass over, folders of folders, and queries over documents without a character."""
 
 import os
+import time
 
 import duckdb
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from clausegrain.sources import files, sinks
+from clausegrain.sources.annotated import parse
 
 TEXTS = ["", "one", None, " \n", "é a", "é a ", "ÿ  ", "é\n", "﻿a é", "a\x00b"]
 
@@ -51,3 +53,25 @@ def test_files_are_dealt_to_folders(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "texts")) == [f"{k:04x}" for k in range(8)]
     assert {(r.path.rsplit("/", 1)[1], r.length) for r in files.listing(spark, at, ".txt", True).collect()} == {(f"{i}.txt", i) for i in range(300)}
     assert {(r.document_id, r.text) for r in files.texts(spark, at, recursive=True).collect()} == {(str(i), "x" * i) for i in range(300)}
+
+
+def test_a_folder_of_annotated_files_is_read_in_few_tasks_and_listed_by_tasks(spark, tmp_path):
+    at = f"file://{tmp_path}/annotated"
+    body = "concat('[INIT_CLAUSE]', id, '[INIT_CLASSE]Purpose[END_CLASSE][END_CLAUSE]\\n[INIT_CLAUSE]no tag[END_CLAUSE]')"
+    rows = spark.range(300).selectExpr("concat(id, '.txt') AS name", f"CASE WHEN id % 100 = 0 THEN ' ' WHEN id % 100 = 1 THEN '' ELSE {body} END AS content").repartition(5)
+    sinks.write_files(rows, at, spread=8)
+    got = files.annotated(spark, at, recursive=True)
+    own = spark.sparkContext.defaultParallelism
+    assert len(got.inputFiles()) <= 1 + 2 * own and got.rdd.getNumPartitions() <= own  # neither has to do with the number of files
+    want = {(str(i), 0, None, "empty document") for i in range(300) if i % 100 < 2} | {(str(i), k, str(i) if k == 0 else None, "no class tag" if k else None) for i in range(300) if i % 100 > 1 for k in (0, 1)}
+    assert {(r.doc_id, r.clause_index or 0, r.text, r.warning) for r in got.collect()} == want
+
+
+def test_a_document_is_not_looked_at_again_for_each_block(spark):
+    """A long document of many blocks takes time by its length, not by its length times its blocks."""
+    block = "[INIT_CLAUSE]a  b c  d[INIT_CLASSE]Purpose[END_CLASSE][END_CLAUSE]\n"
+    docs = spark.createDataFrame([(1, block * 3000), (2, " \n"), (3, "none"), (4, None)], "doc_id int, text string").coalesce(1)
+    began = time.perf_counter()
+    got = parse(docs).groupBy("doc_id", "warning").count().collect()
+    assert {tuple(r) for r in got} == {(1, None, 3000), (2, "empty document", 1), (3, "no clause blocks", 1), (4, "empty document", 1)}
+    assert time.perf_counter() - began < 30
