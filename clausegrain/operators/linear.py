@@ -100,10 +100,15 @@ class Vocabulary:
 
     def vectors_of(self, counted: DataFrame, key: str) -> DataFrame:
         """vectors() of texts whose counts() are given."""
-        of = F.array_sort(F.collect_list(F.struct("term_id", F.col("_weight").alias("w")))).alias("_of")  # the known terms of one text
+        raw = self.unscaled(counted, key)
+        norm = F.sqrt(F.aggregate("weights", F.lit(0.0), lambda acc, x: acc + x * x))
+        return raw.withColumn("_norm", norm).select(key, "ids", F.transform("weights", lambda x: x / F.col("_norm")).alias("weights"))
+
+    def unscaled(self, counted: DataFrame, key: str) -> DataFrame:
+        """vectors_of() before they are scaled to length one, which scaled() does by Arrow batch much faster than functions on arrays do."""
+        of = F.sort_array(F.collect_list(F.struct("term_id", F.col("_weight").alias("w")))).alias("_of")  # the known terms of one text
         both = _scaled(counted, self.known, key, self.sublinear).groupBy(key).agg(of)
-        norm = F.sqrt(F.aggregate("_of", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-        return both.select(key, "_of", norm.alias("_norm")).select(key, F.col("_of.term_id").alias("ids"), F.transform("_of", lambda x: x["w"] / F.col("_norm")).alias("weights"))
+        return both.select(key, F.col("_of.term_id").alias("ids"), F.col("_of.w").alias("weights"))
 
 
 def fit_counted(rows: DataFrame, key: str, text: str = "text", size: int = 20_000, sublinear: bool = True, stop_words: tuple[str, ...] = ()) -> tuple[Vocabulary, DataFrame]:
@@ -123,35 +128,49 @@ def fit_vocabulary(rows: DataFrame, key: str, text: str = "text", size: int = 20
     return model
 
 
+def scaled(batch: pa.RecordBatch) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch of sparse vectors (ids, weights; null for none) as how many there are and, entry by entry, their row, term and weight, each row's weights scaled to length one."""
+    sizes = np.asarray(batch["ids"].value_lengths().fill_null(0))
+    of, weights = np.repeat(np.arange(len(sizes)), sizes), np.asarray(batch["weights"].flatten(), np.float64)
+    norms = np.sqrt(np.bincount(of, weights * weights, minlength=len(sizes)))
+    return len(sizes), of, np.asarray(batch["ids"].flatten(), np.int64), weights / norms[of]
+
+
 def packed(vectors: DataFrame, labels: int) -> DataFrame:
-    """Blocks of rows (ids, weights, y: an array of so many 0 or 1) as PACKED."""
+    """Blocks of rows (ids, weights, which are scaled to length one, y: an array of so many 0 or 1) as PACKED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK_ROWS):
                 batch = whole.slice(at, BLOCK_ROWS)
-                sizes = np.asarray(batch["ids"].value_lengths().fill_null(0))
-                of = np.repeat(np.arange(len(sizes), dtype="<i4"), sizes)
-                arrays = (of, np.asarray(batch["ids"].flatten(), "<i4"), np.asarray(batch["weights"].flatten(), "<f8"), np.asarray(batch["y"].flatten(), "i1"))
-                yield pa.RecordBatch.from_arrays([pa.array([len(sizes)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], names=["n", "rows", "terms", "weights", "labels"])
+                n, of, ids, weights = scaled(batch)
+                arrays = (of.astype("<i4"), ids.astype("<i4"), weights.astype("<f8"), np.asarray(batch["y"].flatten(), "i1"))
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], names=["n", "rows", "terms", "weights", "labels"])
 
     return vectors.select("ids", "weights", "y").mapInArrow(run, PACKED)
 
 
 def margins(of: np.ndarray, terms_: np.ndarray, weights: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
     """(rows, categories): each row's product with each category's weights, of which the last is its constant."""
-    return np.stack([np.bincount(of, weights * w[terms_, c], minlength=n) for c in range(w.shape[1])], axis=1) + w[-1] if w.shape[1] else np.zeros((n, 0))
+    of, terms_ = of.astype(np.intp), terms_.astype(np.intp)  # once, not for each category
+    out = np.zeros((w.shape[1], n))
+    for c, own in enumerate(np.ascontiguousarray(w.T)):
+        out[c] = np.bincount(of, own[terms_] * weights, minlength=n) + own[-1]
+    return out.T
 
 
 def loss_and_gradient(held, row, w: np.ndarray, balance: np.ndarray):
-    """held plus a block's losses (categories) and gradients (terms and constant, categories), its rows weighted by balance (negatives', positives')."""
-    n, of, ids, weights, y = row[0], np.frombuffer(row[1], "<i4"), np.frombuffer(row[2], "<i4"), np.frombuffer(row[3], "<f8"), np.frombuffer(row[4], "i1").reshape(row[0], -1)
-    m = margins(of, ids, weights, n, w)
-    s = np.where(y == 1, balance[1], balance[0])
-    loss = (s * (np.log1p(np.exp(-np.abs(m))) + np.maximum(m, 0) - y * m)).sum(axis=0)
+    """held plus the losses (categories) and gradients (terms and constant, categories) of a block (n, rows, terms, weights, and labels as an array), its rows weighted by balance (negatives', positives').
+    Arrays lie category by category, so each category's sums read memory in order."""
+    n, of, ids, weights, y = row[0], np.frombuffer(row[1], "<i4").astype(np.intp), np.frombuffer(row[2], "<i4").astype(np.intp), np.frombuffer(row[3], "<f8"), np.ascontiguousarray(row[4].T)
+    m = np.ascontiguousarray(margins(of, ids, weights, n, w).T)
+    s = np.where(y == 1, balance[1][:, None], balance[0][:, None])
+    loss = (s * (np.log1p(np.exp(-np.abs(m))) + np.maximum(m, 0) - y * m)).sum(axis=1)
     r = s * (1 / (1 + np.exp(-np.clip(m, -500, 500))) - y)
-    gradient = np.stack([*(np.bincount(ids, weights * r[of, c], minlength=len(w) - 1) for c in range(w.shape[1]))], axis=1)
-    gradient = np.vstack([gradient, r.sum(axis=0)])
+    gradient = np.empty_like(w)
+    for c, own in enumerate(r):
+        gradient[:-1, c] = np.bincount(ids, own[of] * weights, minlength=len(w) - 1)
+    gradient[-1] = r.sum(axis=1)
     if held is None:
         return loss, gradient
     held[0].__iadd__(loss)
@@ -210,19 +229,27 @@ class Descent:
 
 def descend(blocks: DataFrame, size: int, balance: np.ndarray, strength: float = 1.0, most: int = 100, tolerance: float = 1e-3) -> tuple[np.ndarray, int]:
     """(terms and constant, categories): the minimum of each category's objective, and the passes over the blocks that it took."""
-    context, rdd = blocks.sparkSession.sparkContext, blocks.rdd
+    context = blocks.sparkSession.sparkContext
     ways, passes = [Descent(size + 1, tolerance, most) for _ in range(balance.shape[1])], 0
     while not all(way.done for way in ways) and passes < MOST_PASSES:
         open_ = [k for k, way in enumerate(ways) if not way.done]
         w = np.stack([ways[k].next_point() for k in open_], axis=1)
         sent = context.broadcast((w, balance[:, open_], open_))
 
-        def step(held, row, sent=sent):
-            w, b, which = sent.value
-            y = np.frombuffer(row[4], "i1").reshape(row[0], -1)[:, which]
-            return loss_and_gradient(held, (*row[:4], np.ascontiguousarray(y).tobytes()), w, b)
+        def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            (w, b, which), held = sent.value, None
+            for batch in batches:
+                for n, *arrays, labels in zip(*(batch[c] for c in ("n", "rows", "terms", "weights", "labels")), strict=True):
+                    y = np.frombuffer(labels.as_buffer(), "i1").reshape(n.as_py(), -1)[:, which]
+                    held = loss_and_gradient(held, (n.as_py(), *(x.as_buffer() for x in arrays), y), w, b)
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in held], ["loss", "gradient"])
+
+        def add(held, row, shape=w.shape):
+            return joined(held, (np.frombuffer(row[0]).copy(), np.frombuffer(row[1]).reshape(shape).copy()))
 
-        got = rdd.treeAggregate(None, step, joined)
+        # blocks go to Python as Arrow, and a task's sums alone are rows of an RDD
+        got = blocks.mapInArrow(step, "loss binary, gradient binary").rdd.treeAggregate(None, add, joined)
         sent.destroy()
         passes += 1
         losses, gradients = got if got is not None else (np.zeros(len(open_)), np.zeros_like(w))

@@ -142,3 +142,17 @@ def test_terms_are_counted_without_all_pairs(spark, rows, monkeypatch):
         assert sorted(r.term for r in model.known.collect()) == sorted(sorted(total, key=lambda t: (-total[t], t))[:size])
         assert counted.count() <= 40 * 4 + size  # no row for a term outside the vocabulary
     assert {n for n, _ in made} == {"tokens", "words", "terms", "counts", "vocabulary"}
+
+
+def test_rows_are_scaled_where_they_are_packed(spark, rows):
+    """Packed blocks of unscaled vectors are those of scaled ones, no function on arrays does it row by row, and rows without a known term hold nothing."""
+    model, counted = linear.fit_counted(rows, "id", size=60)
+    raw = model.unscaled(counted, "id")
+    assert "lambda" not in raw._jdf.queryExecution().optimizedPlan().toString()
+    n, empty, y = 0, 0, F.array(F.lit(1).cast("byte")).alias("y")
+    for block in linear.packed(rows.select("id", y).join(raw, "id", "left"), 1).collect():
+        of, weights = np.frombuffer(block.rows, "<i4"), np.frombuffer(block.weights, "<f8")
+        lengths = np.bincount(of, weights * weights, minlength=block.n)
+        n, empty = n + block.n, empty + int((lengths == 0).sum())
+        np.testing.assert_allclose(lengths[lengths > 0], 1)
+    assert n == len(ROWS) and empty == n - raw.count() > 0
