@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from clausegrain.sources import files, sinks
 from clausegrain.sources.annotated import parse
 
-TEXTS = ["", "one", None, " \n", "é a", "é a ", "ÿ  ", "é\n", "﻿a é", "a\x00b"]
+TEXTS = ["", "one", None, " \n", "\u00e9 a", "\u00e9 a\u2028", "\u00ff \u2029", "\u00e9\n", "\ufeffa \u00e9", "a\x00b"]
 
 
 @pytest.mark.parametrize("name", ["file_listing", "files_digest", "text_files"])
